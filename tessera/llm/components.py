@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,74 +23,116 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with a null end are left out.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "edges")
+    now, state = _observed(now)
     seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen or not state[0]:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    while state != seen and state["n"]:
         seen = state
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = materialize(small.union(least.select("a", F.col("m"))).distinct(), "edges")
+        now, state = _observed(small.union(least.select("a", F.col("m"))).distinct())
+    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs (a, b)``, those whose ``sets (id, hashes)`` have that Jaccard similarity or more.
+def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Write edges; also their number and a sum of their hashes, which tell when they stay the same."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("hashes"))
+    return materialize(watched, "edges"), seen.get
 
-    ``hashes`` holds sorted distinct 64-bit values. The test is in whole numbers:
-    100 * intersection >= percent * union.
-    """
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Members of one block of a group.
+BLOCK = 256
+#: Columns of one product of incidence matrices.
+COLUMNS = 4096
+#: Up to so many members, pairs are intersected one by one.
+FEW = 8
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets (sorted distinct values), as a matrix."""
+    if len(left) * len(right) <= FEW * FEW:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.int64).reshape(len(left), len(right))
+    out = np.zeros((len(left), len(right)), np.float64)
+    values = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    for at in range(0, len(values), COLUMNS):
+        some = values[at : at + COLUMNS]
+        marked = []
+        for sets in (left, right):
+            held = np.zeros((len(sets), len(some)), np.float32)
+            for i, x in enumerate(sets):
+                x = x[np.searchsorted(x, some[0]) : np.searchsorted(x, some[-1], side="right")]
+                where = np.searchsorted(some, x)
+                held[i, where[some[where] == x]] = 1
+            marked.append(held)
+        out += marked[0] @ marked[1].T
+    return out.astype(np.int64)
+
+
+def _verify_blocks(percent: int):
+    """Links among the members of each pair of blocks, as the edges of a spanning forest."""
+
+    def forest(rows: list[tuple[int, int, bytes]], one: int, two: int) -> list[tuple[int, int]]:
+        left = [(r[0], np.frombuffer(r[2], np.uint64)) for r in rows if r[1] == one]
+        right = left if one == two else [(r[0], np.frombuffer(r[2], np.uint64)) for r in rows if r[1] == two]
+        if not left or not right:
+            return []
+        both = overlaps([x for _, x in left], [x for _, x in right])
+        total = np.array([len(x) for _, x in left])[:, None] + np.array([len(x) for _, x in right])[None, :] - both
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in zip(*np.nonzero(100 * both >= percent * total), strict=True):
+            a, b = root(left[i][0]), root(right[j][0])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: list[tuple[int, int]] = []
+            for group, one, two, block, name, hashes in zip(*[batch.column(c).to_pylist() for c in ("group", "one", "two", "block", "id", "hashes")], strict=True):
+                if now != (group, one, two):
+                    out.extend(forest(rows, now[1], now[2]) if len(rows) > 1 else ())
+                    now, rows = (group, one, two), []
+                rows.append((name, block, hashes))
+            yield edges_of(out)
+        yield edges_of(forest(rows, now[1], now[2]) if len(rows) > 1 else [])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    def edges_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def bucket_components(signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of all links among sets that share a signature: ``(id, root)``.
 
-    ``signatures (sig, id, n)`` has a row for each signature of a set of size n.
-    A bucket is not expanded into all its pairs. First each member is compared
-    with its bucket's smallest member, then with a member that the bucket draws
-    by hash, and only what is still in different components after that is
-    compared pair by pair. Pairs within a component cannot change it, so no
-    link that matters is lost. Sets without a link do not appear.
+    ``signatures (sig, id)`` has a row for each signature of a set, ``sets (id,
+    hashes)`` its sorted distinct 64-bit values. Two sets link when 100 *
+    intersection >= percent * union.
+
+    No pairs are emitted. Sets that share signatures, also by way of others,
+    form a group. A group is dealt into blocks, and each pair of blocks goes to
+    a task that counts all overlaps as a product of incidence matrices and
+    returns a spanning forest of the links. So no link is lost, no task holds
+    more than two blocks, and a large group is many tasks. Sets without a link
+    do not appear.
     """
-    marked = signatures.where("sig is not null")
-    fits = f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
-    links: DataFrame | None = None
-    parts: DataFrame | None = None
-    for step in ("least", "drawn", "rest"):
-        rows = marked
-        if parts is not None:
-            rows = marked.join(parts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            open_ = rows.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("sig")
-            rows = materialize(rows.join(open_, "sig"), f"open-{step}")
-            if rows.isEmpty():
-                break
-        else:
-            rows = rows.withColumn("root", F.col("id"))
-        if step == "rest":
-            x, y = rows.alias("x"), rows.alias("y")
-            found = x.join(y, F.expr(f"x.sig = y.sig and x.id < y.id and x.root <> y.root and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            order = F.col("id") if step == "least" else F.xxhash64("sig", "id")
-            centre = rows.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", "c")
-            found = rows.join(centre, "sig").where(f"c.id <> id and c.root <> root and {fits}").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-        new = jaccard_links(found.distinct(), sets, percent)
-        links = materialize(new if links is None else links.union(new), f"links-{step}")
-        parts = materialize(connected_components(links), f"parts-{step}")
-    return parts
+    spark = signatures.sparkSession
+    rows = signatures.where("sig is not null")
+    centre = rows.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
+    groups = materialize(connected_components(rows.join(centre, "sig").select("a", F.col("id").alias("b")).where("a <> b").distinct()), "groups")
+    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.select(F.col("root").alias("group"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "hashes")
+    met = met.repartition(shuffle_partitions(spark), "group", "one", "two").sortWithinPartitions("group", "one", "two")
+    return materialize(connected_components(met.mapInArrow(_verify_blocks(percent), "a long, b long")), "parts")

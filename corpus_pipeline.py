@@ -32,8 +32,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A null id stays only if its text is linked with no other id.
     """
     common.release()
-    others = ngram_jaccard_join(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(common.materialize(others, "others"), docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
+    others = ngram_jaccard_join(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other_id")).distinct()
+    others = common.materialize(others, "others")
+    return docs.join(others, docs["doc_id"].eqNullSafe(others["other_id"]), "left_anti")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

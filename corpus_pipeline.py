@@ -1,7 +1,8 @@
 """A training corpus in five stages, each a table written for the next.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the
-last return the columns of ``docs``.
+last return the columns of ``docs``. A stage begins by deleting the scratch tables
+of earlier ones, so write a stage's result before calling the next.
 """
 
 from __future__ import annotations

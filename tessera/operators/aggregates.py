@@ -18,3 +18,45 @@ def rate_by_group(df: DataFrame, group: Column, hit: Column, at_least: int = 1,
         rows = rows.where(~F.col("grp").isin(*exclude))
     out = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), F.count_if("hit").alias("hits"))
     return out.where(F.col("total") >= at_least).withColumn("rate", safe_pct(F.col("hits"), F.col("total")))
+
+
+def value_distribution(df: DataFrame, value: Column, missing: str = "unknown") -> DataFrame:
+    """``value, n``: how often each value occurs; null has a label of its own."""
+    return df.groupBy(F.coalesce(value.cast("string"), F.lit(missing)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def monthly_trend(df: DataFrame, day: Column, hit: Column) -> DataFrame:
+    """``month, total, hits``; months without rows do not appear, rows without a date do not count."""
+    return df.where(day.isNotNull()).groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"))
+
+
+def upper_median(value: Column) -> Column:
+    """The middle value, of an even number the upper one: an exact order statistic, not interpolated."""
+    values = F.array_sort(F.collect_list(value))
+    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+def linear_quantiles(value: Column, shares: tuple[float, ...]) -> Column:
+    """Quantiles with linear interpolation."""
+    return F.percentile(value, F.array(*[F.lit(s) for s in shares]))
+
+
+def floor_quantile(value: Column, share: float, least: int = 5) -> Column:
+    """The value at index floor(n * share) in order; null with fewer than ``least`` values."""
+    values = F.array_sort(F.collect_list(value))
+    at = F.floor(F.size(values) * share).cast("int") + 1
+    return F.when(F.size(values) >= least, F.try_element_at(values, at))
+
+
+def cohesion(df: DataFrame, group: Column, option: Column, counted: tuple[str, ...]) -> DataFrame:
+    """Share of the most frequent counted option by group, of all counted ones; ``total`` counts every row."""
+    each = [F.count_if(option == o) for o in counted]
+    out = df.groupBy(group.alias("grp")).agg(F.count(F.lit(1)).alias("total"), F.greatest(*each).alias("most"), sum(each[1:], each[0]).alias("counted"))
+    return out.select("grp", "total", F.when(F.col("counted") > 0, F.floor(100.0 * F.col("most") / F.col("counted") + 0.5)).otherwise(0).cast("long").alias("rate"))
+
+
+def snapshot_delta(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
+    """First and last value of each entity, and the change; no change with a single row."""
+    key = F.struct(*order)
+    out = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, key).alias("first_value"), F.max_by(value, key).alias("last_value"))
+    return out.withColumn("delta", F.when(F.col("n") > 1, F.bround(F.col("last_value") - F.col("first_value"), 2)))

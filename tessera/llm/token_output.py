@@ -16,7 +16,7 @@ from .common import scratch_path, shuffle_partitions, table, texts
 MAGIC = b"TSRP0001"
 HEAD = struct.Struct("<8sBxxxIIIQQ")  # magic, bits, part, documents, blocks, ids, ids of the part before this chunk
 BLOCK_IDS = 4096
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 18
 CHUNKS_PER_FILE = 16
 
 
@@ -91,12 +91,14 @@ class Chunk:
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word.
 
-    Words between blanks and line ends are encoded by the library, many at a
-    time; frequent ones come from a memory of bounded size.
+    Words between blanks and line ends that are new go to the library many at a
+    time, as one text with a special token between them. The first LIMIT words
+    that a worker meets are remembered, frequent ones among them.
     """
 
-    LIMIT = 150_000
+    LIMIT = 300_000
     LONG = 64
+    TOGETHER = 512
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -104,19 +106,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.known: dict[str, bytes] = {"": b""}
 
+    def new_words(self, words: list[str]) -> dict[str, bytes]:
+        mark = next(iter(self.marks), None)
+        alone = [w for w in words if len(w) > self.LONG or mark is None or any(m in w for m in self.marks)]
+        out = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        rest = [w for w in words if w not in out] if alone else words
+        texts = [mark.join(rest[at : at + self.TOGETHER]) for at in range(0, len(rest), self.TOGETHER)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.marks[mark]), len(ids)).tolist()
+            data, first = ids.tobytes(), 0
+            for word, end in zip(rest[k * self.TOGETHER : (k + 1) * self.TOGETHER], ends, strict=True):
+                out[word] = data[4 * first : 4 * end]
+                first = end + 1
+        return out
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in batch]
-        new = set().union(*split).difference(self.known)
-        words = list(new)
-        found = dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)), strict=True))
-        found.update(self.known)
-        out = [np.frombuffer(b"".join(map(found.__getitem__, x)), "<u4") for x in split]
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known = {"": b""}
-        self.known.update((w, found[w]) for w in words[: self.LIMIT // 2] if len(w) <= self.LONG)
-        return out
+        known = self.known
+        new = self.new_words([w for w in set().union(*split) if w not in known])
+        if len(known) < self.LIMIT:
+            known.update((w, x) for w, x in new.items() if len(w) <= self.LONG)
+        return [np.frombuffer(b"".join([known[w] if w in known else new[w] for w in x]), "<u4") for x in split]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -133,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     ranged = ranged.repartitionByRange(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", F.crc32(F.col("text").cast("binary")), F.length("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         names: list = []
         held: list[np.ndarray] = []
         total = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ LOCAL_SCRATCH = "file:///tmp/tessera-scratch"
 BATCH_ROWS = 2048
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,19 +43,31 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended: then the folder is the cluster's to clean
+        return
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more, so its space is free for the next."""
+    path = _paths.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def release() -> None:
     """Delete all scratch tables; call it when earlier results are written."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended: then the folder is the cluster's to clean
-            continue
+        _delete(*_written.pop())
 
 
 atexit.register(release)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import discard, materialize, shuffle_partitions
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        before = now
         now, state = _observed(small.union(least.select("a", F.col("m"))).distinct())
+        discard(before)
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
@@ -71,12 +73,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verify_blocks(percent: int):
+def _verify_blocks(percent: int, kind: str):
     """Links among the members of each pair of blocks, as the edges of a spanning forest."""
 
     def forest(rows: list[tuple[int, int, bytes]], one: int, two: int) -> list[tuple[int, int]]:
-        left = [(r[0], np.frombuffer(r[2], np.uint64)) for r in rows if r[1] == one]
-        right = left if one == two else [(r[0], np.frombuffer(r[2], np.uint64)) for r in rows if r[1] == two]
+        left = [(r[0], np.frombuffer(r[2], kind)) for r in rows if r[1] == one]
+        right = left if one == two else [(r[0], np.frombuffer(r[2], kind)) for r in rows if r[1] == two]
         if not left or not right:
             return []
         both = overlaps([x for _, x in left], [x for _, x in right])
@@ -112,11 +114,12 @@ def _verify_blocks(percent: int):
     return run
 
 
-def bucket_components(signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def bucket_components(signatures: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
     """Components of all links among sets that share a signature: ``(id, root)``.
 
     ``signatures (sig, id)`` has a row for each signature of a set, ``sets (id,
-    hashes)`` its sorted distinct 64-bit values. Two sets link when 100 *
+    hashes)`` its sorted distinct values, numbers of numpy type ``kind``; both may
+    repeat rows. Once groups are known, signatures are discarded. Two sets link when 100 *
     intersection >= percent * union.
 
     No pairs are emitted. Sets that share signatures, also by way of others,
@@ -130,9 +133,10 @@ def bucket_components(signatures: DataFrame, sets: DataFrame, percent: int) -> D
     rows = signatures.where("sig is not null")
     centre = rows.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
     groups = materialize(connected_components(rows.join(centre, "sig").select("a", F.col("id").alias("b")).where("a <> b").distinct()), "groups")
+    discard(signatures)
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(sets, "id").dropDuplicates(["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.select(F.col("root").alias("group"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "hashes")
     met = met.repartition(shuffle_partitions(spark), "group", "one", "two").sortWithinPartitions("group", "one", "two")
-    return materialize(connected_components(met.mapInArrow(_verify_blocks(percent), "a long, b long")), "parts")
+    return materialize(connected_components(met.mapInArrow(_verify_blocks(percent, kind), "a long, b long")), "parts")

@@ -21,6 +21,8 @@ MIN_WORDS = 25
 CUT = 16
 RECALL = 0.999
 BAND_ROWS = 4
+#: Of each shingle's hash in a paragraph, the upper half is kept; it holds some 25 of them.
+KEPT = "<u4"
 
 
 def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> tuple[int, int]:
@@ -83,12 +85,17 @@ def candidates(text: str, kinds: ShingleClasses, percent: int) -> list[tuple[int
     repeated[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
     repeats = np.concatenate(([0], np.cumsum(repeated)))
     a, b = where[:, 0], where[:, 1] - WIDTH + 1
-    have = known[b] - known[a]
+    have, more = known[b] - known[a], repeats[b] > repeats[a]
+    some = np.flatnonzero((have > 0) & ((100 * have >= percent * (b - a)) | more))
     found = []
-    for i in np.flatnonzero((have > 0) & ((100 * have >= percent * (b - a)) | (repeats[b] > repeats[a]))):
-        unique, first = np.unique(hashes[a[i] : b[i]], return_index=True)
-        if 100 * int(shared[a[i] : b[i]][first].sum()) >= percent * len(unique):
-            found.append((int(starts[a[i]]), int(ends[where[i, 1] - 1]), unique))
+    for i, j, again, first, last in zip(a[some].tolist(), b[some].tolist(), more[some].tolist(), starts[a[some]].tolist(), ends[where[some, 1] - 1].tolist(), strict=True):
+        if again:
+            unique, at = np.unique(hashes[i:j], return_index=True)
+            if 100 * int(shared[i:j][at].sum()) < percent * len(unique):
+                continue
+        else:
+            unique = np.sort(hashes[i:j])
+        found.append((first, last, unique))
     return found
 
 
@@ -101,7 +108,7 @@ def _paragraph_rows(classes, percent: int):
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 for first, last, hashes in candidates(text, kinds, percent):
                     same = fingerprint(hashes)
-                    rows.append((doc, first, last, same, len(hashes), None if same in seen else hashes.tobytes()))
+                    rows.append((doc, first, last, same, len(hashes), None if same in seen else (hashes >> np.uint64(32)).astype(KEPT).tobytes()))
                     seen.add(same)
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds_of = [pa.int64()] * 5 + [pa.binary()]
@@ -110,19 +117,29 @@ def _paragraph_rows(classes, percent: int):
     return run
 
 
-def _band_rows(bands: int, rows: int):
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def band_signatures(values: np.ndarray, lengths: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash signatures, a row of bands for each set; the sets' values follow each other."""
+    odd = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    spread, starts = mix(values.astype(np.uint64)), np.cumsum(lengths) - lengths
+    out = np.empty((len(lengths), bands), np.uint64)
+    for band in range(bands):
+        code = np.full(len(lengths), band, np.uint64)
+        for k in range(rows):
+            code = mix(code * np.uint64(31) + np.minimum.reduceat(spread * odd[band * rows + k], starts))
+        out[:, band] = code
+    return out
 
+
+def _band_rows(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = []
-            for x in batch.column("hashes"):
-                least = mix(np.frombuffer(x.as_buffer(), np.uint64)[None, :] ^ seeds[:, None]).min(axis=1).reshape(bands, rows)
-                band = np.arange(bands, dtype=np.uint64)
-                for k in range(rows):
-                    band = mix(band * np.uint64(31) + least[:, k])
-                sigs.append(band.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n", "sigs"])
+            if not batch.num_rows:
+                continue
+            sets = batch.column("hashes").to_pylist()
+            lengths = np.array([len(x) for x in sets]) // np.dtype(KEPT).itemsize
+            sigs = band_signatures(np.frombuffer(b"".join(sets), KEPT), lengths, bands, rows)
+            ids = np.repeat(batch.column("id").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs.ravel().view(np.int64), pa.int64())], ["id", "sig"])
 
     return run
 
@@ -172,10 +189,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     classes = count_classes(pairs, copies=True)
     found = materialize(pairs.mapInArrow(_paragraph_rows(classes, percent), "doc long, first long, last long, set_id long, n long, hashes binary"), "paragraphs")
-    sets = materialize(found.where("hashes is not null").groupBy(F.col("set_id").alias("id")).agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "sets")
-    banded = sets.mapInArrow(_band_rows(*tune_bands(percent / 100)), "id long, n long, sigs array<long>")
-    signatures = materialize(banded.select("id", "n", F.explode("sigs").alias("sig")), "bands")
-    roots = bucket_components(signatures, sets.select("id", "hashes"), percent)
+    sets = found.where("hashes is not null").select(F.col("set_id").alias("id"), "hashes")
+    signatures = materialize(sets.mapInArrow(_band_rows(*tune_bands(percent / 100)), "id long, sig long"), "bands")
+    roots = bucket_components(signatures, sets, percent, KEPT)
     holders = found.groupBy("set_id").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     rooted = holders.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     keepers = rooted.groupBy("root").agg(F.min("d1").alias("kept_in"), F.max("d2").alias("d2")).where("kept_in < d2")

@@ -119,24 +119,29 @@ def bucket_components(signatures: DataFrame, sets: DataFrame, percent: int, kind
 
     ``signatures (sig, id)`` has a row for each signature of a set, ``sets (id,
     hashes)`` its sorted distinct values, numbers of numpy type ``kind``; both may
-    repeat rows. Once groups are known, signatures are discarded. Two sets link when 100 *
-    intersection >= percent * union.
+    repeat rows. Sets that share signatures, also by way of others, form a group.
+    Once groups are known, signatures are discarded.
+    """
+    rows = signatures.where("sig is not null")
+    centre = rows.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
+    groups = materialize(connected_components(rows.join(centre, "sig").select("a", F.col("id").alias("b")).where("a <> b").distinct()), "groups")
+    discard(signatures)
+    return group_components(groups, sets, percent, kind)
+
 
-    No pairs are emitted. Sets that share signatures, also by way of others,
-    form a group. A group is dealt into blocks, and each pair of blocks goes to
+def group_components(groups: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
+    """Components of all links within the groups ``(id, root)`` of sets: ``(id, root)``.
+
+    Two sets link when 100 * intersection >= percent * union. No pairs are
+    emitted. A group is dealt into blocks, and each pair of blocks goes to
     a task that counts all overlaps as a product of incidence matrices and
     returns a spanning forest of the links. So no link is lost, no task holds
     more than two blocks, and a large group is many tasks. Sets without a link
     do not appear.
     """
-    spark = signatures.sparkSession
-    rows = signatures.where("sig is not null")
-    centre = rows.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
-    groups = materialize(connected_components(rows.join(centre, "sig").select("a", F.col("id").alias("b")).where("a <> b").distinct()), "groups")
-    discard(signatures)
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.join(sets, "id").dropDuplicates(["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.select(F.col("root").alias("group"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "hashes")
-    met = met.repartition(shuffle_partitions(spark), "group", "one", "two").sortWithinPartitions("group", "one", "two")
+    met = met.repartition(shuffle_partitions(groups.sparkSession), "group", "one", "two").sortWithinPartitions("group", "one", "two")
     return materialize(connected_components(met.mapInArrow(_verify_blocks(percent, kind), "a long, b long")), "parts")

@@ -50,7 +50,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a text in UTF-8; a very long word becomes its digest."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if any(len(w) > LONG_WORD for w in words):
+    if max(map(len, words), default=0) > LONG_WORD:
         words = [w if len(w) <= LONG_WORD else hashlib.blake2b(w).hexdigest().encode() for w in words]
     return words
 

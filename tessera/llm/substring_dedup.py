@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
-from .components import bucket_components
-from .shingles import WIDTH, ShingleClasses, count_classes, fingerprint, mix, positions, words_of
+from .common import materialize, power_of_two, shuffle_partitions, table, texts
+from .components import connected_components, group_components
+from .shingles import WIDTH, ShingleClasses, count_classes, mix, positions, words_of
 
 PERCENT = 80
 #: A paragraph has at least so many words.
@@ -23,6 +23,8 @@ RECALL = 0.999
 BAND_ROWS = 4
 #: Of each shingle's hash in a paragraph, the upper half is kept; it holds some 25 of them.
 KEPT = "<u4"
+#: Sets of which a task holds the signatures at a time.
+FLUSH = 1 << 16
 
 
 def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> tuple[int, int]:
@@ -64,11 +66,17 @@ def paragraphs(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate((forward, backward)), axis=0)
 
 
-def candidates(text: str, kinds: ShingleClasses, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """Paragraphs of which enough shingles occur in other texts: byte range and shingle set.
+def _set_ids(sums: np.ndarray) -> np.ndarray:
+    return mix(sums ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def candidates(text: str, kinds: ShingleClasses, percent: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """Paragraphs of which enough shingles occur in other texts: byte range, id of the shingle set, its values.
 
     Two sets of that Jaccard similarity share at least that part of each, and
-    what they share is in two texts; so no pair is lost here.
+    what they share is in two texts; so no pair is lost here. The id is a hash
+    of the sum of the shingles' hashes, so one running sum serves all
+    paragraphs. Values are the upper halves of the hashes, not sorted.
     """
     words = words_of(text)
     if len(words) < MIN_WORDS:
@@ -87,15 +95,19 @@ def candidates(text: str, kinds: ShingleClasses, percent: int) -> list[tuple[int
     a, b = where[:, 0], where[:, 1] - WIDTH + 1
     have, more = known[b] - known[a], repeats[b] > repeats[a]
     some = np.flatnonzero((have > 0) & ((100 * have >= percent * (b - a)) | more))
+    if not len(some):
+        return []
+    spread, halves = mix(hashes), (hashes >> np.uint64(32)).astype(KEPT)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread)))
+    ids = _set_ids(sums[b[some]] - sums[a[some]])
     found = []
-    for i, j, again, first, last in zip(a[some].tolist(), b[some].tolist(), more[some].tolist(), starts[a[some]].tolist(), ends[where[some, 1] - 1].tolist(), strict=True):
-        if again:
-            unique, at = np.unique(hashes[i:j], return_index=True)
-            if 100 * int(shared[i:j][at].sum()) < percent * len(unique):
-                continue
-        else:
-            unique = np.sort(hashes[i:j])
-        found.append((first, last, unique))
+    for i, j, again, name, first, last in zip(a[some].tolist(), b[some].tolist(), more[some].tolist(), ids.tolist(), starts[a[some]].tolist(), ends[where[some, 1] - 1].tolist(), strict=True):
+        if not again:
+            found.append((first, last, name, halves[i:j]))
+            continue
+        at = i + np.unique(hashes[i:j], return_index=True)[1]
+        if 100 * int(shared[at].sum()) >= percent * len(at):
+            found.append((first, last, int(_set_ids(spread[at].sum(keepdims=True))[0]), halves[at]))
     return found
 
 
@@ -106,13 +118,12 @@ def _paragraph_rows(classes, percent: int):
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                for first, last, hashes in candidates(text, kinds, percent):
-                    same = fingerprint(hashes)
-                    rows.append((doc, first, last, same, len(hashes), None if same in seen else (hashes >> np.uint64(32)).astype(KEPT).tobytes()))
+                for first, last, same, values in candidates(text, kinds, percent):
+                    rows.append((doc, first, last, same, None if same in seen else np.sort(values).tobytes()))
                     seen.add(same)
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds_of = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], ["doc", "first", "last", "set_id", "n", "hashes"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds_of = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], ["doc", "first", "last", "set_id", "hashes"])
 
     return run
 
@@ -130,20 +141,90 @@ def band_signatures(values: np.ndarray, lengths: np.ndarray, bands: int, rows: i
     return out
 
 
-def _band_rows(bands: int, rows: int):
+def roots_by_signature(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets, rows of ``sigs``, that signatures connect: the smallest row each reaches, all signatures, and the root of each."""
+    n, bands = sigs.shape
+    keys, where = np.unique(sigs.ravel(), return_inverse=True)
+    owner = np.argsort(where, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(where))[:-1]))
+    owner, where, root = owner // bands, where.reshape(n, bands), np.arange(n)
+    while True:
+        least = np.minimum.reduceat(root[owner], starts)
+        now = least[where].min(axis=1)
+        now = now[now]
+        if np.array_equal(now, root):
+            return root, keys, least
+        root = now
+
+
+def _band_task(bands: int, rows: int, bits: int):
+    """Signatures of a task's sets, packed by bucket; sets that already meet here go as edges and one root.
+
+    So of a signature that very many sets share, a task sends one row at a time.
+    """
+    names = ["bucket", "edges", "keys", "ids"]
+
+    def flush(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        ids, first = np.unique(ids, return_index=True)
+        root, keys, least = roots_by_signature(sigs[first])
+        met = np.flatnonzero(root != np.arange(len(root)))
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = [(b, False, k.tobytes(), i.tobytes()) for b, k, i in zip(bucket[np.concatenate(([0], cuts))].tolist(), np.split(keys, cuts), np.split(ids[least], cuts), strict=True)]
+        if len(met):
+            out.append((int(ids[0]) % (1 << bits), True, ids[met].tobytes(), ids[root[met]].tobytes()))
+        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = batch.column("hashes").to_pylist()
             lengths = np.array([len(x) for x in sets]) // np.dtype(KEPT).itemsize
-            sigs = band_signatures(np.frombuffer(b"".join(sets), KEPT), lengths, bands, rows)
-            ids = np.repeat(batch.column("id").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs.ravel().view(np.int64), pa.int64())], ["id", "sig"])
+            held.append((batch.column("id").to_numpy(), band_signatures(np.frombuffer(b"".join(sets), KEPT), lengths, bands, rows)))
+            if sum(len(x) for x, _ in held) >= FLUSH:
+                yield flush(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield flush(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
+def _edge_task(group: pa.Table) -> pa.Table:
+    """Distinct edges among the sets of each signature of a bucket, all to one of them; edges found before pass through."""
+    ends: tuple[list, list] = ([], [])
+    parts = {kind: [(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64)) for e, k, i in zip(*(group.column(c).to_pylist() for c in ("edges", "keys", "ids")), strict=True) if e == kind] for kind in (False, True)}
+    if parts[False]:
+        keys, ids = map(np.concatenate, zip(*parts[False], strict=True))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        centre = np.repeat(ids[starts], np.diff(np.concatenate((starts, [len(keys)]))))
+        apart = ids != centre
+        a, b = ids[apart], centre[apart]
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        ends[0].append(a[new]), ends[1].append(b[new])
+    for a, b in parts[True]:
+        ends[0].append(a.view(np.int64)), ends[1].append(b)
+    return pa.table({"a": pa.array(np.concatenate(ends[0]), pa.int64()), "b": pa.array(np.concatenate(ends[1]), pa.int64())})
+
+
+def signature_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: edges that connect all ``sets (id, hashes)`` which share a signature, also by way of others.
+
+    Signatures are shuffled once, packed, and without those that a task has joined.
+    """
+    bands, rows = tune_bands(percent / 100)
+    bits = power_of_two(max(64, 4 * shuffle_partitions(sets.sparkSession))).bit_length() - 1
+    packed = sets.mapInArrow(_band_task(bands, rows, bits), "bucket int, edges boolean, keys binary, ids binary")
+    return packed.groupBy("bucket").applyInArrow(_edge_task, "a long, b long")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching ranges as one."""
     out: list[tuple[int, int]] = []
@@ -188,10 +269,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     classes = count_classes(pairs, copies=True)
-    found = materialize(pairs.mapInArrow(_paragraph_rows(classes, percent), "doc long, first long, last long, set_id long, n long, hashes binary"), "paragraphs")
+    found = materialize(pairs.mapInArrow(_paragraph_rows(classes, percent), "doc long, first long, last long, set_id long, hashes binary"), "paragraphs")
     sets = found.where("hashes is not null").select(F.col("set_id").alias("id"), "hashes")
-    signatures = materialize(sets.mapInArrow(_band_rows(*tune_bands(percent / 100)), "id long, sig long"), "bands")
-    roots = bucket_components(signatures, sets, percent, KEPT)
+    groups = materialize(connected_components(signature_edges(sets, percent)), "groups")
+    roots = group_components(groups, sets, percent, KEPT)
     holders = found.groupBy("set_id").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"))
     rooted = holders.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     keepers = rooted.groupBy("root").agg(F.min("d1").alias("kept_in"), F.max("d2").alias("d2")).where("kept_in < d2")

@@ -57,13 +57,19 @@ def paragraphs(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     if n < MIN_WORDS:
         return np.zeros((0, 2), np.int64)
     cuts = np.flatnonzero((hashes & np.uint64(CUT - 1)) == 0)
-    ends = np.unique(np.concatenate((np.flatnonzero(stops) + 1, cuts[cuts > 0], [n])))
+    stop = np.zeros(n + 1, bool)
+    stop[1:] = stops
+    stop[cuts[cuts > 0]] = stop[n] = True
+    ends = np.flatnonzero(stop)
     starts = np.concatenate(([0], ends[:-1]))
     on = np.searchsorted(ends, starts + MIN_WORDS)
     back = np.searchsorted(starts, ends - MIN_WORDS, side="right") - 1
     forward = np.stack((starts[on < len(ends)], ends[on[on < len(ends)]]), axis=1)
     backward = np.stack((starts[back[back >= 0]], ends[back >= 0]), axis=1)
-    return np.unique(np.concatenate((forward, backward)), axis=0)
+    both = np.concatenate((forward, backward))
+    keys = np.sort(both[:, 0] * (n + 1) + both[:, 1])
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    return np.stack((keys // (n + 1), keys % (n + 1)), axis=1)
 
 
 def _set_ids(sums: np.ndarray) -> np.ndarray:

@@ -155,6 +155,24 @@ def test_embeddings_equal_brute_force(spark):
     assert all(out[i].n_links <= near[i].sum() - 1 for i in range(len(x)))
 
 
+@pytest.mark.parametrize("bits", [0, 1])
+def test_embeddings_find_lone_pairs_in_a_crowd(spark, monkeypatch, bits):
+    if bits:
+        monkeypatch.setattr(embedding_dedup, "SENT", 20)
+        monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    rng, unit = np.random.default_rng(6), lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, n, pairs = unit(rng.standard_normal(64)), 5000, 400
+    x = unit(rng.standard_normal((n, 64)))
+    x[: n // 2] = unit(np.sqrt(0.7) * centre + np.sqrt(0.3) * x[: n // 2])
+    side = rng.standard_normal((pairs, 64))
+    side = unit(side - (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    rows = [*x, *(0.901 * x[:pairs] + np.sqrt(1 - 0.901**2) * side), x[n - 1], x[n - 1]]
+    assert (embedding_dedup.plan(len(rows))[0] > 0) == bool(bits)
+    out = {r.vec_id: r.component_id for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(out[n + i] == out[i] for i in range(pairs)) >= pairs - bits
+    assert out[n + pairs] == out[n + pairs + 1] == n - 1 and len(set(out.values())) <= n + bits
+
+
 def test_tiff_round_trips():
     rng = np.random.default_rng(0)
     for how, predictor, (tile, strip), kind, order in itertools.product((1, 5, 8, 32773), (1, 2), ((0, 0), (0, 7), (16, 0)), (np.uint8, np.uint16), "<>"):

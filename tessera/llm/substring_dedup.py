@@ -17,8 +17,9 @@ from .shingles import WIDTH, ShingleClasses, count_classes, mix, positions, word
 PERCENT = 80
 #: A paragraph has at least so many words.
 MIN_WORDS = 25
-#: One in so many words also starts a sentence, by the hash of what follows, for text without full stops.
-CUT = 16
+#: Of so many words in a row without the start of a sentence, the one with the smallest hash of what follows starts one.
+#: So a passage of MIN_WORDS + 2 * CUT + 4 words (49) or more has two such starts in it that make a paragraph, wherever it stands.
+CUT = 10
 RECALL = 0.999
 BAND_ROWS = 4
 #: Of each shingle's hash in a paragraph, the upper half is kept; it holds some 25 of them.
@@ -33,43 +34,93 @@ def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte offsets of the words of a UTF-8 text, and whether a sentence or line ends after each."""
+    """Byte offsets of the words of a UTF-8 text, and whether a sentence or line ends after each.
+
+    A sentence ends with a word that has a full stop (or ! ? …) after its last letter or digit, other marks may follow.
+    """
     codes = np.frombuffer(data, np.uint8)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return starts, ends, np.zeros(0, bool)
-    last = codes[ends - 1]
+    kind = _MARKS[codes]
+    for at in np.flatnonzero((codes == 0xE2) | (codes == 0xC2)).tolist():
+        if (mark := _LONG_MARKS.get(data[at : at + 3])) or (mark := _LONG_MARKS.get(data[at : at + 2])):
+            kind[at : at + len(mark)] = mark
+    where = np.arange(1, len(codes) + 1, dtype=np.int32)
+    letter = np.maximum.accumulate(np.where(kind == 0, where, 0))[ends - 1]
+    stop = np.maximum.accumulate(np.where(kind == 2, where, 0))[ends - 1]
     lines = np.concatenate(([0], np.cumsum(codes == 10)))
     after = np.concatenate((starts[1:], [len(codes)]))
-    return starts, ends, (last == 46) | (last == 33) | (last == 63) | (lines[after] > lines[ends])
+    return starts, ends, ((stop > letter) & (stop > starts)) | (lines[after] > lines[ends])
+
+
+#: By byte: 0 in letters and digits, 1 in other marks, 2 in those that end a sentence.
+_MARKS = np.array([2 if c in b".!?" else 0 if c >= 128 or chr(c).isalnum() else 1 for c in range(256)], np.uint8)
+_LONG_MARKS = {c.encode(): [2 if c == "…" else 1] * len(c.encode()) for c in "…“”„‟‘’‚‛«»‹›–—†‡•"}
+
+
+def sentence_starts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether a sentence starts before each word, and at the end of the text; also in each CUT words in a row."""
+    n = len(stops)
+    start = np.concatenate(([True], stops))
+    start[n] = True
+    rank = np.full(n + 1, np.iinfo(np.uint64).max)
+    rank[: len(hashes)] = hashes
+    rank[start] = 0
+    least, span = rank, 1
+    while span < CUT:
+        step = min(span, CUT - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    most, span = np.concatenate((np.zeros(CUT - 1, np.uint64), least, np.zeros(CUT - 1, np.uint64))), 1
+    while span < CUT:
+        step = min(span, CUT - span)
+        most, span = np.maximum(most[:-step], most[step:]), span + step
+    start[: len(hashes)] |= (rank == most)[: len(hashes)]
+    return start
 
 
 def paragraphs(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Word ranges (from, to) of the paragraphs of a text, as rows.
 
-    A paragraph is a run of whole sentences, of MIN_WORDS words or more, and no
-    more sentences than that takes: from each sentence on, and up to each. So
-    a passage is cut alike wherever it stands, also in the midst of a line.
+    A paragraph is a run of whole sentences, of MIN_WORDS words or more: from
+    each start, up to the first end of a sentence or line at such a distance,
+    and up to the cuts before it; and from each end back in the same way. Cuts
+    that are CUT words further off don't count, if there is a nearer one. Ends
+    of sentences are alike wherever a passage stands, and cuts depend on the
+    words within CUT + 4, so a passage of twice that and MIN_WORDS words is cut
+    alike inside, also in the midst of a line.
     """
     n = len(stops)
     if n < MIN_WORDS:
         return np.zeros((0, 2), np.int64)
-    cuts = np.flatnonzero((hashes & np.uint64(CUT - 1)) == 0)
-    stop = np.zeros(n + 1, bool)
-    stop[1:] = stops
-    stop[cuts[cuts > 0]] = stop[n] = True
-    ends = np.flatnonzero(stop)
-    starts = np.concatenate(([0], ends[:-1]))
-    on = np.searchsorted(ends, starts + MIN_WORDS)
-    back = np.searchsorted(starts, ends - MIN_WORDS, side="right") - 1
-    forward = np.stack((starts[on < len(ends)], ends[on[on < len(ends)]]), axis=1)
-    backward = np.stack((starts[back[back >= 0]], ends[back >= 0]), axis=1)
-    both = np.concatenate((forward, backward))
-    keys = np.sort(both[:, 0] * (n + 1) + both[:, 1])
+    cuts = np.flatnonzero(sentence_starts(hashes, stops))
+    size = len(cuts)
+    real = np.concatenate(([True], stops))[cuts]
+    real[-1] = True
+    number = np.arange(size)
+    following = np.minimum.accumulate(np.where(real, number, size)[::-1])[::-1]
+    previous = np.maximum.accumulate(np.where(real, number, 0))
+    low = np.searchsorted(cuts, cuts + MIN_WORDS)
+    at = np.flatnonzero(low < size)
+    low = low[at]
+    high = np.maximum(low, np.minimum(following[low], np.searchsorted(cuts, cuts[at] + MIN_WORDS + CUT) - 1))
+    top = np.searchsorted(cuts, cuts - MIN_WORDS, side="right") - 1
+    on = np.flatnonzero(top >= 0)
+    top = top[on]
+    bottom = np.minimum(top, np.maximum(previous[top], np.searchsorted(cuts, cuts[on] - MIN_WORDS - CUT, side="right")))
+    forward = np.repeat(at, high - low + 1) * size + _ranges(low, high)
+    backward = _ranges(bottom, top) * size + np.repeat(on, top - bottom + 1)
+    keys = np.sort(np.concatenate((forward, backward)))
     keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return np.stack((keys // (n + 1), keys % (n + 1)), axis=1)
+    return np.stack((cuts[keys // size], cuts[keys % size]), axis=1)
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first to each last, one range after the other."""
+    count = last - first + 1
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
 
 
 def _set_ids(sums: np.ndarray) -> np.ndarray:

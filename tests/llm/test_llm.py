@@ -141,6 +141,25 @@ def test_substring_dedup(spark):
     assert substring_dedup.tune_bands(0.8)[0] * 4 >= 50
 
 
+def test_substring_dedup_inside_lines(spark):
+    sizes = [51, 55, 60, 70, 80, 100] * 25
+    passages = [words(n) for n in sizes]
+    texts = [f"{words(40)} {p} {words(40)}" for p in passages]
+    texts += [f"{words(35)} {p} {words(45)}" for p in passages]
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, texts)).collect()}
+    gone = 0
+    for i, n in enumerate(sizes):
+        assert out[i].text == texts[i] and out[len(sizes) + i].kept_in == [i]
+        gone += min(n, out[len(sizes) + i].removed_words)
+        assert substring_dedup.MIN_WORDS <= out[len(sizes) + i].removed_words <= n + 14  # up to a fifth of a paragraph at each end may differ
+    assert gone > 0.75 * sum(sizes)
+
+
+def test_sentences_end_before_closing_marks():
+    text = 'One." two.) three.### four! five?” six… seven 3.14 e.g. x,y (a.b) «z.» ... -- end\nnext'
+    assert substring_dedup.word_spans(text.encode())[2].tolist() == [w in 'One." two.) three.### four! five?” six… e.g. «z.» ... end'.split() for w in text.split()[:-1]] + [False]
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((40, 16))

@@ -22,7 +22,7 @@ LEAST_DOCS, LEAST_Z = 4, 5.0
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 HELD_OUT = 2
-#: Longer words are taken as they are.
+#: Longer words are decoded too, but not remembered.
 LONGEST = 40
 
 #: Characters that stand for letters, and what may come between letters.
@@ -74,13 +74,16 @@ _SUSPECT = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+€(].*|.*([a-z])\1\1.*|[a-z](?
 _EDGES = re.compile(r"^[^\w@$!|+€(]+|[^\w@$]+$")
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of a written word, what letters it may stand for, with log probabilities."""
+def lattice(word: str, parted: float | None = None) -> list[list[tuple[str, float]]]:
+    """For each run of a written word, what letters it may stand for, with log probabilities.
+
+    With ``parted``, what comes between letters may also, at that log probability, be the border of two words.
+    """
     out: list[list[tuple[str, float]]] = []
     for run in re.finditer(r"(.)\1*", word, re.S):
         char, n = run[1], len(run[0])
         if char in BETWEEN:
-            out.append([("", INSERTED * n)])
+            out.append([("", INSERTED * n), *([] if parted is None else [(" ", parted)])])
             continue
         letters = [(char, KEPT)] if char.isalpha() else [(c, STOOD_FOR) for c in LEET.get(char, "")] or [(char, KEPT)]
         once = [(c, p if n == 1 else p + REPEATED) for c, p in letters]
@@ -93,11 +96,15 @@ def _kind(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else EDGE if not c.isalpha() else OTHER
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a written word: Viterbi search of its lattice under the language model."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for choices in lattice(word):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+def restore(word: str, model: np.ndarray, parted: float | None = None) -> str:
+    """The likeliest letters behind a written word: Viterbi search of its lattice under the language model.
+
+    With ``parted``, several words with blanks between. Any length will do: a
+    step keeps the best way to each pair of last characters, as a chain.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+    for choices in lattice(word, parted):
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, done) in best.items():
             for letters, p in choices:
                 x, y, total = a, b, score + p
@@ -106,9 +113,18 @@ def restore(word: str, model: np.ndarray) -> str:
                     total += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in new or total > new[x, y][0]:
-                    new[x, y] = (total, done + letters)
+                    new[x, y] = (total, (done, letters) if letters else done)
         best = new
-    return max((score + model[a, b, EDGE], done) for (a, b), (score, done) in best.items())[1]
+    chain = max(((score + model[a, b, EDGE], done) for (a, b), (score, done) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while chain is not None:
+        chain, letters = chain
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+#: Border probabilities that are tried: as likely as a letter's gap, or as a border that is kept.
+PARTED = (INSERTED, KEPT)
 
 
 class Restorer:
@@ -123,20 +139,31 @@ class Restorer:
     def forms(self, word: str) -> set[str]:
         bare = _EDGES.sub("", word)
         forms = {bare} if bare else set()
-        if len(word) <= LONGEST and _SUSPECT.fullmatch(word):
+        if _SUSPECT.fullmatch(word):
             forms |= {restore(x, self.model) for x in {word, bare} if x}
+            if any(c in BETWEEN for c in bare):
+                forms |= self.parted(bare)
         return forms
 
+    def parted(self, word: str) -> set[str]:
+        """The words that a row of letters spells, with borders where the language model puts them."""
+        return {x for p in PARTED for x in restore(word, self.model, p).split()}
+
     def tags(self, word: str) -> tuple:
         """Features of one word: its forms, and their beginnings; only known ones once there is a list."""
         if (found := self.known.get(word)) is None:
-            names = {x for form in self.forms(word) for x in (form, *(f"{form[:n]}*" for n in STEMS if len(form) >= n))}
-            found = tuple(sorted(names)) if self.features is None else tuple(sorted({self.features[x] for x in names if x in self.features}))
+            found = self.named(self.forms(word))
+            if len(word) > LONGEST:
+                return found
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def named(self, forms: set[str]) -> tuple:
+        names = {x for form in forms for x in (form, *(f"{form[:n]}*" for n in STEMS if len(form) >= n))}
+        return tuple(sorted(names)) if self.features is None else tuple(sorted({self.features[x] for x in names if x in self.features}))
+
     def of(self, text: str) -> set:
         """Features of a text: those of its words, and of what runs of single characters spell."""
         words = text.lower().split()
@@ -155,10 +182,9 @@ class Restorer:
                 if len(word) == 1:
                     run.append(word)
                     continue
-                if len(run) > 2:
-                    for k in range(0, len(run), LONGEST // 2):
-                        spelled = " ".join(run[k : k + LONGEST // 2])
-                        out.update(self.tags(spelled) if _SUSPECT.fullmatch(spelled) else ())
+                if len(run) > 2 and any(c.isalpha() for c in run):
+                    spelled = " ".join(run)
+                    out.update(self.named({restore(spelled, self.model)} | self.parted(spelled)))
                 run = []
         return out
 

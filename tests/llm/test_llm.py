@@ -221,6 +221,22 @@ def test_restore():
     assert restorer.of("") == set()
 
 
+def test_restore_finds_word_borders_at_any_length():
+    counts = np.ones(28**3, np.int64)
+    for w in ["a", "y", "such", "idiot", "loser", "house", "trash"] * 50:
+        k = [27, *[ord(c) - 97 for c in w], 27]
+        for a, b, c in zip([27, *k], k, k[1:]):
+            counts[(a * 28 + b) * 28 + c] += 1
+    restorer = toxicity.Restorer(toxicity.language_model(counts))
+    assert "loser" in restorer.of("such a l o s e r")
+    assert {"loser", "idiot"} <= restorer.of("y l o s e r y i d i o t")
+    for n in range(12, 30):
+        assert "loser" in restorer.of(" ".join("house" * n)[: 2 * n] + "a l o s e r")
+    assert "loser" in restorer.of("l" + "o" * 60 + "ser") and not any(len(w) > toxicity.LONGEST for w in restorer.known)
+    assert {"idiot", "loser"} <= restorer.of("such.a.house.such.a.trash.such.a.1d10t.such.a.l0s3r")
+    assert "loser" in restorer.of(" ".join("house" * 2000) + " l o s e r")
+
+
 def test_toxicity(spark):
     texts = [words(40) + (" stupid idiot" if i % 3 == 0 else "") for i in range(120)] + [None, "", words(20) + " stup1d 1d10t"]
     docs = documents(spark, texts)

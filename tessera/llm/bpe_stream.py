@@ -233,7 +233,7 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "d
 def _over(docs: DataFrame, read: str, made: str, kind: str, run) -> DataFrame:
     """Apply ``run`` to one column and keep the others."""
     kept = [c for c in docs.columns if c.lower() != made.lower() and c != read]
-    rows = docs.select((F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0))).alias("row"), F.col(read).alias("text"))
+    rows = batched(docs).select((F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0))).alias("row"), F.col(read).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     done = rows.mapInArrow(run, f"row {types['row']}, text {types['text']}, ids {kind}")
     order = [c for c in docs.columns if c.lower() != made.lower()]
@@ -241,7 +241,12 @@ def _over(docs: DataFrame, read: str, made: str, kind: str, run) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode each text and keep sizes and digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    """Encode and decode each text and keep sizes and digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    A row per row: a null or empty text has no tokens, rows that repeat an id or
+    have none are judged alone, very long texts whole. Other columns are not
+    read. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _tools(tokenizer)
@@ -257,7 +262,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
                 decoded.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master whose session names no shared folder, as in tests.
 LOCAL_SCRATCH = "file:///tmp/tessera-scratch"
 
-#: Rows of one Arrow batch: texts may be long, and two workers share an executor.
-BATCH_ROWS = 2048
+#: Tables of at most so many bytes, as written, are broadcast to a join.
+SMALL = 32 << 20
+#: Bytes of one Arrow batch: texts may be long, and two workers share an executor.
+BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -22,26 +24,32 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh path in the folder that driver and executors share; ``keep`` leaves it to the caller."""
+def batched(df: DataFrame) -> DataFrame:
+    """The same rows; from now on their session sends Arrow batches of bounded bytes, whatever a row holds."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; deleted when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{(root or LOCAL_SCRATCH).rstrip('/')}/tessera/{uuid.uuid4().hex}-{name}"
-    if not keep:
-        _written.append((spark, path))
+    _written.append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table outlives any executor. It stays until ``release`` or the end of
+    The table outlives any executor. It stays until ``discard`` or the end of
     the driver, since results that read it are evaluated later.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name, keep)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
@@ -64,13 +72,24 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def release() -> None:
-    """Delete all scratch tables; call it when earlier results are written."""
+def _delete_all() -> None:
     while _written:
         _delete(*_written.pop())
 
 
-atexit.register(release)
+atexit.register(_delete_all)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size on disk of a table of ``materialize``."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(_paths[df])
+    return where.getFileSystem(conf).getContentSummary(where).getLength()
+
+
+def joined(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a table of ``materialize``: a small one is broadcast, so ``rows`` aren't shuffled; else both are."""
+    return rows.join(F.broadcast(few) if written_bytes(few) <= SMALL else few.hint("shuffle_merge"), key, how)
 
 
 def ascii_lower(c: Column | str) -> Column:

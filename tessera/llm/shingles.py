@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, and how often each occurs in the corpus.
+"""Word shingles as 64-bit hashes.
 
 A shingle is five consecutive words. Words are maximal runs of characters other
 than ASCII white space, with A-Z lower-cased; a text of fewer words is one
@@ -9,15 +9,10 @@ shingle. Two different shingles share a hash with a probability of about
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import power_of_two, shuffle_partitions, texts
+from .common import power_of_two
 
 WIDTH = 5
 LONG_WORD = 512
@@ -86,121 +81,3 @@ def shingle_set(text: str | None) -> np.ndarray:
 def fingerprint(hashes: np.ndarray) -> int:
     """64 bits that stand for a whole set."""
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-# --- how many texts hold each shingle -------------------------------------------------
-
-#: Cells of the table of classes, as a power of two: 2 bits each, 32 MB in all.
-CELL_BITS = 27
-#: A class ends where this many texts hold a shingle.
-CLASS_ENDS = (2, 16, 512)
-KEY_BITS = 32
-FLUSH = 1 << 20
-
-
-class ShingleClasses:
-    """For each shingle, a class from 0 (in one text) to 3 (in very many).
-
-    The table has a fixed size whatever the corpus. Shingles that share a cell
-    take the higher of their classes, so class 0 always means one text.
-    """
-
-    def __init__(self, cells: bytes, bits: int):
-        self.cells, self.bits = np.frombuffer(cells, np.uint8), bits
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        cell = hashes >> np.uint64(64 - self.bits)
-        return (self.cells[cell >> np.uint64(2)] >> ((cell & np.uint64(3)) * np.uint64(2)).astype(np.uint8)) & np.uint8(3)
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted 32-bit keys as differences, in as few bytes each as all need."""
-    steps = np.diff(keys.astype(np.int64), prepend=0).astype(np.uint32)
-    planes = steps.view(np.uint8).reshape(-1, 4)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    more = np.flatnonzero(counts > 1).astype(np.uint32)
-    return bytes([width]) + planes[:, :width].T.tobytes(), more.tobytes() + counts[more].astype(np.uint32).tobytes()
-
-
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = keys[0]
-    planes = np.frombuffer(keys, np.uint8, offset=1).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 4), np.uint8)
-    steps[:, :width] = planes.T
-    found = np.cumsum(steps.view(np.uint32).ravel(), dtype=np.uint64)
-    n = np.ones(len(found), np.int64)
-    more, many = np.frombuffer(counts, np.uint32).reshape(2, -1)
-    n[more] = many
-    return found, n
-
-
-def _count_task(bucket_bits: int, copies: bool):
-    """Counts of the shingles of a task's texts, packed by bucket of the hash."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - KEY_BITS - bucket_bits), return_counts=True)
-        bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        first = np.concatenate(([0], cuts))
-        packed = [_pack(k & np.uint64(2**KEY_BITS - 1), c) for k, c in zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([x[0] for x in packed], pa.binary()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "keys", "counts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        total, seen = 0, set()
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                found = shingle_set(text)
-                if not len(found):
-                    continue
-                if not copies:
-                    if (same := fingerprint(found)) in seen:
-                        continue
-                    seen.add(same)
-                held.append(found)
-                total += len(found)
-                if total >= FLUSH:
-                    yield flush(held)
-                    held, total = [], 0
-        if held:
-            yield flush(held)
-
-    return run
-
-
-def _class_task(bucket_bits: int, bits: int):
-    """The part of the table of classes that one bucket's counts fill."""
-
-    def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        parts = [_unpack(k, c) for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
-        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([c for _, c in parts]))
-        kind = np.searchsorted(CLASS_ENDS, counts, side="right").astype(np.uint8)
-        keys, kind = keys[kind > 0], kind[kind > 0]
-        cells = np.zeros(1 << (bits - bucket_bits), np.uint8)
-        np.maximum.at(cells, keys >> np.uint64(KEY_BITS + bucket_bits - bits), kind)
-        quads = cells.reshape(-1, 4)
-        packed = (quads << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes() if len(keys) else b""
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "cells": pa.array([zlib.compress(packed, 1)], pa.binary())})
-
-    return run
-
-
-def count_classes(docs: DataFrame, text: str = "text", copies: bool = False, bits: int = CELL_BITS):
-    """Class every shingle by how many texts of ``docs`` hold it; a broadcast variable.
-
-    Counts cover all texts. Without ``copies``, equal sets count once within a
-    task; copies in other tasks count again, which can only raise a class. What reaches the
-    driver is the table of fixed size, 2**bits / 4 bytes, in compressed parts.
-    """
-    spark = docs.sparkSession
-    buckets = min(4096, max(64, power_of_two(shuffle_partitions(spark))))
-    bucket_bits = buckets.bit_length() - 1
-    counts = docs.select(text).mapInArrow(_count_task(bucket_bits, copies), "bucket int, keys binary, counts binary")
-    parts = counts.groupBy("bucket").applyInArrow(_class_task(bucket_bits, bits), "bucket int, cells binary")
-    cells = bytearray(1 << (bits - 2))
-    part = len(cells) >> bucket_bits
-    for row in parts.where(F.length("cells") > 16).collect():
-        cells[row.bucket * part : row.bucket * part + part] = zlib.decompress(row.cells)
-    return spark.sparkContext.broadcast((bytes(cells), bits))

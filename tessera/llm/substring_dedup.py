@@ -7,25 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, power_of_two, shuffle_partitions, table, texts
-from .components import connected_components, group_components
-from .shingles import WIDTH, ShingleClasses, count_classes, mix, positions, words_of
+from .common import batched, discard, joined, materialize, power_of_two, shuffle_partitions, table, texts
+from .components import connected_components, group_components, joined_edges, packed_signatures
+from .shingles import WIDTH, mix, positions, words_of
 
 PERCENT = 80
-#: A paragraph has at least so many words.
+#: A passage goes if it has at least so many words, and so does a paragraph that is compared.
 MIN_WORDS = 25
-#: Of so many words in a row without the start of a sentence, the one with the smallest hash of what follows starts one.
-#: So a passage of MIN_WORDS + 2 * CUT + 4 words (49) or more has two such starts in it that make a paragraph, wherever it stands.
-CUT = 10
-RECALL = 0.999
-BAND_ROWS = 4
-#: Of each shingle's hash in a paragraph, the upper half is kept; it holds some 25 of them.
-KEPT = "<u4"
-#: Sets of which a task holds the signatures at a time.
-FLUSH = 1 << 16
+#: Of so many shingles in a row, the one with the smallest hash starts a piece.
+#: A passage of 51 words has 47 shingles, so its first and last such start are at least 23 apart: what lies between has over MIN_WORDS words.
+CUT = 12
+RECALL = 0.99
+BAND_ROWS = 3
+#: Words of texts that a task gathers before it sends them.
+FLUSH = 1 << 21
 
 
 def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> tuple[int, int]:
@@ -34,42 +33,27 @@ def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS)
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte offsets of the words of a UTF-8 text, and whether a sentence or line ends after each.
-
-    A sentence ends with a word that has a full stop (or ! ? …) after its last letter or digit, other marks may follow.
-    """
+    """Byte offsets of the words of a UTF-8 text, and whether a line ends after each."""
     codes = np.frombuffer(data, np.uint8)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return starts, ends, np.zeros(0, bool)
-    kind = _MARKS[codes]
-    for at in np.flatnonzero((codes == 0xE2) | (codes == 0xC2)).tolist():
-        if (mark := _LONG_MARKS.get(data[at : at + 3])) or (mark := _LONG_MARKS.get(data[at : at + 2])):
-            kind[at : at + len(mark)] = mark
-    where = np.arange(1, len(codes) + 1, dtype=np.int32)
-    letter = np.maximum.accumulate(np.where(kind == 0, where, 0))[ends - 1]
-    stop = np.maximum.accumulate(np.where(kind == 2, where, 0))[ends - 1]
-    lines = np.concatenate(([0], np.cumsum(codes == 10)))
-    after = np.concatenate((starts[1:], [len(codes)]))
-    return starts, ends, ((stop > letter) & (stop > starts)) | (lines[after] > lines[ends])
-
-
-#: By byte: 0 in letters and digits, 1 in other marks, 2 in those that end a sentence.
-_MARKS = np.array([2 if c in b".!?" else 0 if c >= 128 or chr(c).isalnum() else 1 for c in range(256)], np.uint8)
-_LONG_MARKS = {c.encode(): [2 if c == "…" else 1] * len(c.encode()) for c in "…“”„‟‘’‚‛«»‹›–—†‡•"}
-
-
-def sentence_starts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Whether a sentence starts before each word, and at the end of the text; also in each CUT words in a row."""
-    n = len(stops)
-    start = np.concatenate(([True], stops))
-    start[n] = True
-    rank = np.full(n + 1, np.iinfo(np.uint64).max)
-    rank[: len(hashes)] = hashes
-    rank[start] = 0
-    least, span = rank, 1
+    line = np.zeros(len(starts), bool)
+    if len(starts):
+        line[np.searchsorted(starts, np.flatnonzero(codes == 10)) - 1] = True
+        line[-1] = True
+    return starts, ends, line
+
+
+def pieces(hashes: np.ndarray) -> np.ndarray:
+    """Where pieces of a text start: at the smallest shingle hash of each CUT in a row; the last one ends the last piece.
+
+    That depends on nearby words only, so a passage is cut alike wherever it
+    stands. Of equal shingles in a row only the first counts.
+    """
+    if len(hashes) < CUT:
+        return np.zeros(0, np.int64)
+    least, span = hashes, 1
     while span < CUT:
         step = min(span, CUT - span)
         least, span = np.minimum(least[:-step], least[step:]), span + step
@@ -77,118 +61,27 @@ def sentence_starts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     while span < CUT:
         step = min(span, CUT - span)
         most, span = np.maximum(most[:-step], most[step:]), span + step
-    start[: len(hashes)] |= (rank == most)[: len(hashes)]
-    return start
+    start = hashes == most
+    start[1:] &= hashes[1:] != hashes[:-1]
+    return np.flatnonzero(start)
 
 
-def paragraphs(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Word ranges (from, to) of the paragraphs of a text, as rows.
+def paragraphs(line: np.ndarray) -> np.ndarray:
+    """Word ranges (from, to), as rows, of the lines that have MIN_WORDS words or more."""
+    ends = np.flatnonzero(line) + 1
+    where = np.stack((np.concatenate(([0], ends[:-1])), ends), axis=1) if len(ends) else np.zeros((0, 2), np.int64)
+    return where[where[:, 1] - where[:, 0] >= MIN_WORDS]
 
-    A paragraph is a run of whole sentences, of MIN_WORDS words or more: from
-    each start, up to the first end of a sentence or line at such a distance,
-    and up to the cuts before it; and from each end back in the same way. Cuts
-    that are CUT words further off don't count, if there is a nearer one. Ends
-    of sentences are alike wherever a passage stands, and cuts depend on the
-    words within CUT + 4, so a passage of twice that and MIN_WORDS words is cut
-    alike inside, also in the midst of a line.
-    """
-    n = len(stops)
-    if n < MIN_WORDS:
-        return np.zeros((0, 2), np.int64)
-    cuts = np.flatnonzero(sentence_starts(hashes, stops))
-    size = len(cuts)
-    real = np.concatenate(([True], stops))[cuts]
-    real[-1] = True
-    number = np.arange(size)
-    following = np.minimum.accumulate(np.where(real, number, size)[::-1])[::-1]
-    previous = np.maximum.accumulate(np.where(real, number, 0))
-    low = np.searchsorted(cuts, cuts + MIN_WORDS)
-    at = np.flatnonzero(low < size)
-    low = low[at]
-    high = np.maximum(low, np.minimum(following[low], np.searchsorted(cuts, cuts[at] + MIN_WORDS + CUT) - 1))
-    top = np.searchsorted(cuts, cuts - MIN_WORDS, side="right") - 1
-    on = np.flatnonzero(top >= 0)
-    top = top[on]
-    bottom = np.minimum(top, np.maximum(previous[top], np.searchsorted(cuts, cuts[on] - MIN_WORDS - CUT, side="right")))
-    forward = np.repeat(at, high - low + 1) * size + _ranges(low, high)
-    backward = _ranges(bottom, top) * size + np.repeat(on, top - bottom + 1)
-    keys = np.sort(np.concatenate((forward, backward)))
-    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return np.stack((cuts[keys // size], cuts[keys % size]), axis=1)
-
-
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The numbers from each first to each last, one range after the other."""
-    count = last - first + 1
-    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
-
-
-def _set_ids(sums: np.ndarray) -> np.ndarray:
-    return mix(sums ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
-
-def candidates(text: str, kinds: ShingleClasses, percent: int) -> list[tuple[int, int, int, np.ndarray]]:
-    """Paragraphs of which enough shingles occur in other texts: byte range, id of the shingle set, its values.
-
-    Two sets of that Jaccard similarity share at least that part of each, and
-    what they share is in two texts; so no pair is lost here. The id is a hash
-    of the sum of the shingles' hashes, so one running sum serves all
-    paragraphs. Values are the upper halves of the hashes, not sorted.
-    """
-    words = words_of(text)
-    if len(words) < MIN_WORDS:
-        return []
-    hashes = positions(words)
-    shared = kinds.of(hashes) > 0
-    if not shared.any():
-        return []
-    starts, ends, stops = word_spans(text.encode("utf-8", "surrogatepass"))
-    where = paragraphs(hashes, stops)
-    known = np.concatenate(([0], np.cumsum(shared)))
-    order = np.argsort(hashes, kind="stable")
-    repeated = np.zeros(len(hashes), bool)
-    repeated[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-    repeats = np.concatenate(([0], np.cumsum(repeated)))
-    a, b = where[:, 0], where[:, 1] - WIDTH + 1
-    have, more = known[b] - known[a], repeats[b] > repeats[a]
-    some = np.flatnonzero((have > 0) & ((100 * have >= percent * (b - a)) | more))
-    if not len(some):
-        return []
-    spread, halves = mix(hashes), (hashes >> np.uint64(32)).astype(KEPT)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread)))
-    ids = _set_ids(sums[b[some]] - sums[a[some]])
-    found = []
-    for i, j, again, name, first, last in zip(a[some].tolist(), b[some].tolist(), more[some].tolist(), ids.tolist(), starts[a[some]].tolist(), ends[where[some, 1] - 1].tolist(), strict=True):
-        if not again:
-            found.append((first, last, name, halves[i:j]))
-            continue
-        at = i + np.unique(hashes[i:j], return_index=True)[1]
-        if 100 * int(shared[at].sum()) >= percent * len(at):
-            found.append((first, last, int(_set_ids(spread[at].sum(keepdims=True))[0]), halves[at]))
-    return found
-
-
-def _paragraph_rows(classes, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ShingleClasses(*classes.value)
-        seen: set[int] = set()
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                for first, last, same, values in candidates(text, kinds, percent):
-                    rows.append((doc, first, last, same, None if same in seen else np.sort(values).tobytes()))
-                    seen.add(same)
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds_of = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], ["doc", "first", "last", "set_id", "hashes"])
 
-    return run
+def _names(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ids of runs of shingles: a hash of the sum of their hashes."""
+    return mix((sums[last] - sums[first]) ^ np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def band_signatures(values: np.ndarray, lengths: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """MinHash signatures, a row of bands for each set; the sets' values follow each other."""
     odd = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    spread, starts = mix(values.astype(np.uint64)), np.cumsum(lengths) - lengths
+    spread, starts = mix(values), np.cumsum(lengths) - lengths
     out = np.empty((len(lengths), bands), np.uint64)
     for band in range(bands):
         code = np.full(len(lengths), band, np.uint64)
@@ -198,88 +91,133 @@ def band_signatures(values: np.ndarray, lengths: np.ndarray, bands: int, rows: i
     return out
 
 
-def roots_by_signature(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets, rows of ``sigs``, that signatures connect: the smallest row each reaches, all signatures, and the root of each."""
-    n, bands = sigs.shape
-    keys, where = np.unique(sigs.ravel(), return_inverse=True)
-    owner = np.argsort(where, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(np.bincount(where))[:-1]))
-    owner, where, root = owner // bands, where.reshape(n, bands), np.arange(n)
-    while True:
-        least = np.minimum.reduceat(root[owner], starts)
-        now = least[where].min(axis=1)
-        now = now[now]
-        if np.array_equal(now, root):
-            return root, keys, least
-        root = now
-
-
-def _band_task(bands: int, rows: int, bits: int):
-    """Signatures of a task's sets, packed by bucket; sets that already meet here go as edges and one root.
-
-    So of a signature that very many sets share, a task sends one row at a time.
+#: Kinds of rows. The first three are places in texts, the others tell about ids.
+PARAGRAPH, PIECE, COPY, KEEPER, EDGE, PACKED_PIECES, PACKED_BANDS = range(7)
+_SENT = [("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+SENT = "bucket long, kind int, id long, doc long, first long, last long, edges boolean, a binary, b binary, c binary"
+_FOUND = [("kind", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("keeper", pa.int64())]
+FOUND = "kind int, id long, doc long, first long, last long, keeper long"
+
+
+def _flat(schema: list, kind: int, columns: dict[str, np.ndarray]) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table({name: pa.array(columns[name], t) if name in columns else pa.array([kind] * n, t) if name == "kind" else pa.nulls(n, t) for name, t in schema})
+
+
+class _Gathered:
+    """Paragraphs and pieces of some texts of a task."""
+
+    def __init__(self):
+        self.pieces: list[np.ndarray] = []
+        self.paragraphs: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.words = 0
+
+    def add(self, doc: int, text: str) -> None:
+        words = words_of(text)
+        self.words += len(words) + 1
+        if len(words) < MIN_WORDS:
+            return
+        hashes = positions(words)
+        starts, ends, line = word_spans(text.encode("utf-8", "surrogatepass"))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes))))
+        cuts = pieces(hashes)
+        if len(cuts) > 1:
+            a, b = cuts[:-1], cuts[1:]
+            self.pieces.append(np.stack((_names(sums, a, b), np.full(len(a), doc), starts[a], ends[b + WIDTH - 2])))
+        where = paragraphs(line)
+        if len(where):
+            a, b = where[:, 0], where[:, 1] - WIDTH + 1
+            self.paragraphs.append(np.stack((_names(sums, a, b), np.full(len(a), doc), starts[a], ends[where[:, 1] - 1])))
+            self.values += [hashes[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+    def sent(self, seen: set[int], bands: int, rows: int, bits: int, spread: int) -> Iterator[pa.RecordBatch]:
+        if self.pieces:
+            id_, doc, first, last = np.concatenate(self.pieces, axis=1)
+            order = np.lexsort((first, doc, id_))
+            id_, doc, first, last = id_[order], doc[order], first[order], last[order]
+            new = np.concatenate(([True], id_[1:] != id_[:-1]))
+            where = np.flatnonzero(new)
+            several = np.maximum.reduceat(doc, where) > doc[where]
+            copies = ~new & several[np.cumsum(new) - 1]
+            if copies.any():
+                yield from _flat(_SENT, COPY, {"bucket": (doc[copies] + spread) % (1 << bits), "id": id_[copies], "doc": doc[copies], "first": first[copies], "last": last[copies]}).to_batches()
+            bucket = id_[where] & ((1 << bits) - 1)
+            order = np.argsort(bucket, kind="stable")
+            chosen, bucket = where[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            packed = [(int(b[0]), id_[w].tobytes(), doc[w].tobytes(), np.stack((first[w], last[w] - first[w], s)).astype("<u4").tobytes()) for b, w, s in zip(np.split(bucket, cuts), np.split(chosen, cuts), np.split(several[order], cuts), strict=True)]
+            yield from _flat(_SENT, PACKED_PIECES, dict(zip(("bucket", "a", "b", "c"), map(list, zip(*packed, strict=True)), strict=True))).to_batches()
+        if self.paragraphs:
+            id_, doc, first, last = np.concatenate(self.paragraphs, axis=1)
+            yield from _flat(_SENT, PARAGRAPH, {"bucket": (doc + spread) % (1 << bits), "id": id_, "doc": doc, "first": first, "last": last}).to_batches()
+            names, where = np.unique(id_, return_index=True)
+            new = np.array([x not in seen for x in names.tolist()], bool)
+            seen.update(names.tolist())
+            names, values = names[new], [self.values[i] for i in where[new].tolist()]
+            if len(names):
+                sigs = band_signatures(np.concatenate(values), np.array([len(x) for x in values]), bands, rows)
+                packed = packed_signatures(names, sigs.ravel(), np.repeat(np.arange(len(names)), bands), bits)
+                yield from _flat(_SENT, PACKED_BANDS, dict(zip(("bucket", "edges", "a", "b"), map(list, zip(*packed, strict=True)), strict=True))).to_batches()
+
+
+def _send_task(bands: int, rows: int, bits: int):
+    """Paragraphs, their signatures, and pieces of a task's texts.
+
+    Of a piece that several documents of a task hold, one occurrence goes to the
+    bucket of its id; the others are spread, and meet their keeper later.
     """
-    names = ["bucket", "edges", "keys", "ids"]
-
-    def flush(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-        ids, first = np.unique(ids, return_index=True)
-        root, keys, least = roots_by_signature(sigs[first])
-        met = np.flatnonzero(root != np.arange(len(root)))
-        bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        out = [(b, False, k.tobytes(), i.tobytes()) for b, k, i in zip(bucket[np.concatenate(([0], cuts))].tolist(), np.split(keys, cuts), np.split(ids[least], cuts), strict=True)]
-        if len(met):
-            out.append((int(ids[0]) % (1 << bits), True, ids[met].tobytes(), ids[root[met]].tobytes()))
-        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+        held, spread = _Gathered(), TaskContext.get().partitionId()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = batch.column("hashes").to_pylist()
-            lengths = np.array([len(x) for x in sets]) // np.dtype(KEPT).itemsize
-            held.append((batch.column("id").to_numpy(), band_signatures(np.frombuffer(b"".join(sets), KEPT), lengths, bands, rows)))
-            if sum(len(x) for x, _ in held) >= FLUSH:
-                yield flush(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
-        if held:
-            yield flush(*map(np.concatenate, zip(*held, strict=True)))
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                held.add(doc, text)
+                if held.words >= FLUSH:
+                    yield from held.sent(seen, bands, rows, bits, spread)
+                    held = _Gathered()
+        yield from held.sent(seen, bands, rows, bits, spread)
 
     return run
 
 
-def _edge_task(group: pa.Table) -> pa.Table:
-    """Distinct edges among the sets of each signature of a bucket, all to one of them; edges found before pass through."""
-    ends: tuple[list, list] = ([], [])
-    parts = {kind: [(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64)) for e, k, i in zip(*(group.column(c).to_pylist() for c in ("edges", "keys", "ids")), strict=True) if e == kind] for kind in (False, True)}
-    if parts[False]:
-        keys, ids = map(np.concatenate, zip(*parts[False], strict=True))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        centre = np.repeat(ids[starts], np.diff(np.concatenate((starts, [len(keys)]))))
-        apart = ids != centre
-        a, b = ids[apart], centre[apart]
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        ends[0].append(a[new]), ends[1].append(b[new])
-    for a, b in parts[True]:
-        ends[0].append(a.view(np.int64)), ends[1].append(b)
-    return pa.table({"a": pa.array(np.concatenate(ends[0]), pa.int64()), "b": pa.array(np.concatenate(ends[1]), pa.int64())})
-
-
-def signature_edges(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: edges that connect all ``sets (id, hashes)`` which share a signature, also by way of others.
-
-    Signatures are shuffled once, packed, and without those that a task has joined.
-    """
-    bands, rows = tune_bands(percent / 100)
-    bits = power_of_two(max(64, 4 * shuffle_partitions(sets.sparkSession))).bit_length() - 1
-    packed = sets.mapInArrow(_band_task(bands, rows, bits), "bucket int, edges boolean, keys binary, ids binary")
-    return packed.groupBy("bucket").applyInArrow(_edge_task, "a long, b long")
+def _meet_task(group: pa.Table) -> pa.Table:
+    """Of a bucket: pieces that several documents hold, with the smallest of them, and edges of the signatures."""
+    kind = group.column("kind").to_numpy()
+    flat = group.filter(pa.array(kind < PACKED_PIECES))
+    out = [_flat(_FOUND, 0, {c: flat.column(c).combine_chunks() for c in ("kind", "id", "doc", "first", "last")})]
+    packed = group.filter(pa.array(kind == PACKED_PIECES))
+    if packed.num_rows:
+        id_, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in packed.column(c).to_pylist()]) for c in ("a", "b"))
+        first, size, several = np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in packed.column("c").to_pylist()], axis=1).astype(np.int64)
+        order = np.lexsort((doc, id_))
+        id_, doc, first, size, several = id_[order], doc[order], first[order], size[order], several[order]
+        where = np.flatnonzero(np.concatenate(([True], id_[1:] != id_[:-1])))
+        local = np.maximum.reduceat(several, where) > 0
+        shared = local | (np.maximum.reduceat(doc, where) > doc[where])
+        out.append(_flat(_FOUND, KEEPER, {"id": id_[where[local]], "keeper": doc[where[local]]}))
+        counts = np.diff(np.append(where, len(id_)))
+        some, keeper = np.repeat(shared, counts), np.repeat(doc[where], counts)
+        out.append(_flat(_FOUND, PIECE, {"id": id_[some], "doc": doc[some], "first": first[some], "last": (first + size)[some], "keeper": keeper[some]}))
+    bands = group.filter(pa.array(kind == PACKED_BANDS))
+    if bands.num_rows:
+        a, b = joined_edges(*(bands.column(c).to_pylist() for c in ("edges", "a", "b")))
+        out.append(_flat(_FOUND, EDGE, {"id": a, "keeper": b}))
+    return pa.concat_tables(out)
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of the paragraphs that are asked for."""
+    for batch in batches:
+        rows: list[tuple[int, int, bytes]] = []
+        for text, wanted in zip(texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            for x in wanted or ():
+                found = np.unique(positions(words_of(data[x["first"] : x["last"]].decode("utf-8", "surrogatepass"))))
+                rows.append((x["id"], len(found), found.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "n", "hashes"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -293,73 +231,118 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without these byte ranges and the blanks before each; the number of words that went."""
-    data, keep, at, gone = text.encode("utf-8", "surrogatepass"), [], 0, 0
-    for first, last in merged(spans):
+def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Merged ranges, less what other merged ranges cover."""
+    out = []
+    for first, last in spans:
+        for a, b in kept:
+            if a < last and b > first:
+                if a > first:
+                    out.append((first, a))
+                first = max(first, b)
+        if first < last:
+            out.append((first, last))
+    return out
+
+
+def cut(text: str, gone: list[tuple[int, int, int]], kept: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]], list[int], int]:
+    """The text without the byte ranges ``gone (first, last, keeper)``, save those to be kept and stretches of few words.
+
+    Returns the text, what ranges went with the blanks before each, their
+    keepers, and how many words went.
+    """
+    data, at, words, keep = text.encode("utf-8", "surrogatepass"), 0, 0, []
+    spans = [s for s in merged([g[:2] for g in gone]) if len(data[s[0] : s[1]].split()) >= MIN_WORDS]
+    keepers = sorted({k for first, last, k in gone if any(a <= first and last <= b for a, b in spans)})
+    spans = [(a, b) for a, b in without(spans, merged(kept)) if data[a:b].strip()]
+    for first, last in spans:
         keep.append(data[at:first].rstrip(b" \t"))
-        gone += len(data[first:last].split())
+        words += len(data[first:last].split())
         at = last
-    keep.append(data[at:] if at else data)
+    keep.append(data[at:])
     out = b"".join(keep)
-    return (out.lstrip() if spans and merged(spans)[0][0] == 0 else out).decode("utf-8", "surrogatepass"), gone
+    return (out.lstrip() if spans and spans[0][0] == 0 else out).decode("utf-8", "surrogatepass"), spans, keepers if spans else [], words
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     for batch in batches:
-        out, gone = [], []
+        rows = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if text is None or not spans:
-                out.append(text), gone.append(0)
+                rows.append((text, 0, [], []))
                 continue
-            kept, n = cut(text, [(x["first"], x["last"]) for x in spans])
-            out.append(kept), gone.append(n)
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).append_column("removed_words", pa.array(gone, pa.int64()))
+            gone = [(x["first"], x["last"], x["kept_in"]) for x in spans if x["kept_in"] is not None]
+            now, went, keepers, n = cut(text, gone, [(x["first"], x["last"]) for x in spans if x["kept_in"] is None])
+            rows.append((now, n, [{"first": a, "last": b} for a, b in went], keepers))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), span, pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays([columns[0], batch.column("others"), *columns[1:]], ["text", "others", "removed_words", "removed_spans", "kept_in"])
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``doc, first, last, kept_in``: byte ranges of paragraphs that an earlier document also has.
+    """``doc, spans``: byte ranges that another document keeps, and (``kept_in`` null) those that this one keeps for others.
 
-    Paragraphs with equal shingle sets are one node. The different ones go to
-    MinHash bands, those that collide are compared by exact Jaccard similarity,
-    and each component of links keeps the paragraphs of its smallest document.
+    Of paragraphs and of pieces; a document with nothing to remove has no row.
     """
-    pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    classes = count_classes(pairs, copies=True)
-    found = materialize(pairs.mapInArrow(_paragraph_rows(classes, percent), "doc long, first long, last long, set_id long, hashes binary"), "paragraphs")
-    sets = found.where("hashes is not null").select(F.col("set_id").alias("id"), "hashes")
-    groups = materialize(connected_components(signature_edges(sets, percent)), "groups")
-    roots = group_components(groups, sets, percent, KEPT)
-    holders = found.groupBy("set_id").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2"))
-    rooted = holders.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    keepers = rooted.groupBy("root").agg(F.min("d1").alias("kept_in"), F.max("d2").alias("d2")).where("kept_in < d2")
-    named = rooted.join(keepers.select("root", "kept_in"), "root").select("set_id", "kept_in")
-    return found.select("doc", "first", "last", "set_id").join(named, "set_id").where("doc > kept_in").select("doc", "first", "last", "kept_in")
+    spark = docs.sparkSession
+    rows = batched(docs).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    bands, per = tune_bands(percent / 100)
+    bits = power_of_two(max(64, 4 * shuffle_partitions(spark))).bit_length() - 1
+    found = materialize(rows.mapInArrow(_send_task(bands, per, bits), SENT).groupBy("bucket").applyInArrow(_meet_task, FOUND), "found")
+
+    # Paragraphs: components of what collides and is alike; all but the one in the smallest document go.
+    places = found.where(F.col("kind") == PARAGRAPH).select("id", "doc", "first", "last")
+    groups = connected_components(found.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("keeper").alias("b")))
+    shown = places.join(groups.select("id"), "id").groupBy("id").agg(F.min(F.struct("doc", "first", "last")).alias("at"))
+    shown = materialize(shown.groupBy("at.doc").agg(F.collect_list(F.struct("id", "at.first", "at.last")).alias("wanted")), "shown")
+    sets = joined(rows, shown, "doc", "inner").select("text", "wanted").mapInArrow(_set_rows, "id long, n long, hashes binary")
+    roots = group_components(groups, sets, percent)
+    ends = places.groupBy("id").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keepers = ends.groupBy("root").agg(F.min("d1").alias("kept_in"), F.max("d2").alias("d2")).where("kept_in < d2")
+    named = ends.join(keepers.select("root", "kept_in"), "root").select("id", "kept_in")
+    gone = places.join(named, "id").where("doc > kept_in").select("doc", "first", "last", "kept_in")
+
+    # Pieces: all go but those in the smallest document that holds one.
+    local = found.where(F.col("kind") == COPY).join(found.where(F.col("kind") == KEEPER).select("id", F.col("keeper").alias("own")), "id").select("doc", "first", "last", F.col("own").alias("keeper"))
+    held = found.where(F.col("kind") == PIECE).select("doc", "first", "last", "keeper").unionByName(local)
+    held = held.select("doc", "first", "last", F.when(F.col("doc") > F.col("keeper"), F.col("keeper")).alias("kept_in"))
+    out = gone.unionByName(held).groupBy("doc").agg(F.collect_list(F.struct("first", "last", "kept_in")).alias("spans")).where(F.exists("spans", lambda x: x["kept_in"].isNotNull()))
+    out = materialize(out, "spans")
+    for used in (found, groups, shown, roots):
+        discard(used)
+    return out
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Remove passages that an earlier document also has; one row per row of ``docs``.
 
-    All columns stay, ``text`` without its repeated paragraphs. New columns (an
+    All columns stay, ``text`` without its repeated passages. New columns (an
     input column of such a name gives way): ``removed_words``; ``removed_spans``,
     byte ranges in the old text, merged; ``kept_in``, ids of the documents that
     keep what went.
 
-    A paragraph is a run of whole sentences of 25 words or more. It goes when a
-    document with a smaller id has one with a Jaccard similarity of at least
-    ``percent`` / 100 over five-word shingles, by a chain of links. Repeats
-    within a document, shorter lines, null and empty texts stay as they are, and
-    so do rows with a null id. Rows that repeat an id are cut alike. An empty
-    table gives an empty result.
+    Two things are compared. Paragraphs are the lines of 25 words or more: MinHash
+    bands bring them together, those that collide are compared by exact Jaccard
+    similarity of five-word shingles, and of each component of links at
+    ``percent`` / 100 or more the paragraphs of its smallest document stay.
+    Pieces are what lies between content-defined cuts, wherever lines end; of
+    equal ones the smallest document's stays, and a paragraph that goes leaves
+    those pieces that other documents lost in its favour. Stretches of fewer
+    than 25 words in a row stay. A passage of 51 words or more that two
+    documents share has such a stretch, so it always loses its inner part; up to
+    12 words may stay at either end of it.
+
+    Repeats within a document, null and empty texts stay as they are, and so do
+    rows with a null id. Rows that repeat an id are cut alike. Very long texts
+    are cut whole. Ties go to the smaller id. An empty table gives an empty result.
     """
     docs = docs.select([c for c in docs.columns if c.lower() not in ("removed_words", "removed_spans", "kept_in")])
-    spans = repeated_spans(docs, doc_id, text, percent).groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
-    spans = materialize(spans, "spans")
+    spans = repeated_spans(docs, doc_id, text, percent)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct([F.col(c) for c in docs.columns if c != text]).alias("others"))
-    joined = plain.join(spans, "doc", "left").select("text", "others", "spans", "kept_in")
-    done = joined.mapInArrow(_cut_rows, "text string, others " + joined.schema["others"].dataType.simpleString() + ", spans array<struct<first:bigint,last:bigint>>, kept_in array<bigint>, removed_words long")
+    rows = joined(plain, spans, "doc", "left").select("text", "others", "spans")
+    done = rows.mapInArrow(_cut_rows, "text string, others " + rows.schema["others"].dataType.simpleString() + ", removed_words long, removed_spans array<struct<first:bigint,last:bigint>>, kept_in array<bigint>")
     columns = [F.col("text").alias(c) if c == text else F.col(f"others.{c}").alias(c) for c in docs.columns]
-    return done.select(*columns, "removed_words", F.coalesce(F.array_sort("spans"), F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("removed_spans"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
+    return done.select(*columns, "removed_words", "removed_spans", "kept_in")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

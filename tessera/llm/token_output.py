@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions, table, texts
+from .common import batched, scratch_path, shuffle_partitions, table, texts
 
 MAGIC = b"TSRP0001"
 HEAD = struct.Struct("<8sBxxxIIIQQ")  # magic, bits, part, documents, blocks, ids, ids of the part before this chunk
@@ -153,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     rows that repeat an id stay in the order of their texts.
     """
     spark, bits = docs.sparkSession, id_bits(vocabulary)
-    ranged = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ranged = batched(docs).select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranged = ranged.repartitionByRange(shuffle_partitions(spark), "doc").sortWithinPartitions("doc", F.crc32(F.col("text").cast("binary")), F.length("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import batched, materialize, table, texts
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     toxic documents. Without labels of both kinds every score is the share of
     toxic ones (0 without labels).
     """
-    model = language_model(count_trigrams(docs, text))
+    model = language_model(count_trigrams(batched(docs), text))
     known = labels.where(~held_out(doc_id) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc")).agg(F.max(F.col(label).cast("double")).alias("y"))
     total = known.count()
     share = min(1.0, max_train / max(total, 1) * 0.98)
@@ -291,7 +291,7 @@ def score_toxicity(docs: DataFrame, fitted: ToxicityModel, text: str = "text") -
     """
     sent = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.features, fitted.weights, fitted.bias))
     kept = [c for c in docs.columns if c.lower() != "score" and c != text]
-    rows = docs.select(F.struct(*([F.col(c) for c in kept] or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
+    rows = batched(docs).select(F.struct(*([F.col(c) for c in kept] or [F.lit(0)])).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ToxicityModel(*sent.value)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain letters.
-MARKED = "ăâîșțşţáàäãåéèêëíìïóòöõúùüçñýÿĂÂÎȘȚŞŢÁÀÄÃÅÉÈÊËÍÌÏÓÒÖÕÚÙÜÇÑÝ"
-PLAIN = "aaiststaaaaaeeeeiiioooouuucnyyAAISTSTAAAAAEEEEIIIOOOOUUUCNY"
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are a plain ASCII letter with marks, by Unicode decomposition, and those plain letters."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k)).encode("ascii", "ignore").decode()) for k in range(0xC0, 0x2000)]
+    pairs = [(c, p) for c, p in pairs if len(p) == 1]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
 
 
 def comma_below(c: Column) -> Column:
@@ -36,12 +43,90 @@ def name_key(c: Column) -> Column:
 
 
 def row_id(*parts: Column) -> Column:
-    """The first 16 hex digits of SHA-256 over the parts with bars between."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+    """The first 16 hex digits of SHA-256 over the parts with bars between; a null part is empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
+
+
+def file_key(url: Column) -> Column:
+    """The first 12 hex digits of SHA-1: the name under which a fetched file is kept."""
+    return F.substring(F.sha1(url), 1, 12)
+
+
+def escape_markup(c: Column) -> Column:
+    """Text that is safe between tags and in attributes of HTML or XML."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def initials(c: Column, most: int = 2) -> Column:
+    """First letters of the first words, in upper case."""
+    return F.upper(F.array_join(F.transform(F.slice(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), 1, most), lambda w: F.substring(w, 1, 1)), ""))
+
+
+def basic_markup(c: Column, limit: int = 2000) -> Column:
+    """Markup with b, i and br tags only, in lower case; no empty ones, no breaks at either end, at most two in a row."""
+    for tag in ("b", "i", "br"):
+        c = F.regexp_replace(c, rf"(?i)<(/?){tag}\b\s*([^>]*?)\s*>", f"<$1{tag}$2>")
+    for gone in (r"<(?!/?(?:b|i|br)\b)[^>]+>", r"<b>\s*</b>", r"<i>\s*</i>", r"^(?:<br\s*/?>|\s)+", r"(?:<br\s*/?>|\s)+$"):
+        c = F.regexp_replace(c, gone, "")
+    return F.substring(F.regexp_replace(c, "(?:<br>){3,}", "<br><br>"), 1, limit)
+
+
+def committee_name(c: Column) -> Column:
+    """A committee's name without notes in brackets that hold a month or year, and without a heading that trails it."""
+    c = F.regexp_replace(c, r"(?i)\s+Alte\s+comisii\s*$", "")
+    c = F.regexp_replace(c, r"(?i)\s*\([^)]*(?:ian|feb|mar|apr|mai|iun|iul|aug|sep|oct|noi|dec|\b20\d{2}\b)[^)]*\)\s*", " ")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def label_key(c: Column) -> Column:
+    """A label folded to lower-case letters, digits and single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(c)), "[^a-z0-9\\s]", ""), r"\s+", " "))
+
+
+def tolerant_lookup(fields: Column, *candidates: str) -> Column:
+    """The first value that is neither null nor empty among candidate labels of a map, whatever their case, marks and punctuation.
+
+    Of labels that fold alike the last one counts.
+    """
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(label_key(e["key"]).alias("k"), e["value"].alias("v")))
+    found = []
+    for name in candidates:
+        same = F.filter(entries, lambda e, key=label_key(F.lit(name)): e["k"] == key)
+        found.append(F.nullif(F.try_element_at(same, F.lit(-1))["v"], F.lit("")))
+    return F.coalesce(*found)
+
+
+#: Words of the agenda texts that say nothing about their topic.
+STOPWORDS = (
+    "de la și în din cu pe se nu ca o un sau a al ai ale lui lor unui unei unor către pentru privind asupra "
+    "acest această acestei acestui aceste acestor sunt este fi fost fiind era erau vor va au am ar mai mult doar însă dar ori "
+    "partea precum respectiv data prezentării biroul permanent termenul constituțional dezbatere vot potrivit regulamentului constituției "
+    "documente casetele deputaților inițiate inițiată inițiat distribuit distribuirea art alin "
+    "proiectul lege legea legii hotărâre hotărârea propunerea legislativă ordonanței ordonanța urgență guvernului "
+    "aprobarea modificarea completarea nr pl-x ph cd raport raportul comun comisia comisiei adoptat senat organică ordinară "
+    "procedură decizională cameră româniei românia"
+).split()
+
+
+def tokens(c: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS), longer_than: int = 3) -> Column:
+    """Lower-case words, hyphenated ones whole; a border also where a capital follows a small letter.
+
+    Stopwords and words of ``longer_than`` letters or fewer are left out.
+    """
+    parted = F.regexp_replace(comma_below(c), "(?<=[a-zăâîșț0-9])(?=[A-ZĂÂÎȘȚ])", " ")
+    words = F.regexp_extract_all(F.lower(parted), F.lit("[a-zăâîșț0-9]+(?:-[a-zăâîșț0-9]+)*"), F.lit(0))
+    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
+    return F.filter(words, lambda w: (F.length(w) > longer_than) & ~F.array_contains(stop, w))
 
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` words, with spaces between; none of fewer words."""
+    if n == 1:
+        return words
+    if n == 2:
+        return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
@@ -68,23 +153,24 @@ def all_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def amount(c: Column) -> Column:
-    """A number with points or commas as thousands or decimal marks.
+    """A number with points or commas as thousands or decimal marks; null if it isn't one.
 
-    With both, the later one is the decimal mark. A lone comma before one or two
-    last digits is one too; points before three digits part thousands.
+    With both, the later one is the decimal mark. With commas only, they are
+    decimal marks if one or two digits, or none, follow the last one. With points
+    only, they part thousands if three characters follow the last one.
     """
-    t = F.regexp_replace(c, r"\s", "")
-    point, comma = F.length(t) - F.instr(F.reverse(t), "."), F.length(t) - F.instr(F.reverse(t), ",")
-    none = F.lit("")
-    both = F.when(comma > point, F.replace(F.replace(t, F.lit("."), none), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), none))
+    t, none, dot = F.replace(c, F.lit(" "), F.lit("")), F.lit(""), F.lit(".")
+    point, comma = F.instr(F.reverse(t), "."), F.instr(F.reverse(t), ",")
+    pointed = F.replace(t, F.lit(","), dot)
     plain = (
-        F.when(t.contains(".") & t.contains(","), both)
-        .when(t.rlike(r",\d{1,2}$"), F.replace(t, F.lit(","), F.lit(".")))
-        .when(t.contains(","), F.replace(t, F.lit(","), none))
-        .when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(t, F.lit("."), none))
+        F.when((point > 0) & (comma > 0) & (comma < point), F.replace(F.replace(t, dot, none), F.lit(","), dot))
+        .when((point > 0) & (comma > 0), F.replace(t, F.lit(","), none))
+        .when((comma > 0) & (comma <= 3), pointed)
+        .when(comma > 0, F.replace(t, F.lit(","), none))
+        .when(point == 4, F.replace(t, dot, none))
         .otherwise(t)
     )
-    return plain.try_cast("double")
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
 
 
 def fraction(c: Column) -> Column:
@@ -93,12 +179,6 @@ def fraction(c: Column) -> Column:
     return F.coalesce(F.when(b > 0, a / b), F.lit(1.0))
 
 
-def day_first_date(c: Column) -> Column:
-    """A date from a leading day, month and year; null if there is no such day."""
-    parts = [F.regexp_extract(c, r"^\s*(\d{1,2})[./-](\d{1,2})[./-](\d{4})", k) for k in (1, 2, 3)]
-    return F.try_to_date(F.concat_ws(".", *parts), "d.M.yyyy")
-
-
 def age_cohort(birth: Column, year: int) -> Column:
     """Five-year bracket of the age at the end of a year, such as 50–54."""
     low = F.floor((F.lit(year) - F.year(birth)) / 5) * 5

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import batched, shuffle_partitions, table
 
 #: The template.
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 TRAINED = "assistant"
+#: Bytes of a segment from which it is copied on its own.
+LONG = 4096
 
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -45,6 +47,7 @@ def assemble(roles: list[str], contents: list[str]) -> tuple[np.ndarray, np.ndar
     Lengths of the four segments of a turn (mark and role, line end, text, end
     mark) give cumulative offsets. Each segment's bytes are spread to their
     places by scatter indices; marks come from one small buffer over and over.
+    Long segments are copied one by one, so indices stay few whatever the texts.
     """
     n = len(roles)
     sides = [pa.array(x, pa.large_string()) for x in (roles, contents)]
@@ -57,7 +60,9 @@ def assemble(roles: list[str], contents: list[str]) -> tuple[np.ndarray, np.ndar
     places = (ends - lengths.ravel()).reshape(n, 5)
     out = np.empty(int(ends[-1]) if n else 0, np.uint8)
     for k, (source, first) in enumerate(((marks, np.full(n, at[0])), (data[0], starts[0][:-1]), (marks, np.full(n, at[1])), (data[1], starts[1][:-1]), (marks, np.full(n, at[2])))):
-        size = lengths[:, k]
+        for i in np.flatnonzero(lengths[:, k] > LONG).tolist():
+            out[places[i, k] : places[i, k] + lengths[i, k]] = source[first[i] : first[i] + lengths[i, k]]
+        size = np.where(lengths[:, k] > LONG, 0, lengths[:, k])
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(places[:, k], size) + inner] = source[np.repeat(first, size) + inner]
     turns = np.concatenate((places[:, 0], ends[-1:])) if n else np.zeros(1, np.int64)
@@ -76,7 +81,7 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     role and text. A long conversation streams through its task, a batch at a
     time. An empty table gives an empty result; other columns are not read.
     """
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = batched(turns).select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,10 @@ def parse_chat(data: bytes) -> list[tuple[str, str]]:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Read formatted turns back, in the order that ``format_chat`` left them, and digest each conversation."""
+    """Read formatted turns back, in the order that ``format_chat`` left them, and digest each conversation.
+
+    One row a conversation, null ids as one; an empty table gives an empty result. Only a batch of turns is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "file:///tmp/tessera-scratch"
 
 #: Tables of at most so many bytes, as written, are broadcast to a join.
-SMALL = 32 << 20
+SMALL = 1 << 20
 #: Bytes of one Arrow batch: texts may be long, and two workers share an executor.
 BATCH_BYTES = 8 << 20
 
@@ -87,11 +87,6 @@ def written_bytes(df: DataFrame) -> int:
     return where.getFileSystem(conf).getContentSummary(where).getLength()
 
 
-def joined(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
-    """Join with a table of ``materialize``: a small one is broadcast, so ``rows`` aren't shuffled; else both are."""
-    return rows.join(F.broadcast(few) if written_bytes(few) <= SMALL else few.hint("shuffle_merge"), key, how)
-
-
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shuffle_partitions, table
+from .common import SMALL, batched, discard, materialize, shuffle_partitions, table, written_bytes
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -156,12 +156,16 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], of: Calla
 
 
 def _count_links(threshold: float, kind: str):
-    """Links of each member within a block, or between two blocks, of a component; the rows of a pair of blocks are together."""
+    """Links of each member within a block, or between two blocks, of a component; the rows of a pair of blocks are together.
 
-    def count(rows: list[tuple[int, int, bytes]], one: int, two: int) -> tuple[list[int], list[int]]:
+    A member stands for as many equal vectors as its weight says.
+    """
+
+    def count(rows: list[tuple[int, int, bytes, int]], one: int, two: int) -> tuple[list[int], list[int]]:
         ids = np.array([r[0] for r in rows], np.int64)
         block = np.array([r[1] for r in rows])
         size = np.array([len(r[2]) for r in rows])
+        weight = np.array([r[3] for r in rows])
         links = np.zeros(len(rows), np.int64)
         for s in np.unique(size):
             a, b = np.flatnonzero((block == one) & (size == s)), np.flatnonzero((block == two) & (size == s))
@@ -169,22 +173,22 @@ def _count_links(threshold: float, kind: str):
                 continue
             x, y = (unit([rows[i][2] for i in w], kind) for w in (a, b))
             near = ((x @ y.T) >= threshold) & (ids[a][:, None] != ids[b][None, :])
-            links[a] += near.sum(axis=1)
+            links[a] += near @ weight[b]
             if one != two:
-                links[b] += near.sum(axis=0)
+                links[b] += weight[a] @ near
         return ids.tolist(), links.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         out: tuple[list[int], list[int]] = ([], [])
         for batch in batches:
-            for root, one, two, block, name, vector in zip(*[batch.column(c).to_pylist() for c in ("root", "one", "two", "block", "id", "vector")], strict=True):
+            for root, one, two, block, name, vector, weight in zip(*[batch.column(c).to_pylist() for c in ("root", "one", "two", "block", "id", "vector", "weight")], strict=True):
                 if now != (root, one, two):
                     if rows:
                         for x, y in zip(out, count(rows, now[1], now[2]), strict=True):
                             x.extend(y)
                     now, rows = (root, one, two), []
-                rows.append((name, block, vector))
+                rows.append((name, block, vector, weight))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "links"])
             out = ([], [])
         if rows:
@@ -197,7 +201,7 @@ def _in_pairs(rows: DataFrame, *group: str) -> DataFrame:
     """Send each row of a group of ``blocks`` blocks to each pair of blocks that its own is in."""
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(*group, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "vector")
+    met = met.select(*group, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "vector", "weight")
     return met.repartition(shuffle_partitions(rows.sparkSession), *group, "one", "two").sortWithinPartitions(*group, "one", "two")
 
 
@@ -220,9 +224,9 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     Cosines are in double precision. Vectors that are null, empty or zero, or
     hold a null or non-finite component, link with nothing, nor do vectors of
-    different lengths. Rows that repeat an id are one vector (the smallest by
-    bytes counts links). A null id links with nothing, has a null component and
-    isn't kept. An empty table gives an empty result.
+    different lengths. Rows that repeat an id are one vector, the smallest by
+    bytes. A null id links with nothing, has a null component and isn't kept.
+    An empty table gives an empty result.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vector"))
     kind = "<f4" if rows.schema["vector"].dataType == T.ArrayType(T.FloatType(), rows.schema["vector"].dataType.containsNull) else "<f8"
@@ -231,26 +235,32 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(usable(batch.column(1), kind), pa.binary())], ["id", "vector"])
 
-    good = materialize(rows.where("id is not null").mapInArrow(clean, "id long, vector binary").where("vector is not null"), "vectors")
-    first = materialize(good.groupBy("vector").agg(F.min("id").alias("id"), F.max("id").alias("z")).select("id", "vector", "z"), "distinct")
-    copies = good.join(first.where("id < z").select("vector", F.col("id").alias("b")), "vector").where("id <> b").select(F.col("id").alias("a"), "b")
+    good = batched(rows).where("id is not null").mapInArrow(clean, "id long, vector binary").where("vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+    good = materialize(good, "vectors")
+    first = materialize(good.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).select("id", "vector", "weight"), "distinct")
+    alike = good.join(first.select("vector", F.col("id").alias("node"), "weight"), "vector").select("id", "node", "weight")
 
     bits, passes = plan(first.count(), threshold, recall)
     single = first.select("id", "vector")
     counts = single.mapInArrow(_key_rows(bits, passes, kind, False), "pass int, size int, key long").groupBy("pass", "size", "key").count()
     crowded = counts.where(F.col("count") > BLOCK).select("pass", "size", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    crowded = F.broadcast(materialize(crowded, "crowded"))
+    crowded = materialize(crowded, "crowded")
     keyed = single.mapInArrow(_key_rows(bits, passes, kind, True), "pass int, size int, key long, id long, vector binary")
-    keyed = keyed.join(crowded, ["pass", "size", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    edges = _in_pairs(keyed, "pass", "size", "key").mapInArrow(_bucket_links(threshold, kind), "a long, b long").union(copies)
-    parts = materialize(connected_components(edges), "parts")
+    keyed = keyed.join(F.broadcast(crowded) if written_bytes(crowded) <= SMALL else crowded, ["pass", "size", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    edges = _in_pairs(keyed.withColumn("weight", F.lit(1).cast("long")), "pass", "size", "key").mapInArrow(_bucket_links(threshold, kind), "a long, b long")
+    parts = connected_components(edges)
 
-    members = parts.join(good, "id").groupBy("root", "id").agg(F.min("vector").alias("vector"))
+    members = parts.join(first, "id").select("root", "id", "vector", "weight")
     blocks = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK).cast("int").alias("blocks"))
     met = _in_pairs(members.join(blocks, "root"), "root")
     counts = met.mapInArrow(_count_links(threshold, kind), "id long, links long").groupBy("id").agg(F.sum("links").alias("n_links"))
 
-    found = rows.select("id").join(parts, "id", "left").join(counts, "id", "left")
+    nodes = parts.join(counts, "id", "left").select(F.col("id").alias("node"), "root", "n_links")
+    found = alike.join(nodes, "node", "left").select("id", F.coalesce("root", "node").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = materialize(found, "links")
+    for used in (good, first, crowded, parts):
+        discard(used)
+    found = rows.select("id").join(found, "id", "left")
     component = F.coalesce("root", "id")
     return found.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

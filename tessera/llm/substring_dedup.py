@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, discard, joined, materialize, power_of_two, shuffle_partitions, table, texts
+from .common import batched, discard, materialize, power_of_two, shuffle_partitions, table, texts
 from .components import connected_components, group_components, joined_edges, packed_signatures
 from .shingles import WIDTH, mix, positions, words_of
 
@@ -295,7 +295,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = connected_components(found.where(F.col("kind") == EDGE).select(F.col("id").alias("a"), F.col("keeper").alias("b")))
     shown = places.join(groups.select("id"), "id").groupBy("id").agg(F.min(F.struct("doc", "first", "last")).alias("at"))
     shown = materialize(shown.groupBy("at.doc").agg(F.collect_list(F.struct("id", "at.first", "at.last")).alias("wanted")), "shown")
-    sets = joined(rows, shown, "doc", "inner").select("text", "wanted").mapInArrow(_set_rows, "id long, n long, hashes binary")
+    sets = rows.join(shown, "doc").select("text", "wanted").mapInArrow(_set_rows, "id long, n long, hashes binary")
     roots = group_components(groups, sets, percent)
     ends = places.groupBy("id").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = ends.groupBy("root").agg(F.min("d1").alias("kept_in"), F.max("d2").alias("d2")).where("kept_in < d2")
@@ -339,7 +339,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select([c for c in docs.columns if c.lower() not in ("removed_words", "removed_spans", "kept_in")])
     spans = repeated_spans(docs, doc_id, text, percent)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.struct([F.col(c) for c in docs.columns if c != text]).alias("others"))
-    rows = joined(plain, spans, "doc", "left").select("text", "others", "spans")
+    rows = plain.join(spans, "doc", "left").select("text", "others", "spans")
     done = rows.mapInArrow(_cut_rows, "text string, others " + rows.schema["others"].dataType.simpleString() + ", removed_words long, removed_spans array<struct<first:bigint,last:bigint>>, kept_in array<bigint>")
     columns = [F.col("text").alias(c) if c == text else F.col(f"others.{c}").alias(c) for c in docs.columns]
     return done.select(*columns, "removed_words", "removed_spans", "kept_in")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, table
 
 # Fixed values of the format: tags, field types and their sizes, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -20,10 +20,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 31
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
-#: Directories of one file; a longer chain, or one that comes back, is an error.
-MAX_PAGES = 1 << 16
-#: Bytes of one decoded page; a header that asks for more is an error, not an allocation.
-MAX_PAGE_BYTES = 1 << 30
+#: Samples that a byte of a file can stand for at most, by compression; a header that asks for more is an error, not an allocation.
+MOST = {PLAIN: 8, PACKBITS: 64 * 8, LZW: 4096 * 8, DEFLATE: 1100 * 8, OLD_DEFLATE: 1100 * 8}
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -194,15 +192,21 @@ def decode_page(data: bytes, tags: dict[int, tuple], order: str) -> tuple[int, i
     """Width, height, samples, bits and the samples of one page, row by row, in the file's byte order."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples, bits, how = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1)
+    if how not in MOST:
+        raise ValueError(f"compression {how} is not supported")
+    if not all(isinstance(x, int) and 0 < x < 1 << 31 for x in (width, height, samples)):
+        raise ValueError(f"a page of {width} x {height} x {samples} samples")
     planes = samples if one(PLANAR, 1) == 2 and samples > 1 else 1
     deep = samples // planes
-    if width * height * samples * max(bits, 8) // 8 > MAX_PAGE_BYTES:
-        raise ValueError(f"a page of {width} x {height} is larger than {MAX_PAGE_BYTES} bytes")
     if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (bits,)))) > 1:
         raise ValueError(f"{tags.get(BITS)} bits a sample are not supported")
     kind = np.dtype(np.uint8) if bits < 8 else np.dtype(f"{order}{'f' if one(SAMPLE_FORMAT, 1) == 3 and bits > 16 else 'u'}{bits // 8}")
     tiled = TILE_OFFSETS in tags
     wide, tall = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if not all(isinstance(x, int) and 0 < x < 1 << 31 for x in (wide, tall)):
+        raise ValueError(f"blocks of {wide} x {tall}")
+    if max(width * height * samples, wide * tall * deep) * max(bits, 8) // 8 > MOST[how] * len(data):
+        raise ValueError(f"a page of {width} x {height} needs more than the file can hold")
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags.get(STRIP_BYTES) or (len(data),))
     across, down = -(-width // wide), -(-height // tall)
     image = np.zeros((planes, height, width, deep), kind)
@@ -228,6 +232,10 @@ def decode_page(data: bytes, tags: dict[int, tuple], order: str) -> tuple[int, i
     return width, height, samples, bits, np.ascontiguousarray(image.transpose(1, 2, 0, 3)).tobytes()
 
 
+#: What decoding bytes of any kind may raise.
+BAD = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
 def pages_of(data: bytes) -> Iterator[tuple]:
     """(page, width, height, samples, bits, sample bytes, error) for each directory, in order.
 
@@ -243,18 +251,18 @@ def pages_of(data: bytes) -> Iterator[tuple]:
         big = version == 43
         at, seen = struct.unpack_from(order + "Q", data, 8)[0] if big else struct.unpack_from(order + "I", data, 4)[0], set()
         while at:
-            if at in seen or page >= MAX_PAGES:
-                raise ValueError("the directories form a ring or are too many")
+            if at in seen:
+                raise ValueError("the directories form a ring")
             seen.add(at)
             tags, at = _fields(data, at, order, big)
             try:
                 yield page, *decode_page(data, tags, order), None
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except BAD as e:
                 yield page, None, None, None, None, None, str(e) or type(e).__name__
             page += 1
         if not page:
             raise ValueError("no directory")
-    except (ValueError, KeyError, struct.error) as e:
+    except BAD as e:
         yield page, None, None, None, None, None, f"not a readable TIFF file: {e}"
 
 
@@ -302,13 +310,14 @@ def tiff_pages(images: DataFrame, image: str = "image") -> DataFrame:
     such names give way); ``pixels`` holds the decoded samples row by row. Reads
     classic and 64-bit files of either byte order; strips and tiles; plain,
     PackBits, LZW and deflate; predictors 1 to 3; 1 to 64 bits. What can't be
-    read is a row with ``error``; a null file gives no row. Files are decoded
-    each alone, a page at a time, without a shuffle.
+    read is a row with ``error``, whatever the bytes; a null file gives no row.
+    Repeated rows are read each on their own, an empty table gives an empty
+    result. Files are decoded each alone, a page at a time, without a shuffle.
     """
     made = "page int, width int, height int, samples int, bits int, pixels binary, error string"
     names = [x.split()[0] for x in made.split(", ")]
     kept = [c for c in images.columns if c.lower() not in names]
-    rows = images.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(image).alias("image"))
+    rows = batched(images).select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(image).alias("image"))
     kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +348,11 @@ STRIP_ROWS = 256
 def text_images(docs: DataFrame, text: str = "text", image: str = "image") -> DataFrame:
     """Each text's UTF-8 bytes, zeros appended to a positive multiple of 64, as a grey page 64 samples wide.
 
-    Short pages are PackBits strips, others deflate strips with the horizontal
-    predictor, so equal texts give equal files.
+    A checksum of the bytes chooses PackBits, LZW, or deflate with the
+    horizontal predictor, in strips, so equal texts give equal files.
     """
     kept = [c for c in docs.columns if c not in (text, image)]
-    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = batched(docs).select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,8 +361,8 @@ def text_images(docs: DataFrame, text: str = "text", image: str = "image") -> Da
                 data = x.encode("utf-8", "surrogatepass")
                 sizes.append(len(data))
                 padded = np.frombuffer(data.ljust(max(1, -(-len(data) // COLUMNS)) * COLUMNS, b"\0"), np.uint8).reshape(-1, COLUMNS)
-                small = len(padded) <= STRIP_ROWS // 16
-                files.append(write_tiff([padded], PACKBITS if small else DEFLATE, 1 if small else 2, rows_per_strip=STRIP_ROWS))
+                how = (PACKBITS, LZW, DEFLATE)[zlib.crc32(data) % 3]
+                files.append(write_tiff([padded], how, 2 if how == DEFLATE else 1, rows_per_strip=STRIP_ROWS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["row", "n_bytes", "image"])
 
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, image binary").select("row.*", "n_bytes", F.col("image").alias(image))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, batched, table
 
 SIZES = (3, 4, 5)
 FEATURES = 1 << 16
@@ -29,25 +31,14 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The labelled URLs that the query trains on, unwanted ones first.
-UNWANTED = """
-http://spam-farm.example.org/en/1 https://www.spam-farm.example.com/de/22 http://spam-links.example.net/fr/out?x=1
-http://cheap-pills.example.com/en/450 https://blog.cheap-pills.example.net/es/12 http://buy-pills.example.org/order
-http://casino-win.example.net/en/9 https://www.casino-bonus.example.com/play http://online-casino.example.org/slots
-http://free-bets.example.net/en/7 https://m.free-bets.example.com/odds http://bets-now.example.org/live
-http://adult-x.example.com/en/3 https://www.adult-x.example.net/video/8 http://adult-cams.example.org/x
-http://ads-track.example.com/en/5 https://m.ads-track.example.net/pixel http://click-track.example.org/ads?id=4
-http://win-prize.example.com/claim https://free-money.example.org/en/2 http://get-rich.example.net/fast
-""".split()
-WANTED = """
-http://news.example.com/en/1 https://www.library.example.org/de/22 http://blog.garden.example.net/fr/31
-http://museum.example.com/en/450 https://blog.history.example.net/es/12 http://city.example.org/council
-http://weather.example.net/en/9 https://www.school.example.com/courses http://science.example.org/papers
-http://music.example.net/en/7 https://m.travel.example.com/trains http://recipes.example.org/bread
-http://theatre.example.com/en/3 https://www.river.example.net/map/8 http://books.example.org/new
-http://the.example.com/en/5 https://m.theory.example.net/notes http://lantern.example.org/about?id=4
-http://thing.example.com/list https://other.example.org/en/2 http://tension.example.net/page.html
-""".split()
+#: The labelled table that the query trains on: ``url, unwanted``.
+LABELS = Path(__file__).with_name("url_labels.csv")
+
+
+def labelled_urls(path: Path = LABELS) -> list[tuple[str, int]]:
+    """A labelled table, read where the model is trained; at most MAX_LABELLED rows."""
+    with path.open(newline="", encoding="utf-8") as f:
+        return [(r["url"], int(r["unwanted"])) for r in csv.DictReader(f)]
 
 
 def url_host(url: Column | str) -> Column:
@@ -89,6 +80,13 @@ def train(urls: Sequence[tuple[str, str]], labels: Sequence[int]) -> np.ndarray:
     return w
 
 
+def logits(weights: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """Scores of URLs given their features, before the logistic function."""
+    sizes = np.array([len(g) for g in grams], np.int64)
+    sums = np.bincount(np.repeat(np.arange(len(grams)), sizes), weights[np.concatenate([*grams, np.zeros(0, np.int64)])], len(grams))
+    return (sums + weights[FEATURES]) / np.sqrt(sizes + 1)
+
+
 def split_url(url: str) -> tuple[str, str]:
     """Host and path of one URL, as ``url_host`` and ``url_path`` give them."""
     m = re.match(r"(?s)\A.*?://([^/?#]*)([^?#]*)", url)
@@ -106,20 +104,17 @@ def filter_urls(pages: DataFrame, labelled: Sequence[tuple[str, int]], url: str
     empty result; nothing is shuffled.
     """
     weights = train([split_url(u) for u, _ in labelled], [y for _, y in labelled])
-    small = {int(i): float(weights[i]) for i in np.flatnonzero(weights[:FEATURES])}
-    bias = float(weights[FEATURES])
+    sent = pages.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                grams = ngram_features(host, path)
-                z = (bias + sum(small.get(int(g), 0.0) for g in grams)) / np.sqrt(len(grams) + 1)
-                scores.append(float(1 / (1 + np.exp(-z))))
+            grams = [ngram_features(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            scores = logits(sent.value, grams)
+            scores = 1 / (1 + np.exp(-scores))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "score", "verdict")]
-    parts = pages.select(F.struct(*[F.col(c) for c in kept]).alias("row"), url_host(url).alias("host"), url_path(url).alias("path"))
+    parts = batched(pages).select(F.struct(*[F.col(c) for c in kept]).alias("row"), url_host(url).alias("host"), url_path(url).alias("path"))
     scored = parts.mapInArrow(score, f"row {parts.schema['row'].dataType.simpleString()}, host string, path string, score double")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     judged = F.coalesce(action, F.when(F.col("score") >= threshold, "block").otherwise("allow"))
@@ -127,5 +122,4 @@ def filter_urls(pages: DataFrame, labelled: Sequence[tuple[str, int]], url: str
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = [(u, 1) for u in UNWANTED] + [(u, 0) for u in WANTED]
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled).drop("url")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_urls()).drop("url")

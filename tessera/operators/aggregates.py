@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,10 +32,21 @@ def monthly_trend(df: DataFrame, day: Column, hit: Column) -> DataFrame:
     return df.where(day.isNotNull()).groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"))
 
 
-def upper_median(value: Column) -> Column:
-    """The middle value, of an even number the upper one: an exact order statistic, not interpolated."""
-    values = F.array_sort(F.collect_list(value))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def order_statistics(df: DataFrame, keys: list[str], value: str, at: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys``, ``n`` and the values at given places of each group, in order from 0; ``at`` gives a place from ``n``.
+
+    Values are counted first and then summed up in order, so no group is held
+    as an array. Nulls don't count; a place outside the group gives null.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    summed = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(w))
+    return summed.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("_upto") > place(F.col("n")), F.col("_v"))).alias(name) for name, place in at.items()])
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The middle value of each group, of an even number the upper one: an exact order statistic, not interpolated."""
+    return order_statistics(df, keys, value, {name: lambda n: F.floor(n / 2)})
 
 
 def linear_quantiles(value: Column, shares: tuple[float, ...]) -> Column:
@@ -41,11 +54,10 @@ def linear_quantiles(value: Column, shares: tuple[float, ...]) -> Column:
     return F.percentile(value, F.array(*[F.lit(s) for s in shares]))
 
 
-def floor_quantile(value: Column, share: float, least: int = 5) -> Column:
-    """The value at index floor(n * share) in order; null with fewer than ``least`` values."""
-    values = F.array_sort(F.collect_list(value))
-    at = F.floor(F.size(values) * share).cast("int") + 1
-    return F.when(F.size(values) >= least, F.try_element_at(values, at))
+def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], least: int = 5) -> DataFrame:
+    """The values at floor(n * share) in order; null in groups with fewer than ``least`` values."""
+    out = order_statistics(df, keys, value, {name: lambda n, q=q: F.floor(n * q) for name, q in shares.items()})
+    return out.withColumns({name: F.when(F.col("n") >= least, F.col(name)) for name in shares})
 
 
 def cohesion(df: DataFrame, group: Column, option: Column, counted: tuple[str, ...]) -> DataFrame:
@@ -60,3 +72,38 @@ def snapshot_delta(df: DataFrame, entity: str, order: list[str], value: str) ->
     key = F.struct(*order)
     out = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, key).alias("first_value"), F.max_by(value, key).alias("last_value"))
     return out.withColumn("delta", F.when(F.col("n") > 1, F.bround(F.col("last_value") - F.col("first_value"), 2)))
+
+
+def share_or_null(part: Column, whole: Column, digits: int = 1) -> Column:
+    """``100 * part / whole``, half-even; null when the whole is 0."""
+    return F.when(whole > 0, F.bround(100.0 * part / whole, digits))
+
+
+def first_present(value: Column, order: Column) -> Column:
+    """The first value that isn't null, in the given order."""
+    return F.min_by(value, F.when(value.isNotNull(), order))
+
+
+def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """``key, modal, total``: the most frequent value of each key, of equally frequent ones the one met first; nulls don't count as values."""
+    pairs = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    best = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("_n", -F.col("_first"))))
+    return pairs.groupBy(key).agg(best.alias("modal"), F.sum("_n").alias("total"))
+
+
+def two_groups(df: DataFrame, group: Column, wanted: tuple[str, str], size: Column) -> DataFrame:
+    """``grp, n, items, several`` of two groups: rows, their list sizes in sum, and rows with more than one item."""
+    rows = df.select(group.alias("grp"), F.coalesce(size, F.lit(0)).alias("size")).where(F.col("grp").isin(*wanted))
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"), F.count_if(F.col("size") > 1).alias("several"))
+
+
+def roster(df: DataFrame, group: str, name: str, role: str, order: str, chair: str = "president") -> DataFrame:
+    """``group, chair, members``: the last chair by order, and the names of all others in order.
+
+    A name that a group lists again counts once, where it stands first. The
+    members of one group are held together.
+    """
+    once = df.groupBy(group, name).agg(F.min_by(role, order).alias(role), F.min(order).alias(order))
+    leads = F.col(role) == chair
+    members = F.array_sort(F.collect_list(F.when(~leads | F.col(role).isNull(), F.struct(F.col(order), F.col(name)))))
+    return once.groupBy(group).agg(F.max_by(name, F.when(leads, F.col(order))).alias("chair"), F.transform(members, lambda x: x[name]).alias("members"))

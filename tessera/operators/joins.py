@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import first_per_key
-
 
 def lookup(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join on ``key``; missing values of the side get their default."""
@@ -14,15 +12,62 @@ def lookup(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, object]
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def first_match(df: DataFrame, side: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Left join to the first row of each key on the side."""
-    return df.join(first_per_key(side, [key], order), key, "left")
+def first_match(df: DataFrame, side: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Left join to the first row of each key on the side, by ascending columns, nulls first."""
+    rest = [c for c in side.columns if c != key]
+    first = side.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return df.join(first.select(key, *[F.col("_first")[c].alias(c) for c in rest]), key, "left")
+
+
+def either_key(df: DataFrame, keys: list[str], side: DataFrame, side_key: str, row: list[str]) -> DataFrame:
+    """Match by any of several keys, each row its smallest hit: an equi-join on the distinct keys, not an OR.
+
+    ``row`` names the columns that tell rows apart; rows alike in them are one.
+    """
+    exploded = df.select(*row, F.explode(F.array_distinct(F.array(*keys))).alias(side_key))
+    found = exploded.join(side, side_key)
+    rest = [c for c in side.columns if c != side_key]
+    best = found.groupBy(*row).agg(F.min(F.struct(side_key, *rest)).alias("_hit"))
+    return best.select(*row, *[F.col("_hit")[c].alias(c) for c in (side_key, *rest)])
+
+
+def flagged(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """All rows, each with whether its key is among ``keys``: semi-join and anti-join in one pass."""
+    known = keys.select(key).distinct().withColumn(name, F.lit(True))
+    return df.join(known, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def coalesced_key(first: Column, second: Column, pattern: str) -> Column:
+    """A key from the first text; from the second only if the first holds none."""
+    key = lambda c: F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
+    return F.coalesce(key(first), key(second))
+
+
+def attach_children(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str], name: str) -> DataFrame:
+    """Each parent with its children in order; one without any has an empty list."""
+    nested = nest(children, key, order, columns, name)
+    return parents.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
+
+
+def prepend_new(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
+    """Only new keys are added, before the old rows: their positions are negative, in the order they come in."""
+    fresh = new.join(old.select(key), key, "left_anti")
+    count = F.broadcast(fresh.agg(F.count(F.lit(1)).alias("_n")))
+    return fresh.crossJoin(count).withColumn(position, F.col(position) - F.col("_n")).drop("_n").unionByName(old)
+
+
+def date_index(sessions: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """``day`` and the session it belongs to: the first that starts then, else the first that ends then."""
+    days = sessions.select(F.posexplode(F.array(start, end)).alias("_which", "day"), name).where("day is not null")
+    return days.groupBy("day").agg(F.min_by(name, F.struct("_which", name)).alias(name))
 
 
-def either_key(df: DataFrame, keys: list[str], side: DataFrame, side_key: str, row: list[str], order: list[Column]) -> DataFrame:
-    """Match by any of several keys, each row its first hit: an equi-join on the distinct keys, not an OR."""
-    exploded = df.withColumn(side_key, F.explode(F.array_distinct(F.array(*keys))))
-    return first_per_key(exploded.join(side, side_key), row, order)
+def merge_repeated(df: DataFrame, key: str, order: str, header: list[str], children: str) -> DataFrame:
+    """Rows of one key as one: the first one's header, and the children of all in order."""
+    lists = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(children).alias("c"))))
+    first = F.min_by(F.struct(*header), order).alias("_head")
+    out = df.groupBy(key).agg(first, F.flatten(F.transform(lists, lambda x: x["c"])).alias(children))
+    return out.select(key, *[F.col("_head")[c].alias(c) for c in header], children)
 
 
 def full_outer(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -39,3 +39,72 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     """Page ``number`` (from 1) with row numbers; reads no more than it skips and shows."""
     ordered = df.orderBy(*order).limit(number * size)
     return ordered.withColumn("rn", F.row_number().over(Window.orderBy(*order))).where(F.col("rn") > (number - 1) * size)
+
+
+def below_all(df: DataFrame, value: str, name: str, parts: int = 200) -> DataFrame:
+    """Adds how many rows of the whole table have a strictly smaller value, and ``total``; null values have none.
+
+    Values are counted once and go to ranges, whose sums are few; positions are
+    then found within each range, so no task orders the whole table.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = sorted(set(df.approxQuantile(value, [k / parts for k in range(1, parts)], 1 / parts)))
+    part = F.lit(0)
+    for k in range(len(bounds)):
+        part = part + (F.col(value) >= F.lit(bounds[k])).cast("int")
+    placed = counts.withColumn("_part", part)
+    sums = placed.groupBy("_part").agg(F.sum("_c").alias("_s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("total"))
+    own = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.coalesce(F.sum("_c").over(own), F.lit(0)))
+    return df.join(found.select(value, name, "total"), value, "left")
+
+
+def neighbours(df: DataFrame, order: list[Column], selected: Column, reach: int = 5) -> DataFrame:
+    """The rows around the selected one in an order, ``reach`` on either side, with their ``offset``.
+
+    Meant for short lists, such as the days of sessions: all rows are put in one order.
+    """
+    numbered = df.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    centre = F.broadcast(numbered.where(selected).agg(F.min("_rn").alias("_at")))
+    return numbered.crossJoin(centre).withColumn("offset", F.col("_rn") - F.col("_at")).where(F.abs("offset") <= reach).drop("_rn", "_at")
+
+
+def ordered(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, with their place."""
+    return page(df, order, 1, n)
+
+
+def by_number(name: str, descending: bool = True) -> Column:
+    """Order by a number; nulls are last in both directions."""
+    return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
+
+
+def null_as(name: str, value: float) -> Column:
+    """Descending order in which null counts as a value."""
+    return F.coalesce(F.col(name), F.lit(value)).desc()
+
+
+def listed_order(name: str, values: list[str]) -> Column:
+    """Order in which values are listed; others follow."""
+    out = F.lit(len(values))
+    for k, v in reversed(list(enumerate(values))):
+        out = F.when(F.col(name) == v, k).otherwise(out)
+    return out.asc()
+
+
+def romanian(name: str) -> Column:
+    """Alphabetical order of Romanian, whatever the case."""
+    return F.collate(F.col(name), "ro_CI").asc_nulls_last()
+
+
+def view(df: DataFrame, metric: str, tie: str, n: int, descending: bool = True, per: str | None = None, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows as a page shows them: active groups, a metric (per head with ``per``), its direction; ``metric`` and place ``rn``.
+
+    The parameters are the page's state. Rows without the metric come last.
+    """
+    for column, wanted in (groups or {}).items():
+        df = df.where(F.col(column).isin(*wanted))
+    shown = F.col(metric) if per is None else F.when(F.col(per) > 0, F.bround(F.col(metric) / F.col(per), 3))
+    return ordered(df.withColumn("metric", shown), [by_number("metric", descending), F.col(tie).asc()], n)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,26 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import aggregates as agg
-from tessera.operators import joins, ranking
+from tessera.operators import facets, joins, ranking
+from tessera.plans.base import ORACLES, QUERIES, query
+from tessera.plans.base import t as _t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("""
@@ -69,7 +53,7 @@ SELECT user_id, CAST(l[len(l)//2+1] AS BIGINT) AS gap FROM s""")
 def upper_median_gap(spark: SparkSession, d: str) -> DataFrame:
     gap = F.timestamp_diff("SECOND", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.col("ts"))
     rows = _t(spark, d, "events").select("user_id", gap.alias("gap")).where("gap > 0 and gap < 7 * 86400")
-    return rows.groupBy("user_id").agg(agg.upper_median(F.col("gap")).alias("gap"))
+    return agg.upper_median(rows, ["user_id"], "gap", "gap").drop("n")
 
 
 @query("SELECT n_name, count(*) AS n, round_even(median(c_acctbal),2) AS med, round_even(avg(c_acctbal),2) AS mean, round_even(sum(c_acctbal),2) AS total FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1 HAVING count(*)>=3")
@@ -88,8 +72,8 @@ def quartiles_linear(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT s_nationkey AS k, list_sort(list(s_acctbal)) AS l FROM supplier GROUP BY 1) SELECT k, CASE WHEN len(l)>=5 THEN l[CAST(floor(len(l)*0.25) AS INT)+1] END AS q1, CASE WHEN len(l)>=5 THEN l[CAST(floor(len(l)*0.75) AS INT)+1] END AS q3 FROM s")
 def quartiles_floor(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("s_acctbal")
-    return _t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(agg.floor_quantile(v, 0.25).alias("q1"), agg.floor_quantile(v, 0.75).alias("q3"))
+    rows = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
+    return agg.floor_quantiles(rows, ["k"], "s_acctbal", {"q1": 0.25, "q3": 0.75}).drop("n")
 
 
 @query("""SELECT c_custkey, CAST(round_even(100.0::DOUBLE*(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)-1)/count(*) OVER (PARTITION BY c_nationkey),0) AS INT) AS pct, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rnk,
@@ -157,14 +141,14 @@ def lookup_join_defaults(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) rn FROM lineitem) SELECT o_orderkey, l_partkey FROM orders LEFT JOIN f ON o_orderkey=l_orderkey AND rn=1")
 def first_match_join(spark: SparkSession, d: str) -> DataFrame:
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
-    return joins.first_match(_t(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")]).select("o_orderkey", "l_partkey")
+    return joins.first_match(_t(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"]).select("o_orderkey", "l_partkey")
 
 
 @query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(CASE WHEN l_partkey=l_suppkey THEN [l_partkey] ELSE [l_partkey,l_suppkey] END) AS s_suppkey FROM lineitem), r AS (SELECT k.l_orderkey, k.l_linenumber, k.l_partkey, s.s_suppkey, row_number() OVER (PARTITION BY k.l_orderkey, k.l_linenumber, k.l_partkey, k.l_suppkey ORDER BY s.s_suppkey) rn FROM k JOIN supplier s ON s.s_suppkey=k.s_suppkey)
 SELECT l_orderkey, l_linenumber, l_partkey, s_suppkey FROM r WHERE rn=1""")
 def either_key_join(spark: SparkSession, d: str) -> DataFrame:
     lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    found = joins.either_key(lines, ["l_partkey", "l_suppkey"], _t(spark, d, "supplier").select("s_suppkey"), "s_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [F.asc("s_suppkey")])
+    found = joins.either_key(lines, ["l_partkey", "l_suppkey"], _t(spark, d, "supplier").select("s_suppkey"), "s_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "s_suppkey")
 
 
@@ -178,9 +162,8 @@ def full_outer_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_totalprice>400000) AS big FROM customer")
 def semi_anti(spark: SparkSession, d: str) -> DataFrame:
-    customers = _t(spark, d, "customer").select("c_custkey")
     big = _t(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return customers.join(big, "c_custkey", "left_semi").withColumn("big", F.lit(True)).union(customers.join(big, "c_custkey", "left_anti").withColumn("big", F.lit(False)))
+    return joins.flagged(_t(spark, d, "customer").select("c_custkey"), big, "c_custkey", "big")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey%3=0 THEN 'new' ELSE 'old' END AS gen FROM orders")
@@ -214,9 +197,10 @@ def feed_union(spark: SparkSession, d: str) -> DataFrame:
     return orders.unionByName(events)
 
 
-@query("SELECT user_id, arg_min(event_type, event_id) AS header, count(*) AS n, sum(value) IS NOT NULL AS has FROM events GROUP BY 1")
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type, string_agg(CAST(event_id AS VARCHAR) || ',' || CAST(event_id + 1 AS VARCHAR), ',' ORDER BY event_id) AS children FROM events GROUP BY 1")
 def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("header"), F.size(F.array_sort(F.collect_list(F.struct("event_id", "value")))).cast("long").alias("n"), F.sum("value").isNotNull().alias("has"))
+    rows = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.array("event_id", F.col("event_id") + 1).alias("children"))
+    return joins.merge_repeated(rows, "user_id", "event_id", ["event_type"], "children").withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
 @query("""WITH c AS (SELECT CAST(user_id%5 AS VARCHAR) AS grp, count(*) AS total, count(*) FILTER (event_type='view') y, count(*) FILTER (event_type='click') n, count(*) FILTER (event_type='error') a FROM events GROUP BY 1)
@@ -250,11 +234,11 @@ def weighted_category_sum(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.bround(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("weighted"))
 
 
-_WORDS_SQL = "SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(w) > 3) AS w FROM documents"
+_WORDS_SQL = "SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: len(w) > 3) AS w FROM documents"  # runs of fewer letters are left out, as [a-z]{4,} does
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "lang", F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3).alias("w"))
+    return _t(spark, d, "documents").select("doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
 
 
 @query(f"WITH t AS ({_WORDS_SQL}) SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY 1 ORDER BY n DESC, word LIMIT 100")
@@ -276,7 +260,7 @@ def ngram_contrast(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("ratio", F.bround(F.col("a") / F.greatest("b", F.lit(1)), 2))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(translate(text,'{text.MARKED}','{text.PLAIN}'),'[^\\x00-\\x7F]','','g')),'[^a-z0-9]+','-','g'),'^-|-$','','g')[1:60] AS slug FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[1:60] AS slug FROM documents")
 def fold_slug(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -308,14 +292,13 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE event_type IN ('view','click') AND CAST(json_extract_string(props,'$.k') AS INT) BETWEEN 10 AND 20 AND value > 5")
 def faceted_filter(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return _t(spark, d, "events").where(F.col("event_type").isin("view", "click") & k.between(10, 20) & (F.col("value") > 5)).select("event_id")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return facets.facet_filter(_t(spark, d, "events"), any_of={"event_type": ["view", "click"]}).where(k.between(10, 20) & (F.col("value") > 5)).select("event_id")
 
 
 @query("SELECT 'lang' AS dim, lang AS value, count(*) AS n FROM documents WHERE n_chars>500 GROUP BY 1,2 UNION ALL SELECT 'source', source, count(*) FROM documents WHERE n_chars>500 GROUP BY 1,2")
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").where("n_chars > 500").select(F.explode(F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))).alias("dim", "value"))
-    return rows.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    return facets.facet_counts(_t(spark, d, "documents").where("n_chars > 500"), ["lang", "source"])
 
 
 @query("""SELECT 'documents' AS tbl, count(*) AS n, count(*)-count(DISTINCT doc_id) AS repeated, round_even(100.0::DOUBLE*count(*) FILTER (text IS NOT NULL AND text<>'')/count(*),1) AS coverage FROM documents
@@ -353,3 +336,6 @@ def calendar_spine(spark: SparkSession, d: str) -> DataFrame:
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-31')) AS day")
     counts = _t(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return joins.lookup(days, counts, "day", {"n": 0}).select(F.col("day").cast("string").alias("day"), (F.weekday("day") < 5).alias("weekday"), "n")
+
+
+from tessera.plans import records, texts  # noqa: E402, F401  they register their queries

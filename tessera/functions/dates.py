@@ -30,7 +30,7 @@ def day_first_date(c: Column, short_years: bool = False) -> Column:
 def month_number(name: Column, whole: bool = False) -> Column:
     """1 to 12 from the name of a month, or its first letters unless ``whole``; marks and a final point don't matter."""
     known = F.create_map(*[F.lit(x) for name_, n in MONTHS.items() if not whole or len(name_) > 4 or name_ == "mai" for x in (name_, n)])
-    key = F.translate(F.lower(F.rtrim(F.lit("."), name)), "şţșț", "stst")
+    key = F.translate(F.lower(F.rtrim(name, F.lit("."))), "şţșț", "stst")
     return F.try_element_at(known, key) if whole else F.coalesce(F.try_element_at(known, key), F.try_element_at(known, F.substring(key, 1, 3)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.mappings import first_contained
-from tessera.functions.text import amount, fraction
+from tessera.functions.text import amount, bound, fraction
 
 # --- Fixed values: rates, section headings, patterns of amounts, and what blocks contain. ---
 RATES = {"RON": 1.0, "LEI": 1.0, "EUR": 5.05, "EURO": 5.05, "USD": 4.50, "DOLARI": 4.50, "GBP": 5.80, "CHF": 5.40}
@@ -33,18 +33,23 @@ def scan_amounts(c: Column, above: float = 100.0) -> Column:
     total = F.lit(0.0)
     for pattern, number, currency in ((AMOUNT, 1, 2), (AMOUNT_AFTER, 2, 1)):
         part = lambda g, p=pattern: F.regexp_extract_all(c, F.lit(p), F.lit(g))
-        each = F.zip_with(part(number), part(currency), lambda n, cur: F.when(amount(n) > above, in_ron(amount(n), cur)).otherwise(0.0))
+        each = F.zip_with(part(number), part(currency), lambda n, cur: bound(amount(n), lambda v: F.when(v > above, in_ron(v, cur)).otherwise(0.0)))
         total = total + F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
     return total
 
 
 def section(c: Column, heading: str, following: list[str]) -> Column:
     """The text from a heading to the nearest of the following ones; empty without the heading."""
-    rest = F.substring(c, F.locate(heading, c), F.length(c))
-    body = F.substring(rest, F.lit(len(heading) + 1), F.length(rest))
-    ends = [F.nullif(F.locate(x, body), F.lit(0)) for x in following]
-    end = F.least(*ends, F.length(body) + 1, F.length(body) + 1)
-    return F.when(F.locate(heading, c) > 0, F.concat(F.lit(heading), F.substring(body, F.lit(1), end - 1))).otherwise("")
+
+    def upto(body: Column) -> Column:
+        ends = [F.nullif(F.position(F.lit(x), body), F.lit(0)) for x in following]
+        return F.substring(body, F.lit(1), F.least(*ends, F.length(body) + 1, F.length(body) + 1) - 1)
+
+    def of(t: Column) -> Column:
+        start = F.position(F.lit(heading), t)
+        return F.when(start > 0, F.concat(F.lit(heading), bound(F.substring(t, start + len(heading), F.length(t)), upto))).otherwise("")
+
+    return bound(c, of)
 
 
 def property_category(block: Column, building: bool) -> Column:
@@ -69,7 +74,9 @@ def properties(c: Column, building: bool) -> Column:
 
     def row(block: Column) -> Column:
         line = F.regexp_extract(block, r"(?i)([^\n]*?\d+(?:[.,]\d+)?\s*m\s*²?[^\n]*)", 1)
-        share, area = _first(line, r"\b(\d+/\d+)\b"), amount(F.regexp_extract(block, AREA, 1))
+        return bound(F.struct(line.alias("line"), _first(line, r"\b(\d+/\d+)\b").alias("share"), amount(F.regexp_extract(block, AREA, 1)).alias("area")), lambda x: fields(block, x["line"], x["share"], x["area"]))
+
+    def fields(block: Column, line: Column, share: Column, area: Column) -> Column:
         return F.struct(
             F.lit("cladire" if building else "teren").alias("kind"),
             property_category(block, building).alias("category"),
@@ -115,16 +122,22 @@ def is_blank(c: Column) -> Column:
 
 def wealth_totals(c: Column) -> Column:
     """``land, buildings, vehicles, debts, own_income, counties, first_year`` of a whole wealth declaration."""
-    part = {k: section(c, h, SECTIONS[k + 1 :]) for k, h in enumerate(SECTIONS)}
-    land, buildings = properties(section(part[0], "1. Terenuri", ["2. Clădiri", "2. Cladiri"]), False), properties(F.coalesce(F.nullif(section(part[0], "2. Clădiri", []), F.lit("")), section(part[0], "2. Cladiri", [])), True)
+    part = {k: section(c, SECTIONS[k], SECTIONS[k + 1 :]) for k in (0, 1, 4, 6)}
+    land = bound(part[0], lambda x: properties(section(x, "1. Terenuri", ["2. Clădiri", "2. Cladiri"]), False))
+    buildings = bound(part[0], lambda x: properties(F.concat(section(x, "2. Clădiri", []), section(x, "2. Cladiri", [])), True))
     area = lambda rows: F.aggregate(F.transform(rows, lambda x: x["owned"]), F.lit(0.0), lambda a, b: a + b)
-    both = F.concat(land, buildings)
-    return F.struct(
-        area(land).alias("land"),
-        area(buildings).alias("buildings"),
-        F.size(vehicles(part[1])).alias("vehicles"),
-        scan_amounts(part[4]).alias("debts"),
-        own_income(part[6]).alias("own_income"),
-        F.size(F.array_distinct(F.filter(F.transform(both, lambda x: x["county"]), lambda x: x.isNotNull()))).alias("counties"),
-        F.array_min(F.transform(both, lambda x: x["year"])).alias("first_year"),
-    )
+
+    def totals(x: Column) -> Column:
+        both = F.concat(x["land"], x["buildings"])
+        return F.struct(
+            area(x["land"]).alias("land"),
+            area(x["buildings"]).alias("buildings"),
+            x["vehicles"].alias("vehicles"),
+            x["debts"].alias("debts"),
+            x["own_income"].alias("own_income"),
+            F.size(F.array_distinct(F.filter(F.transform(both, lambda r: r["county"]), lambda r: r.isNotNull()))).alias("counties"),
+            F.array_min(F.transform(both, lambda r: r["year"])).alias("first_year"),
+        )
+
+    held = F.struct(land.alias("land"), buildings.alias("buildings"), F.size(vehicles(part[1])).alias("vehicles"), scan_amounts(part[4]).alias("debts"), own_income(part[6]).alias("own_income"))
+    return bound(held, totals)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import comma_below, fold
+from tessera.functions.text import bound, comma_below, fold
 
 # --- Fixed values: what labels contain, and their categories, in order of precedence. ---
 PARTIES = [
@@ -30,10 +30,14 @@ UNAFFILIATED, UNKNOWN = "Neafiliat", "Necunoscut"
 
 def first_contained(c: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
     """The category of the first text that is contained; null stays null."""
-    out = F.lit(otherwise)
-    for part, label in reversed(rules):
-        out = F.when(F.contains(c, F.lit(part)), label).otherwise(out)
-    return F.when(c.isNotNull(), out)
+
+    def of(x: Column) -> Column:
+        out = F.lit(otherwise)
+        for part, label in reversed(rules):
+            out = F.when(F.contains(x, F.lit(part)), label).otherwise(out)
+        return F.when(x.isNotNull(), out)
+
+    return bound(c, of)
 
 
 def matching_case(c: Column) -> Column:
@@ -49,7 +53,10 @@ def party_code(label: Column) -> Column:
 def group_code(raw: Column) -> Column:
     """Party of a group as scraped: marks of the next field go; what no rule names is its first word."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "[:;,]+", " "), r"(?i)\bDestinatar[ie]?\b", ""), r"\s+", " "))
-    t = F.lower(fold(clean))
+    return bound(F.struct(clean.alias("clean"), F.lower(fold(clean)).alias("t")), lambda x: _group_of(x["clean"], x["t"]))
+
+
+def _group_of(clean: Column, t: Column) -> Column:
     has = lambda *parts: F.lit(False) if not parts else F.contains(t, F.lit(parts[0])) | has(*parts[1:])
     return (
         F.when(F.coalesce(clean, F.lit("")) == "", UNAFFILIATED)

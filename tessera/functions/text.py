@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ def _plain_letters() -> tuple[str, str]:
 MARKED, PLAIN = _plain_letters()
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value computed once however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def comma_below(c: Column) -> Column:
     """Letters with a cedilla become those with a comma below."""
     return F.translate(c, "şŞţŢ", "șȘțȚ")
@@ -91,11 +97,12 @@ def tolerant_lookup(fields: Column, *candidates: str) -> Column:
     Of labels that fold alike the last one counts.
     """
     entries = F.transform(F.map_entries(fields), lambda e: F.struct(label_key(e["key"]).alias("k"), e["value"].alias("v")))
-    found = []
-    for name in candidates:
-        same = F.filter(entries, lambda e, key=label_key(F.lit(name)): e["k"] == key)
-        found.append(F.nullif(F.try_element_at(same, F.lit(-1))["v"], F.lit("")))
-    return F.coalesce(*found)
+
+    def value(held: Column, name: str) -> Column:
+        same = F.filter(held, lambda e: e["k"] == label_key(F.lit(name)))
+        return F.nullif(F.try_element_at(same, F.lit(-1))["v"], F.lit(""))
+
+    return bound(entries, lambda held: F.coalesce(*[value(held, name) for name in candidates]))
 
 
 #: Words of the agenda texts that say nothing about their topic.
@@ -159,18 +166,21 @@ def amount(c: Column) -> Column:
     decimal marks if one or two digits, or none, follow the last one. With points
     only, they part thousands if three characters follow the last one.
     """
-    t, none, dot = F.replace(c, F.lit(" "), F.lit("")), F.lit(""), F.lit(".")
-    point, comma = F.instr(F.reverse(t), "."), F.instr(F.reverse(t), ",")
-    pointed = F.replace(t, F.lit(","), dot)
-    plain = (
-        F.when((point > 0) & (comma > 0) & (comma < point), F.replace(F.replace(t, dot, none), F.lit(","), dot))
-        .when((point > 0) & (comma > 0), F.replace(t, F.lit(","), none))
-        .when((comma > 0) & (comma <= 3), pointed)
-        .when(comma > 0, F.replace(t, F.lit(","), none))
-        .when(point == 4, F.replace(t, dot, none))
-        .otherwise(t)
-    )
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    none, dot, comma = F.lit(""), F.lit("."), F.lit(",")
+
+    def plain(t: Column) -> Column:
+        points, commas = F.contains(t, dot), F.contains(t, comma)
+        return (
+            F.when(points & commas & t.rlike(r",[^.,]*$"), F.replace(F.replace(t, dot, none), comma, dot))
+            .when(points & commas, F.replace(t, comma, none))
+            .when(commas & t.rlike(r",[^,]{0,2}$"), F.replace(t, comma, dot))
+            .when(commas, F.replace(t, comma, none))
+            .when(t.rlike(r"\.[^.]{3}$"), F.replace(t, dot, none))
+            .otherwise(t)
+        )
+
+    number = bound(F.replace(c, F.lit(" "), none), plain)
+    return bound(number, lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), x.try_cast("double")))
 
 
 def fraction(c: Column) -> Column:

@@ -28,13 +28,17 @@ def facet_filter(df: DataFrame, any_of: dict[str, list] | None = None, all_of: d
     return df
 
 
+def _labelled(name: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(name).alias("dim"), v.alias("value")))
+
+
 def facet_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """``dim, value, n``: how many rows have each value of each dimension, in one pass; of an array, each value once."""
     pairs = []
     for name in columns:
         array = df.schema[name].dataType.typeName() == "array"
         values = F.array_distinct(F.transform(name, lambda x: x.cast("string"))) if array else F.array(F.col(name).cast("string"))
-        pairs.append(F.transform(values, lambda v, n=name: F.struct(F.lit(n).alias("dim"), v.alias("value"))))
+        pairs.append(_labelled(name, values))
     every = df.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<dim:string,value:string>>")) for p in pairs])).alias("f"))
     return every.where("f.value is not null").groupBy(F.col("f.dim").alias("dim"), F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 

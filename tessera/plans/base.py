@@ -35,14 +35,14 @@ def _sql(value: object) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def stated(name: str, cases: list[tuple[str | None, object]], of: Callable[[Column], Column], table: str = "orders", key: str = "o_orderkey") -> None:
+def stated(name: str, cases: list[tuple[str | None, object]], of: Callable[[Column], Column], table: str = "supplier", key: str = "s_suppkey") -> None:
     """Register a query that applies a function to a stated text for each row of a table, chosen by its key.
 
     The tables hold no texts of this kind, so the SQL gives the stated results.
     """
-    texts = F.array(*[F.lit(c).cast("string") for c, _ in cases])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*[F.lit(c).cast("string") for c, _ in cases])
         return t(spark, sf_dir, table).select(key, F.element_at(texts, (F.col(key) % len(cases)).cast("int") + 1).alias("text")).select(key, of(F.col("text")).alias("out"))
 
     QUERIES[name] = run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as agg
@@ -12,7 +12,10 @@ from tessera.operators import facets, joins, ranking
 from tessera.plans.base import query, t
 from tessera.sources import writers
 
-N = F.count(F.lit(1))
+
+def _n() -> Column:
+    return F.count(F.lit(1))
+
 
 # --- projections and predicates -------------------------------------------------------
 
@@ -31,7 +34,7 @@ def renamed_with_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH n AS (SELECT c_custkey, count(o_orderkey) AS n, sum(o_totalprice) AS s, max(o_totalprice) - min(o_totalprice) AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY 1) SELECT c_custkey, n, CASE WHEN n >= 1 THEN round_even(s, 2) END AS worth, CASE WHEN n >= 2 THEN round_even(d, 2) END AS delta FROM n")
 def conditional_nulling(spark: SparkSession, d: str) -> DataFrame:
-    orders = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("n"), F.sum("o_totalprice").alias("s"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("d"))
+    orders = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("n"), F.sum("o_totalprice").alias("s"), (F.max("o_totalprice") - F.min("o_totalprice")).alias("d"))
     rows = joins.lookup(t(spark, d, "customer").select("c_custkey"), orders, "c_custkey", {"n": 0})
     return rows.select("c_custkey", "n", facets.only_from(F.col("n"), 1, F.bround("s", 2)).alias("worth"), facets.only_from(F.col("n"), 2, F.bround("d", 2)).alias("delta"))
 
@@ -72,7 +75,7 @@ _VOTES_SQL = "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS yes, co
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(flag == "A").alias("yes"), F.count_if(flag == "R").alias("no"), N.alias("present"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(flag == "A").alias("yes"), F.count_if(flag == "R").alias("no"), _n().alias("present"))
 
 
 @query(f"SELECT l_orderkey, yes > no AS by_votes, yes > present / 2.0 AS by_presence FROM ({_VOTES_SQL})")
@@ -83,8 +86,8 @@ def passed_votes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT count(*) FILTER (yes > no) AS passed, count(*) FILTER (yes <= no) AS failed, round_even(100.0::DOUBLE * count(*) FILTER (yes > no) / count(*), 1) AS pct, CAST(NULL AS DOUBLE) AS pct_of_none FROM ({_VOTES_SQL})")
 def adopted_share(spark: SparkSession, d: str) -> DataFrame:
     passed = facets.passed_by_votes(F.col("yes"), F.col("no"))
-    out = _votes(spark, d).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), agg.share_or_null(F.count_if(passed), N).alias("pct"))
-    none = _votes(spark, d).where("present < 0").agg(agg.share_or_null(F.count_if(passed), N).alias("pct_of_none"))
+    out = _votes(spark, d).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), agg.share_or_null(F.count_if(passed), _n()).alias("pct"))
+    none = _votes(spark, d).where("present < 0").agg(agg.share_or_null(F.count_if(passed), _n()).alias("pct_of_none"))
     return out.crossJoin(F.broadcast(none))
 
 
@@ -192,7 +195,7 @@ def top_askers(spark: SparkSession, d: str) -> DataFrame:
 def one_to_many_credit(spark: SparkSession, d: str) -> DataFrame:
     parties = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_returnflag").alias("parties"))
     each = t(spark, d, "orders").join(parties, "o_orderkey").select("o_orderstatus", F.explode("parties").alias("l_returnflag"))
-    out = each.groupBy("l_returnflag").agg(N.alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    out = each.groupBy("l_returnflag").agg(_n().alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
     return out.where("total >= 5").withColumn("rate", agg.safe_pct(F.col("done"), F.col("total")))
 
 
@@ -205,7 +208,7 @@ def trend_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_nationkey, count(*) AS n, round_even(median(c_acctbal), 2) AS med, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS members FROM customer GROUP BY 1 HAVING count(*) >= 3")
 def stats_with_members(spark: SparkSession, d: str) -> DataFrame:
     members = F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",")
-    return t(spark, d, "customer").groupBy("c_nationkey").agg(N.alias("n"), F.bround(F.median("c_acctbal"), 2).alias("med"), members.alias("members")).where("n >= 3")
+    return t(spark, d, "customer").groupBy("c_nationkey").agg(_n().alias("n"), F.bround(F.median("c_acctbal"), 2).alias("med"), members.alias("members")).where("n >= 3")
 
 
 @query("SELECT s_nationkey, round_even(quantile_cont(s_acctbal, 0.25), 4) AS q1, round_even(quantile_cont(s_acctbal, 0.75), 4) AS q3, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY 1")
@@ -218,7 +221,7 @@ def quantiles_by_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS below, round_even(median(c_acctbal), 2) AS med, round_even(100.0::DOUBLE * count(*) FILTER (c_acctbal > 5000) / count(*), 1) AS pct, round_even(avg(c_acctbal), 2) AS mean, max(c_acctbal) AS most FROM customer")
 def stat_cards(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("c_acctbal")
-    return t(spark, d, "customer").agg(N.alias("n"), F.count_if(v < 0).alias("below"), F.bround(F.median(v), 2).alias("med"), agg.safe_pct(F.count_if(v > 5000), N).alias("pct"), F.bround(F.avg(v), 2).alias("mean"), F.max(v).alias("most"))
+    return t(spark, d, "customer").agg(_n().alias("n"), F.count_if(v < 0).alias("below"), F.bround(F.median(v), 2).alias("med"), agg.safe_pct(F.count_if(v > 5000), _n()).alias("pct"), F.bround(F.avg(v), 2).alias("mean"), F.max(v).alias("most"))
 
 
 @query("""WITH m AS (SELECT DISTINCT ON (user_id, event_type) user_id % 7 AS team, user_id, event_type, event_id FROM events ORDER BY user_id, event_type, event_id),
@@ -233,16 +236,16 @@ def committee_roster(spark: SparkSession, d: str) -> DataFrame:
 def party_activity(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders")
     status = F.col("o_orderstatus")
-    made = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("orders"), F.count_if(status == "F").alias("done"), F.count_if(status == "O").alias("open"), F.sum("o_totalprice").alias("worth"))
-    lines = t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("lines"))
+    made = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("orders"), F.count_if(status == "F").alias("done"), F.count_if(status == "O").alias("open"), F.sum("o_totalprice").alias("worth"))
+    lines = t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("lines"))
     rows = joins.lookup(joins.lookup(t(spark, d, "customer"), made, "c_custkey", {"orders": 0, "done": 0, "open": 0, "worth": 0.0}), lines, "c_custkey", {"lines": 0})
     sums = [F.sum(c).alias(c) for c in ("orders", "done", "open", "lines")]
-    return rows.groupBy("c_nationkey").agg(N.alias("members"), *sums, F.bround(F.sum("worth"), 0).alias("worth")).withColumn("lines_each", F.bround(F.col("lines") / F.col("members"), 3))
+    return rows.groupBy("c_nationkey").agg(_n().alias("members"), *sums, F.bround(F.sum("worth"), 0).alias("worth")).withColumn("lines_each", F.bround(F.col("lines") / F.col("members"), 3))
 
 
 @query("SELECT year(o_orderdate) AS leg, o_orderstatus AS outcome, count(*) AS n FROM orders GROUP BY 1, 2")
 def outcomes_by_legislature(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("leg"), F.col("o_orderstatus").alias("outcome")).agg(N.alias("n"))
+    return t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("leg"), F.col("o_orderstatus").alias("outcome")).agg(_n().alias("n"))
 
 
 @query("SELECT l_returnflag, round_even(sum(l_quantity * (l_linenumber / 7.0::DOUBLE)), 1) AS owned FROM lineitem GROUP BY 1")
@@ -261,7 +264,7 @@ def counts_and_total(spark: SparkSession, d: str) -> DataFrame:
     from tessera.sources.records import exists
 
     there = [x for x in (*_SOURCES, "absent") if exists(spark, f"{d}/{x}.parquet")]
-    each = reduce(DataFrame.unionByName, [t(spark, d, x).agg(F.lit(x).alias("tbl"), N.alias("n")) for x in there])
+    each = reduce(DataFrame.unionByName, [t(spark, d, x).agg(F.lit(x).alias("tbl"), _n().alias("n")) for x in there])
     return each.withColumn("total", F.sum("n").over(Window.partitionBy()))  # one row a source
 
 
@@ -295,7 +298,7 @@ def quality_checks(spark: SparkSession, d: str) -> DataFrame:
         "unknown_category": orders.where(~known),
         "count_differs": orders.groupBy("o_custkey").count().where("count <> 10"),
     }
-    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("chk"), N.alias("n")) for name, rows in checks.items()])
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("chk"), _n().alias("n")) for name, rows in checks.items()])
 
 
 _GRAMS_SQL = "SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM documents"
@@ -303,7 +306,7 @@ _GRAMS_SQL = "SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{5,}'))
 
 def _grams(spark: SparkSession, d: str, lang: str) -> DataFrame:
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("word")
-    return t(spark, d, "documents").where(F.col("lang") == lang).select(words).groupBy("word").agg(N.alias("n"))
+    return t(spark, d, "documents").where(F.col("lang") == lang).select(words).groupBy("word").agg(_n().alias("n"))
 
 
 @query(f"WITH g AS ({_GRAMS_SQL}), a AS (SELECT word, count(*) AS n FROM g WHERE lang = 'en' GROUP BY 1 ORDER BY n DESC, word LIMIT 300) SELECT word, n FROM a WHERE word NOT IN (SELECT word FROM g WHERE lang = 'de')")
@@ -381,7 +384,7 @@ def sort_by_collation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH n AS (SELECT c_nationkey, count(*) AS members, sum(c_acctbal) AS worth FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1) SELECT c_nationkey, round_even(worth / members, 3) AS metric, row_number() OVER (ORDER BY round_even(worth / members, 3), c_nationkey) AS rn FROM n ORDER BY rn LIMIT 10")
 def parameter_view(spark: SparkSession, d: str) -> DataFrame:
-    rows = facets.facet_filter(t(spark, d, "customer"), any_of={"c_mktsegment": ["BUILDING", "MACHINERY"]}).groupBy("c_nationkey").agg(N.alias("members"), F.sum("c_acctbal").alias("worth"))
+    rows = facets.facet_filter(t(spark, d, "customer"), any_of={"c_mktsegment": ["BUILDING", "MACHINERY"]}).groupBy("c_nationkey").agg(_n().alias("members"), F.sum("c_acctbal").alias("worth"))
     return ranking.view(rows, "worth", "c_nationkey", 10, descending=False, per="members").select("c_nationkey", "metric", "rn")
 
 
@@ -404,7 +407,7 @@ def year_domain(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT coalesce(CAST(year(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END) AS VARCHAR), 'necunoscut') AS year, count(*) AS n FROM orders GROUP BY 1")
 def year_buckets(spark: SparkSession, d: str) -> DataFrame:
     rows = writers.with_year(t(spark, d, "orders"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")))
-    return rows.groupBy("year").agg(N.alias("n"))
+    return rows.groupBy("year").agg(_n().alias("n"))
 
 
 @query("SELECT o_orderkey AS id, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

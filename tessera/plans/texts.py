@@ -112,28 +112,37 @@ _MINUTE = "Păstrarea unui moment de reculegere"
 _ITEMS = [_BILL, _OUG, _MOTION, _DEBATE, _DECISION, _MINUTE]
 
 
-def _stated_entities(name: str, results: list, of) -> None:
-    stated(name, list(zip(_ITEMS, results, strict=True)), lambda c: of(entities.entities(c)))
-
-
-_stated_entities("agenda_item_type", ["proiect_lege", "proiect_lege", "motiune_simpla", "dezbateri_politice", "proiect_hotarare", "moment_reculegere"], lambda e: e["item_type"])
-_stated_entities("agenda_action", ["modificare_si_completare", "aprobare_oug", None, None, "constituire", None], lambda e: e["action"])
-_stated_entities("agenda_law_category", ["lege_organica", None, None, None, None, None], lambda e: e["law_category"])
-_stated_entities("agenda_flags", ["procedura_urgenta,camera_decizionala", "", "", "", "", ""], lambda e: F.array_join(e["flags"], ","))
-_stated_entities("agenda_senate_date", ["2024-03-05", None, None, None, None, None], lambda e: e["senate_adoption_date"].cast("string"))
-_stated_entities("agenda_acts", ["Lege 95/2006", "OUG 57/2023", "", "", "Lege 1/2000,CCR 7/", ""], lambda e: F.array_join(F.transform(e["referenced_acts"], lambda a: F.concat(a["act_type"], F.lit(" "), a["nr"], F.lit("/"), F.coalesce(a["year"].cast("string"), F.lit("")))), ","))
-_stated_entities("agenda_committees", ["sanatate,juridica", "", "", "", "", ""], lambda e: F.array_join(e["commission_slugs"], ","))
-_stated_entities("agenda_initiator", ["-|-|-", "-|-|-", "-|52|deputati", "USR|-|-", "-|-|-", "-|-|-"], lambda e: _joined(e["initiator_group"], e["initiator_count"], e["initiator_type"]))
-_stated_entities("agenda_subject", ["reforma în domeniul sănătății", "stabilirea unor măsuri la BNR", "cu tema X, inițiată de 52 de deputați", "- Dezbateri politice la solicitarea Grupului parlamentar USR, cu tema Y", None, None], lambda e: e["subject"])
-_stated_entities("agenda_institutions", ["", "BNR", "", "", "", ""], lambda e: F.array_join(e["institutions"], ","))
+_FOUND = [
+    "proiect_lege;modificare_si_completare;lege_organica;procedura_urgenta,camera_decizionala;2024-03-05;Lege 95/2006;sanatate,juridica;;;;reforma în domeniul sănătății;",
+    "proiect_lege;aprobare_oug;;;;OUG 57/2023;;;;;stabilirea unor măsuri la BNR;BNR",
+    "motiune_simpla;;;;;;;;52;deputati;cu tema X, inițiată de 52 de deputați;",
+    "dezbateri_politice;;;;;;;USR;;;- Dezbateri politice la solicitarea Grupului parlamentar USR, cu tema Y;",
+    "proiect_hotarare;constituire;;;;Lege 1/2000,CCR 7/;;;;;;",
+    "moment_reculegere;;;;;;;;;;;",
+]
+
+
+def _entities(c: Column) -> Column:
+    def shown(e: Column) -> Column:
+        acts = F.transform(e["referenced_acts"], lambda a: F.concat(a["act_type"], F.lit(" "), a["nr"], F.lit("/"), F.coalesce(a["year"].cast("string"), F.lit(""))))
+        parts = [e["item_type"], e["action"], e["law_category"], F.array_join(e["flags"], ","), e["senate_adoption_date"], F.array_join(acts, ","), F.array_join(e["commission_slugs"], ","), e["initiator_group"], e["initiator_count"], e["initiator_type"], e["subject"], F.array_join(e["institutions"], ",")]
+        return F.concat_ws(";", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+    return text.bound(entities.entities(c), shown)
+
+
+stated("agenda_entities", list(zip(_ITEMS, _FOUND, strict=True)), _entities)
+stated("agenda_item_type", list(zip(_ITEMS, [x.split(";")[0] for x in _FOUND], strict=True)), lambda c: entities.item_type(text.strip_html(c)))
+stated("agenda_acts", [(_DECISION, 2), (_MINUTE, 0)], lambda c: F.size(entities.referenced_acts(c)))
+stated("agenda_subject", [(_OUG, "stabilirea unor măsuri la BNR"), (_MINUTE, None)], lambda c: entities.subject(c, entities.item_type(c)))
 stated("group_history", [("Grupul parlamentar SOS România - membru până în feb. 2025 Deputaţi neafiliaţi - membru din feb. 2025", "SOS/-/feb. 2025/false,Neafiliat/feb. 2025/-/true"), ("Grupul parlamentar al Partidului Social Democrat", "PSD/-/-/true"), ("", ""), (None, "")], lambda c: F.array_join(F.transform(entities.group_history(c), lambda e: F.concat_ws("/", e["short"], F.coalesce(e["from_date"], F.lit("-")), F.coalesce(e["until_date"], F.lit("-")), e["current"].cast("string"))), ","))
 
 
-@query("SELECT 'all' AS grp, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (o_orderkey % 3 = 0) / count(*), 1) AS unknown FROM orders")
+@query("SELECT 'all' AS grp, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (s_suppkey % 3 = 0) / count(*), 1) AS unknown FROM supplier")
 def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
-    kind = entities.item_type(F.when(F.col("o_orderkey") % 3 == 0, "Altceva").otherwise("Raportul comisiei"))
+    kind = entities.item_type(F.when(F.col("s_suppkey") % 3 == 0, "Altceva").otherwise("Raportul comisiei"))
     n = F.count(F.lit(1))
-    return t(spark, d, "orders").agg(F.lit("all").alias("grp"), n.alias("n"), F.bround(100.0 * F.count_if(kind.isNull()) / n, 1).alias("unknown"))
+    return t(spark, d, "supplier").agg(F.lit("all").alias("grp"), n.alias("n"), F.bround(100.0 * F.count_if(kind.isNull()) / n, 1).alias("unknown"))
 
 
 # --- declarations ---------------------------------------------------------------------
@@ -146,5 +155,5 @@ stated("text_section", [("aaI. Bunuri imobile xII. Bunuri mobile y", "I. Bunuri
 stated("property_rows", [(_LAND, "intravilan/1200.0/Cluj/2010/1/2/cumparare,agricol/5000.0/-/2001/-/mostenire"), ("nimic", ""), (None, "")], lambda c: F.array_join(F.transform(declarations.properties(c, False), lambda r: F.concat_ws("/", r["category"], r["area"].cast("string"), *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("county", "year", "share", "mode")])), ","))
 stated("own_income", [(_INCOME, 2010.0), ("7.2. Soţ 5.000 RON", 0.0), (None, 0.0)], declarations.own_income)
 stated("vehicle_rows", [(_CARS, "Autoturism/Dacia Logan/2015/cumparare,motociclet/Honda/2008/-"), ("", "")], lambda c: F.array_join(F.transform(declarations.vehicles(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("kind", "brand", "year", "mode")])), ","))
-stated("wealth_totals", [(_WEALTH, "5600.0|60.0|2|50500.0|2010.0|1|2001")], lambda c: _joined(*[declarations.wealth_totals(c)[k] for k in ("land", "buildings", "vehicles", "debts", "own_income", "counties", "first_year")]))
+stated("wealth_totals", [(_WEALTH, "5600.0|60.0|2|50500.0|2010.0|1|2001")], lambda c: text.bound(declarations.wealth_totals(c), lambda x: _joined(*[x[k] for k in ("land", "buildings", "vehicles", "debts", "own_income", "counties", "first_year")])))
 stated("blank_field", [("- - -", True), ("", True), (None, True), (" – ", True), ("x", False)], declarations.is_blank)

@@ -103,7 +103,7 @@ def label_table(html: Column, colour: str = "fff0d8") -> Column:
     """Labels and values of a page's table rows whose first cell has the labels' colour; of a repeated label the last, empty ones left out."""
     row = rf"(?is)<tr\b[^>]*>\s*<td\b[^>]*bgcolor=[\"']?#?{colour}[\"']?[^>]*>(.*?)</td>\s*<td\b[^>]*>(.*?)</td>"
     part = lambda k: F.regexp_extract_all(html, F.lit(row), F.lit(k))
-    tidy = lambda c: F.trim(F.rtrim(F.lit(": ."), F.ltrim(F.lit("- "), cell_text(c))))
+    tidy = lambda c: F.trim(F.rtrim(F.ltrim(cell_text(c), F.lit("- ")), F.lit(": .")))
     pairs = F.filter(F.zip_with(part(1), part(2), lambda a, b: F.struct(tidy(a).alias("k"), cell_text(b).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)

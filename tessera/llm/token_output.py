@@ -92,8 +92,10 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word.
 
     Words between blanks and line ends that are new go to the library many at a
-    time, as one text with a special token between them. The first LIMIT words
-    that a worker meets are remembered, frequent ones among them.
+    time, as one text with a special token between them. Where the vocabulary
+    marks ends of words, words of Latin letters go with blanks between, and one
+    that a punctuation mark ends is made of both. The first LIMIT words that a
+    worker meets are remembered, frequent ones among them.
     """
 
     LIMIT = 300_000
@@ -108,8 +110,48 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.known: dict[str, bytes] = {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.marked = bool(suffix) and all(self.ends("Ab" + p + " cd").tolist() == [1] * 3 for p in self.PUNCTUATION)
+        self.points = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.PUNCTUATION}
+
+    PUNCTUATION = ".,;:!?"
+
+    def ends(self, text: str) -> np.ndarray:
+        """For each piece that the library splits a text into, how many tokens end a word."""
+        pieces = text.replace(" ", "  ").split("  ")
+        ids = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int64) for p in pieces for x in ([p] if p.isalpha() else [p[:-1], p[-1]])]
+        return np.array([int(self.last[x].sum()) for x in ids])
+
+    def lettered(self, words: list[str]) -> dict[str, bytes]:
+        """New words of letters, by ends of words; none if their number isn't what it should be."""
+        out: dict[str, bytes] = {}
+        parts = [words[at : at + self.TOGETHER] for at in range(0, len(words), self.TOGETHER)]
+        for some, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+        return out
 
     def new_words(self, words: list[str]) -> dict[str, bytes]:
+        if not self.marked:
+            return self.other_words(words)
+        letters = lambda w: w.isalpha() and len(w) < self.LONG and (w.isascii() or (max(w) < "\u0250" and w.lower().isalpha()))
+        stems = {w: w if letters(w) else w[:-1] for w in words if letters(w) or (len(w) > 1 and w[-1] in self.PUNCTUATION and letters(w[:-1]))}
+        known = self.known
+        out = self.lettered([w for w in set(stems.values()) if w not in known])
+        for word, stem in stems.items():
+            found = known.get(stem) if stem in known else out.get(stem)
+            if found is not None and word not in out:
+                out[word] = found if word == stem else found + self.points[word[-1]]
+        out.update(self.other_words([w for w in words if w not in out]))
+        return out
+
+    def other_words(self, words: list[str]) -> dict[str, bytes]:
         mark = next(iter(self.marks), None)
         alone = [w for w in words if len(w) > self.LONG or mark is None or any(m in w for m in self.marks)]
         out = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
@@ -127,10 +169,14 @@ class WordEncoder:
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in batch]
         known = self.known
-        new = self.new_words([w for w in set().union(*split) if w not in known])
-        if len(known) < self.LIMIT:
-            known.update((w, x) for w, x in new.items() if len(w) <= self.LONG)
-        return [np.frombuffer(b"".join([known[w] if w in known else new[w] for w in x]), "<u4") for x in split]
+        new = self.new_words(list(set().union(*split).difference(known)))
+        full = len(known) >= self.LIMIT
+        known.update(new)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in split]
+        for word in new:
+            if full or len(word) > self.LONG:
+                del known[word]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -141,3 +141,72 @@ def wealth_totals(c: Column) -> Column:
 
     held = F.struct(land.alias("land"), buildings.alias("buildings"), F.size(vehicles(part[1])).alias("vehicles"), scan_amounts(part[4]).alias("debts"), own_income(part[6]).alias("own_income"))
     return bound(held, totals)
+
+
+def accounts(c: Column) -> Column:
+    """Rows of the section of accounts: ``bank, kind, currency, year, balance`` in RON, for each currency, year and balance.
+
+    The bank is the last line before that ends with a comma and isn't about a
+    kind of account; kind is told by the 200 characters before.
+    """
+    every = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), AMOUNT_AFTER, "\u0001$0\u0001"), "\u0001")
+
+    def row(i: Column, parts: Column) -> Column:
+        before = F.array_join(F.slice(parts, F.lit(1), i), "")
+        text = F.try_element_at(parts, i + 1)
+        lines = F.transform(F.split(F.substring(before, -300, 300), "\n"), F.trim)
+        banks = F.filter(lines, lambda x: x.endswith(",") & (F.length(x) > 3) & ~x.rlike("(?i)cont|depozit|fond|echival|inclusiv"))
+        near = F.lower(F.substring(before, -200, 200))
+        currency, value = F.upper(F.regexp_extract(text, AMOUNT_AFTER, 1)), amount(F.regexp_extract(text, AMOUNT_AFTER, 2))
+        return F.struct(
+            F.trim(F.regexp_replace(F.try_element_at(banks, F.lit(-1)), ",+$", "")).alias("bank"),
+            F.when(near.rlike("fond|pensii"), "fond_investitii").when(F.contains(near, F.lit("depozit")), "depozit").otherwise("cont_curent").alias("kind"),
+            currency.alias("currency"),
+            F.regexp_extract(text, r"\s(\d{4})\s", 1).cast("int").alias("year"),
+            in_ron(value, currency).alias("balance"),
+        )
+
+    def rows(parts: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (F.size(parts) > 1))
+        return F.filter(F.transform(places, lambda i: row(i, parts)), lambda x: x["balance"] > 0)
+
+    return bound(every, rows)
+
+
+def investments(c: Column) -> Column:
+    """Rows of the section of investments: ``issuer, kind, titles, value`` in RON of the lines with an amount above 100; a section of dashes has none."""
+    titles = r"(?i)(\d+\s*%|\d+\s*/\s*\d+|\d+\s+parti?|\d+\s+titluri?|\d+\s+actiuni?)\s*$"
+
+    def row(line: Column) -> Column:
+        before = F.trim(F.regexp_replace(line, AMOUNT + r"[^\n]*$", ""))
+        held = _first(before, titles)
+        kind = F.when(line.rlike("(?i)[iî]mprumut"), "imprumut").when(line.rlike("(?i)acti") & ~line.rlike("(?i)parti"), "actiuni").when(line.rlike("(?i)par[tț]i social"), "parti_sociale").when(line.rlike("(?i)titluri|obligati|certificate"), "titluri_stat")
+        return F.struct(F.nullif(F.trim(F.regexp_replace(before, titles, "")), F.lit("")).alias("issuer"), kind.alias("kind"), F.trim(held).alias("titles"), in_ron(amount(F.regexp_extract(line, AMOUNT, 1)), F.regexp_extract(line, AMOUNT, 2)).alias("value"), amount(F.regexp_extract(line, AMOUNT, 1)).alias("number"))
+
+    lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(AMOUNT)))
+    found = F.filter(F.transform(lines, row), lambda x: x["number"] > 100)
+    return F.when(F.contains(c, F.lit("- - -")), F.slice(found, F.lit(1), F.lit(0))).otherwise(found)
+
+
+def numbered_entries(c: Column, number: int) -> Column:
+    """The texts of entries such as ``4.1 …``, without the empty ones."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?m)^{number}\.\d+\s+(.+)"), F.lit(1)), F.trim)
+    return F.filter(found, lambda x: ~is_blank(x))
+
+
+def split_number(block: Column, joined: Column) -> Column:
+    """``split, value``: whether a number breaks off at a line's end after one decimal, and what it is with the digits before the currency elsewhere."""
+    piece, rest = F.regexp_extract(block, r"(?m)\b(\d{4,}\.\d)\s*$", 1), F.regexp_extract(joined, r"(?i)\b(\d{1,3})\s*RON\b", 1)
+    whole = F.when((piece != "") & (rest != ""), F.concat(piece, rest).try_cast("double"))
+    return F.struct((piece != "").alias("split"), F.when(whole > piece.try_cast("double"), whole).alias("value"))
+
+
+#: Roles by how specific they are.
+ROLES = {"presedinte": 8, "vicepresedinte": 8, "administrator": 7, "cenzor": 7, "lichidator": 7, "fondator": 7, "reprezentant legal": 6, "asociat unic": 5, "altele": 2, "asociat": 2, "membre": 1, "membrul": 1, "membru": 1}
+
+
+def main_role(c: Column) -> Column:
+    """The most specific role that a text names, of equally specific ones the first listed."""
+    t = F.lower(c)
+    found = F.filter(F.array(*[F.when(t.rlike(rf"\b{name}\b"), F.struct(F.lit(rank).alias("rank"), F.lit(-k).alias("k"), F.lit(name).alias("name"))) for k, (name, rank) in enumerate(ROLES.items())]), lambda x: x.isNotNull())
+    return F.array_max(found)["name"]

@@ -165,3 +165,8 @@ def threshold_bin(rate: Column, high: float, middle: float) -> Column:
 def display_label(code: Column, kind: str) -> Column:
     """How a code is shown; one without a label is shown as it is."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS[kind].items() for x in kv]), code), code)
+
+
+def site_map_party(label: Column) -> Column:
+    """Party as the site map tells it: marks aren't folded, so names with a cedilla match no rule."""
+    return first_contained(F.lower(label), PARTIES)

@@ -108,3 +108,8 @@ def view(df: DataFrame, metric: str, tie: str, n: int, descending: bool = True,
         df = df.where(F.col(column).isin(*wanted))
     shown = F.col(metric) if per is None else F.when(F.col(per) > 0, F.bround(F.col(metric) / F.col(per), 3))
     return ordered(df.withColumn("metric", shown), [by_number("metric", descending), F.col(tie).asc()], n)
+
+
+def group_context(value: Column, group: Column) -> Column:
+    """``pct, n``: position from the bottom of the row's group, and the group's size; null without a group."""
+    return F.when(group.isNotNull(), F.struct(pct_from_bottom(value, group).alias("pct"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n")))

@@ -449,3 +449,22 @@ def search_pages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT '{\"meta\":{\"source_url\":\"u\",\"scraper_version\":\"1\",\"count\":' || count(*) || '},\"data\":[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']}' AS value FROM region")
 def json_envelope(spark: SparkSession, d: str) -> DataFrame:
     return writers.envelope(t(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey"), "1", "u")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_acctbal AS v, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS g, CAST(floor((c_custkey % 60) / 5) AS INT) AS age FROM customer)
+SELECT c_custkey, CASE WHEN g IS NOT NULL THEN CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY g ORDER BY v) - 1) / count(*) OVER (PARTITION BY g), 0) AS INT) END AS county_pct, CASE WHEN g IS NOT NULL THEN count(*) OVER (PARTITION BY g) END AS county_n, CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY age ORDER BY v) - 1) / count(*) OVER (PARTITION BY age), 0) AS INT) AS age_pct FROM c""")
+def cohort_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("g"), F.floor((F.col("c_custkey") % 60) / 5).alias("age"))
+    county, age = ranking.group_context(F.col("v"), F.col("g")), ranking.group_context(F.col("v"), F.col("age"))
+    out = rows.select("c_custkey", county.alias("county"), age.alias("cohort"))
+    return out.select("c_custkey", F.col("county.pct").alias("county_pct"), F.col("county.n").alias("county_n"), F.col("cohort.pct").alias("age_pct"))
+
+
+@query("SELECT 'order' AS tip, 'o' || o_orderkey AS id, o_orderpriority AS title, '/o' AS url FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT event_type, 'e' || event_id, left(props, 5), '/e' FROM events UNION ALL SELECT 'client', 'c' || c_custkey, c_name, '/c' FROM customer UNION ALL SELECT 'maker', 's' || s_suppkey, s_name, '/s' FROM supplier")
+def feed_of_four_sources(spark: SparkSession, d: str) -> DataFrame:
+    def events(name: str, kind: Column, mark: str, key: str, title: Column) -> DataFrame:
+        return t(spark, d, name).select(kind.alias("tip"), F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), title.alias("title"), F.lit(f"/{mark}").alias("url"), *([F.col("o_orderstatus")] if name == "orders" else []))
+
+    orders = events("orders", F.lit("order"), "o", "o_orderkey", F.col("o_orderpriority")).where("o_orderstatus = 'F'").drop("o_orderstatus")
+    others = [events("events", F.col("event_type"), "e", "event_id", F.substring("props", 1, 5)), events("customer", F.lit("client"), "c", "c_custkey", F.col("c_name")), events("supplier", F.lit("maker"), "s", "s_suppkey", F.col("s_name"))]
+    return reduce(DataFrame.unionByName, others, orders)

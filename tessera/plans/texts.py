@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, declarations, entities, mappings, text
+from tessera.functions import dates, declarations, entities, fields, mappings, text
 from tessera.plans.base import query, stated, t
+from tessera.sources import records
 
 
 def _joined(*parts: Column) -> Column:
@@ -157,3 +158,39 @@ stated("own_income", [(_INCOME, 2010.0), ("7.2. Soţ 5.000 RON", 0.0), (None, 0.
 stated("vehicle_rows", [(_CARS, "Autoturism/Dacia Logan/2015/cumparare,motociclet/Honda/2008/-"), ("", "")], lambda c: F.array_join(F.transform(declarations.vehicles(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("kind", "brand", "year", "mode")])), ","))
 stated("wealth_totals", [(_WEALTH, "5600.0|60.0|2|50500.0|2010.0|1|2001")], lambda c: text.bound(declarations.wealth_totals(c), lambda x: _joined(*[x[k] for k in ("land", "buildings", "vehicles", "debts", "own_income", "counties", "first_year")])))
 stated("blank_field", [("- - -", True), ("", True), (None, True), (" – ", True), ("x", False)], declarations.is_blank)
+_ACCOUNTS = "BANCA X,\nCluj\ncont curent\nRON 2015 1.500\nBANCA Y,\ndepozit\nEUR 2019 2000"
+stated("account_rows", [(_ACCOUNTS, "BANCA X/cont_curent/RON/2015/1500.0,BANCA Y/depozit/EUR/2019/10100.0"), ("nimic", "")], lambda c: F.array_join(F.transform(declarations.accounts(c), lambda r: F.concat_ws("/", *[r[k].cast("string") for k in ("bank", "kind", "currency", "year", "balance")])), ","))
+stated("investment_rows", [("Emitent\nSC Alfa SRL 50 % 2.000 RON\nBeta actiuni 120 EUR", "SC Alfa SRL/50 %/-/2000.0,Beta actiuni/-/actiuni/606.0"), ("- - -", ""), ("X 90 RON", "")], lambda c: F.array_join(F.transform(declarations.investments(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("issuer", "titles", "kind", "value")])), ","))
+stated("party_functions", [("4. Funcții\n4.1 PSD - membru\n4.2 - - -\n4.3 USR", "PSD - membru,USR"), ("nimic", "")], lambda c: F.array_join(declarations.numbered_entries(c, 4), ","))
+stated("split_numbers", [("valoare 3757804.9\n4 RON", "true|3757804.94"), ("valoare 3757804.9\nfără", "true|-"), ("4 RON", "false|-")], lambda c: _joined(declarations.split_number(c, c)["split"], declarations.split_number(c, c)["value"].cast("decimal(12,2)")))
+stated("main_role", [("asociat, administrator", "administrator"), ("Membru", "membru"), ("vicepresedinte", "vicepresedinte"), ("nimic", None)], declarations.main_role)
+
+# --- pages and fields -----------------------------------------------------------------
+
+_MOTION_PAGE = "Tip: simpla Inițiatori: 50 deputaţi Nr./Data înregistrării: 12 / 05-03-2024 Data votului: 10.03.2024 Voturi pentru: 120 Rezultat: respinsă"
+stated("labelled_fields", [(_MOTION_PAGE, "simpla|12|2024-03-05|120"), ("altceva", "-|-|-|-")], lambda c: _joined(fields.labelled_field(c, "Tip", fields.MOTION_LABELS, 50), *[fields.number_and_day(fields.labelled_field(c, "Nr./Data înregistrării", fields.MOTION_LABELS, 100))[k] for k in ("nr", "day")], fields.leading_number(fields.labelled_field(c, "Voturi pentru", fields.MOTION_LABELS, 20))))
+_PROFILE = "n. 4 mart. 1970 circumscriptia electorala nr. 12 CLUJ data validarii: x Formaţiunea politică: - PSD Grupul parlamentar Luări de cuvânt: la 15 puncte Declaraţii politice: 3 Propuneri legislative iniţiate: 20 , din care 4 promulgate Întrebări şi interpelări: 7"
+stated("profile_fields", [(_PROFILE, "1970-03-04|PSD|12|15|3|20|4|7"), ("", "-|-|-|-|-|-|-|-")], lambda c: _joined(*[fields.profile(c)[k] for k in ("born", "party", "constituency", "speeches", "declarations", "proposals", "promulgated", "questions")]))
+stated("signatories", [('<a href="/structura.mp?idm=1"><b>Ion Pop</b></a> <a href="/structura.mp?idm=1">Ion Pop</a> <a href="x">Alt Om</a> <a href="/structura.mp?idm=2">Al</a>', "Ion Pop"), ("", "")], lambda c: F.array_join(fields.signatories(c, "structura"), ","))
+_EVENTS = "2024-01-01=Primit la Senat;2024-01-02=Înregistrat la Cameră;2024-02-01=primire raport (25 amend. admise);2024-02-03=termen depunere amendamente: 03.02.2025, ora 16;2024-03-01=adoptat de Senat;2024-04-01=Adoptat de Camera Deputaţilor;2024-05-01=promulgat;2024-06-01=promulgat"
+
+
+def _milestones(c: Column) -> Column:
+    events = F.transform(F.filter(F.split(c, ";"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(2)).alias("text"), F.split_part(x, F.lit("="), F.lit(1)).try_cast("date").alias("day")))
+    return text.bound(fields.milestones(events, "text", "day"), lambda m: _joined(*[m["days"][k] for k in ("presented", "registered", "adopted_senate", "adopted_chamber", "promulgated")], m["deadline"], m["admitted"], m["rejected"]))
+
+
+stated("bill_milestones", [(_EVENTS, "2024-01-01|2024-01-02|2024-03-01|2024-04-01|2024-05-01|2025-02-03|25|-"), ("2024-07-01=Adoptat în ședință comună", "-|-|2024-07-01|2024-07-01|-|-|-|-"), ("", "-|-|-|-|-|-|-|-")], _milestones)
+_VOTES_PAGE = "<table><tr><td>1.</td><td>Ion Pop</td><td>PSD</td><td>DA</td></tr><tr><td>#</td><td>Nume</td><td>Grup</td><td>Vot</td></tr><tr><td>2.</td><td>Ana Dan</td><td>USR</td><td>NU</td></tr></table>"
+stated("nominal_vote_rows", [(_VOTES_PAGE, "Ion Pop/PSD/yes,Ana Dan/USR/no"), ("<p></p>", "")], lambda c: F.array_join(F.transform(records.nominal_votes(c), lambda v: F.concat_ws("/", v["name"], v["party"], mappings.vote_option(v["symbol"]))), ","))
+stated("label_table", [('<tr><td bgcolor="#fff0d8">- Stadiu:</td><td>la <b>comisii</b></td></tr>', "Stadiu=la comisii"), ("", "")], lambda c: F.array_join(F.transform(F.map_entries(records.label_table(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+stated("listed_page_ids", [('<a href="d?idm=31"><a href="d?idm=4"><a href="d?idm=31">', "31,4"), ("x", "")], lambda c: F.array_join(records.listed_ids(c, r"idm=(\d+)").cast("array<string>"), ","))
+stated("linked_pdf_files", [('<tr><td><a href="/a.pdf">x</a></td><td><a>05.03.2024</a></td></tr><tr><td><a href="/a.pdf">y</a></td></tr>', "https://x.org/a.pdf 2024-03-05"), ("", "")], lambda c: F.array_join(F.transform(records.linked_files(c, "https://x.org"), lambda f: F.concat_ws(" ", f["url"], f["day"].cast("string"))), ","))
+stated("session_day_list", [(",20260526,20260101,20260525,20260526,", "2026-05-25,2026-05-26"), ("", "")], lambda c: F.array_join(records.session_days(c, 2026, 5).cast("array<string>"), ","))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS links, md5(array_to_string(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(x)), '|')) AS paragraphs FROM pages")
+def page_lists(spark: SparkSession, d: str) -> DataFrame:
+    every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+    return t(spark, d, "pages").select("page_id", F.size(every('href="/([^"]*)"')).cast("long").alias("links"), F.md5(F.array_join(F.transform(every("<p>([^<]*)</p>"), F.trim), "|")).alias("paragraphs"))
+stated("site_map_party", [("Partidul Social Democrat", "PSD"), ("Uniunea Salvaţi România", None)], mappings.site_map_party)

@@ -86,7 +86,7 @@ def listed_ids(html: Column, pattern: str) -> Column:
 
 def session_days(text: Column, year: int, month: int) -> Column:
     """Days of one month among eight-digit dates in a text, each once, in order."""
-    days = F.transform(F.regexp_extract_all(text, F.lit(r"(\\d{8})"), F.lit(1)), lambda x: F.try_to_date(x, "yyyyMMdd"))
+    days = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{8})"), F.lit(1)), lambda x: F.try_to_date(x, "yyyyMMdd"))
     return F.array_sort(F.array_distinct(F.filter(days, lambda d: (F.year(d) == year) & (F.month(d) == month))))
 
 

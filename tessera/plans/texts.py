@@ -170,7 +170,7 @@ stated("main_role", [("asociat, administrator", "administrator"), ("Membru", "me
 _MOTION_PAGE = "Tip: simpla Inițiatori: 50 deputaţi Nr./Data înregistrării: 12 / 05-03-2024 Data votului: 10.03.2024 Voturi pentru: 120 Rezultat: respinsă"
 stated("labelled_fields", [(_MOTION_PAGE, "simpla|12|2024-03-05|120"), ("altceva", "-|-|-|-")], lambda c: _joined(fields.labelled_field(c, "Tip", fields.MOTION_LABELS, 50), *[fields.number_and_day(fields.labelled_field(c, "Nr./Data înregistrării", fields.MOTION_LABELS, 100))[k] for k in ("nr", "day")], fields.leading_number(fields.labelled_field(c, "Voturi pentru", fields.MOTION_LABELS, 20))))
 _PROFILE = "n. 4 mart. 1970 circumscriptia electorala nr. 12 CLUJ data validarii: x Formaţiunea politică: - PSD Grupul parlamentar Luări de cuvânt: la 15 puncte Declaraţii politice: 3 Propuneri legislative iniţiate: 20 , din care 4 promulgate Întrebări şi interpelări: 7"
-stated("profile_fields", [(_PROFILE, "1970-03-04|PSD|12|15|3|20|4|7"), ("", "-|-|-|-|-|-|-|-")], lambda c: _joined(*[fields.profile(c)[k] for k in ("born", "party", "constituency", "speeches", "declarations", "proposals", "promulgated", "questions")]))
+stated("profile_fields", [(_PROFILE, "1970-03-04|PSD|12|15|3|20|4|7"), ("", "-|-|-|-|-|-|-|-")], lambda c: text.bound(fields.profile(c), lambda p: _joined(*[p[k] for k in ("born", "party", "constituency", "speeches", "declarations", "proposals", "promulgated", "questions")])))
 stated("signatories", [('<a href="/structura.mp?idm=1"><b>Ion Pop</b></a> <a href="/structura.mp?idm=1">Ion Pop</a> <a href="x">Alt Om</a> <a href="/structura.mp?idm=2">Al</a>', "Ion Pop"), ("", "")], lambda c: F.array_join(fields.signatories(c, "structura"), ","))
 _EVENTS = "2024-01-01=Primit la Senat;2024-01-02=Înregistrat la Cameră;2024-02-01=primire raport (25 amend. admise);2024-02-03=termen depunere amendamente: 03.02.2025, ora 16;2024-03-01=adoptat de Senat;2024-04-01=Adoptat de Camera Deputaţilor;2024-05-01=promulgat;2024-06-01=promulgat"
 

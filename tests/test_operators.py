@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import dates, text
 from tessera.operators import aggregates, joins, ranking
 
 
@@ -13,9 +13,10 @@ def test_percentiles_and_ranks(spark):
 
 
 def test_medians_and_quantiles(spark):
-    rows = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "v int")
-    out = rows.agg(aggregates.upper_median(F.col("v")).alias("m"), aggregates.floor_quantile(F.col("v"), 0.5).alias("q"), aggregates.linear_quantiles(F.col("v"), (0.25,)).alias("l")).first()
-    assert (out.m, out.q, out.l) == (3, None, [1.75])
+    rows = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4)] + [("b", v) for v in (7, 7, 7, 9, 9, None)] + [("c", None)], "g string, v int")
+    assert {r.g: r.m for r in aggregates.upper_median(rows, ["g"], "v", "m").collect()} == {"a": 3, "b": 7}
+    assert {r.g: r.q for r in aggregates.floor_quantiles(rows, ["g"], "v", {"q": 0.75}).collect()} == {"a": None, "b": 9}
+    assert rows.where("g = 'a'").agg(aggregates.linear_quantiles(F.col("v"), (0.25,)).alias("l")).first().l == [1.75]
 
 
 def test_cohesion(spark):
@@ -41,7 +42,7 @@ def test_merges(spark):
 
 def test_text(spark):
     one = spark.createDataFrame([("Ștefan  Țuțea", "1.234,56", "3/4", "31.02.2024", "5.3.2024")], "n string, a string, f string, d string, e string")
-    out = one.select(text.name_key(F.col("n")).alias("n"), text.slug(F.col("n")).alias("s"), text.amount(F.col("a")).alias("a"), text.fraction(F.col("f")).alias("f"), text.day_first_date(F.col("d")).alias("d"), text.day_first_date(F.col("e")).alias("e")).first()
+    out = one.select(text.name_key(F.col("n")).alias("n"), text.slug(F.col("n")).alias("s"), text.amount(F.col("a")).alias("a"), text.fraction(F.col("f")).alias("f"), dates.day_first_date(F.col("d")).alias("d"), dates.day_first_date(F.col("e")).alias("e")).first()
     assert (out.n, out.s, out.a, out.f, out.d, out.e) == ("stefan tutea", "stefan-tutea", 1234.56, 0.75, None, dt.date(2024, 3, 5))
 
 

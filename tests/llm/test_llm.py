@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe_stream, chat_format, components, embedding_dedup, ngram_join, shingles, source_mixing, substring_dedup, tiff_pages, token_output, toxicity, url_filter
 
@@ -33,7 +36,9 @@ def empty(spark, schema=DOCS):
 def test_url_rules(spark):
     urls = ["http://Example.com/en/7?x", "http://a.com/en/1", "http://b.net/de/80", "http://www.example.net/de/80", "http://notexample.net/de/8", "http://o.org/es", "no url", None, "", "x://h?/en/", "http://a.b.com#/en/"]
     pages = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
-    labelled = [(u, 1) for u in url_filter.UNWANTED] + [(u, 0) for u in url_filter.WANTED]
+    urls += ["http://x.org/es/" + "a" * 100_000, urls[0]]
+    pages = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    labelled = url_filter.labelled_urls()
     out = {r.page_id: r for r in url_filter.filter_urls(pages, labelled).collect()}
     assert [out[i].rule for i in range(5)] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "net/de/"]
     assert [out[i].verdict for i in range(5)] == ["allow", "block", "allow", "block", "allow"]
@@ -43,11 +48,18 @@ def test_url_rules(spark):
 
 
 def test_url_model_separates_unseen_paths():
-    w = url_filter.train([url_filter.split_url(u) for u in url_filter.UNWANTED + url_filter.WANTED], [1] * len(url_filter.UNWANTED) + [0] * len(url_filter.WANTED))
-    z = lambda u: w[url_filter.ngram_features(*url_filter.split_url(u))].sum() + w[-1]
+    labelled = url_filter.labelled_urls()
+    w = url_filter.train([url_filter.split_url(u) for u, _ in labelled], [y for _, y in labelled])
+    z = lambda u: url_filter.logits(w, [url_filter.ngram_features(*url_filter.split_url(u))])[0]
     assert z("http://www.spam-farm.example.com/fr/991") > 0 > z("http://blog.museum.example.com/fr/991")
 
 
+def test_logits_equal_sums_one_by_one():
+    w = np.random.default_rng(1).standard_normal(url_filter.FEATURES + 1)
+    grams = [url_filter.ngram_features(*url_filter.split_url(u)) for u, _ in url_filter.labelled_urls()] + [url_filter.ngram_features("", "")]
+    assert np.allclose(url_filter.logits(w, grams), [(w[g].sum() + w[-1]) / np.sqrt(len(g) + 1) for g in grams])
+
+
 def test_packed_ids_round_trip():
     for bits in (1, 5, 13, 16, 17):
         ids = np.array([R.randrange(1 << bits) for _ in range(9000)], np.uint32)
@@ -71,6 +83,27 @@ def test_token_files(spark, tmp_path):
         at += len(want)
 
 
+def test_word_encoder_equals_the_library():
+    encoder = token_output.WordEncoder(P.path("word_bpe_49k.json"))
+    odd = ["İstanbul", "don't", "it's.", "Ab,", "Ab..", "ſ", "ªº", "naïve!", "Straße.", "a1b", ",", "word—", "É", "İ.", "x" * 100, "s's", "Ǆ", "ŉ", "日本.", "e\u0301a", "<|endoftext|>", "t,"]
+    texts = [" ".join(R.choice(odd + VOCABULARY) + R.choice(["", "", ".", ","]) for _ in range(300)) for _ in range(30)] + ["", "\n \n", "a\tb\u2003c"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder.LIMIT = 0
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in token_output.WordEncoder(P.path("word_bpe_49k.json")).encode(texts)]
+
+
+def test_token_files_of_odd_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(5, "b", 0), (None, "x", 0), (5, "a b", 0), (2, None, 0)], "doc_id long, text string, ids int")
+    for name, docs in (("some", rows), ("none", rows.limit(0))):
+        path = f"file://{tmp_path}/{name}"
+        token_output.write_token_files(docs, path, P.path("word_bpe_49k.json"), 2, 49_408)
+        found = token_output.read_token_files(spark, path).join(token_output.part_starts(spark, path), "part").collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in found) == ([("2", 1), ("5", 2), ("5", 3), ("None", 2)] if name == "some" else [])
+        starts = sorted((r.start + r.base, r.n_tokens) for r in found)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
 def brute_components(texts, percent=80):
     sets = []
     for t in texts:
@@ -236,6 +269,16 @@ def test_embeddings_equal_brute_force(spark):
     assert all(out[i].n_links <= near[i].sum() - 1 for i in range(len(x)))
 
 
+def test_embeddings_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.01]), (4, [2.0, 0.02]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [1e-300, 0.0])]
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x"))).collect()}
+    smallest = min(np.array(v).tobytes() for i, v in rows if i == 1) == np.array([1.0, 0.0]).tobytes()
+    ids = [1, 2, 3, 4, 8] if smallest else [2, 3, 4, 8]
+    assert all(out[i] == (len(ids) - 1, ids[0], i == ids[0]) for i in ids)
+    assert out[7] == (0, 7, True) and out[None] == (0, None, False)
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
 @pytest.mark.parametrize("bits", [0, 1])
 def test_embeddings_find_lone_pairs_in_a_crowd(spark, monkeypatch, bits):
     if bits:
@@ -269,6 +312,68 @@ def test_tiff_pages_of_bad_files(spark):
     assert sorted((r.id, r.page, r.error is None) for r in out) == [(1, 0, True), (1, 1, True), (2, 0, False), (4, 0, False), (5, 0, False)]
 
 
+def test_tiff_pages_of_any_bytes():
+    rng = np.random.default_rng(3)
+    files = [tiff_pages.write_tiff([rng.integers(0, 9, (40, 30)).astype(k)] * 2, how, 2 if how != 32773 else 1, tile, 9) for how in (1, 5, 8, 32773) for k in (np.uint8, np.uint16) for tile in (0, 16)]
+    for data in files:
+        for _ in range(120):
+            bad = bytearray(data)
+            for _ in range(R.randint(1, 4)):
+                bad[R.choice((R.randrange(len(bad)), len(bad) - 1 - R.randrange(min(180, len(bad)))))] = R.choice((0, 1, 255, R.randrange(256)))
+            rows = list(tiff_pages.pages_of(bytes(bad[: R.choice((len(bad), R.randrange(len(bad))))])))
+            assert rows and all((r[6] is None) == (r[5] is not None) for r in rows)
+
+
+def tiff_by_hand(order, big, tags, data):
+    """A file of one page, written without the module's writer; ``tags`` hold (tag, type, value)."""
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 16 + len(data)) if big else struct.pack(order + "HI", 42, 8 + len(data)))
+    start = len(head)
+    rows = struct.pack(order + ("Q" if big else "H"), len(tags))
+    for tag, kind, value in sorted(tags):
+        value = start if value == "data" else value
+        form = {3: "H", 4: "I"}[kind]
+        rows += struct.pack(order + ("HHQ" if big else "HHI"), tag, kind, 1) + struct.pack(order + form, value).ljust(8 if big else 4, b"\0")
+    return head + data + rows + struct.pack(order + ("Q" if big else "I"), 0)
+
+
+def test_tiff_files_of_other_writers():
+    for order, big in itertools.product("<>", (False, True)):
+        size = lambda w, h, bits, n, how=1, **more: [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, how), (273, 4, "data"), (277, 3, 1), (278, 4, h), (279, 4, n), *more.get("tags", [])]
+        one = next(iter(tiff_pages.pages_of(tiff_by_hand(order, big, size(10, 2, 1, 4), bytes([0b10100000, 0b01000000, 0b11111111, 0b11000000])))))
+        assert one[6] is None and list(one[5]) == [1, 0, 1, 0, 0, 0, 0, 0, 0, 1] + [1] * 10
+        four = next(iter(tiff_pages.pages_of(tiff_by_hand(order, big, size(3, 1, 4, 2), b"\x12\x30"))))
+        assert list(four[5]) == [1, 2, 3]
+        values = np.array([[1.5, -2.25, 1e10, 0.0]], f"{order}f4")
+        planes = np.frombuffer(values.astype(">f4").tobytes(), np.uint8).reshape(4, 4).T.ravel()
+        coded = np.diff(planes, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+        deep = next(iter(tiff_pages.pages_of(tiff_by_hand(order, big, size(4, 1, 32, 16, tags=[(317, 3, 3), (339, 3, 3)]), coded))))
+        assert deep[6] is None and deep[5] == values.tobytes()
+
+
+def test_restore_finds_the_best_path():
+    counts = np.ones(28**3, np.int64)
+    for w in ["idiot", "loser", "moron", "trash"] * 30:
+        k = [27, 27, *[ord(c) - 97 for c in w], 27]
+        for a, b, c in zip(k, k[1:], k[2:]):
+            counts[(a * 28 + b) * 28 + c] += 1
+    model = toxicity.language_model(counts)
+
+    def score(letters):
+        a = b = toxicity.EDGE
+        total = 0.0
+        for c in letters:
+            k = toxicity._kind(c)
+            total += model[a, b, k]
+            a, b = b, k
+        return total + model[a, b, toxicity.EDGE]
+
+    for word in ("1d10t", "l00s3r", "m.o.r", "tt1", "a44b", "$0"):
+        paths = [("".join(x for x, _ in path), sum(p for _, p in path)) for path in itertools.product(*toxicity.lattice(word))]
+        best = max(p + score(letters) for letters, p in paths)
+        found = toxicity.restore(word, model)
+        assert any(letters == found and abs(p + score(letters) - best) < 1e-4 for letters, p in paths)
+
+
 def test_restore():
     counts = np.ones(28**3, np.int64)
     for w in ["idiot", "moron", "loser", "house", "trash"] * 50:
@@ -327,6 +432,15 @@ def test_chat_round_trip(spark):
     assert chat_format.chat_digests(chat_format.format_chat(turns.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts(spark):
+    long = "<|x é" * 300_000
+    data, offsets, first, last = chat_format.assemble(["user", "assistant"], [long, "y" * 5000])
+    assert data.tobytes().decode() == f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\n{'y' * 5000}<|im_end|>\n"
+    assert data[first[1] : last[1]].tobytes() == b"y" * 5000 and offsets[-1] == len(data)
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat_format.chat_digests(chat_format.format_chat(turns)).first().loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_mixing(spark):
     docs = documents(spark, [words(R.randint(1, 60)) for _ in range(400)] + [None, ""])
     rows = source_mixing.mix_sources(docs.withColumnRenamed("lang", "size")).collect()
@@ -374,3 +488,48 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus.without_repeated_passages(spark, one, "").count() == 32
     assert corpus.mixed(spark, docs, "").columns == docs.columns
     assert corpus.encoded(spark, docs, "").count() == 34
+
+
+def test_queries_of_the_text_tables(spark):
+    """The registered queries on the smallest tables, against the tokenizers library and plain Python."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = {name: QUERIES[name](spark, d).collect() for name in ("op2_token_bits", "op6_tiff_pages", "op10_bpe_stream", "op3_substring_dedup", "op9_source_mixing", "op7_toxicity")}
+    assert all(sorted(r.doc_id for r in rows) == sorted(docs) for rows in out.values())
+    words, pieces = Tokenizer.from_file(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for library in (words, pieces):
+        library.no_truncation(), library.no_padding()
+    at = 0
+    for r in sorted(out["op2_token_bits"], key=lambda r: r.doc_id):
+        ids = np.array([*words.encode(docs[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    for r in out["op10_bpe_stream"]:
+        ids = pieces.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(pieces.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    for r in out["op6_tiff_pages"]:
+        data = docs[r.doc_id].encode()
+        padded = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out["op7_toxicity"])
+    urls = QUERIES["op1_url_filter"](spark, d).collect()
+    assert len(urls) == spark.read.parquet(f"{d}/pages.parquet").count() and all(r.verdict in ("allow", "block") for r in urls)
+    assert QUERIES["op4_embedding_dedup"](spark, d).count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
+
+
+def test_pipeline_on_the_smallest_tables(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = corpus.run(spark, d)
+    assert out.count() > docs.count() / 2 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    fitted = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    clean = {r.doc_id for r in toxicity.score_toxicity(docs, fitted).where("score < 0.3").collect()}
+    kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert kept <= clean
+    assert {r.doc_id for r in corpus.without_toxic(spark, docs, d).collect()} == clean

@@ -219,7 +219,9 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     repeat an id keep a row each. Of a null id the component is the smallest id
     its text is linked with, or null. Other columns, also of these names, are
     not read. A very long text is one set like others. An empty table gives an
-    empty result.
+    empty result. ``docs`` should be a table as it is read, or a filter of one:
+    a pack counts on its rows coming in the same order when a lost task runs
+    again.
     """
     return ngram_links(docs, doc_id, text, percent).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 

@@ -169,14 +169,14 @@ class WordEncoder:
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in batch]
         known = self.known
-        new = self.new_words(list(set().union(*split).difference(known)))
-        full = len(known) >= self.LIMIT
-        known.update(new)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in split]
-        for word in new:
-            if full or len(word) > self.LONG:
-                del known[word]
-        return out
+        parts = [list(map(known.get, x)) for x in split]
+        short = [k for k, x in enumerate(parts) if None in x]
+        new = self.new_words(list({w for k in short for w, p in zip(split[k], parts[k], strict=True) if p is None}))
+        for k in short:
+            parts[k] = [new[w] if p is None else p for w, p in zip(split[k], parts[k], strict=True)]
+        if len(known) < self.LIMIT:
+            known.update((w, p) for w, p in new.items() if len(w) <= self.LONG)
+        return [np.frombuffer(b"".join(x), "<u4") for x in parts]
 
 
 _encoders: dict[str, WordEncoder] = {}

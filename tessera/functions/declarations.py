@@ -95,7 +95,7 @@ def properties(c: Column, building: bool) -> Column:
 def own_income(c: Column) -> Column:
     """Sum in RON of the declarant's own subsections of the incomes; those of others don't count."""
     own = F.regexp_extract_all(c, F.lit(r"(?s)\b[1-9]\.1\.(.*?)(?=\b[1-9]\.[1-3]\.|\z)"), F.lit(1))
-    return F.coalesce(F.aggregate(F.transform(own, scan_amounts), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+    return F.coalesce(F.aggregate(F.transform(own, lambda s: scan_amounts(s)), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
 
 
 def vehicles(c: Column) -> Column:
@@ -154,7 +154,7 @@ def accounts(c: Column) -> Column:
     def row(i: Column, parts: Column) -> Column:
         before = F.array_join(F.slice(parts, F.lit(1), i), "")
         text = F.try_element_at(parts, i + 1)
-        lines = F.transform(F.split(F.substring(before, -300, 300), "\n"), F.trim)
+        lines = F.transform(F.split(F.substring(before, -300, 300), "\n"), lambda s: F.trim(s))
         banks = F.filter(lines, lambda x: x.endswith(",") & (F.length(x) > 3) & ~x.rlike("(?i)cont|depozit|fond|echival|inclusiv"))
         near = F.lower(F.substring(before, -200, 200))
         currency, value = F.upper(F.regexp_extract(text, AMOUNT_AFTER, 1)), amount(F.regexp_extract(text, AMOUNT_AFTER, 2))
@@ -190,7 +190,7 @@ def investments(c: Column) -> Column:
 
 def numbered_entries(c: Column, number: int) -> Column:
     """The texts of entries such as ``4.1 …``, without the empty ones."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?m)^{number}\.\d+\s+(.+)"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?m)^{number}\.\d+\s+(.+)"), F.lit(1)), lambda s: F.trim(s))
     return F.filter(found, lambda x: ~is_blank(x))
 
 

@@ -95,7 +95,7 @@ def clean_destination(raw: Column, limit: int = 70) -> Column:
 
 def initiator_parties(c: Column) -> Column:
     """Parties whose members started a bill, each once; the government alone if it is named."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?:deputati|senatori)\s+-\s+([A-ZĂÎȘŢŞȚRO ]{2,20}):"), F.lit(1)), F.trim))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?:deputati|senatori)\s+-\s+([A-ZĂÎȘŢŞȚRO ]{2,20}):"), F.lit(1)), lambda s: F.trim(s)))
     none = F.array(F.lit("Neidentificat"))
     return F.when(F.coalesce(c, F.lit("")) == "", none).when(F.contains(c, F.lit("Guvern")), F.array(F.lit("Guvern"))).otherwise(F.when(F.size(found) > 0, found).otherwise(none))
 

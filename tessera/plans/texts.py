@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, declarations, entities, fields, mappings, text
+from tessera.functions import dates, declarations, entities, fields, interests, mappings, text
 from tessera.plans.base import query, stated, t
 from tessera.sources import records
 
@@ -192,5 +192,13 @@ stated("session_day_list", [(",20260526,20260101,20260525,20260526,", "2026-05-2
 @query("SELECT page_id, len(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS links, md5(array_to_string(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(x)), '|')) AS paragraphs FROM pages")
 def page_lists(spark: SparkSession, d: str) -> DataFrame:
     every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-    return t(spark, d, "pages").select("page_id", F.size(every('href="/([^"]*)"')).cast("long").alias("links"), F.md5(F.array_join(F.transform(every("<p>([^<]*)</p>"), F.trim), "|")).alias("paragraphs"))
+    return t(spark, d, "pages").select("page_id", F.size(every('href="/([^"]*)"')).cast("long").alias("links"), F.md5(F.array_join(F.transform(every("<p>([^<]*)</p>"), lambda s: F.trim(s)), "|")).alias("paragraphs"))
 stated("site_map_party", [("Partidul Social Democrat", "PSD"), ("Uniunea Salvaţi România", None)], mappings.site_map_party)
+
+_COMPANIES = "1. Asociat sau ac\n1.1 SC Alfa SRL - Asociat 50 Părţi sociale 2.000 RON\n1.2 - - -\n1.3 Fundația Beta Membru"
+_BOARDS = "2.1 SC Gama SA -\nAltele Preşedinte 1.500 RON\n2.2 - - -"
+_CONTRACTS = "5. Contracte\nTitular:\nSC Delta SRL PRESTARI SERVICII 12.03.2024 1.000 RON\n1) nota\nSoţ/soţie\n- - - - - - -\nRude de gradul I\nPRIMARIA X LUCRARI\n3757804.9\n4 RON"
+stated("company_rows", [(_COMPANIES, "SC Alfa SRL/Asociat/50/Părţi sociale/2000.0,Fundația Beta/Membru/-/-/-"), ("", "")], lambda c: F.array_join(F.transform(interests.companies(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("name", "role", "titles", "kind", "value")])), ","))
+stated("board_rows", [(_BOARDS, "SC Gama SA/presedinte/1500.0"), ("", "")], lambda c: F.array_join(F.transform(F.filter(interests.boards(c), lambda r: r["role"].isNotNull()), lambda r: F.concat_ws("/", r["name"], r["role"], r["value"].cast("string"))), ","))
+stated("contract_rows", [(_CONTRACTS, "titular/SC Delta SRL PRESTARI SERVICII 12.03.2024 1.000 RON/servicii/1000.00/false/2024-03-12,rude/PRIMARIA X LUCRARI/lucrari/3757804.94/true/-"), ("5. Contracte", "")], lambda c: F.array_join(F.transform(interests.contracts(c), lambda r: F.concat_ws("/", r["beneficiary"], r["name"], r["kind"], r["value"].cast("decimal(12,2)").cast("string"), r["approximate"].cast("string"), F.coalesce(r["day"].cast("string"), F.lit("-")))), ","))
+stated("interest_totals", [(f"{_COMPANIES}\n2. Calitatea de membru în organele de conducere, administrare\n{_BOARDS}\n3. Calitatea de membru în cadrul asocia\n- - -\n{_CONTRACTS}\nPrezenta declara", "2|2|-|0|2|true"), ("nimic", "0|0|-|0|0|false")], lambda c: text.bound(interests.interests(c), lambda x: _joined(F.size(x["companies"]), F.size(x["boards"]), x["associations"], F.size(x["functions"]), F.size(x["contracts"]), x["holds_any"])))

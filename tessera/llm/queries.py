@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .bpe_stream import op10_bpe_stream
 from .chat_format import op8_chat_format
+from .compression_bands import op12_compression_bands
 from .embedding_dedup import op4_embedding_dedup
 from .ngram_join import op5_ngram_jaccard_join
+from .source_divergence import OP13_SQL, op13_source_divergence
 from .source_mixing import OP9_SQL, op9_source_mixing
+from .spelling_variants import OP11_SQL, op11_spelling_variants
 from .substring_dedup import op3_substring_dedup
 from .tiff_pages import op6_tiff_pages
 from .token_output import op2_token_bits
@@ -26,6 +29,9 @@ QUERIES = {
         op8_chat_format,
         op9_source_mixing,
         op10_bpe_stream,
+        op11_spelling_variants,
+        op12_compression_bands,
+        op13_source_divergence,
     )
 }
 
@@ -61,4 +67,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op5_ngram_jaccard_join": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE_SQL = {"op5_ngram_jaccard_join": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_source_mixing": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op13_source_divergence": OP13_SQL}

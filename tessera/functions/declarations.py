@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.mappings import first_contained
-from tessera.functions.text import amount, bound, fraction
+from tessera.functions.markers import marker_index, part, quoted, text_of
+from tessera.functions.text import amount, bound, fraction, strip
 
 # --- Fixed values: rates, section headings, patterns of amounts, and what blocks contain. ---
 RATES = {"RON": 1.0, "LEI": 1.0, "EUR": 5.05, "EURO": 5.05, "USD": 4.50, "DOLARI": 4.50, "GBP": 5.80, "CHF": 5.40}
@@ -104,10 +105,10 @@ def vehicles(c: Column) -> Column:
     held = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.array_join(F.slice(lines, i + 1, F.lit(4)), "\n").alias("near")))
 
     def row(x: Column) -> Column:
-        rest = F.trim(F.regexp_replace(x["line"], VEHICLE, ""))
+        rest = strip(F.regexp_replace(x["line"], VEHICLE, ""))
         return F.struct(
             F.regexp_extract(x["line"], VEHICLE, 1).alias("kind"),
-            F.coalesce(F.nullif(F.trim(F.regexp_extract(rest, r"^([A-Za-zÀ-ž\s\-.]+?)\s+\d", 1)), F.lit("")), _first(rest, r"^(\S+)")).alias("brand"),
+            F.coalesce(F.nullif(strip(F.regexp_extract(rest, r"^([A-Za-zÀ-ž\s\-.]+?)\s+\d", 1)), F.lit("")), _first(rest, r"^(\S+)")).alias("brand"),
             _first(x["near"], YEAR).cast("int").alias("year"),
             first_contained(F.lower(x["near"]), [r for r in ACQUIRED if r[1] == "cumparare"] + [r for r in ACQUIRED if r[1] in ("mostenire", "donatie")]).alias("mode"),
         )
@@ -147,19 +148,20 @@ def accounts(c: Column) -> Column:
     """Rows of the section of accounts: ``bank, kind, currency, year, balance`` in RON, for each currency, year and balance.
 
     The bank is the last line before that ends with a comma and isn't about a
-    kind of account; kind is told by the 200 characters before.
+    kind of account; kind is told by the 200 characters before. Amounts above 100
+    before their currency follow, without bank, kind and year.
     """
     every = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), AMOUNT_AFTER, "\u0001$0\u0001"), "\u0001")
 
     def row(i: Column, parts: Column) -> Column:
         before = F.array_join(F.slice(parts, F.lit(1), i), "")
         text = F.try_element_at(parts, i + 1)
-        lines = F.transform(F.split(F.substring(before, -300, 300), "\n"), lambda s: F.trim(s))
+        lines = F.transform(F.split(F.substring(before, -300, 300), "\n"), lambda s: strip(s))
         banks = F.filter(lines, lambda x: x.endswith(",") & (F.length(x) > 3) & ~x.rlike("(?i)cont|depozit|fond|echival|inclusiv"))
         near = F.lower(F.substring(before, -200, 200))
         currency, value = F.upper(F.regexp_extract(text, AMOUNT_AFTER, 1)), amount(F.regexp_extract(text, AMOUNT_AFTER, 2))
         return F.struct(
-            F.trim(F.regexp_replace(F.try_element_at(banks, F.lit(-1)), ",+$", "")).alias("bank"),
+            strip(F.regexp_replace(F.try_element_at(banks, F.lit(-1)), ",+$", "")).alias("bank"),
             F.when(near.rlike("fond|pensii"), "fond_investitii").when(F.contains(near, F.lit("depozit")), "depozit").otherwise("cont_curent").alias("kind"),
             currency.alias("currency"),
             F.regexp_extract(text, r"\s(\d{4})\s", 1).cast("int").alias("year"),
@@ -167,30 +169,58 @@ def accounts(c: Column) -> Column:
         )
 
     def rows(parts: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (F.size(parts) > 1))
-        return F.filter(F.transform(places, lambda i: row(i, parts)), lambda x: x["balance"] > 0)
+        return F.filter(F.transform(_odd(parts), lambda i: row(i, parts)), lambda x: x["balance"] > 0)
 
-    return bound(every, rows)
+    def plainly(n: Column, currency: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(none.alias("bank"), none.alias("kind"), F.upper(currency).alias("currency"), F.lit(None).cast("int").alias("year"), in_ron(F.when(n > 100, n), F.upper(currency)).alias("balance"))
+
+    numbers, currencies = (F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(AMOUNT), F.lit(k)) for k in (1, 2))
+    forward = F.zip_with(numbers, currencies, lambda n, cur: plainly(amount(n), cur))
+    return F.concat(bound(every, rows), F.filter(forward, lambda x: x["balance"].isNotNull()))
+
+
+def _odd(parts: Column) -> Column:
+    """Places of the matches among parts that marks were put around."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (F.size(parts) > 1))
+
+
+#: How many titles are held, at the end of what stands before an amount, and kinds of investments.
+TITLES = r"(?i)(\d+\s*%|\d+\s*/\s*\d+|\d+\s+parti?|\d+\s+titluri?|\d+\s+actiuni?)\s*$"
+LOAN, SHARES, NO_SHARES, STAKES, BONDS = "[iî]mprumut", "acti", "parti", "par[tț]i social", "titluri|obligati|certificate"
 
 
 def investments(c: Column) -> Column:
-    """Rows of the section of investments: ``issuer, kind, titles, value`` in RON of the lines with an amount above 100; a section of dashes has none."""
-    titles = r"(?i)(\d+\s*%|\d+\s*/\s*\d+|\d+\s+parti?|\d+\s+titluri?|\d+\s+actiuni?)\s*$"
+    """Rows of the section of investments: ``issuer, kind, titles, value`` in RON for each amount above 100.
 
-    def row(line: Column) -> Column:
-        before = F.trim(F.regexp_replace(line, AMOUNT + r"[^\n]*$", ""))
-        held = _first(before, titles)
-        kind = F.when(line.rlike("(?i)[iî]mprumut"), "imprumut").when(line.rlike("(?i)acti") & ~line.rlike("(?i)parti"), "actiuni").when(line.rlike("(?i)par[tț]i social"), "parti_sociale").when(line.rlike("(?i)titluri|obligati|certificate"), "titluri_stat")
-        return F.struct(F.nullif(F.trim(F.regexp_replace(before, titles, "")), F.lit("")).alias("issuer"), kind.alias("kind"), F.trim(held).alias("titles"), in_ron(amount(F.regexp_extract(line, AMOUNT, 1)), F.regexp_extract(line, AMOUNT, 2)).alias("value"), amount(F.regexp_extract(line, AMOUNT, 1)).alias("number"))
+    Issuer and titles stand before the amount on its line; the kind is told by
+    200 characters before and 50 behind. A section of dashes has none.
+    """
+    every = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), AMOUNT, "\u0001$0\u0001"), "\u0001")
+
+    def kind(near: Column) -> Column:
+        return F.when(near.rlike(LOAN), "imprumut").when(near.rlike(SHARES) & ~near.rlike(NO_SHARES), "actiuni").when(near.rlike(STAKES), "parti_sociale").when(near.rlike(BONDS), "titluri_stat")
 
-    lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(AMOUNT)))
-    found = F.filter(F.transform(lines, row), lambda x: x["number"] > 100)
-    return F.when(F.contains(c, F.lit("- - -")), F.slice(found, F.lit(1), F.lit(0))).otherwise(found)
+    def row(i: Column, parts: Column) -> Column:
+        found = F.try_element_at(parts, i + 1)
+        before, after = F.array_join(F.slice(parts, F.lit(1), i), ""), F.array_join(F.slice(parts, i + 2, F.size(parts)), "")
+        first = F.substring_index(before, "\n", -1)
+        line = F.concat(first, found, F.split_part(after, F.lit("\n"), F.lit(1)))
+        behind = F.length(F.try_element_at(F.split(line, F.concat(F.lit("\\Q"), found, F.lit("\\E"))), F.lit(-1)))
+        prefix = strip(F.substring(line, F.lit(1), F.length(line) - behind - F.length(found)))
+        near = F.lower(F.concat(F.substring(before, -200, 200), found, F.substring(after, 1, 50)))
+        number, currency = amount(F.regexp_extract(found, AMOUNT, 1)), F.upper(F.regexp_extract(found, AMOUNT, 2))
+        return F.struct(F.nullif(strip(F.regexp_replace(prefix, TITLES, "")), F.lit("")).alias("issuer"), kind(near).alias("kind"), strip(_first(prefix, TITLES)).alias("titles"), in_ron(number, currency).alias("value"), number.alias("number"))
+
+    def rows(parts: Column) -> Column:
+        return F.filter(F.transform(_odd(parts), lambda i: row(i, parts)), lambda x: x["number"] > 100)
+
+    return bound(every, lambda parts: F.when(F.contains(c, F.lit("- - -")), F.slice(rows(parts), F.lit(1), F.lit(0))).otherwise(rows(parts)))
 
 
 def numbered_entries(c: Column, number: int) -> Column:
     """The texts of entries such as ``4.1 …``, without the empty ones."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?m)^{number}\.\d+\s+(.+)"), F.lit(1)), lambda s: F.trim(s))
+    found = F.transform(F.regexp_extract_all(c, F.lit(rf"(?m)^{number}\.\d+\s+(.+)"), F.lit(1)), lambda s: strip(s))
     return F.filter(found, lambda x: ~is_blank(x))
 
 
@@ -210,3 +240,107 @@ def main_role(c: Column) -> Column:
     t = F.lower(c)
     found = F.filter(F.array(*[F.when(t.rlike(rf"\b{name}\b"), F.struct(F.lit(rank).alias("rank"), F.lit(-k).alias("k"), F.lit(name).alias("name"))) for k, (name, rank) in enumerate(ROLES.items())]), lambda x: x.isNotNull())
     return F.array_max(found)["name"]
+
+
+# --- Whole declarations, from one index of headings. ---
+#: Headings within sections, and the categories of land that have a sum of their own.
+LAND_PART, BUILDING_PART, VALUABLES_PART, ACCOUNTS_PART, INVESTMENTS_PART, OTHERS_PART, OLD_INCOME = "1. Terenuri", "2. Clădiri", "2. Bunuri sub", "1. Conturi", "2. Plasamente", "3. Alte active", "Venituri ale declarantului"
+AREAS = {"agricol": "farm_area", "forestier": "forest_area", "intravilan": "town_area", "luciu_apa": "water_area"}
+SHORTEST = 100
+
+
+def wealth_record(c: Column) -> Column:
+    """A whole wealth declaration as one struct; each section is read from one index of the headings.
+
+    ``readable`` (100 characters or more; else all sums are 0), numbers of plots
+    and buildings and their rows, areas by category and share, vehicles,
+    valuables, disposals, accounts, investments, debts, gifts, income of all and
+    of the declarant, and what follows from them: monetary assets, net worth,
+    counties, companies, plots of forest and farm land, the first year. Null is an
+    empty text.
+    """
+    headings = [*SECTIONS, LAND_PART, BUILDING_PART, VALUABLES_PART, ACCOUNTS_PART, INVESTMENTS_PART, OTHERS_PART, OLD_INCOME]
+    text = F.coalesce(c, F.lit(""))
+    usable = F.when(F.length(strip(text)) >= SHORTEST, text).otherwise("")
+    return bound(marker_index(usable, quoted(*headings)), lambda index: bound(_wealth_sections(index), lambda s: bound(_wealth_rows(s), lambda r: _wealth(usable, s, r))))
+
+
+def _wealth_sections(index: Column) -> Column:
+    """Texts of all sections that the record reads."""
+    main = lambda k: part(index, SECTIONS[k], SECTIONS)
+    within = lambda k, heading, ends: bound(main(k), lambda x: text_of(part(x, heading, ends)))
+    income = F.nullif(text_of(main(6)), F.lit(""))
+    return F.struct(
+        within(0, LAND_PART, [BUILDING_PART, SECTIONS[1]]).alias("land"),
+        within(0, BUILDING_PART, [SECTIONS[1]]).alias("buildings"),
+        text_of(main(1)).alias("movables"),
+        within(1, VALUABLES_PART, []).alias("valuables"),
+        text_of(main(2)).alias("disposals"),
+        within(3, ACCOUNTS_PART, [INVESTMENTS_PART, OTHERS_PART]).alias("accounts"),
+        within(3, INVESTMENTS_PART, [OTHERS_PART, SECTIONS[4]]).alias("investments"),
+        text_of(main(4)).alias("debts"),
+        text_of(main(5)).alias("gifts"),
+        F.coalesce(income, text_of(part(index, OLD_INCOME, SECTIONS))).alias("income"),
+    )
+
+
+def _wealth_rows(s: Column) -> Column:
+    forward = F.zip_with(*[F.regexp_extract_all(s["income"], F.lit(AMOUNT), F.lit(k)) for k in (1, 2)], lambda n, cur: bound(amount(n), lambda v: F.when(v > 100, in_ron(v, cur)).otherwise(0.0)))
+    disposed = F.when(F.contains(s["disposals"], F.lit("- - -")), "").otherwise(s["disposals"])
+    return F.struct(
+        F.concat(properties(s["land"], False), properties(s["buildings"], True)).alias("properties"),
+        vehicles(s["movables"]).alias("vehicles"),
+        accounts(s["accounts"]).alias("accounts"),
+        investments(s["investments"]).alias("investments"),
+        scan_amounts(s["valuables"]).alias("valuables"),
+        F.size(F.regexp_extract_all(disposed, F.lit(r"\b\d{1,2}[./]\d{1,2}[./]\d{4}\b"), F.lit(0))).alias("disposals"),
+        scan_amounts(disposed).alias("disposed"),
+        scan_amounts(s["debts"]).alias("debts"),
+        scan_amounts(s["gifts"]).alias("gifts"),
+        F.aggregate(forward, F.lit(0.0), lambda a, b: a + b).alias("income"),
+        own_income(s["income"]).alias("own_income"),
+    )
+
+
+def _wealth(text: Column, s: Column, r: Column) -> Column:
+    total = lambda rows, of: F.aggregate(F.transform(rows, of), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0)))
+    land = F.filter(r["properties"], lambda x: x["kind"] == "teren")
+    area = lambda which: total(F.filter(land, which), lambda x: x["owned"])
+    of_category = lambda category: area(lambda x: x["category"] == category)
+    areas = [of_category(category).alias(name) for category, name in AREAS.items()]
+    other = area(lambda x: ~x["category"].isin(*AREAS)).alias("other_area")
+    built = total(F.filter(r["properties"], lambda x: x["kind"] == "cladire"), lambda x: x["owned"]).alias("built_area")
+    plots = lambda category: F.size(F.filter(r["properties"], lambda x: x["category"] == category))
+    measures = lambda t: F.size(F.regexp_extract_all(t, F.lit(AREA), F.lit(0)))
+    held, invested = total(r["accounts"], lambda x: x["balance"]), total(r["investments"], lambda x: x["value"])
+    assets = held + invested + r["valuables"]
+    return F.struct(
+        (F.length(text) > 0).alias("readable"),
+        measures(s["land"]).alias("plots"),
+        measures(s["buildings"]).alias("buildings"),
+        r["properties"].alias("properties"),
+        *areas,
+        other,
+        built,
+        total(r["properties"], lambda x: x["owned"]).alias("area"),
+        F.size(r["vehicles"]).alias("vehicle_count"),
+        r["vehicles"].alias("vehicles"),
+        r["valuables"].alias("valuables"),
+        r["disposals"].alias("disposals"),
+        r["disposed"].alias("disposed"),
+        r["accounts"].alias("accounts"),
+        held.alias("in_accounts"),
+        r["investments"].alias("investments"),
+        invested.alias("invested"),
+        r["debts"].alias("debts"),
+        r["gifts"].alias("gifts"),
+        r["income"].alias("income"),
+        r["own_income"].alias("own_income"),
+        assets.alias("monetary_assets"),
+        (assets - r["debts"]).alias("net_worth"),
+        F.size(F.array_distinct(F.filter(F.transform(r["properties"], lambda x: x["county"]), lambda x: x.isNotNull()))).alias("counties"),
+        F.size(r["investments"]).alias("companies"),
+        plots("forestier").alias("forest_plots"),
+        plots("agricol").alias("farm_plots"),
+        F.array_min(F.transform(r["properties"], lambda x: x["year"])).alias("first_year"),
+    )

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import day_first_date
-from tessera.functions.declarations import is_blank, main_role, numbered_entries, section, split_number
-from tessera.functions.text import amount, bound, first_rule
+from tessera.functions.declarations import is_blank, main_role, numbered_entries, split_number
+from tessera.functions.markers import marker_index, part, quoted, text_of
+from tessera.functions.text import amount, bound, first_rule, strip
 
 # --- Fixed values: headings, patterns of roles, titles and amounts, and kinds of contracts in order of precedence. ---
 HEADINGS = [
@@ -39,13 +40,13 @@ CONTRACTS = [
 
 def _entries(c: Column) -> Column:
     """Texts of numbered entries, without their numbers."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?m)(?=^\d+\.\d+\s)"), lambda s: F.trim(s)), lambda x: x.rlike(r"^\d+\.\d+\s"))
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?m)(?=^\d+\.\d+\s)"), lambda s: strip(s)), lambda x: x.rlike(r"^\d+\.\d+\s"))
     return F.transform(parts, lambda x: F.regexp_replace(x, r"^\d+\.\d+\s+", ""))
 
 
 def _name(c: Column) -> Column:
     """The first line, without a dash at its end."""
-    return F.trim(F.regexp_replace(F.trim(F.split_part(F.trim(c), F.lit("\n"), F.lit(1))), "-+$", ""))
+    return strip(F.regexp_replace(strip(F.split_part(strip(c), F.lit("\n"), F.lit(1))), "-+$", ""))
 
 
 def _amounts(c: Column) -> Column:
@@ -85,15 +86,15 @@ def contracts(c: Column) -> Column:
     def block(tag: str, heading: str) -> Column:
         others = "|".join(h for _, h in BENEFICIARIES)
         body = F.regexp_extract(c, rf"(?s){heading}[^\n]*\n(.*?)(?=(?:{others})|\z)", 1)
-        clean = F.trim(F.regexp_replace(body, ASIDE, ""))
+        clean = strip(F.regexp_replace(body, ASIDE, ""))
         cut = F.regexp_extract(clean, rf"(?s)^(.*{DASHES})", 1)
-        return F.struct(F.lit(tag).alias("tag"), F.position(F.lit(heading[:2]), c).alias("at"), F.when(cut != "", cut).otherwise(clean).alias("text"))
+        return F.struct(F.lit(tag).alias("tag"), F.when(cut != "", cut).otherwise(clean).alias("text"))
 
     def row(b: Column) -> Column:
-        flat = F.trim(F.regexp_replace(b["text"], r"\s+", " "))
+        flat = strip(F.regexp_replace(b["text"], r"\s+", " "))
         broken = split_number(b["text"], flat)
         total = F.aggregate(F.filter(_amounts(flat), lambda v: v > 0), F.lit(0.0), lambda a, v: a + v)
-        lines = F.filter(F.transform(F.split(b["text"], "\n"), lambda x: F.trim(F.split_part(F.trim(x), F.lit("  "), F.lit(1)))), lambda x: (F.length(x) > 3) & ~is_blank(x) & (x.rlike(r"(?iU)\b(?:SC|SRL|SA|RA|SNC|SCS|CABINET INDIVIDUAL|PFA|ASOCIATIA|FUNDATIA)\b") | (x.rlike(r"(?U)^\p{Lu}") & (F.length(x) > 4))))
+        lines = F.filter(F.transform(F.split(b["text"], "\n"), lambda x: strip(F.split_part(strip(x), F.lit("  "), F.lit(1)))), lambda x: (F.length(x) > 3) & ~is_blank(x) & (x.rlike(r"(?iU)\b(?:SC|SRL|SA|RA|SNC|SCS|CABINET INDIVIDUAL|PFA|ASOCIATIA|FUNDATIA)\b") | (x.rlike(r"(?U)^\p{Lu}") & (F.length(x) > 4))))
         return F.struct(
             b["tag"].alias("beneficiary"),
             F.try_element_at(lines, F.lit(1)).alias("name"),
@@ -107,10 +108,46 @@ def contracts(c: Column) -> Column:
     return bound(blocks, lambda held: F.transform(held, row))
 
 
+#: What a declaration says of itself.
+REGISTERED, COMPLETED = r"^\s*(\d{6,9})", r"(?iu)Data complet[aă]rii\s+Semn[aă]tura\s+(\d{2}-\d{2}-\d{4})"
+OCCASION = r"(?iu)(30 de zile de la num[iî]re|30 de zile de la [îi]ncetare|Anual[,\s])"
+SHORTEST = 100
+
+
 def interests(c: Column) -> Column:
-    """All of a declaration: ``companies, boards, associations, functions, contracts`` and whether it holds anything."""
-    part = lambda k: section(c, HEADINGS[k], HEADINGS[k + 1 :])
-    third = bound(part(2), lambda x: F.trim(F.regexp_replace(x, r"(?is)^3\. Calitatea de membru.*?\n", "")))
-    held = F.struct(companies(part(0)).alias("companies"), boards(part(1)).alias("boards"), F.when(~is_blank(third), third).alias("associations"), numbered_entries(part(3), 4).alias("functions"), contracts(part(4)).alias("contracts"))
-    any_ = lambda x: (F.size(x["companies"]) + F.size(x["boards"]) + F.size(x["functions"]) + F.size(x["contracts"]) > 0) | x["associations"].isNotNull()
-    return bound(held, lambda x: F.struct(*[x[k].alias(k) for k in ("companies", "boards", "associations", "functions", "contracts")], any_(x).alias("holds_any")))
+    """A whole declaration of interests as one struct; its sections come from one index of the headings.
+
+    ``readable`` (100 characters or more; else nothing is read), register number,
+    occasion, day, ``companies, boards, associations, functions, contracts``, how
+    many companies there are, the sum of the contracts, whether there is an office
+    in a party, a public contract, or anything at all. Null is an empty text.
+    """
+    text = F.coalesce(c, F.lit(""))
+    usable = F.when(F.length(strip(text)) >= SHORTEST, text).otherwise("")
+
+    def sections(index: Column) -> Column:
+        of = lambda k: text_of(part(index, HEADINGS[k], HEADINGS[k + 1 :]))
+        return F.struct(*[of(k).alias(f"s{k}") for k in range(5)])
+
+    def rows(s: Column) -> Column:
+        third = strip(F.regexp_replace(s["s2"], r"(?is)^3\. Calitatea de membru.*?\n", ""))
+        return F.struct(companies(s["s0"]).alias("companies"), boards(s["s1"]).alias("boards"), F.when(~is_blank(third), third).alias("associations"), numbered_entries(s["s3"], 4).alias("functions"), contracts(s["s4"]).alias("contracts"))
+
+    def whole(x: Column) -> Column:
+        said = F.lower(F.regexp_extract(usable, OCCASION, 1))
+        occasion = F.when(F.contains(said, F.lit("num")), "numire").when(F.contains(said, F.lit("ncetare")), "incetare").when(said != "", "anual")
+        offices, public = F.size(x["functions"]) > 0, F.size(x["contracts"]) > 0
+        return F.struct(
+            (F.length(usable) > 0).alias("readable"),
+            F.nullif(F.regexp_extract(usable, REGISTERED, 1), F.lit("")).alias("register_id"),
+            occasion.alias("occasion"),
+            day_first_date(F.regexp_extract(usable, COMPLETED, 1)).alias("completed"),
+            *[x[k].alias(k) for k in ("companies", "boards", "associations", "functions", "contracts")],
+            F.size(x["companies"]).alias("company_count"),
+            F.aggregate(x["contracts"], F.lit(0.0), lambda a, v: a + F.coalesce(v["value"], F.lit(0.0))).alias("contract_total"),
+            offices.alias("party_office"),
+            public.alias("public_contracts"),
+            ((F.size(x["companies"]) + F.size(x["boards"]) > 0) | offices | public | x["associations"].isNotNull()).alias("holds_any"),
+        )
+
+    return bound(marker_index(usable, quoted(*HEADINGS)), lambda index: bound(sections(index), lambda s: bound(rows(s), whole)))

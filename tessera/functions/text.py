@@ -23,6 +23,11 @@ def bound(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
+def strip(c: Column) -> Column:
+    """Without blanks and line ends at either end."""
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
+
+
 def comma_below(c: Column) -> Column:
     """Letters with a cedilla become those with a comma below."""
     return F.translate(c, "şŞţŢ", "șȘțȚ")

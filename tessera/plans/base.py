@@ -15,6 +15,8 @@ def query(sql: str | None = None):
     """Register a query under its name, with its SQL."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
@@ -45,6 +47,8 @@ def stated(name: str, cases: list[tuple[str | None, object]], of: Callable[[Colu
         texts = F.array(*[F.lit(c).cast("string") for c, _ in cases])
         return t(spark, sf_dir, table).select(key, F.element_at(texts, (F.col(key) % len(cases)).cast("int") + 1).alias("text")).select(key, of(F.col("text")).alias("out"))
 
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
     QUERIES[name] = run
     results = ", ".join(_sql(r) for _, r in cases)
     ORACLES[name] = f"SELECT {key}, list_extract([{results}], CAST({key} % {len(cases)} AS INT) + 1) AS out FROM {table}"

@@ -146,31 +146,11 @@ def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").agg(F.lit("all").alias("grp"), n.alias("n"), F.bround(100.0 * F.count_if(kind.isNull()) / n, 1).alias("unknown"))
 
 
-# --- declarations ---------------------------------------------------------------------
-
-_LAND = "1. Terenuri\nTara: ROMANIA\nJudet: Cluj\nLocalitate: X\nIntravilan 2010 1.200 m2 1/2 Contract de vânzare-cumpărare\nTara: ROMANIA\nJudet: Iasi\nAgricol 1999 3 m2\nTara: ROMANIA\nAgricol 2001 5.000 m2 mostenire"
-_CARS = "Autoturism Dacia Logan 2015 1\nContract vanzare\nmotociclet Honda\n2008\nalte"
-_INCOME = "VII. Venituri\n7.1. Titular 1.000 RON 7.2. Soţ 5.000 RON 8.1. x 200 EUR 8.3. copii 900 RON"
-_WEALTH = f"I. Bunuri imobile\n{_LAND}\n2. Clădiri\nTara: RO\nJudet: Cluj\nApartament 2012 60 m2 1/1\nII. Bunuri mobile\n{_CARS}\nV. Datorii\nBanca 10.000 EUR\nVI. Cadouri\n{_INCOME}"
-stated("text_section", [("aaI. Bunuri imobile xII. Bunuri mobile y", "I. Bunuri imobile x"), ("I. Bunuri imobile z", "I. Bunuri imobile z"), ("V. Datorii", "")], lambda c: declarations.section(c, declarations.SECTIONS[0], declarations.SECTIONS[1:]))
-stated("property_rows", [(_LAND, "intravilan/1200.0/Cluj/2010/1/2/cumparare,agricol/5000.0/-/2001/-/mostenire"), ("nimic", ""), (None, "")], lambda c: F.array_join(F.transform(declarations.properties(c, False), lambda r: F.concat_ws("/", r["category"], r["area"].cast("string"), *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("county", "year", "share", "mode")])), ","))
-stated("own_income", [(_INCOME, 2010.0), ("7.2. Soţ 5.000 RON", 0.0), (None, 0.0)], declarations.own_income)
-stated("vehicle_rows", [(_CARS, "Autoturism/Dacia Logan/2015/cumparare,motociclet/Honda/2008/-"), ("", "")], lambda c: F.array_join(F.transform(declarations.vehicles(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("kind", "brand", "year", "mode")])), ","))
-stated("wealth_totals", [(_WEALTH, "5600.0|60.0|2|50500.0|2010.0|1|2001")], lambda c: text.bound(declarations.wealth_totals(c), lambda x: _joined(*[x[k] for k in ("land", "buildings", "vehicles", "debts", "own_income", "counties", "first_year")])))
-stated("blank_field", [("- - -", True), ("", True), (None, True), (" – ", True), ("x", False)], declarations.is_blank)
-_ACCOUNTS = "BANCA X,\nCluj\ncont curent\nRON 2015 1.500\nBANCA Y,\ndepozit\nEUR 2019 2000"
-stated("account_rows", [(_ACCOUNTS, "BANCA X/cont_curent/RON/2015/1500.0,BANCA Y/depozit/EUR/2019/10100.0"), ("nimic", "")], lambda c: F.array_join(F.transform(declarations.accounts(c), lambda r: F.concat_ws("/", *[r[k].cast("string") for k in ("bank", "kind", "currency", "year", "balance")])), ","))
-stated("investment_rows", [("Emitent\nSC Alfa SRL 50 % 2.000 RON\nBeta actiuni 120 EUR", "SC Alfa SRL/50 %/-/2000.0,Beta actiuni/-/actiuni/606.0"), ("- - -", ""), ("X 90 RON", "")], lambda c: F.array_join(F.transform(declarations.investments(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("issuer", "titles", "kind", "value")])), ","))
-stated("party_functions", [("4. Funcții\n4.1 PSD - membru\n4.2 - - -\n4.3 USR", "PSD - membru,USR"), ("nimic", "")], lambda c: F.array_join(declarations.numbered_entries(c, 4), ","))
-stated("split_numbers", [("valoare 3757804.9\n4 RON", "true|3757804.94"), ("valoare 3757804.9\nfără", "true|-"), ("4 RON", "false|-")], lambda c: _joined(declarations.split_number(c, c)["split"], declarations.split_number(c, c)["value"].cast("decimal(12,2)")))
-stated("main_role", [("asociat, administrator", "administrator"), ("Membru", "membru"), ("vicepresedinte", "vicepresedinte"), ("nimic", None)], declarations.main_role)
 
 # --- pages and fields -----------------------------------------------------------------
 
 _MOTION_PAGE = "Tip: simpla Inițiatori: 50 deputaţi Nr./Data înregistrării: 12 / 05-03-2024 Data votului: 10.03.2024 Voturi pentru: 120 Rezultat: respinsă"
 stated("labelled_fields", [(_MOTION_PAGE, "simpla|12|2024-03-05|120"), ("altceva", "-|-|-|-")], lambda c: _joined(fields.labelled_field(c, "Tip", fields.MOTION_LABELS, 50), *[fields.number_and_day(fields.labelled_field(c, "Nr./Data înregistrării", fields.MOTION_LABELS, 100))[k] for k in ("nr", "day")], fields.leading_number(fields.labelled_field(c, "Voturi pentru", fields.MOTION_LABELS, 20))))
-_PROFILE = "n. 4 mart. 1970 circumscriptia electorala nr. 12 CLUJ data validarii: x Formaţiunea politică: - PSD Grupul parlamentar Luări de cuvânt: la 15 puncte Declaraţii politice: 3 Propuneri legislative iniţiate: 20 , din care 4 promulgate Întrebări şi interpelări: 7"
-stated("profile_fields", [(_PROFILE, "1970-03-04|PSD|12|15|3|20|4|7"), ("", "-|-|-|-|-|-|-|-")], lambda c: text.bound(fields.profile(c), lambda p: _joined(*[p[k] for k in ("born", "party", "constituency", "speeches", "declarations", "proposals", "promulgated", "questions")])))
 stated("signatories", [('<a href="/structura.mp?idm=1"><b>Ion Pop</b></a> <a href="/structura.mp?idm=1">Ion Pop</a> <a href="x">Alt Om</a> <a href="/structura.mp?idm=2">Al</a>', "Ion Pop"), ("", "")], lambda c: F.array_join(fields.signatories(c, "structura"), ","))
 _EVENTS = "2024-01-01=Primit la Senat;2024-01-02=Înregistrat la Cameră;2024-02-01=primire raport (25 amend. admise);2024-02-03=termen depunere amendamente: 03.02.2025, ora 16;2024-03-01=adoptat de Senat;2024-04-01=Adoptat de Camera Deputaţilor;2024-05-01=promulgat;2024-06-01=promulgat"
 
@@ -195,10 +175,3 @@ def page_lists(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.size(every('href="/([^"]*)"')).cast("long").alias("links"), F.md5(F.array_join(F.transform(every("<p>([^<]*)</p>"), lambda s: F.trim(s)), "|")).alias("paragraphs"))
 stated("site_map_party", [("Partidul Social Democrat", "PSD"), ("Uniunea Salvaţi România", None)], mappings.site_map_party)
 
-_COMPANIES = "1. Asociat sau ac\n1.1 SC Alfa SRL - Asociat 50 Părţi sociale 2.000 RON\n1.2 - - -\n1.3 Fundația Beta Membru"
-_BOARDS = "2.1 SC Gama SA -\nAltele Preşedinte 1.500 RON\n2.2 - - -"
-_CONTRACTS = "5. Contracte\nTitular:\nSC Delta SRL PRESTARI SERVICII 12.03.2024 1.000 RON\n1) nota\nSoţ/soţie\n- - - - - - -\nRude de gradul I\nPRIMARIA X LUCRARI\n3757804.9\n4 RON"
-stated("company_rows", [(_COMPANIES, "SC Alfa SRL/Asociat/50/Părţi sociale/2000.0,Fundația Beta/Membru/-/-/-"), ("", "")], lambda c: F.array_join(F.transform(interests.companies(c), lambda r: F.concat_ws("/", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("name", "role", "titles", "kind", "value")])), ","))
-stated("board_rows", [(_BOARDS, "SC Gama SA/presedinte/1500.0"), ("", "")], lambda c: F.array_join(F.transform(F.filter(interests.boards(c), lambda r: r["role"].isNotNull()), lambda r: F.concat_ws("/", r["name"], r["role"], r["value"].cast("string"))), ","))
-stated("contract_rows", [(_CONTRACTS, "titular/SC Delta SRL PRESTARI SERVICII 12.03.2024 1.000 RON/servicii/1000.00/false/2024-03-12,rude/PRIMARIA X LUCRARI/lucrari/3757804.94/true/-"), ("5. Contracte", "")], lambda c: F.array_join(F.transform(interests.contracts(c), lambda r: F.concat_ws("/", r["beneficiary"], r["name"], r["kind"], r["value"].cast("decimal(12,2)").cast("string"), r["approximate"].cast("string"), F.coalesce(r["day"].cast("string"), F.lit("-")))), ","))
-stated("interest_totals", [(f"{_COMPANIES}\n2. Calitatea de membru în organele de conducere, administrare\n{_BOARDS}\n3. Calitatea de membru în cadrul asocia\n- - -\n{_CONTRACTS}\nPrezenta declara", "2|2|-|0|2|true"), ("nimic", "0|0|-|0|0|false")], lambda c: text.bound(interests.interests(c), lambda x: _joined(F.size(x["companies"]), F.size(x["boards"]), x["associations"], F.size(x["functions"]), F.size(x["contracts"]), x["holds_any"])))

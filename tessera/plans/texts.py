@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, declarations, entities, fields, interests, mappings, text
+from tessera.functions import dates, declarations, fields, mappings, text
 from tessera.plans.base import query, stated, t
 from tessera.sources import records
 
@@ -102,51 +102,6 @@ def status_and_bins(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", mappings.threshold_bin(F.round("o_totalprice").cast("long") % 100, 90, 70).alias("bin"), mappings.bill_status(law, stage, adopted, F.lit(None)).alias("status"), mappings.bill_status_facet(law, stage).alias("facet"))
 
 
-# --- entities -------------------------------------------------------------------------
-
-_BILL = "<b>Proiectul de Lege</b> pentru modificarea și completarea Legii nr.95/2006 privind reforma în domeniul sănătății (PL-x 12/2024) - lege organică<br>Procedură de urgenţă<br>Cameră decizională<br>Raport comun - Comisia pentru sănătate și Comisia juridică distribuit<br>Adoptat de Senat - 05.03.2024"
-_OUG = "Proiectul de Lege privind aprobarea Ordonanţei de urgenţă a Guvernului nr.57/2023 pentru stabilirea unor măsuri la BNR."
-_MOTION = "Dezbaterea moţiunii simple cu tema X, iniţiată de 52 de deputaţi"
-_DEBATE = "- Dezbateri politice la solicitarea Grupului parlamentar USR, cu tema Y"
-_DECISION = "Proiectul de Hotărâre privind constituirea unei comisii, Decizia Curţii Constituţionale nr.7 și Legea nr.1/2000, Legea nr.1/2000"
-_MINUTE = "Păstrarea unui moment de reculegere"
-_ITEMS = [_BILL, _OUG, _MOTION, _DEBATE, _DECISION, _MINUTE]
-
-
-_FOUND = [
-    "proiect_lege;modificare_si_completare;lege_organica;procedura_urgenta,camera_decizionala;2024-03-05;Lege 95/2006;sanatate,juridica;;;;reforma în domeniul sănătății;",
-    "proiect_lege;aprobare_oug;;;;OUG 57/2023;;;;;stabilirea unor măsuri la BNR;BNR",
-    "motiune_simpla;;;;;;;;52;deputati;cu tema X, inițiată de 52 de deputați;",
-    "dezbateri_politice;;;;;;;USR;;;- Dezbateri politice la solicitarea Grupului parlamentar USR, cu tema Y;",
-    "proiect_hotarare;constituire;;;;Lege 1/2000,CCR 7/;;;;;;",
-    "moment_reculegere;;;;;;;;;;;",
-]
-
-
-def _entities(c: Column) -> Column:
-    def shown(e: Column) -> Column:
-        acts = F.transform(e["referenced_acts"], lambda a: F.concat(a["act_type"], F.lit(" "), a["nr"], F.lit("/"), F.coalesce(a["year"].cast("string"), F.lit(""))))
-        parts = [e["item_type"], e["action"], e["law_category"], F.array_join(e["flags"], ","), e["senate_adoption_date"], F.array_join(acts, ","), F.array_join(e["commission_slugs"], ","), e["initiator_group"], e["initiator_count"], e["initiator_type"], e["subject"], F.array_join(e["institutions"], ",")]
-        return F.concat_ws(";", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-
-    return text.bound(entities.entities(c), shown)
-
-
-stated("agenda_entities", list(zip(_ITEMS, _FOUND, strict=True)), _entities)
-stated("agenda_item_type", list(zip(_ITEMS, [x.split(";")[0] for x in _FOUND], strict=True)), lambda c: entities.item_type(text.strip_html(c)))
-stated("agenda_acts", [(_DECISION, 2), (_MINUTE, 0)], lambda c: F.size(entities.referenced_acts(c)))
-stated("agenda_subject", [(_OUG, "stabilirea unor măsuri la BNR"), (_MINUTE, None)], lambda c: entities.subject(c, entities.item_type(c)))
-stated("group_history", [("Grupul parlamentar SOS România - membru până în feb. 2025 Deputaţi neafiliaţi - membru din feb. 2025", "SOS/-/feb. 2025/false,Neafiliat/feb. 2025/-/true"), ("Grupul parlamentar al Partidului Social Democrat", "PSD/-/-/true"), ("", ""), (None, "")], lambda c: F.array_join(F.transform(entities.group_history(c), lambda e: F.concat_ws("/", e["short"], F.coalesce(e["from_date"], F.lit("-")), F.coalesce(e["until_date"], F.lit("-")), e["current"].cast("string"))), ","))
-
-
-@query("SELECT 'all' AS grp, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (s_suppkey % 3 = 0) / count(*), 1) AS unknown FROM supplier")
-def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
-    kind = entities.item_type(F.when(F.col("s_suppkey") % 3 == 0, "Altceva").otherwise("Raportul comisiei"))
-    n = F.count(F.lit(1))
-    return t(spark, d, "supplier").agg(F.lit("all").alias("grp"), n.alias("n"), F.bround(100.0 * F.count_if(kind.isNull()) / n, 1).alias("unknown"))
-
-
-
 # --- pages and fields -----------------------------------------------------------------
 
 _MOTION_PAGE = "Tip: simpla Inițiatori: 50 deputaţi Nr./Data înregistrării: 12 / 05-03-2024 Data votului: 10.03.2024 Voturi pentru: 120 Rezultat: respinsă"

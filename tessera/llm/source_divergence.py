@@ -12,7 +12,7 @@ up exactly.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,12 @@ SCALE = 1_000_000_000
 #: A term is heavy if more than one in so many groups of its language have it.
 HEAVY = 4
 #: Groups in a side of a tile, cells of a tile, rows of lists of groups in a block.
-SIDE, CELLS, ROWS = 256, 1 << 20, 200_000
-FLUSH_TERMS, FLUSH_BYTES = 200_000, 16 << 20
+SIDE, CELLS, ROWS = 256, 1 << 20, 20_000
+#: A task's counts are sent on before they hold more bytes than this, an entry counted as so many, and texts above a length by it besides.
+FLUSH_BYTES, ENTRY, LONG = 160 << 20, 200, 100_000
+#: Occurrences and, in the lower bits, documents of a term in one number.
+DOCS_BITS = 40
+DOCS_MASK = (1 << DOCS_BITS) - 1
 PAIRS = 1 << 20
 
 #: Letters A-Z in lower case, other ASCII parts terms, bytes of other characters stay.
@@ -39,27 +43,27 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """``lang, source, term, n, docs``, and a row with an empty term for each group; counted by task first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple[str, str, bytes]] = Counter()
-        docs: Counter[tuple[str, str, bytes]] = Counter()
+        groups: defaultdict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            keys = list(docs)
-            columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2].decode() for k in keys]]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([n[k] for k in keys], pa.int64()), pa.array(docs.values(), pa.int64())], ["lang", "source", "term", "n", "docs"])
+            held = [len(c) for c in groups.values()]
+            names = [pa.array(np.repeat(np.array([g[k] for g in groups], object), held), pa.string()) for k in (0, 1)]
+            both = [x for c in groups.values() for x in c.values()]
+            terms = pa.array([t for c in groups.values() for t in c], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([*names, terms, pa.array([x >> DOCS_BITS for x in both], pa.int64()), pa.array([x & DOCS_MASK for x in both], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
         size = 0
         for batch in batches:
             for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs[a, b, b""] += 1
+                group = groups[a, b]
+                group[b""] += 1
+                before = len(group)
                 for term, times in Counter(s.encode().translate(_TERMS).split()).items():
-                    key = (a, b, term)
-                    size += len(term) * (key not in docs)
-                    n[key] += times
-                    docs[key] += 1
-                if len(docs) > FLUSH_TERMS or size > FLUSH_BYTES:
+                    group[term] += (times << DOCS_BITS) + 1
+                size += ENTRY * (len(group) - before) + (len(s) if len(s) > LONG else 0)
+                if size > FLUSH_BYTES:
                     yield out()
-                    n.clear()
-                    docs.clear()
+                    groups.clear()
                     size = 0
         yield out()
 
@@ -97,10 +101,10 @@ def _pairs(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "value": pa.array(value, pa.int64())})
 
 
-def _wanted(ids: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of each pair of a tile once, smaller id first: within one block, or from both."""
+def _wanted(key: tuple, ids: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of each pair of a tile once, smaller id first: within its block, or one from each of its two."""
     a, b = np.triu_indices(len(ids), 1)
-    if len(np.unique(side)) > 1:
+    if key[1] != key[2]:
         across = side[a] != side[b]
         a, b = a[across], b[across]
     return a, b
@@ -112,7 +116,7 @@ def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[order], side[order], floor[order]
 
 
-def dense_tile(rows: pa.Table, groups: pa.Table) -> pa.Table:
+def dense_tile(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
     """Sums of a tile's heavy terms, groups by terms in one array; terms a group hasn't have its floor."""
     ids, side, floor = _groups(groups)
     terms = rows["term"].combine_chunks().dictionary_encode()
@@ -121,7 +125,7 @@ def dense_tile(rows: pa.Table, groups: pa.Table) -> pa.Table:
         return _pairs(*np.zeros((3, 0), np.int64))
     shares = np.repeat(floor[:, None], width, axis=1)
     shares[np.searchsorted(ids, rows["id"].to_numpy()), terms.indices.to_numpy()] = rows["p"].to_numpy()
-    first, second = _wanted(ids, side)
+    first, second = _wanted(key, ids, side)
     value = np.zeros(len(first), np.int64)
     for k in np.unique(first):
         mine = first == k
@@ -129,7 +133,7 @@ def dense_tile(rows: pa.Table, groups: pa.Table) -> pa.Table:
     return _pairs(ids[first], ids[second], value)
 
 
-def light_tile(rows: pa.Table, groups: pa.Table) -> pa.Table:
+def light_tile(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
     """Sums over all light terms of a pair as if no term were in both groups, from the shares that occur in each."""
     ids, side, floor = _groups(groups)
     light = int(groups["light"][0].as_py()) if len(groups) else 0
@@ -144,7 +148,7 @@ def light_tile(rows: pa.Table, groups: pa.Table) -> pa.Table:
         more = (n[mine, None] * (gap(p[mine, None], floor[None, :]) - both[k])).sum(axis=0)
         value[k] += more
         value[:, k] += more
-    first, second = _wanted(ids, side)
+    first, second = _wanted(key, ids, side)
     return _pairs(ids[first], ids[second], value[first, second])
 
 

@@ -27,7 +27,9 @@ SCALE = 1_000_000_000
 #: A term is heavy if more than one in so many groups of its language have it.
 HEAVY = 4
 #: Groups in a side of a tile, cells of a tile, rows of lists of groups in a block.
-SIDE, CELLS, ROWS = 256, 1 << 20, 20_000
+SIDE, CELLS, ROWS = 256, 1 << 16, 20_000
+#: A tile has at least so many cells for each pair of its groups, so sums are far fewer than cells.
+CELLS_A_PAIR = 8
 #: A task's counts are sent on before they hold more bytes than this, an entry counted as so many, and texts above a length by it besides.
 FLUSH_BYTES, ENTRY, LONG = 160 << 20, 200, 100_000
 #: Occurrences and, in the lower bits, documents of a term in one number.
@@ -219,7 +221,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     blocks = {
         "floor": _share(F.lit(0), F.col("total"), F.col("terms")),
         "sides": F.greatest(F.ceil(F.col("groups") / side), F.lit(1)).cast("int"),
-        "parts": F.greatest(F.ceil(F.col("dense") * F.col("groups") / cells), F.lit(1)).cast("int"),
+        "parts": F.greatest(F.ceil(F.col("dense") * F.col("groups") / F.greatest(F.lit(cells), CELLS_A_PAIR * F.pow(F.least("groups", F.lit(2 * side)), F.lit(2)))), F.lit(1)).cast("int"),
         "lists": F.greatest(F.ceil(F.col("listed") / rows), F.lit(1)).cast("int"),
     }
     groups = members.withColumns(blocks).withColumn("side", F.pmod(F.xxhash64("source"), F.col("sides")).cast("int"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import at_ranks, joined, quantiles
+
 
 def safe_pct(part: Column, whole: Column, digits: int = 1) -> Column:
     """``100 * part / whole``, half-even; 0 when the whole is 0."""
@@ -32,31 +32,14 @@ def monthly_trend(df: DataFrame, day: Column, hit: Column) -> DataFrame:
     return df.where(day.isNotNull()).groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, at: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """``keys``, ``n`` and the values at given places of each group, in order from 0; ``at`` gives a place from ``n``.
-
-    Values are counted first and then summed up in order, so no group is held
-    as an array. Nulls don't count; a place outside the group gives null.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    summed = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(w))
-    return summed.groupBy(*keys).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("_upto") > place(F.col("n")), F.col("_v"))).alias(name) for name, place in at.items()])
-
-
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The middle value of each group, of an even number the upper one: an exact order statistic, not interpolated."""
-    return order_statistics(df, keys, value, {name: lambda n: F.floor(n / 2)})
-
-
-def linear_quantiles(value: Column, shares: tuple[float, ...]) -> Column:
-    """Quantiles with linear interpolation."""
-    return F.percentile(value, F.array(*[F.lit(s) for s in shares]))
+    return at_ranks(df, keys, value, {name: lambda n: F.floor(n / 2)})
 
 
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], least: int = 5) -> DataFrame:
     """The values at floor(n * share) in order; null in groups with fewer than ``least`` values."""
-    out = order_statistics(df, keys, value, {name: lambda n, q=q: F.floor(n * q) for name, q in shares.items()})
+    out = at_ranks(df, keys, value, {name: lambda n, q=q: F.floor(n * q) for name, q in shares.items()})
     return out.withColumns({name: F.when(F.col("n") >= least, F.col(name)) for name in shares})
 
 
@@ -91,6 +74,16 @@ def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return pairs.groupBy(key).agg(best.alias("modal"), F.sum("_n").alias("total"))
 
 
+def group_stats(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], **others: Column) -> DataFrame:
+    """``keys, n``, exact quantiles of a value and other aggregates; ``n`` counts all rows, quantiles those with a value.
+
+    Quantiles come from ranges of values, so a group of any size is in no task as a whole.
+    """
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in others.items()])
+    found = quantiles(df, keys, value, shares).drop("n")
+    return joined(rows, found, keys, "left") if keys else rows.join(found, how="left")
+
+
 def two_groups(df: DataFrame, group: Column, wanted: tuple[str, str], size: Column) -> DataFrame:
     """``grp, n, items, several`` of two groups: rows, their list sizes in sum, and rows with more than one item."""
     rows = df.select(group.alias("grp"), F.coalesce(size, F.lit(0)).alias("size")).where(F.col("grp").isin(*wanted))

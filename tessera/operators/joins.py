@@ -43,6 +43,24 @@ def coalesced_key(first: Column, second: Column, pattern: str) -> Column:
     return F.coalesce(key(first), key(second))
 
 
+def map_by_key(df: DataFrame, texts: list[str], pattern: str, row: list[str], side: DataFrame, side_text: str, order: list[str], hot: int = 1_000_000) -> DataFrame:
+    """Rows with the first hit of their key on the side, under ``hit``; rows without a key or hit stay, with null.
+
+    A key is what the pattern finds in the first text that holds one, even if
+    the side lacks it and would have that of a later text. The side's first row
+    of a key, by ``order``, is its hit. Keys of more than ``hot`` rows, which are
+    few, are split: their rows by a digest of the columns ``row``, their hit copied.
+    """
+    found = lambda c: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    keyed = df.withColumn("_key", F.coalesce(*[found(c) for c in texts]))
+    rest = F.struct(*side.columns)
+    hits = side.withColumn("_key", found(side_text)).where("_key is not null").groupBy("_key").agg(F.min_by(rest, F.struct(*order)).alias("hit"))
+    many = keyed.where("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("_key", F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    left = keyed.join(F.broadcast(many), "_key", "left").withColumn("_salt", F.pmod(F.xxhash64(*row), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = hits.join(F.broadcast(many), "_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, ["_key", "_salt"], "left").withColumnRenamed("_key", "key").drop("_salt")
+
+
 def attach_children(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str], name: str) -> DataFrame:
     """Each parent with its children in order; one without any has an empty list."""
     nested = nest(children, key, order, columns, name)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import share_below, with_positions
 
-def pct_from_bottom(value: Column, *groups: Column) -> Column:
-    """Per cent of the group that is strictly below, rounded half-even."""
-    # A global position over all rows needs them in order; give groups where they are known.
-    ordered = Window.partitionBy(*groups).orderBy(value)
-    return F.bround(100.0 * (F.rank().over(ordered) - 1) / F.count(F.lit(1)).over(Window.partitionBy(*groups)), 0).cast("int")
 
+def context(df: DataFrame, value: str, groups: dict[str, list[str]]) -> DataFrame:
+    """Adds ``pct, rank, n`` of a value in each of some groupings, named before: per cent strictly below, place from the top, size.
 
-def rank_from_top(value: Column, *groups: Column) -> Column:
-    """1 for the highest; equal values share a rank."""
-    return F.rank().over(Window.partitionBy(*groups).orderBy(value.desc()))
+    ``groups`` maps a name to the columns of its group. Equal values share a
+    place; null values and rows whose group column is null have none.
+    """
+    for name, keys in groups.items():
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+        asked = f"_{name}_value"
+        df = with_positions(df.withColumn(asked, F.when(known, F.col(value))), keys, asked, "_below", "_above", f"{name}_n")
+        df = df.withColumns({f"{name}_pct": share_below(F.col("_below"), F.col(f"{name}_n")), f"{name}_rank": (F.col("_above") + 1)}).drop("_below", "_above", asked)
+    return df
 
 
 def leaderboard(df: DataFrame, value: str, tie: str, n: int = 15, descending: bool = True, where: Column | None = None) -> DataFrame:
@@ -41,24 +47,20 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return ordered.withColumn("rn", F.row_number().over(Window.orderBy(*order))).where(F.col("rn") > (number - 1) * size)
 
 
-def below_all(df: DataFrame, value: str, name: str, parts: int = 200) -> DataFrame:
-    """Adds how many rows of the whole table have a strictly smaller value, and ``total``; null values have none.
+def below_all(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds how many rows of the whole table have a strictly smaller value, and ``total``; null values have none."""
+    return with_positions(df, [], value, name, "_above", "total").drop("_above")
+
 
-    Values are counted once and go to ranges, whose sums are few; positions are
-    then found within each range, so no task orders the whole table.
+def first_of_step(df: DataFrame, group: str, step: str, value: str, key: str, name: str) -> DataFrame:
+    """Adds whether a row, from the highest value of its group down, is the first of a step below the one before it.
+
+    ``step`` falls with the value, ties go by key. Steps of a group are few, so
+    each is reduced to its first row, and no group is put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = sorted(set(df.approxQuantile(value, [k / parts for k in range(1, parts)], 1 / parts)))
-    part = F.lit(0)
-    for k in range(len(bounds)):
-        part = part + (F.col(value) >= F.lit(bounds[k])).cast("int")
-    placed = counts.withColumn("_part", part)
-    sums = placed.groupBy("_part").agg(F.sum("_c").alias("_s"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    sums = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("total"))
-    own = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    found = placed.join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.coalesce(F.sum("_c").over(own), F.lit(0)))
-    return df.join(found.select(value, name, "total"), value, "left")
+    first = df.groupBy(group, step).agg(F.max_by(key, F.struct(value, -F.col(key))).alias("_first"))
+    below = first.withColumn("_top", F.max(step).over(Window.partitionBy(group))).where(F.col(step) < F.col("_top"))
+    return df.join(below.select(group, F.col("_first").alias(key), F.lit(True).alias(name)), [group, key], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def neighbours(df: DataFrame, order: list[Column], selected: Column, reach: int = 5) -> DataFrame:
@@ -108,8 +110,3 @@ def view(df: DataFrame, metric: str, tie: str, n: int, descending: bool = True,
         df = df.where(F.col(column).isin(*wanted))
     shown = F.col(metric) if per is None else F.when(F.col(per) > 0, F.bround(F.col(metric) / F.col(per), 3))
     return ordered(df.withColumn("metric", shown), [by_number("metric", descending), F.col(tie).asc()], n)
-
-
-def group_context(value: Column, group: Column) -> Column:
-    """``pct, n``: position from the bottom of the row's group, and the group's size; null without a group."""
-    return F.when(group.isNotNull(), F.struct(pct_from_bottom(value, group).alias("pct"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n")))

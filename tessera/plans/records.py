@@ -105,7 +105,8 @@ def board_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, 'top ' || greatest(1, 100 - CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1) / count(*) OVER (PARTITION BY c_nationkey), 0) AS INT)) || '%' AS label FROM customer")
 def percentile_labels(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "customer").select("c_custkey", facets.top_share(ranking.pct_from_bottom(F.col("c_acctbal"), F.col("c_nationkey"))).alias("label"))
+    out = ranking.context(t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", {"nation": ["c_nationkey"]})
+    return out.select("c_custkey", facets.top_share(F.col("nation_pct")).alias("label"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN CAST(round_even(o_totalprice / 1e6, 1) AS VARCHAR) || 'M' WHEN o_totalprice >= 1e3 THEN CAST(round_even(o_totalprice / 1e3, 1) AS VARCHAR) || 'k' ELSE CAST(CAST(round_even(o_totalprice, 0) AS BIGINT) AS VARCHAR) END AS shown FROM orders")
@@ -208,20 +209,22 @@ def trend_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_nationkey, count(*) AS n, round_even(median(c_acctbal), 2) AS med, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS members FROM customer GROUP BY 1 HAVING count(*) >= 3")
 def stats_with_members(spark: SparkSession, d: str) -> DataFrame:
     members = F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",")
-    return t(spark, d, "customer").groupBy("c_nationkey").agg(_n().alias("n"), F.bround(F.median("c_acctbal"), 2).alias("med"), members.alias("members")).where("n >= 3")
+    out = agg.group_stats(t(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", {"med": 0.5}, members=members)
+    return out.where("n >= 3").withColumn("med", F.bround("med", 2))
 
 
 @query("SELECT s_nationkey, round_even(quantile_cont(s_acctbal, 0.25), 4) AS q1, round_even(quantile_cont(s_acctbal, 0.75), 4) AS q3, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY 1")
 def quantiles_by_group(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("s_acctbal")
-    q = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.coalesce(agg.linear_quantiles(v, (0.25, 0.75)), F.array(F.lit(0.0), F.lit(0.0))).alias("q"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return q.select("s_nationkey", F.bround(F.col("q")[0], 4).alias("q1"), F.bround(F.col("q")[1], 4).alias("q3"), "low", "high")
+    out = agg.group_stats(t(spark, d, "supplier").select("s_nationkey", "s_acctbal"), ["s_nationkey"], "s_acctbal", {"q1": 0.25, "q3": 0.75}, low=F.min(v), high=F.max(v))
+    return out.select("s_nationkey", *[F.bround(F.coalesce(n, F.lit(0.0)), 4).alias(n) for n in ("q1", "q3")], "low", "high")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS below, round_even(median(c_acctbal), 2) AS med, round_even(100.0::DOUBLE * count(*) FILTER (c_acctbal > 5000) / count(*), 1) AS pct, round_even(avg(c_acctbal), 2) AS mean, max(c_acctbal) AS most FROM customer")
 def stat_cards(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("c_acctbal")
-    return t(spark, d, "customer").agg(_n().alias("n"), F.count_if(v < 0).alias("below"), F.bround(F.median(v), 2).alias("med"), agg.safe_pct(F.count_if(v > 5000), _n()).alias("pct"), F.bround(F.avg(v), 2).alias("mean"), F.max(v).alias("most"))
+    out = agg.group_stats(t(spark, d, "customer").select("c_acctbal"), [], "c_acctbal", {"med": 0.5}, below=F.count_if(v < 0), pct=agg.safe_pct(F.count_if(v > 5000), _n()), mean=F.bround(F.avg(v), 2), most=F.max(v))
+    return out.withColumn("med", F.bround("med", 2))
 
 
 @query("""WITH m AS (SELECT DISTINCT ON (user_id, event_type) user_id % 7 AS team, user_id, event_type, event_id FROM events ORDER BY user_id, event_type, event_id),
@@ -284,7 +287,7 @@ def first_present(spark: SparkSession, d: str) -> DataFrame:
 def wealth_report(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     boards = [ranking.leaderboard(rows, "c_acctbal", "c_custkey", 10, where=F.col("c_acctbal") > 0).select(F.lit("highest").alias("board"), "c_custkey", F.col("c_acctbal").alias("value")), ranking.leaderboard(rows, "c_acctbal", "c_custkey", 10, descending=False).select(F.lit("lowest").alias("board"), "c_custkey", F.col("c_acctbal").alias("value"))]
-    medians = rows.groupBy("c_mktsegment").agg(F.bround(F.median("c_acctbal"), 2).alias("value")).select(F.concat(F.lit("median "), F.col("c_mktsegment")).alias("board"), F.lit(None).cast("long").alias("c_custkey"), "value")
+    medians = agg.group_stats(rows, ["c_mktsegment"], "c_acctbal", {"value": 0.5}).withColumn("value", F.bround("value", 2)).select(F.concat(F.lit("median "), F.col("c_mktsegment")).alias("board"), F.lit(None).cast("long").alias("c_custkey"), "value")
     return reduce(DataFrame.unionByName, [*boards, medians])
 
 
@@ -455,9 +458,8 @@ def json_envelope(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey, CASE WHEN g IS NOT NULL THEN CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY g ORDER BY v) - 1) / count(*) OVER (PARTITION BY g), 0) AS INT) END AS county_pct, CASE WHEN g IS NOT NULL THEN count(*) OVER (PARTITION BY g) END AS county_n, CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY age ORDER BY v) - 1) / count(*) OVER (PARTITION BY age), 0) AS INT) AS age_pct FROM c""")
 def cohort_context(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("g"), F.floor((F.col("c_custkey") % 60) / 5).alias("age"))
-    county, age = ranking.group_context(F.col("v"), F.col("g")), ranking.group_context(F.col("v"), F.col("age"))
-    out = rows.select("c_custkey", county.alias("county"), age.alias("cohort"))
-    return out.select("c_custkey", F.col("county.pct").alias("county_pct"), F.col("county.n").alias("county_n"), F.col("cohort.pct").alias("age_pct"))
+    out = ranking.context(rows, "v", {"county": ["g"], "age": ["age"]})
+    return out.select("c_custkey", "county_pct", "county_n", "age_pct")
 
 
 @query("SELECT 'order' AS tip, 'o' || o_orderkey AS id, o_orderpriority AS title, '/o' AS url FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT event_type, 'e' || event_id, left(props, 5), '/e' FROM events UNION ALL SELECT 'client', 'c' || c_custkey, c_name, '/c' FROM customer UNION ALL SELECT 'maker', 's' || s_suppkey, s_name, '/s' FROM supplier")

@@ -60,14 +60,16 @@ def upper_median_gap(spark: SparkSession, d: str) -> DataFrame:
 def group_stats_median(spark: SparkSession, d: str) -> DataFrame:
     joined = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = F.col("c_acctbal")
-    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.bround(F.median(v), 2).alias("med"), F.bround(F.avg(v), 2).alias("mean"), F.bround(F.sum(v), 2).alias("total")).where("n >= 3")
+    out = agg.group_stats(joined.select("n_name", "c_acctbal"), ["n_name"], "c_acctbal", {"med": 0.5}, mean=F.bround(F.avg(v), 2), total=F.bround(F.sum(v), 2))
+    return out.where("n >= 3").withColumn("med", F.bround("med", 2))
 
 
 @query("SELECT round_even(quantile_cont(s_acctbal,0.25),4) AS q1, round_even(quantile_cont(s_acctbal,0.5),4) AS med, round_even(quantile_cont(s_acctbal,0.75),4) AS q3, round_even(quantile_cont(s_acctbal,0.9),4) AS p90, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier")
 def quartiles_linear(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("s_acctbal")
-    q = _t(spark, d, "supplier").agg(agg.linear_quantiles(v, (0.25, 0.5, 0.75, 0.9)).alias("q"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return q.select(*[F.bround(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q1", "med", "q3", "p90"))], "low", "high")
+    shares = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p90": 0.9}
+    q = agg.group_stats(_t(spark, d, "supplier").select("s_acctbal"), [], "s_acctbal", shares, low=F.min(v), high=F.max(v))
+    return q.select(*[F.bround(n, 4).alias(n) for n in shares], "low", "high")
 
 
 @query("WITH s AS (SELECT s_nationkey AS k, list_sort(list(s_acctbal)) AS l FROM supplier GROUP BY 1) SELECT k, CASE WHEN len(l)>=5 THEN l[CAST(floor(len(l)*0.25) AS INT)+1] END AS q1, CASE WHEN len(l)>=5 THEN l[CAST(floor(len(l)*0.75) AS INT)+1] END AS q3 FROM s")
@@ -79,9 +81,9 @@ def quartiles_floor(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c_custkey, CAST(round_even(100.0::DOUBLE*(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)-1)/count(*) OVER (PARTITION BY c_nationkey),0) AS INT) AS pct, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rnk,
 CASE WHEN c_acctbal>0 THEN CAST(round_even(100.0::DOUBLE*(rank() OVER (PARTITION BY c_nationkey, c_acctbal>0 ORDER BY c_acctbal)-1)/count(*) OVER (PARTITION BY c_nationkey, c_acctbal>0),0) AS INT) END AS pct_positive, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer""")
 def percentile_context(spark: SparkSession, d: str) -> DataFrame:
-    v, g = F.col("c_acctbal"), F.col("c_nationkey")
-    positive = v > 0
-    return _t(spark, d, "customer").select("c_custkey", ranking.pct_from_bottom(v, g).alias("pct"), ranking.rank_from_top(v, g).alias("rnk"), F.when(positive, ranking.pct_from_bottom(v, g, positive)).alias("pct_positive"), F.count(F.lit(1)).over(Window.partitionBy(g)).alias("n"))
+    rows = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("positive"))
+    out = ranking.context(rows, "c_acctbal", {"all": ["c_nationkey"], "some": ["positive"]})
+    return out.select("c_custkey", F.col("all_pct").alias("pct"), F.col("all_rank").alias("rnk"), F.col("some_pct").alias("pct_positive"), F.col("all_n").alias("n"))
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal>0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 15")
@@ -114,15 +116,16 @@ def top_bottom_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, round_even(abs(c_acctbal)/max(abs(c_acctbal)) OVER (PARTITION BY c_nationkey),6) AS bar, round_even(least(1.0, greatest(0.1, sqrt(abs(c_acctbal)/max(abs(c_acctbal)) OVER (PARTITION BY c_nationkey)))),6) AS circle FROM customer")
 def max_normalise(spark: SparkSession, d: str) -> DataFrame:
-    bar = F.abs("c_acctbal") / F.max(F.abs("c_acctbal")).over(Window.partitionBy("c_nationkey"))
-    return _t(spark, d, "customer").select("c_custkey", F.bround(bar, 6).alias("bar"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.sqrt(bar))), 6).alias("circle"))
+    rows = _t(spark, d, "customer").select("c_custkey", "c_nationkey", F.abs("c_acctbal").alias("v"))
+    bar = F.col("v") / F.col("most")
+    out = rows.join(rows.groupBy("c_nationkey").agg(F.max("v").alias("most")), "c_nationkey")
+    return out.select("c_custkey", F.bround(bar, 6).alias("bar"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.sqrt(bar))), 6).alias("circle"))
 
 
 @query("WITH v AS (SELECT c_nationkey, c_custkey, floor(log10(c_acctbal)) AS dec, c_acctbal FROM customer WHERE c_acctbal>=1) SELECT c_custkey, coalesce(dec <> lag(dec) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey), false) AS brk FROM v")
 def decade_break(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "customer").where("c_acctbal >= 1").withColumn("dec", F.floor(F.log10("c_acctbal")))
-    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return rows.select("c_custkey", F.coalesce(F.col("dec") != F.lag("dec").over(w), F.lit(False)).alias("brk"))
+    rows = _t(spark, d, "customer").where("c_acctbal >= 1").select("c_custkey", "c_nationkey", "c_acctbal", F.floor(F.log10("c_acctbal")).alias("dec"))
+    return ranking.first_of_step(rows, "c_nationkey", "dec", "c_acctbal", "c_custkey", "brk").select("c_custkey", "brk")
 
 
 @query("SELECT o_orderkey, rn FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn BETWEEN 101 AND 150")
@@ -338,4 +341,4 @@ def calendar_spine(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup(days, counts, "day", {"n": 0}).select(F.col("day").cast("string").alias("day"), (F.weekday("day") < 5).alias("weekday"), "n")
 
 
-from tessera.plans import agenda, records, rendered, texts  # noqa: E402, F401  they register their queries
+from tessera.plans import agenda, records, rendered, stored, texts  # noqa: E402, F401  they register their queries

@@ -3,20 +3,14 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, text
-from tessera.operators import aggregates, joins, ranking
-
-
-def test_percentiles_and_ranks(spark):
-    rows = spark.createDataFrame([("x", 50), ("x", 100), ("x", 300)], "g string, v int")
-    out = rows.select("v", ranking.pct_from_bottom(F.col("v"), F.col("g")).alias("p"), ranking.rank_from_top(F.col("v"), F.col("g")).alias("r")).orderBy("v").collect()
-    assert [(r.p, r.r) for r in out] == [(0, 3), (33, 2), (67, 1)]
+from tessera.operators import aggregates, joins, selection
 
 
 def test_medians_and_quantiles(spark):
     rows = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4)] + [("b", v) for v in (7, 7, 7, 9, 9, None)] + [("c", None)], "g string, v int")
     assert {r.g: r.m for r in aggregates.upper_median(rows, ["g"], "v", "m").collect()} == {"a": 3, "b": 7}
     assert {r.g: r.q for r in aggregates.floor_quantiles(rows, ["g"], "v", {"q": 0.75}).collect()} == {"a": None, "b": 9}
-    assert rows.where("g = 'a'").agg(aggregates.linear_quantiles(F.col("v"), (0.25,)).alias("l")).first().l == [1.75]
+    assert selection.quantiles(rows.where("g = 'a'"), [], "v", {"l": 0.25}).first().l == 1.75
 
 
 def test_cohesion(spark):

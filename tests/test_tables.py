@@ -36,7 +36,9 @@ def test_quantiles_of_groups_and_of_all(spark, parts):
     assert "none" not in out
     every = [v for _, v in rows if v is not None]
     assert selection.quantiles(df, [], "v", {"m": 0.5}, parts).first().m == pytest.approx(np.quantile(every, 0.5))
-    assert selection.quantiles(df.where("v > 1e9"), [], "v", {"m": 0.5}).collect() == []
+    none = df.where("v > 1e9")
+    assert tuple(selection.quantiles(none, [], "v", {"m": 0.5}, parts).first()) == (None, None)
+    assert selection.quantiles(none, ["g"], "v", {"m": 0.5}, parts).collect() == []
 
 
 def test_positions_in_groups(spark):

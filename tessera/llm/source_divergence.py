@@ -210,9 +210,9 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     kept = materialize(terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.count(F.lit(1)).alias("spread")).where(F.col("docs") >= min_docs).drop("docs"), "kept")
     known = materialize(terms.select("lang", "source", "term", "n").join(kept, ["lang", "term"]), "known")
 
-    many = counted.where("term = ''").groupBy("lang").agg(F.count(F.lit(1)).alias("groups"))
+    many = materialize(counted.where("term = ''").groupBy("lang").agg(F.count(F.lit(1)).alias("groups")), "languages")
     is_heavy = F.col("spread") * heavy > F.col("groups")
-    sizes = kept.join(many, "lang").groupBy("lang").agg(
+    sizes = kept.join(_small(many), "lang").groupBy("lang").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"), F.count_if(~is_heavy).alias("light"), F.count_if(is_heavy).alias("dense"), F.sum(F.when(~is_heavy, F.col("spread")).otherwise(0)).alias("listed")
     )
     langs = many.join(sizes, "lang", "left").na.fill(0, ["terms", "lang_total", "light", "dense", "listed"])

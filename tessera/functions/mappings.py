@@ -23,7 +23,9 @@ COMMITTEES = [
 VOTES = {"DA": "yes", "NU": "no", "AB": "abstain", "-": "not_voting"}
 LABELS = {
     "vote": {"yes": "Pentru", "no": "Contra", "abstain": "Abținere", "absent": "Absent", "not_voting": "Nu a votat"},
-    "status": {"promulgat": "Promulgat", "respins": "Respins", "adoptat": "Adoptat", "in_lucru": "În lucru"},
+    "status": {"promulgat": "Promulgat", "respins": "Respins", "adoptat": "Adoptat", "in_lucru": "În lucru", "retras": "Retras"},
+    "committee": {"permanenta": "Permanentă", "speciala": "Specială", "speciala_comuna": "Specială comună"},
+    "bill": {"propunere_legislativa": "PL", "proiect_lege": "PLG"},
 }
 UNAFFILIATED, UNKNOWN = "Neafiliat", "Necunoscut"
 

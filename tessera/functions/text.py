@@ -194,6 +194,22 @@ def fraction(c: Column) -> Column:
     return F.coalesce(F.when(b > 0, a / b), F.lit(1.0))
 
 
+#: A bill's number anywhere in a text, and references to bills of two kinds, in order.
+BILL_NUMBER = r"(\d{2,4}/\d{4})"
+BILL_KINDS = [("PL", r"(?i)PL[-\s]?x?\s*(?:nr\.?\s*)?(\d+/\d{4})"), ("PHCD", r"(?i)PH\s?CD\s*(?:nr\.?\s*)?(\d+/\d{4})")]
+
+
+def bill_key(c: Column) -> Column:
+    """The first number of a bill, of two to four digits and a year; of a longer number its last four digits."""
+    return F.nullif(F.regexp_extract(c, BILL_NUMBER, 1), F.lit(""))
+
+
+def bill_reference(c: Column) -> Column:
+    """``kind, nr`` of the bill that a text refers to; of the first kind that it names."""
+    found = [(kind, F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))) for kind, pattern in BILL_KINDS]
+    return F.struct(F.coalesce(*[F.when(nr.isNotNull(), kind) for kind, nr in found]).alias("kind"), F.coalesce(*[nr for _, nr in found]).alias("nr"))
+
+
 def age_cohort(birth: Column, year: int) -> Column:
     """Five-year bracket of the age at the end of a year, such as 50–54."""
     low = F.floor((F.lit(year) - F.year(birth)) / 5) * 5

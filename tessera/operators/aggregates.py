@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import lists
 from tessera.operators.selection import at_ranks, joined, quantiles
 
 
@@ -90,13 +91,14 @@ def two_groups(df: DataFrame, group: Column, wanted: tuple[str, str], size: Colu
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"), F.count_if(F.col("size") > 1).alias("several"))
 
 
-def roster(df: DataFrame, group: str, name: str, role: str, order: str, chair: str = "president") -> DataFrame:
-    """``group, chair, members``: the last chair by order, and the names of all others in order.
+def roster(df: DataFrame, group: str, name: str, role: str, order: str, chair: str = "president", size: int = lists.SIZE) -> DataFrame:
+    """``group, block, chair, members``: the last chair by order, and the names of all others in order, a row for each block.
 
-    A name that a group lists again counts once, where it stands first. The
-    members of one group are held together.
+    A name that a group lists again counts once, where it stands first. A group
+    of chairs only has an empty block.
     """
     once = df.groupBy(group, name).agg(F.min_by(role, order).alias(role), F.min(order).alias(order))
-    leads = F.col(role) == chair
-    members = F.array_sort(F.collect_list(F.when(~leads | F.col(role).isNull(), F.struct(F.col(order), F.col(name)))))
-    return once.groupBy(group).agg(F.max_by(name, F.when(leads, F.col(order))).alias("chair"), F.transform(members, lambda x: x[name]).alias("members"))
+    leads = F.coalesce(F.col(role) == chair, F.lit(False))
+    chairs = once.groupBy(group).agg(F.max_by(name, F.when(leads, F.col(order))).alias("chair"))
+    members = lists.blocks(once.where(~leads), [group], [order], F.col(name), "members", size)
+    return lists.joined_to(chairs, members, group, "members")

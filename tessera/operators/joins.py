@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import lists
+
 
 def lookup(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Left join on ``key``; missing values of the side get their default."""
@@ -61,10 +63,9 @@ def map_by_key(df: DataFrame, texts: list[str], pattern: str, row: list[str], si
     return left.join(right, ["_key", "_salt"], "left").withColumnRenamed("_key", "key").drop("_salt")
 
 
-def attach_children(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str], name: str) -> DataFrame:
-    """Each parent with its children in order; one without any has an empty list."""
-    nested = nest(children, key, order, columns, name)
-    return parents.join(nested, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)))
+def attach_children(parents: DataFrame, children: DataFrame, key: str, order: str, columns: list[str], name: str, size: int = lists.SIZE) -> DataFrame:
+    """Each parent with its children in order, a row for each block of them; one without any has an empty list."""
+    return lists.joined_to(parents, nest(children, key, order, columns, name, size), key, name)
 
 
 def prepend_new(old: DataFrame, new: DataFrame, key: str, position: str) -> DataFrame:
@@ -80,12 +81,11 @@ def date_index(sessions: DataFrame, start: str, end: str, name: str) -> DataFram
     return days.groupBy("day").agg(F.min_by(name, F.struct("_which", name)).alias(name))
 
 
-def merge_repeated(df: DataFrame, key: str, order: str, header: list[str], children: str) -> DataFrame:
-    """Rows of one key as one: the first one's header, and the children of all in order."""
-    lists = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(children).alias("c"))))
-    first = F.min_by(F.struct(*header), order).alias("_head")
-    out = df.groupBy(key).agg(first, F.flatten(F.transform(lists, lambda x: x["c"])).alias(children))
-    return out.select(key, *[F.col("_head")[c].alias(c) for c in header], children)
+def merge_repeated(df: DataFrame, key: str, order: str, header: list[str], children: str, size: int = lists.SIZE) -> DataFrame:
+    """Rows of one key as one: the first one's header, and the children of all in order, a row for each block of rows."""
+    first = df.groupBy(key).agg(F.min_by(F.struct(*header), order).alias("_head"))
+    held = lists.blocks(df, [key], [order], F.col(children), children, size).withColumn(children, F.flatten(children))
+    return held.join(first, key).select(key, "block", *[F.col("_head")[c].alias(c) for c in header], children)
 
 
 def full_outer(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -113,9 +113,9 @@ def range_label(value: Column, bounds: list[tuple[str, str]], below: str) -> Col
     return out
 
 
-def nest(children: DataFrame, key: str, order: str, columns: list[str], name: str) -> DataFrame:
-    """One row per key with its children in order."""
-    return children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
+def nest(children: DataFrame, key: str, order: str, columns: list[str], name: str, size: int = lists.SIZE) -> DataFrame:
+    """``key, block, name``: children in order, at most ``size`` in a row."""
+    return lists.blocks(children, [key], [order], F.struct(order, *columns), name, size)
 
 
 def unnest(parents: DataFrame, key: str, name: str) -> DataFrame:

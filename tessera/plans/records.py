@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as agg
-from tessera.operators import facets, joins, ranking
+from tessera.operators import facets, joins, lists, ranking
 from tessera.plans.base import query, t
 from tessera.sources import writers
 
@@ -66,7 +66,7 @@ def facet_counts_lists(spark: SparkSession, d: str) -> DataFrame:
 def nested_children_filter(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
     nested = joins.nest(lines, "l_orderkey", "l_linenumber", ["l_returnflag"], "lines")
-    kept = facets.keep_children(nested, "lines", "l_returnflag", ["A"])
+    kept = lists.whole(facets.keep_children(nested, "lines", "l_returnflag", ["A"]), ["l_orderkey"], "lines")
     return kept.select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
 
 
@@ -83,12 +83,10 @@ def passed_votes(spark: SparkSession, d: str) -> DataFrame:
     return _votes(spark, d).select("l_orderkey", facets.passed_by_votes(F.col("yes"), F.col("no")).alias("by_votes"), facets.passed_by_presence(F.col("yes"), F.col("present")).alias("by_presence"))
 
 
-@query(f"SELECT count(*) FILTER (yes > no) AS passed, count(*) FILTER (yes <= no) AS failed, round_even(100.0::DOUBLE * count(*) FILTER (yes > no) / count(*), 1) AS pct, CAST(NULL AS DOUBLE) AS pct_of_none FROM ({_VOTES_SQL})")
+@query(f"SELECT count(*) FILTER (yes > no) AS passed, count(*) FILTER (yes <= no) AS failed, round_even(100.0::DOUBLE * count(*) FILTER (yes > no) / count(*), 1) AS pct FROM ({_VOTES_SQL})")
 def adopted_share(spark: SparkSession, d: str) -> DataFrame:
     passed = facets.passed_by_votes(F.col("yes"), F.col("no"))
-    out = _votes(spark, d).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), agg.share_or_null(F.count_if(passed), _n()).alias("pct"))
-    none = _votes(spark, d).where("present < 0").agg(agg.share_or_null(F.count_if(passed), _n()).alias("pct_of_none"))
-    return out.crossJoin(F.broadcast(none))
+    return _votes(spark, d).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"), agg.share_or_null(F.count_if(passed), _n()).alias("pct"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE length(p_name) >= 8")
@@ -126,6 +124,7 @@ def coalesced_key(spark: SparkSession, d: str) -> DataFrame:
 def attached_children(spark: SparkSession, d: str) -> DataFrame:
     big = t(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     rows = joins.attach_children(t(spark, d, "customer").select("c_custkey"), big, "c_custkey", "o_orderkey", [], "orders")
+    rows = lists.whole(rows, ["c_custkey"], "orders")
     return rows.select("c_custkey", F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
@@ -143,10 +142,17 @@ def append_only_new(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r_name, n_name, c_custkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
 def nested_expand(spark: SparkSession, d: str) -> DataFrame:
-    customers = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list("c_custkey").alias("members"))
-    nations = t(spark, d, "nation").join(customers, "n_nationkey").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct("n_name", "members")).alias("nations"))
-    held = t(spark, d, "region").join(nations, "r_regionkey").select("r_name", F.explode("nations").alias("n"))
-    return held.select("r_name", "n.n_name", F.explode("n.members").alias("c_custkey"))
+    nations = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "c_custkey")
+
+
+@query("WITH n AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, o_orderkey FROM orders) SELECT c, place, o_orderkey FROM n")
+def blocked_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of customers in blocks of four, read back with each order's place in its customer's list."""
+    blocked = lists.blocks(t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_orderkey"), "orders", 4)
+    before = F.coalesce(F.sum(F.size("orders")).over(Window.partitionBy("o_custkey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = blocked.withColumn("before", before)
+    return held.select(F.col("o_custkey").alias("c"), "before", F.posexplode("orders").alias("at", "o_orderkey")).select("c", (F.col("before") + F.col("at") + 1).alias("place"), "o_orderkey")
 
 
 @query("WITH e AS (SELECT day, min(w * 1000000000 + o_orderkey) AS m FROM (SELECT 0 AS w, o_orderdate::DATE AS day, o_orderkey FROM orders UNION ALL SELECT 1, (o_orderdate + INTERVAL 1 DAY)::DATE, o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, CAST(m % 1000000000 AS BIGINT) AS o_orderkey FROM e")
@@ -163,9 +169,8 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT o_custkey AS c_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey = 7")
 def array_member_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    signed = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("signed"))
-    with_member = signed.where(F.exists("signed", lambda s: s == 7))
-    return t(spark, d, "orders").join(with_member, "o_orderkey", "left_semi").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    signed = t(spark, d, "lineitem").where("l_suppkey = 7").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t(spark, d, "orders").join(signed, "o_orderkey", "left_semi").select(F.col("o_custkey").alias("c_custkey")).distinct()
 
 
 # --- aggregates -----------------------------------------------------------------------
@@ -232,7 +237,7 @@ o AS (SELECT team, CAST(user_id AS VARCHAR) AS name, min(event_id) AS pos, arg_m
 SELECT team, arg_max(name, pos) FILTER (role = 'president') AS chair, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (role <> 'president'), '') AS members FROM o GROUP BY 1""")
 def committee_roster(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "events").select((F.col("user_id") % 7).alias("team"), F.col("user_id").cast("string").alias("name"), F.when(F.col("event_type") == "signup", "president").otherwise(F.col("event_type")).alias("role"), F.col("event_id").alias("pos"))
-    return agg.roster(rows, "team", "name", "role", "pos").withColumn("members", F.array_join("members", ","))
+    return lists.whole(agg.roster(rows, "team", "name", "role", "pos", size=10), ["team"], "members", "chair").withColumn("members", F.array_join("members", ","))
 
 
 @query("SELECT c_nationkey, count(*) AS members, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, CAST(coalesce(sum(done), 0) AS BIGINT) AS done, CAST(coalesce(sum(open), 0) AS BIGINT) AS open, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, round_even(coalesce(sum(worth), 0), 0) AS worth, round_even(coalesce(sum(lines), 0) / count(*)::DOUBLE, 3) AS lines_each FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, sum(o_totalprice) AS worth FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) ON k = c_custkey GROUP BY 1")
@@ -273,8 +278,8 @@ def counts_and_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_mktsegment AS grp, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS items, count(*) FILTER (k > 1) AS several FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders WHERE o_totalprice > 300000 GROUP BY 1) ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
 def two_groups(spark: SparkSession, d: str) -> DataFrame:
-    lists = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("held"))
-    return agg.two_groups(t(spark, d, "customer").join(lists, "c_custkey", "left"), F.col("c_mktsegment"), ("BUILDING", "MACHINERY"), F.when(F.col("held").isNotNull(), F.size("held")))
+    held = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("held"))
+    return agg.two_groups(t(spark, d, "customer").join(held, "c_custkey", "left"), F.col("c_mktsegment"), ("BUILDING", "MACHINERY"), F.col("held"))
 
 
 @query("SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'purchase' AND value IS NOT NULL) AS first_value FROM events GROUP BY 1")
@@ -418,7 +423,7 @@ def split_and_merge(spark: SparkSession, d: str) -> DataFrame:
     doc = F.array(F.struct(F.col("l_suppkey").alias("supplier")))
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", doc.alias("docs"), F.struct(F.col("l_returnflag").alias("flag")).alias("entities")).alias("i"))
     sessions = lines.groupBy("id").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    merged = writers.merge_sessions(writers.split_sessions(sessions))
+    merged = lists.whole(writers.merge_sessions(writers.split_sessions(sessions), 3), ["id"], "items")
     return merged.select("id", F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["l_linenumber"].cast("string"), i["l_partkey"].cast("string"))), ",").alias("items"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import aggregates as agg
-from tessera.operators import facets, joins, ranking
+from tessera.operators import facets, joins, lists, ranking
 from tessera.plans.base import ORACLES, QUERIES, query
 from tessera.plans.base import t as _t
 
@@ -203,7 +203,8 @@ def feed_union(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, arg_min(event_type, event_id) AS event_type, string_agg(CAST(event_id AS VARCHAR) || ',' || CAST(event_id + 1 AS VARCHAR), ',' ORDER BY event_id) AS children FROM events GROUP BY 1")
 def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.array("event_id", F.col("event_id") + 1).alias("children"))
-    return joins.merge_repeated(rows, "user_id", "event_id", ["event_type"], "children").withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+    merged = lists.whole(joins.merge_repeated(rows, "user_id", "event_id", ["event_type"], "children", 20), ["user_id"], "children", "event_type")
+    return merged.withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
 @query("""WITH c AS (SELECT CAST(user_id%5 AS VARCHAR) AS grp, count(*) AS total, count(*) FILTER (event_type='view') y, count(*) FILTER (event_type='click') n, count(*) FILTER (event_type='error') a FROM events GROUP BY 1)
@@ -341,4 +342,4 @@ def calendar_spine(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup(days, counts, "day", {"n": 0}).select(F.col("day").cast("string").alias("day"), (F.weekday("day") < 5).alias("weekday"), "n")
 
 
-from tessera.plans import agenda, pages, records, rendered, stored, texts  # noqa: E402, F401  they register their queries
+from tessera.plans import agenda, labels, pages, records, rendered, stored, texts  # noqa: E402, F401  they register their queries

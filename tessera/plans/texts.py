@@ -1,18 +1,12 @@
-"""Queries of the text functions: over the tables' texts, or over stated texts of the kinds that records hold."""
+"""Queries of the text functions over the tables' own texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, declarations, fields, mappings, text
-from tessera.plans.base import query, stated, t
-from tessera.sources import records
-
-
-def _joined(*parts: Column) -> Column:
-    """Columns as one text; null as a hyphen."""
-    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+from tessera.functions import dates, mappings, text
+from tessera.plans.base import query, t
 
 
 # --- normalisation --------------------------------------------------------------------
@@ -39,29 +33,10 @@ def initials(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select("s_suppkey", text.initials(F.col("s_name")).alias("initials"))
 
 
-stated("fold_letters", [("Kovács Győző", "Kovacs Gyozo"), ("Černý Włodek", "Cerny Wodek"), ("Ștefan Țuțea ŞŢ", "Stefan Tutea ST"), ("Ødegård ß", "degard "), (None, None), ("", "")], text.fold)
-stated("cedilla_to_comma", [("Şedinţă ş ţ", "Ședință ș ț"), ("plain", "plain"), (None, None)], text.comma_below)
-stated("matching_case", [("ŢARĂ Înaltă", "tara inalta"), ("Ș rămâne", "ș ramane"), (None, None)], mappings.matching_case)
-stated("basic_markup", [("<P><B>Titlu</B><BR/><i> </i>text <a href='x'>link</a></P>", "<b>Titlu</b><br/>text link"), ("<br><br>a<br><br><br><br>b<br>", "a<br><br>b"), ("  ", ""), (None, None)], text.basic_markup)
-stated("committee_names", [("Comisia X (din feb. 2025)", "Comisia X"), ("Comisia  Y (până în sep. 2025) Alte comisii", "Comisia Y"), ("Comisia Z (comună)", "Comisia Z (comună)"), (None, None)], text.committee_name)
-stated("parse_amount", [("60.294", 60294.0), ("1234.567", 1234567.0), ("1,5", 1.5), ("1,500", 1500.0), ("2.5", 2.5), ("1,234.5", 1234.5), ("1.234,56", 1234.56), ("12 500", 12500.0), ("1.2.345", 12345.0), ("x", None), ("1d", None), (None, None)], text.amount)
-stated("ownership_fraction", [("1/2", 0.5), ("3/4", 0.75), ("1/1", 1.0), ("1/0", 1.0), ("garbage", 1.0), (None, 1.0)], text.fraction)
-
-
-def _tolerant(c: Column) -> Column:
-    return text.tolerant_lookup(F.str_to_map(c, F.lit(";"), F.lit("=")), "Inițiator:", "initiatori")
 
 
-stated("tolerant_lookup", [("INIŢIATOR=A;Stadiu=B", "A"), ("initiator=;Inițiatori.=C", "C"), ("x=1", None), ("iniţiator =D", "D")], _tolerant)
-
 # --- dates and numbers ----------------------------------------------------------------
 
-stated("day_first_date", [("5.3.2024", "2024-03-05"), ("31.02.2024", None), ("07-11-2023 10:00", "2023-11-07"), ("1/2/2020", "2020-02-01"), ("2020-01-02", None), (None, None)], lambda c: dates.day_first_date(c).cast("string"))
-stated("short_year_date", [("5.3.24", "2024-03-05"), ("05.03.2019", "2019-03-05"), ("5.3.241", None)], lambda c: dates.day_first_date(c, True).cast("string"))
-stated("named_month_date", [("n. 4 mart. 1970", "1970-03-04"), ("12 Noiembrie 1965", "1965-11-12"), ("7 sept 2020", "2020-09-07"), ("31 feb. 2020", None), ("1 foo 2020", None), (None, None)], lambda c: dates.named_month_date(c).cast("string"))
-stated("title_dates", [("Ordinea de zi din 26 - 27 mai 2026", "2026-05-26|2026-05-27"), ("din 11 februarie 2026", "2026-02-11|-"), ("30–31 februarie 2026", "-|-"), ("fără dată", "-|-"), ("26-27 Mai 2026 și 3 iunie 2026", "2026-05-26|2026-05-27")], lambda c: _joined(dates.title_dates(c)["start"], dates.title_dates(c)["end"]))
-stated("iso_instant", [("2024-05-01", "2024-05-01 00:00:00"), ("2024-05-01T10:00:00+02:00", "2024-05-01 08:00:00"), ("2024-05-01T10:00:00Z", "2024-05-01 10:00:00"), ("bad", None), ("2024-13-01", None), (None, None)], lambda c: F.date_format(dates.iso_instant(c), "yyyy-MM-dd HH:mm:ss"))
-stated("vote_instant", [("03.02.2025 14:05:09", "2025-02-03 14:05:09"), ("3.2.2025 9:05", "2025-02-03 09:05:00"), ("azi", None)], lambda c: F.date_format(dates.vote_instant(c), "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN date_diff('day', o_orderdate::DATE, l_shipdate::DATE) > 0 AND date_diff('day', o_orderdate::DATE, l_shipdate::DATE) < 730 THEN date_diff('day', o_orderdate::DATE, l_shipdate::DATE) END AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
@@ -70,28 +45,6 @@ def answer_days(spark: SparkSession, d: str) -> DataFrame:
     return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", dates.answer_days(F.col("o_orderdate"), F.col("l_shipdate")).cast("long").alias("days"))
 
 
-stated("bill_key", [("PL-x 123/2024 privind", "123/2024"), ("PL-x 12345/2024", "2345/2024"), ("nr. 5/2024", None)], lambda c: F.nullif(F.regexp_extract(c, r"\d{2,4}/\d{4}", 0), F.lit("")))
-stated("bill_reference", [("vot final PL-x 5/2024", "PL-x|5/2024"), ("PHCD 123/2023 art. 2", "PHCD|123/2023"), ("altceva", "-|-")], lambda c: _joined(*[F.nullif(F.regexp_extract(c, r"(?i)\b(PL-x|PHCD)\s*(?:nr\.?)?\s*(\d+/\d{4})", k), F.lit("")) for k in (1, 2)]))
-stated("currency_sum", [("150 EUR", 757.5), ("100 RON și 101 lei", 101.0), ("EUR 2019 2.000 x", 10100.0), ("1.234,56 USD", 5555.52), ("nimic", 0.0), ("99 EUR 1.000 CHF", 5400.0)], lambda c: F.bround(declarations.scan_amounts(c), 2))
-
-# --- mappings -------------------------------------------------------------------------
-
-stated("party_code", [("Grupul parlamentar al Partidului Social Democrat", "PSD"), ("Partidul Naţional Liberal", "PNL"), ("Uniunea Salvaţi România", "USR"), ("Alianţa pentru Unirea Românilor", "AUR"), ("Grupul SOS România", "SOS"), ("Deputaţi neafiliaţi", "Neafiliat"), ("Minorităţi naţionale", "Minorități"), ("Alt grup", "Altul"), (None, None)], mappings.party_code)
-stated("group_code", [("AUR Destinatar", "AUR"), ("Neafiliaţi Destinatari", "Neafiliat"), ("Partidul Social Democrat:", "PSD"), ("fără grup", "Neafiliat"), ("SOS România", "S.O.S."), ("Forţa Dreptei", "Forţa"), ("", "Neafiliat"), (None, "Neafiliat")], mappings.group_code)
-stated("short_party", [("Partidul Social Democrat", "PSD"), ("Grupul XYZ nou", "XYZ"), ("necunoscut total", "necunosc")], mappings.short_party)
-stated("clean_group", [("PSD Destinatari:", "PSD"), ("Neafiliaţi Textul", "Neafiliat"), ("  ", "Neafiliat"), (None, "Neafiliat"), ("USR", "USR")], mappings.clean_group)
-stated("clean_destination", [("Ministerul Sănătăţii în atenţia domnului X", "Ministerul Sănătăţii"), ("Guvernul României (SGG)", "Guvernul României"), ("Curtea de Conturi", "Curtea de Conturi"), ("Agenţia " + "x" * 80, "Agenţia " + "x" * 62), ("", "Necunoscut"), (None, "Necunoscut")], mappings.clean_destination)
-stated("initiator_parties", [("12 deputati - PSD: A, B; 3 senatori - USR: C; 1 deputati - PSD: D", "PSD,USR"), ("Guvern", "Guvern"), ("un cetăţean", "Neidentificat"), (None, "Neidentificat")], lambda c: F.array_join(mappings.initiator_parties(c), ","))
-stated("bill_type", [("Proiect de Lege", "proiect_lege"), ("Propunere legislativă", "propunere_legislativa"), ("Aprobarea ordonanţei; ordonanta de urgenta 5", "oug"), ("ordonanța 3", "og"), ("altul", "other")], mappings.bill_type)
-stated("law_character", [("Lege organică", "organic"), ("ordinară", "ordinar"), ("-", "other")], mappings.law_character)
-stated("motion_type", [("Moţiune de cenzură", "cenzura"), ("moţiune simplă", "simpla"), ("x", "other")], mappings.motion_type)
-stated("motion_outcome", [("Respinsă la vot: respins", "respinsa"), ("Adoptată: adoptat", "adoptata"), ("retras", "retrasa"), ("", "in_procedura"), (None, "in_procedura"), ("x", "other")], mappings.motion_outcome)
-stated("sanction_kind", [("diminuarea indemnizaţiei cu 10% pe 3 luni doamnei deputat", "diminuare_indemnizatie|10|3|F"), ("avertisment scris domnului", "avertisment_scris|-|-|M"), ("chemarea la ordine", "chemare_ordine|-|-|-"), ("retragerea cuvântului", "retragere_cuvant|-|-|-"), ("x", "other|-|-|-")], lambda c: _joined(*[mappings.sanction(c)[k] for k in ("kind", "percent", "months", "gender")]))
-stated("committee_document", [("Raport asupra", "raport"), ("aviz", "aviz"), ("Sinteză", "sinteza"), ("proces-verbal", "proces_verbal"), ("Procesul verbal", "proces_verbal"), ("x", "other")], mappings.committee_document)
-stated("vote_option", [("DA", "yes"), ("NU", "no"), ("AB", "abstain"), ("-", "not_voting"), ("??", "not_voting"), (None, "not_voting")], mappings.vote_option)
-stated("elected_gender", [("aleasa deputat", "F"), ("ales deputat", "M"), ("alesul", None)], mappings.elected_gender)
-stated("committee_slug", [("Comisia juridică, de disciplină", "juridica"), ("Comisia pentru muncă şi protecţie", "munca"), ("Comisia pentru politică externă", "politica_externa"), ("Comisia pentru ştiinţă", "stiinta"), ("Altă comisie", None)], mappings.committee_slug)
-stated("display_labels", [("yes", "Pentru"), ("absent", "Absent"), ("odd", "odd"), (None, None)], lambda c: mappings.display_label(c, "vote"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice::BIGINT % 100 >= 90 THEN 'high' WHEN o_totalprice::BIGINT % 100 >= 70 THEN 'middle' ELSE 'low' END AS bin, CASE WHEN o_orderstatus = 'F' THEN 'promulgat' WHEN o_orderpriority LIKE '%LOW%' THEN 'respins' WHEN o_custkey % 2 = 0 THEN 'adoptat' ELSE 'in_lucru' END AS status, CASE WHEN o_orderstatus = 'F' THEN 'promulgat' WHEN o_orderpriority LIKE '%LOW%' THEN 'respins' ELSE 'în lucru' END AS facet FROM orders")
@@ -104,29 +57,8 @@ def status_and_bins(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pages and fields -----------------------------------------------------------------
 
-_MOTION_PAGE = "Tip: simpla Inițiatori: 50 deputaţi Nr./Data înregistrării: 12 / 05-03-2024 Data votului: 10.03.2024 Voturi pentru: 120 Rezultat: respinsă"
-stated("labelled_fields", [(_MOTION_PAGE, "simpla|12|2024-03-05|120"), ("altceva", "-|-|-|-")], lambda c: _joined(fields.labelled_field(c, "Tip", fields.MOTION_LABELS, 50), *[fields.number_and_day(fields.labelled_field(c, "Nr./Data înregistrării", fields.MOTION_LABELS, 100))[k] for k in ("nr", "day")], fields.leading_number(fields.labelled_field(c, "Voturi pentru", fields.MOTION_LABELS, 20))))
-stated("signatories", [('<a href="/structura.mp?idm=1"><b>Ion Pop</b></a> <a href="/structura.mp?idm=1">Ion Pop</a> <a href="x">Alt Om</a> <a href="/structura.mp?idm=2">Al</a>', "Ion Pop"), ("", "")], lambda c: F.array_join(fields.signatories(c, "structura"), ","))
-_EVENTS = "2024-01-01=Primit la Senat;2024-01-02=Înregistrat la Cameră;2024-02-01=primire raport (25 amend. admise);2024-02-03=termen depunere amendamente: 03.02.2025, ora 16;2024-03-01=adoptat de Senat;2024-04-01=Adoptat de Camera Deputaţilor;2024-05-01=promulgat;2024-06-01=promulgat"
-
-
-def _milestones(c: Column) -> Column:
-    events = F.transform(F.filter(F.split(c, ";"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(2)).alias("text"), F.split_part(x, F.lit("="), F.lit(1)).try_cast("date").alias("day")))
-    return text.bound(fields.milestones(events, "text", "day"), lambda m: _joined(*[m["days"][k] for k in ("presented", "registered", "adopted_senate", "adopted_chamber", "promulgated")], m["deadline"], m["admitted"], m["rejected"]))
-
-
-stated("bill_milestones", [(_EVENTS, "2024-01-01|2024-01-02|2024-03-01|2024-04-01|2024-05-01|2025-02-03|25|-"), ("2024-07-01=Adoptat în ședință comună", "-|-|2024-07-01|2024-07-01|-|-|-|-"), ("", "-|-|-|-|-|-|-|-")], _milestones)
-_VOTES_PAGE = "<table><tr><td>1.</td><td>Ion Pop</td><td>PSD</td><td>DA</td></tr><tr><td>#</td><td>Nume</td><td>Grup</td><td>Vot</td></tr><tr><td>2.</td><td>Ana Dan</td><td>USR</td><td>NU</td></tr></table>"
-stated("nominal_vote_rows", [(_VOTES_PAGE, "Ion Pop/PSD/yes,Ana Dan/USR/no"), ("<p></p>", "")], lambda c: F.array_join(F.transform(records.nominal_votes(c), lambda v: F.concat_ws("/", v["name"], v["party"], mappings.vote_option(v["symbol"]))), ","))
-stated("label_table", [('<tr><td bgcolor="#fff0d8">- Stadiu:</td><td>la <b>comisii</b></td></tr>', "Stadiu=la comisii"), ("", "")], lambda c: F.array_join(F.transform(F.map_entries(records.label_table(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
-stated("listed_page_ids", [('<a href="d?idm=31"><a href="d?idm=4"><a href="d?idm=31">', "31,4"), ("x", "")], lambda c: F.array_join(records.listed_ids(c, r"idm=(\d+)").cast("array<string>"), ","))
-stated("linked_pdf_files", [('<tr><td><a href="/a.pdf">x</a></td><td><a>05.03.2024</a></td></tr><tr><td><a href="/a.pdf">y</a></td></tr>', "https://x.org/a.pdf 2024-03-05"), ("", "")], lambda c: F.array_join(F.transform(records.linked_files(c, "https://x.org"), lambda f: F.concat_ws(" ", f["url"], f["day"].cast("string"))), ","))
-stated("session_day_list", [(",20260526,20260101,20260525,20260526,", "2026-05-25,2026-05-26"), ("", "")], lambda c: F.array_join(records.session_days(c, 2026, 5).cast("array<string>"), ","))
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS links, md5(array_to_string(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(x)), '|')) AS paragraphs FROM pages")
 def page_lists(spark: SparkSession, d: str) -> DataFrame:
     every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
     return t(spark, d, "pages").select("page_id", F.size(every('href="/([^"]*)"')).cast("long").alias("links"), F.md5(F.array_join(F.transform(every("<p>([^<]*)</p>"), lambda s: F.trim(s)), "|")).alias("paragraphs"))
-stated("site_map_party", [("Partidul Social Democrat", "PSD"), ("Uniunea Salvaţi România", None)], mappings.site_map_party)
 

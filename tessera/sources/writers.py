@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import escape_markup
+from tessera.operators import lists
 from tessera.operators.joins import same_rows
 
 UNKNOWN_YEAR = "necunoscut"
@@ -55,16 +56,18 @@ def split_sessions(sessions: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def merge_sessions(tables: dict[str, DataFrame]) -> DataFrame:
-    """Sessions as they were before ``split_sessions``; the lists of one session are held together."""
-    docs = tables["docs"]
-    fields = [c for c in docs.columns if c not in ("item_id", "doc_index")]
-    nested = docs.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("doc_index", F.struct(*fields).alias("doc")))).alias("_d")).select("item_id", F.transform("_d", lambda x: x["doc"]).alias("docs"))
-    items = tables["items"].join(nested, "item_id", "left").join(tables["entities"], "item_id", "left")
-    items = items.withColumn("docs", F.coalesce("docs", F.array().cast(nested.schema["docs"].dataType)))
+def merge_sessions(tables: dict[str, DataFrame], size: int = lists.SIZE) -> DataFrame:
+    """Sessions as they were before ``split_sessions``, with ``block``: a row for each block of a session's items.
+
+    An item's documents are in its row, as they were.
+    """
+    fields = [c for c in tables["docs"].columns if c not in ("item_id", "doc_index")]
+    docs = lists.whole(lists.blocks(tables["docs"], ["item_id"], ["doc_index"], F.struct(*fields), "docs", size), ["item_id"], "docs")
+    items = tables["items"].join(docs, "item_id", "left").join(tables["entities"], "item_id", "left")
+    items = items.withColumn("docs", F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)))
     plain = [c for c in tables["items"].columns if c not in ("session_id", "item_index", "item_id", "num_docs")]
-    lists = items.groupBy(F.col("session_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("item_index", F.struct(*plain, "docs", "entities").alias("item")))).alias("_i")).select("id", F.transform("_i", lambda x: x["item"]).alias("items"))
-    return tables["sessions"].join(lists, "id", "left").withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
+    held = lists.blocks(items.withColumnRenamed("session_id", "id"), ["id"], ["item_index"], F.struct(*plain, "docs", "entities"), "items", size)
+    return lists.joined_to(tables["sessions"], held, "id", "items")
 
 
 def write_if_changed(rows: DataFrame, path: str, spark: SparkSession) -> bool:

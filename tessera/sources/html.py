@@ -39,7 +39,7 @@ def read(page: str, tags: frozenset[str] | None = None) -> Iterator[tuple]:
     """Elements of the tags (all by default) as they end: place, place of the nearest such element around, tag, path, attributes, text.
 
     Text is that of the element and all within it, with single spaces between
-    pieces. What a page leaves open ends where the page does.
+    pieces, and without scripts and styles. What a page leaves open ends where the page does.
     """
     stack: list[tuple[str, int | None, dict, int]] = []  # tag, place if it is wanted, attributes, first piece of text
     pieces: list[str] = []

@@ -342,4 +342,4 @@ def calendar_spine(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup(days, counts, "day", {"n": 0}).select(F.col("day").cast("string").alias("day"), (F.weekday("day") < 5).alias("weekday"), "n")
 
 
-from tessera.plans import agenda, labels, pages, records, rendered, stored, texts  # noqa: E402, F401  they register their queries
+from tessera.plans import agenda, files, labels, pages, records, rendered, stored, texts  # noqa: E402, F401  they register their queries

@@ -29,6 +29,16 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def write_text(spark: SparkSession, path: str, value: str) -> None:
+    """A small file of its own, such as an index or a note."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(value.encode()))
+    finally:
+        out.close()
+
+
 def move(spark: SparkSession, pattern: str, path: str) -> None:
     """Move the one file that a pattern names, within a store."""
     fs, where = _file_system(spark, pattern)

@@ -75,6 +75,25 @@ def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return pairs.groupBy(key).agg(best.alias("modal"), F.sum("_n").alias("total"))
 
 
+#: How a name may end with a party, and the group of those who have none.
+NAMED_PARTY, UNAFFILIATED = r"-\s*(?:deputat|senator)\s+([A-ZĂÎȘȚŞŢ]{2,})", "Neafiliat"
+
+
+def top_actors(df: DataFrame, key: str, name: str, party: str, order: str, n: int) -> DataFrame:
+    """``key, name, party, total`` of the ``n`` keys with most rows, ties by key; rows without a key or name don't count.
+
+    The name is the first one; the party is the most frequent one apart from the
+    unaffiliated, of equally frequent ones the one met first, else the one that
+    the name ends with, else the unaffiliated.
+    """
+    rows = df.where(F.col(key).isNotNull() & (F.col(name) != "")).withColumn("_p", F.when(F.col(party) != UNAFFILIATED, F.col(party)))
+    modal = modal_value(rows, key, "_p", order)
+    first = rows.groupBy(key).agg(F.min_by(name, order).alias("name"))
+    in_name = F.nullif(F.regexp_extract("name", NAMED_PARTY, 1), F.lit(""))
+    out = modal.join(first, key).select(key, "name", F.coalesce("modal", in_name, F.lit(UNAFFILIATED)).alias("party"), "total")
+    return out.orderBy(F.desc("total"), key).limit(n)
+
+
 def group_stats(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], **others: Column) -> DataFrame:
     """``keys, n``, exact quantiles of a value and other aggregates; ``n`` counts all rows, quantiles those with a value.
 

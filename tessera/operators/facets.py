@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.mappings import bill_status_facet, clean_group
 from tessera.functions.text import contains_any
 
 
@@ -94,3 +95,44 @@ def first_date_event(*dated: tuple[str, Column]) -> Column:
     for name, day in reversed(dated):
         label = F.when(day.isNotNull(), name).otherwise(label)
     return F.struct(label.alias("label"), F.coalesce(*[day for _, day in dated]).alias("at"))
+
+
+#: Sets of item types by the name that pages give them.
+TYPE_SETS = {
+    "bills": ["proiect_lege", "propunere_legislativa", "reexaminare"],
+    "hotarari": ["proiect_hotarare"],
+    "motions": ["motiune_simpla", "motiune_cenzura", "angajare_raspundere"],
+    "procedural": [
+        "informare", "informare_casete", "prezentare", "alocutiuni", "alocutiune", "interventie", "moment_reculegere", "mesaj", "declaratie", "dezbateri_politice",
+        "dezbateri", "alegere", "numire", "constituire", "vacantare", "solicitare", "sedinta_solemna", "vot", "raport",
+    ],
+}
+
+
+def in_set(kind: Column, name: str) -> Column:
+    """Whether a type belongs to a named set; null belongs to none, and every type to ``all``."""
+    return F.lit(True) if name == "all" else F.coalesce(kind.isin(*TYPE_SETS[name]), F.lit(False))
+
+
+def shown_value(df: DataFrame, name: str) -> Column:
+    """A value as boards show it: with two decimals, half-even, if it is a floating number, else as it is."""
+    return F.bround(name, 2) if df.schema[name].dataType.typeName() in ("double", "float") else F.col(name)
+
+
+def _year(day: Column, missing: str) -> Column:
+    return F.coalesce(F.nullif(F.substring(day.cast("string"), 1, 4), F.lit("")), F.lit(missing))
+
+
+def bill_facets(law: Column, stage: Column, day: Column, initiator: Column, urgent: Column) -> Column:
+    """``kind, year, status, initiator, procedure`` under which the search finds a bill."""
+    return F.struct(F.lit("proiect").alias("kind"), _year(day, "?").alias("year"), bill_status_facet(law, stage).alias("status"), F.coalesce(F.nullif(initiator, F.lit("")), F.lit("necunoscut")).alias("initiator"), F.when(urgent, "urgenta").otherwise("ordinara").alias("procedure"))
+
+
+def question_facets(day: Column, group: Column, answered: Column) -> Column:
+    """``kind, year, group, answer`` under which the search finds a question."""
+    return F.struct(F.lit("interpelare").alias("kind"), _year(day, "necunoscut").alias("year"), clean_group(group).alias("group"), F.when(answered, "primit").otherwise("nu").alias("answer"))
+
+
+def motion_facets(kind: Column, outcome: Column, day: Column) -> Column:
+    """``kind, type, outcome, year`` under which the search finds a motion."""
+    return F.struct(F.lit("motiune").alias("kind"), kind.alias("type"), outcome.alias("outcome"), _year(day, "necunoscut").alias("year"))

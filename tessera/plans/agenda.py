@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import entities, rules
 from tessera.functions.text import bound, strip_html
+from tessera.operators import facets
 from tessera.plans.base import query, t
 from tessera.plans.rendered import derived, plain
 
@@ -161,3 +162,10 @@ SELECT c, CASE a WHEN 0 THEN concat_ws(',', first || '/-/feb. ' || y || '/false'
 def group_history(spark: SparkSession, d: str) -> DataFrame:
     shown = lambda e: F.concat_ws("/", e["short"], F.coalesce(e["from_date"], F.lit("-")), F.coalesce(e["until_date"], F.lit("-")), e["current"].cast("string"))
     return t(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.array_join(F.transform(entities.group_history(F.expr(_SPELLS)), shown), ",").alias("spells"))
+
+
+@query(f"SELECT o, coalesce(item_type IN ('proiect_lege', 'propunere_legislativa', 'reexaminare'), false) AS bills, coalesce(item_type = 'proiect_hotarare', false) AS hotarari, coalesce(item_type IN ('motiune_simpla', 'motiune_cenzura', 'angajare_raspundere'), false) AS motions, coalesce(item_type IN ('informare_casete', 'dezbateri_politice', 'raport', 'alegere'), false) AS procedural FROM ({AGENDA_SQL})")
+def named_type_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Which named sets the type of each agenda item belongs to."""
+    kinds = _of(spark, d, "kind", entities.item_type)
+    return kinds.select("o", *[facets.in_set(F.col("kind"), name).alias(name) for name in facets.TYPE_SETS])

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import mappings
 from tessera.operators import aggregates as agg
 from tessera.operators import facets, joins, lists, ranking
 from tessera.plans.base import query, t
-from tessera.sources import writers
+from tessera.sources import documents, writers
 
 
 def _n() -> Column:
@@ -94,11 +95,22 @@ def degenerate_names(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").where(F.length("p_name") >= 8).select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey, round_even(c_acctbal, 1) AS value, CASE WHEN c_nationkey = 0 THEN '#' ELSE '/p/' || c_custkey END AS url FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
+@query(
+    "SELECT * FROM ((SELECT 'balance' AS board, c_custkey, round_even(c_acctbal / 3, 2) AS value, CASE WHEN c_nationkey = 0 THEN '/declared/' || c_custkey || '.json' ELSE '/p/' || c_custkey END AS url FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal / 3 DESC, c_custkey LIMIT 15)"
+    " UNION ALL (SELECT 'orders', o_custkey, count(*)::DOUBLE, '/declared/' || o_custkey || '.json' FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 15))"
+)
 def board_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two boards: floating values with two decimals, counts as they are, and a page of one's own or else the declaration's."""
+
+    def board(name: str, rows: DataFrame) -> DataFrame:
+        first = ranking.leaderboard(rows, "value", "c_custkey", where=F.col("value") > 0)
+        fallback = F.concat(F.lit("/declared/"), F.col("c_custkey").cast("string"), F.lit(".json"))
+        return first.select(F.lit(name).alias("board"), "c_custkey", facets.shown_value(first, "value").cast("double").alias("value"), F.coalesce("url", fallback).alias("url"))
+
     url = F.when(F.col("c_nationkey") != 0, F.concat(F.lit("/p/"), F.col("c_custkey").cast("string")))
-    rows = ranking.leaderboard(t(spark, d, "customer"), "c_acctbal", "c_custkey", where=F.col("c_acctbal") > 0)
-    return rows.select("c_custkey", F.bround("c_acctbal", 1).alias("value"), F.coalesce(url, F.lit("#")).alias("url"))
+    balances = t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 3).alias("value"), url.alias("url"))
+    counts = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("value")).withColumn("url", F.lit(None).cast("string"))
+    return board("balance", balances).unionByName(board("orders", counts))
 
 
 @query("SELECT c_custkey, 'top ' || greatest(1, 100 - CAST(round_even(100.0::DOUBLE * (rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1) / count(*) OVER (PARTITION BY c_nationkey), 0) AS INT)) || '%' AS label FROM customer")
@@ -187,14 +199,25 @@ def cleaned_groups_top(spark: SparkSession, d: str) -> DataFrame:
     return rates.orderBy(F.desc("total"), "grp").limit(15)
 
 
-@query("""WITH c AS (SELECT user_id, CASE WHEN event_type <> 'view' THEN event_type END AS party, count(*) n, min(event_id) f FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY party IS NULL, n DESC, f) rn, sum(n) OVER (PARTITION BY user_id) total FROM c),
-f AS (SELECT user_id, arg_min(event_type, event_id) AS first_name FROM events GROUP BY 1)
-SELECT user_id, CAST(total AS BIGINT) AS total, coalesce(party, 'none') AS party, first_name FROM r JOIN f USING (user_id) WHERE rn = 1 ORDER BY total DESC, user_id LIMIT 20""")
+#: Questions are orders: who asked, how the name is written, and their group as scraped.
+_ASKED = """
+SELECT o_orderkey AS o, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey END AS asker, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('Pop ', o_custkey, CASE o_custkey % 3 WHEN 0 THEN ' - deputat PSD' WHEN 1 THEN concat(' -  senator USR ', o_orderkey) ELSE '' END) END AS name,
+  CASE WHEN o_custkey % 4 < 2 OR o_orderkey % 3 = 0 THEN 'Neafiliaţi Destinatari' ELSE CASE o_orderstatus WHEN 'F' THEN 'PNL Textul' WHEN 'O' THEN 'AUR' ELSE NULL END END AS grp FROM {orders}
+"""
+
+
+@query(
+    f"""
+WITH q AS (SELECT o, asker, name, CASE WHEN grp LIKE 'Neafilia%' OR grp IS NULL THEN 'Neafiliat' ELSE split_part(grp, ' ', 1) END AS party FROM ({_ASKED.replace('{orders}', 'orders')}) WHERE asker IS NOT NULL AND name <> ''),
+p AS (SELECT DISTINCT ON (asker) asker, party FROM (SELECT asker, party, count(*) AS n, min(o) AS f FROM q WHERE party <> 'Neafiliat' GROUP BY 1, 2) ORDER BY asker, n DESC, f),
+f AS (SELECT asker, arg_min(name, o) AS name, count(*) AS total FROM q GROUP BY 1)
+SELECT asker, name, coalesce(party, nullif(regexp_extract(name, '-\\s*(?:deputat|senator)\\s+([A-Z]{{2,}})', 1), ''), 'Neafiliat') AS party, total FROM f LEFT JOIN p USING (asker) ORDER BY total DESC, asker LIMIT 200
+"""
+)
 def top_askers(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "events").withColumn("party", F.when(F.col("event_type") != "view", F.col("event_type")))
-    modal = agg.modal_value(rows, "user_id", "party", "event_id")
-    names = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_name"))
-    return modal.join(names, "user_id").select("user_id", "total", F.coalesce("modal", F.lit("none")).alias("party"), "first_name").orderBy(F.desc("total"), "user_id").limit(20)
+    """Who asked most, with the party of their questions, else that in their name."""
+    asked = spark.sql(_ASKED, orders=t(spark, d, "orders")).withColumn("party", mappings.clean_group(F.col("grp")))
+    return agg.top_actors(asked, "asker", "name", "party", "o", 200)
 
 
 @query("SELECT l_returnflag, total, done, CASE WHEN total > 0 THEN round_even(100.0::DOUBLE * done / total, 1) ELSE 0 END AS rate FROM (SELECT l_returnflag, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) WHERE total >= 5")
@@ -240,14 +263,14 @@ def committee_roster(spark: SparkSession, d: str) -> DataFrame:
     return lists.whole(agg.roster(rows, "team", "name", "role", "pos", size=10), ["team"], "members", "chair").withColumn("members", F.array_join("members", ","))
 
 
-@query("SELECT c_nationkey, count(*) AS members, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, CAST(coalesce(sum(done), 0) AS BIGINT) AS done, CAST(coalesce(sum(open), 0) AS BIGINT) AS open, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, round_even(coalesce(sum(worth), 0), 0) AS worth, round_even(coalesce(sum(lines), 0) / count(*)::DOUBLE, 3) AS lines_each FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, sum(o_totalprice) AS worth FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) ON k = c_custkey GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS members, CAST(coalesce(sum(orders), 0) AS BIGINT) AS orders, CAST(coalesce(sum(done), 0) AS BIGINT) AS done, CAST(coalesce(sum(open), 0) AS BIGINT) AS open, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, round_even(coalesce(sum(worth), 0), 0) AS worth, CAST(coalesce(sum(urgent), 0) AS BIGINT) AS urgent, round_even(coalesce(sum(lines), 0) / count(*)::DOUBLE, 3) AS lines_each FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderpriority LIKE '1-%') AS urgent, sum(o_totalprice) AS worth FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS k, count(*) AS lines FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) ON k = c_custkey GROUP BY 1")
 def party_activity(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders")
     status = F.col("o_orderstatus")
-    made = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("orders"), F.count_if(status == "F").alias("done"), F.count_if(status == "O").alias("open"), F.sum("o_totalprice").alias("worth"))
+    made = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("orders"), F.count_if(status == "F").alias("done"), F.count_if(status == "O").alias("open"), F.count_if(F.col("o_orderpriority").startswith("1-")).alias("urgent"), F.sum("o_totalprice").alias("worth"))
     lines = t(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(_n().alias("lines"))
-    rows = joins.lookup(joins.lookup(t(spark, d, "customer"), made, "c_custkey", {"orders": 0, "done": 0, "open": 0, "worth": 0.0}), lines, "c_custkey", {"lines": 0})
-    sums = [F.sum(c).alias(c) for c in ("orders", "done", "open", "lines")]
+    rows = joins.lookup(joins.lookup(t(spark, d, "customer"), made, "c_custkey", {"orders": 0, "done": 0, "open": 0, "urgent": 0, "worth": 0.0}), lines, "c_custkey", {"lines": 0})
+    sums = [F.sum(c).alias(c) for c in ("orders", "done", "open", "urgent", "lines")]
     return rows.groupBy("c_nationkey").agg(_n().alias("members"), *sums, F.bround(F.sum("worth"), 0).alias("worth")).withColumn("lines_each", F.bround(F.col("lines") / F.col("members"), 3))
 
 
@@ -288,14 +311,49 @@ def first_present(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("user_id").agg(agg.first_present(value, F.col("event_id")).alias("first_value"))
 
 
-@query("SELECT board, c_custkey, value FROM ((SELECT 'highest' AS board, c_custkey, c_acctbal AS value FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 10) UNION ALL (SELECT 'lowest', c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10) UNION ALL (SELECT 'median ' || c_mktsegment, CAST(NULL AS BIGINT), round_even(median(c_acctbal), 2) FROM customer GROUP BY c_mktsegment))")
+@query(
+    """
+WITH d AS (SELECT o_custkey AS c_custkey, count(*) AS n, round_even(arg_max(o_totalprice, (o_orderdate, o_orderkey)) - arg_min(o_totalprice, (o_orderdate, o_orderkey)), 2) AS delta, arg_max(o_orderkey % 9, (o_orderdate, o_orderkey)) - arg_min(o_orderkey % 9, (o_orderdate, o_orderkey)) AS items FROM orders GROUP BY 1 HAVING count(*) > 1)
+SELECT * FROM ((SELECT 'growth' AS board, c_custkey, delta AS value FROM d WHERE delta > 0 ORDER BY delta DESC, c_custkey LIMIT 10) UNION ALL (SELECT 'drop', c_custkey, delta FROM d WHERE delta < 0 ORDER BY delta, c_custkey LIMIT 10)
+  UNION ALL (SELECT 'more', c_custkey, items FROM d WHERE items > 0 ORDER BY items DESC, c_custkey LIMIT 10) UNION ALL (SELECT 'highest', c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 10) UNION ALL (SELECT 'lowest', c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10)
+  UNION ALL SELECT 'median ' || c_mktsegment, NULL, round_even(median(c_acctbal), 2) FROM customer GROUP BY c_mktsegment)
+"""
+)
 def wealth_report(spark: SparkSession, d: str) -> DataFrame:
+    """Five lists of ten, of growth, drop, more items, the highest and the lowest, and medians by segment."""
     rows = t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    boards = [ranking.leaderboard(rows, "c_acctbal", "c_custkey", 10, where=F.col("c_acctbal") > 0).select(F.lit("highest").alias("board"), "c_custkey", F.col("c_acctbal").alias("value")), ranking.leaderboard(rows, "c_acctbal", "c_custkey", 10, descending=False).select(F.lit("lowest").alias("board"), "c_custkey", F.col("c_acctbal").alias("value"))]
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_totalprice", (F.col("o_orderkey") % 9).cast("double").alias("items"))
+    change = lambda name: agg.snapshot_delta(orders, "c_custkey", ["o_orderdate", "o_orderkey"], name)
+    board = lambda name, df, value, down=True, where=None: ranking.leaderboard(df, value, "c_custkey", 10, descending=down, where=where).select(F.lit(name).alias("board"), "c_custkey", F.col(value).alias("value"))
+    worth, items = change("o_totalprice"), change("items")
+    boards = [
+        board("growth", worth, "delta", where=F.col("delta") > 0),
+        board("drop", worth, "delta", False, F.col("delta") < 0),
+        board("more", items, "delta", where=F.col("delta") > 0),
+        board("highest", rows, "c_acctbal", where=F.col("c_acctbal") > 0),
+        board("lowest", rows, "c_acctbal", False),
+    ]
     medians = agg.group_stats(rows, ["c_mktsegment"], "c_acctbal", {"value": 0.5}).withColumn("value", F.bround("value", 2)).select(F.concat(F.lit("median "), F.col("c_mktsegment")).alias("board"), F.lit(None).cast("long").alias("c_custkey"), "value")
     return reduce(DataFrame.unionByName, [*boards, medians])
 
 
+@query(
+    """
+SELECT o_orderkey, 'proiect|' || year(o_orderdate) || '|' || CASE WHEN o_orderstatus = 'F' THEN 'promulgat' WHEN o_orderpriority LIKE '%LOW%' THEN 'respins' WHEN o_orderpriority LIKE '%HIGH%' THEN 'retras' ELSE 'în lucru' END || '|' || CASE WHEN o_custkey % 3 = 0 THEN 'necunoscut' ELSE 'G' || o_custkey END || '|' || CASE WHEN o_custkey % 2 = 0 THEN 'urgenta' ELSE 'ordinara' END AS bill,
+  'interpelare|' || CASE WHEN o_orderkey % 7 = 0 THEN 'necunoscut' ELSE CAST(year(o_orderdate) AS VARCHAR) END || '|' || CASE WHEN o_orderstatus = 'P' THEN 'Neafiliat' ELSE o_orderstatus END || '|' || CASE WHEN o_orderstatus = 'O' THEN 'primit' ELSE 'nu' END AS question, 'motiune|simpla|respinsa|' || year(o_orderdate) AS motion FROM orders
+"""
+)
+def record_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Facets under which the search finds bills, questions and motions, of each order."""
+    status, day, custkey = F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_custkey")
+    stage = F.when(F.contains("o_orderpriority", F.lit("LOW")), "Respins la vot").when(F.contains("o_orderpriority", F.lit("HIGH")), "RETRAS")
+    bill = facets.bill_facets(F.when(status == "F", F.col("o_orderkey")), stage, day, F.when(custkey % 3 != 0, F.concat(F.lit("G"), custkey.cast("string"))), custkey % 2 == 0)
+    question = facets.question_facets(F.when(F.col("o_orderkey") % 7 != 0, day), F.when(status != "P", F.concat(status, F.lit(" Destinatar"))), status == "O")
+    motion = facets.motion_facets(F.lit("simpla"), F.lit("respinsa"), day)
+    both = t(spark, d, "orders").select("o_orderkey", bill.alias("b"), question.alias("q"), motion.alias("m"))
+    return both.select("o_orderkey", F.concat_ws("|", "b.kind", "b.year", "b.status", "b.initiator", "b.procedure").alias("bill"), F.concat_ws("|", "q.kind", "q.year", "q.group", "q.answer").alias("question"), F.concat_ws("|", "m.kind", "m.type", "m.outcome", "m.year").alias("motion"))
+
+
 @query("WITH k AS (SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY 1, 2) SELECT 'composite_repeats' AS chk, count(*) FILTER (n > 1) AS n FROM k UNION ALL SELECT 'out_of_range', (SELECT count(*) FROM orders WHERE o_totalprice NOT BETWEEN 0 AND 1000000) UNION ALL SELECT 'unknown_category', (SELECT count(*) FROM orders WHERE o_orderpriority NOT LIKE '1-%' AND o_orderpriority NOT LIKE '2-%' AND o_orderpriority NOT LIKE '3-%') UNION ALL SELECT 'count_differs', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) <> 10))")
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders")
@@ -385,9 +443,17 @@ def sort_listed_order(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ordered(rows, [ranking.listed_order("o_orderpriority", ["5-LOW", "1-URGENT"]), F.desc("o_orderdate"), F.asc("o_orderkey")], 100).select("o_orderkey", "rn")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS rn FROM part ORDER BY rn LIMIT 100")
+#: Romanian letters in their order; words are one of them, in either case, and a number.
+_LETTERS = ("a", "ă", "â", "b", "d", "i", "î", "j", "s", "ș", "t", "ț", "u", "z")
+_LETTER = "CASE p_partkey % 14 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LETTERS)) + " END"
+_WORD = f"concat(CASE WHEN p_size % 2 = 0 THEN upper({_LETTER}) ELSE {_LETTER} END, 'r', lpad(CAST(p_partkey % 50 AS string), 2, '0'))"
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 14, p_partkey % 50, p_partkey) AS rn FROM part")
 def sort_by_collation(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ordered(t(spark, d, "part").select("p_partkey", "p_name"), [ranking.romanian("p_name"), F.asc("p_partkey")], 100).select("p_partkey", "rn")
+    """All parts by a Romanian word, whatever its case, with their place."""
+    words = t(spark, d, "part").select("p_partkey", F.expr(_WORD).alias("word"))
+    return documents.numbered(words, [ranking.romanian("word"), F.asc("p_partkey")]).select("p_partkey", (F.col("place") + 1).alias("rn"))
 
 
 @query("WITH n AS (SELECT c_nationkey, count(*) AS members, sum(c_acctbal) AS worth FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1) SELECT c_nationkey, round_even(worth / members, 3) AS metric, row_number() OVER (ORDER BY round_even(worth / members, 3), c_nationkey) AS rn FROM n ORDER BY rn LIMIT 10")

@@ -520,9 +520,9 @@ def search_pages(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", writers.search_page(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority"), facet).alias("page"))
 
 
-@query("SELECT '{\"meta\":{\"source_url\":\"u\",\"scraper_version\":\"1\",\"count\":' || count(*) || '},\"data\":[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']}' AS value FROM region")
+@query("SELECT '{\"meta\":{\"generated_at\":\"2024-05-01T00:00:00Z\",\"source_url\":\"u\",\"scraper_version\":\"1\",\"count\":' || count(*) || '},\"data\":[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']}' AS value FROM region")
 def json_envelope(spark: SparkSession, d: str) -> DataFrame:
-    return writers.envelope(t(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey"), "1", "u")
+    return writers.envelope(t(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey"), "1", "u", "2024-05-01T00:00:00Z")
 
 
 @query("""WITH c AS (SELECT c_custkey, c_acctbal AS v, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS g, CAST(floor((c_custkey % 60) / 5) AS INT) AS age FROM customer)

@@ -9,7 +9,7 @@ from tessera.operators import expectations, joins
 from tessera.plans.base import query, t
 from tessera.sources import documents, partitions, writers
 from tessera.sources.stores import scratch, set_order
-from tessera.streaming import look_back
+from tessera.streaming import look_back, upserts
 
 _ORDER = "o_orderkey long, o_totalprice double, year string"
 
@@ -60,6 +60,18 @@ def look_back_stream(spark: SparkSession, d: str) -> DataFrame:
     return partitions.read(spark, out, "event_id long, version int, ts timestamp, value double, day string").drop("ts")
 
 
+@query("SELECT event_id, value, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def appended_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events as files of a day, a seventh repeated with another value the day after: the first record of each stays."""
+    events = t(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    again = events.where("event_id % 7 = 0").select("event_id", (F.col("value") + 5).alias("value"), "day", F.date_add(F.to_date("day"), 1).cast("string").alias("file"))
+    source, out, state = (scratch(spark, n) for n in ("days", "once", "state"))
+    events.withColumn("file", F.col("day")).unionByName(again).repartition("file").write.partitionBy("file").json(source)
+    schema = "event_id long, value double, day string"
+    upserts.append_once(spark, f"{source}/*", schema, "event_id", "day", out, state)
+    return partitions.read(spark, out, schema)
+
+
 # --- maps by key, expectations --------------------------------------------------------
 
 #: Bills with a first and a second number, and votes that name one. Of some bills the first number has no vote, but the second has.

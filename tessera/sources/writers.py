@@ -12,10 +12,10 @@ from tessera.operators.joins import same_rows
 UNKNOWN_YEAR = "necunoscut"
 
 
-def envelope(rows: DataFrame, version: str, source: str) -> DataFrame:
-    """One row ``value``: all records as one JSON envelope. Meant for small collections; ``write_rows`` is for others."""
+def envelope(rows: DataFrame, version: str, source: str, generated_at: str) -> DataFrame:
+    """One row ``value``: all records as one JSON envelope. Meant for small collections; ``documents.envelopes`` cuts others."""
     records = F.collect_list(F.struct(*rows.columns))
-    meta = F.struct(F.lit(source).alias("source_url"), F.lit(version).alias("scraper_version"), F.count(F.lit(1)).alias("count"))
+    meta = F.struct(F.lit(generated_at).alias("generated_at"), F.lit(source).alias("source_url"), F.lit(version).alias("scraper_version"), F.count(F.lit(1)).alias("count"))
     return rows.agg(meta.alias("meta"), records.alias("data")).select(F.to_json(F.struct("meta", "data"), {"ignoreNullFields": "false"}).alias("value"))
 
 

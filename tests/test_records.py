@@ -94,8 +94,8 @@ def test_write_years_and_unchanged(spark, tmp_path):
 
 
 def test_envelope_and_freshness(spark, tmp_path):
-    value = writers.envelope(spark.createDataFrame([(1, None)], "id int, name string"), "2", "u").first().value
-    assert json.loads(value) == {"meta": {"source_url": "u", "scraper_version": "2", "count": 1}, "data": [{"id": 1, "name": None}]}
+    value = writers.envelope(spark.createDataFrame([(1, None)], "id int, name string"), "2", "u", "2024-01-01").first().value
+    assert json.loads(value) == {"meta": {"generated_at": "2024-01-01", "source_url": "u", "scraper_version": "2", "count": 1}, "data": [{"id": 1, "name": None}]}
     put(tmp_path / "in/a.json", value)
     files = records.envelopes(spark, f"file://{tmp_path}/in", RECORD).withColumn("bytes", F.lit(10))
     r = writers.freshness(files, F.lit("x")).first()
@@ -140,12 +140,16 @@ def test_initiators(spark):
 
 
 def test_streaming_upsert(spark, tmp_path):
+    from tessera.sources import partitions
     from tessera.streaming.upserts import append_once
 
-    put(tmp_path / "in/1.json", '{"vote_id": 1, "title": "a"}\n{"vote_id": 1, "title": "a"}\n')
-    args = (spark, f"file://{tmp_path}/in", "vote_id long, title string", "vote_id", f"file://{tmp_path}/out", f"file://{tmp_path}/state")
-    append_once(*args)
-    put(tmp_path / "in/2.json", '{"vote_id": 1, "title": "again"}\n{"vote_id": 2, "title": "b"}\n')
-    append_once(*args)
-    append_once(*args)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").select("vote_id", "title").collect()) == [(1, "a"), (2, "b")]
+    schema = "vote_id long, title string, day string"
+
+    def call(name, *rows):
+        put(tmp_path / f"in/{name}.json", "\n".join(json.dumps({"vote_id": k, "title": v, "day": d}) for k, v, d in rows))
+        append_once(spark, f"file://{tmp_path}/in", schema, "vote_id", "day", f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+
+    call(1, (1, "a", "d1"), (1, "b", "d1"), (3, None, None))
+    call(2, (1, "again", "d1"), (2, "b", "d2"), (2, "c", "d2"), (3, "new", "d3"))
+    call(3)
+    assert sorted(tuple(r) for r in partitions.read(spark, f"file://{tmp_path}/out", schema).collect()) == [(1, "a", "d1"), (2, "b", "d2"), (3, None, "unknown")]

@@ -87,6 +87,11 @@ def written_bytes(df: DataFrame) -> int:
     return where.getFileSystem(conf).getContentSummary(where).getLength()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table of ``materialize``, broadcast to its joins if it is small as written."""
+    return F.broadcast(df) if written_bytes(df) <= SMALL else df
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,6 +25,8 @@ RECALL = 0.99
 BAND_ROWS = 3
 #: Words of texts that a task gathers before it sends them.
 FLUSH = 1 << 21
+#: Copies of a piece in one row on their way to its keeper.
+PLACES = 32
 
 
 def tune_bands(similarity: float, recall: float = RECALL, rows: int = BAND_ROWS) -> tuple[int, int]:
@@ -95,8 +97,8 @@ def band_signatures(values: np.ndarray, lengths: np.ndarray, bands: int, rows: i
 PARAGRAPH, PIECE, COPY, KEEPER, EDGE, PACKED_PIECES, PACKED_BANDS = range(7)
 _SENT = [("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 SENT = "bucket long, kind int, id long, doc long, first long, last long, edges boolean, a binary, b binary, c binary"
-_FOUND = [("kind", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("keeper", pa.int64())]
-FOUND = "kind int, id long, doc long, first long, last long, keeper long"
+_FOUND = [("kind", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("keeper", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+FOUND = "kind int, id long, doc long, first long, last long, keeper long, a binary, b binary, c binary"
 
 
 def _flat(schema: list, kind: int, columns: dict[str, np.ndarray]) -> pa.Table:
@@ -141,7 +143,12 @@ class _Gathered:
             several = np.maximum.reduceat(doc, where) > doc[where]
             copies = ~new & several[np.cumsum(new) - 1]
             if copies.any():
-                yield from _flat(_SENT, COPY, {"bucket": (doc[copies] + spread) % (1 << bits), "id": id_[copies], "doc": doc[copies], "first": first[copies], "last": last[copies]}).to_batches()
+                of = id_[copies]
+                start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                inside = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+                at = np.flatnonzero(inside % PLACES == 0)
+                packed = {c: [np.ascontiguousarray(x).tobytes() for x in np.split(v[copies], at[1:])] for c, v in (("a", doc), ("b", first), ("c", last))}
+                yield from _flat(_SENT, COPY, {"bucket": (of[at] + spread) % (1 << bits), "id": of[at], **packed}).to_batches()
             bucket = id_[where] & ((1 << bits) - 1)
             order = np.argsort(bucket, kind="stable")
             chosen, bucket = where[order], bucket[order]
@@ -165,7 +172,8 @@ def _send_task(bands: int, rows: int, bits: int):
     """Paragraphs, their signatures, and pieces of a task's texts.
 
     Of a piece that several documents of a task hold, one occurrence goes to the
-    bucket of its id; the others are spread, and meet their keeper later.
+    bucket of its id; the others, some in a row, are spread and meet their
+    keeper later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +194,7 @@ def _meet_task(group: pa.Table) -> pa.Table:
     """Of a bucket: pieces that several documents hold, with the smallest of them, and edges of the signatures."""
     kind = group.column("kind").to_numpy()
     flat = group.filter(pa.array(kind < PACKED_PIECES))
-    out = [_flat(_FOUND, 0, {c: flat.column(c).combine_chunks() for c in ("kind", "id", "doc", "first", "last")})]
+    out = [_flat(_FOUND, 0, {c: flat.column(c).combine_chunks() for c in ("kind", "id", "doc", "first", "last", "a", "b", "c")})]
     packed = group.filter(pa.array(kind == PACKED_PIECES))
     if packed.num_rows:
         id_, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in packed.column(c).to_pylist()]) for c in ("a", "b"))
@@ -207,6 +215,15 @@ def _meet_task(group: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of copies, a row each, with their keeper."""
+    for batch in batches:
+        docs, firsts, lasts = ([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("a", "b", "c"))
+        if docs:
+            columns = [np.concatenate(x) for x in (docs, firsts, lasts)] + [np.repeat(batch.column("own").to_numpy(), [len(x) for x in docs])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc", "first", "last", "keeper"])
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the paragraphs that are asked for."""
     for batch in batches:
@@ -303,7 +320,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gone = places.join(named, "id").where("doc > kept_in").select("doc", "first", "last", "kept_in")
 
     # Pieces: all go but those in the smallest document that holds one.
-    local = found.where(F.col("kind") == COPY).join(found.where(F.col("kind") == KEEPER).select("id", F.col("keeper").alias("own")), "id").select("doc", "first", "last", F.col("own").alias("keeper"))
+    local = found.where(F.col("kind") == COPY).select("id", "a", "b", "c").join(found.where(F.col("kind") == KEEPER).select("id", F.col("keeper").alias("own")), "id")
+    local = local.select("a", "b", "c", "own").repartition("a", "b").mapInArrow(_unpacked, "doc long, first long, last long, keeper long")
     held = found.where(F.col("kind") == PIECE).select("doc", "first", "last", "keeper").unionByName(local)
     held = held.select("doc", "first", "last", F.when(F.col("doc") > F.col("keeper"), F.col("keeper")).alias("kept_in"))
     out = gone.unionByName(held).groupBy("doc").agg(F.collect_list(F.struct("first", "last", "kept_in")).alias("spans")).where(F.exists("spans", lambda x: x["kept_in"].isNotNull()))

@@ -46,6 +46,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     def same(few: DataFrame):
         return docs["doc_id"].cast("long").eqNullSafe(few["doc"]) & F.xxhash64(docs["text"]).eqNullSafe(few["key"])
 
+    others, again = common.small(others), common.small(again)
     once = docs.join(others, same(others), "left_anti").join(again, same(again), "left_anti")
     repeated = docs.join(again, same(again), "left_semi").join(others, same(others), "left_anti")
     return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

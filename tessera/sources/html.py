@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +35,22 @@ SCHEMA = "ord int, parent int, tag string, path string, attributes map<string,st
 _ROWS = 20_000
 
 
-def read(page: str, tags: frozenset[str] | None = None) -> Iterator[tuple]:
+def _resolver(references: Sequence[str] | None) -> Callable[[str], str]:
+    """Resolves the named references that end in a semicolon; by default all, as browsers do."""
+    if references is None:
+        return entities.unescape
+    named = re.compile("&(" + "|".join(map(re.escape, references)) + ");")
+    return lambda text: named.sub(lambda m: entities.unescape(m[0]), text)
+
+
+def read(page: str, tags: frozenset[str] | None = None, references: Sequence[str] | None = None) -> Iterator[tuple]:
     """Elements of the tags (all by default) as they end: place, place of the nearest such element around, tag, path, attributes, text.
 
     Text is that of the element and all within it, with single spaces between
     pieces, and without scripts and styles. What a page leaves open ends where the page does.
+    With ``references`` only those names are resolved, and only with their semicolon.
     """
+    unescape = _resolver(references)
     stack: list[tuple[str, int | None, dict, int]] = []  # tag, place if it is wanted, attributes, first piece of text
     pieces: list[str] = []
     seen = 0
@@ -54,7 +64,7 @@ def read(page: str, tags: frozenset[str] | None = None) -> Iterator[tuple]:
 
     def said(text: str) -> None:
         if text and not text.isspace():
-            pieces.append(entities.unescape(text))
+            pieces.append(unescape(text))
 
     at, end = 0, len(page)
     while at < end:
@@ -89,7 +99,7 @@ def read(page: str, tags: frozenset[str] | None = None) -> Iterator[tuple]:
         attributes = {}
         if wanted:
             for a in ATTRIBUTE.finditer(m[3]):
-                attributes.setdefault(a[1].lower(), entities.unescape(next((v for v in a.groups()[1:] if v is not None), "")))
+                attributes.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), "")))
         stack.append((tag, seen if wanted else None, attributes, len(pieces)))
         seen += wanted
         if tag in RAW:
@@ -101,12 +111,12 @@ def read(page: str, tags: frozenset[str] | None = None) -> Iterator[tuple]:
     yield from ended(0)
 
 
-def elements(pages: DataFrame, key: str, html: str, tags: Sequence[str] | None = None) -> DataFrame:
+def elements(pages: DataFrame, key: str, html: str, tags: Sequence[str] | None = None, references: Sequence[str] | None = None) -> DataFrame:
     """``key`` and ``ord, parent, tag, path, attributes, text`` of the elements of each page.
 
     ``ord`` numbers a page's elements of the tags in the order in which they
     start, ``parent`` is that of the nearest one around. Null and empty pages have
-    none; pages that repeat a key have theirs each.
+    none; pages that repeat a key have theirs each. ``references`` as in ``read``.
     """
     wanted = frozenset(tags) if tags else None
     kind = pages.schema[key].dataType.simpleString()
@@ -118,7 +128,7 @@ def elements(pages: DataFrame, key: str, html: str, tags: Sequence[str] | None =
             keys, found, held = batch.column(0), [], []
             out = lambda: pa.RecordBatch.from_arrays([keys.take(pa.array(held, pa.int32()))] + [pa.array([list(x[k].items()) if k == 4 else x[k] for x in found], t) for k, t in enumerate(types[1:])], names)  # noqa: B023, E731
             for i, page in enumerate(batch.column(1).to_pylist()):
-                for x in read(page or "", wanted):
+                for x in read(page or "", wanted, references):
                     found.append(x)
                     held.append(i)
                 if len(found) > _ROWS:

@@ -31,3 +31,10 @@ def orders(*prices, first=4, step=5, customers=1):
 def test_contracts_of_nothing(spark, tmp_path):
     for name in ("contract_rows",):
         assert differing(spark, tmp_path, name, orders=orders(3000.4, 1200, 0, 77)) == ([], 1)
+
+
+def test_cut_references_stay(spark, tmp_path):
+    head = '<html><head><title>{}</title></head><body><ul><li><a href="/a?b=1&amp;c=2">x</a></li></ul></body></html>'
+    titles = ["a &amp;&amp;&amp b", "A &lt;b&gt; &quot;c&quot; &am", "x&amp", "&amp;lt; &copy; &amp"]
+    rows = [(i, "https://x.org", head.format(x)) for i, x in enumerate(titles)]
+    assert differing(spark, tmp_path, "page_links", pages=("page_id long, url string, html string", rows)) == ([], 4)

@@ -29,7 +29,7 @@ def orders(*prices, first=4, step=5, customers=1):
 
 
 def test_contracts_of_nothing(spark, tmp_path):
-    for name in ("contract_rows",):
+    for name in ("contract_rows", "interest_records"):
         assert differing(spark, tmp_path, name, orders=orders(3000.4, 1200, 0, 77)) == ([], 1)
 
 

@@ -27,8 +27,7 @@ def marker_index(c: Column, markers: dict[str, str]) -> Column:
     """
     pieces = F.split(F.coalesce(c, F.lit("")), "(?=" + "|".join(f"(?:{p})" for p in markers.values()) + ")")
 
-    def name(piece: Column, rest: Column) -> Column:
-        whole = F.concat(piece, rest)
+    def name(whole: Column) -> Column:
         found = F.lit(None).cast("string")
         for label, pattern in reversed(markers.items()):
             found = F.when(F.regexp_like(whole, F.lit(f"^(?:{pattern})")), label).otherwise(found)
@@ -36,7 +35,7 @@ def marker_index(c: Column, markers: dict[str, str]) -> Column:
 
     def of(parts: Column) -> Column:
         following = lambda i: F.array_join(F.slice(parts, i + 2, F.lit(2)), "")
-        return F.transform(parts, lambda x, i: F.struct(name(F.substring(x, 1, 200), F.substring(following(i), 1, 200)).alias("name"), x.alias("text")))
+        return F.transform(parts, lambda x, i: F.struct(bound(F.concat(F.substring(x, 1, 200), F.substring(following(i), 1, 200)), name).alias("name"), x.alias("text")))
 
     return bound(pieces, of)
 

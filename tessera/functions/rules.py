@@ -37,14 +37,13 @@ def phrase(words: str) -> str:
 
 def after(c: Column, start: str, line: bool = True) -> Column:
     """What follows the first place of a pattern, to the end of its line or of the text; null without it."""
-    found = F.split(c, ANY_CASE + start, 2)
-    rest = F.try_element_at(found, F.lit(2))
-    return F.split_part(rest, F.lit("\n"), F.lit(1)) if line else rest
+    rest = lambda x: F.when(F.regexp_like(x, F.lit(ANY_CASE + start)), F.split(x, ANY_CASE + start, 2)[1])
+    return bound(c, lambda x: F.split_part(rest(x), F.lit("\n"), F.lit(1)) if line else rest(x))
 
 
 def upto(c: Column, *ends: str, case: str = ANY_CASE) -> Column:
     """What stands before the first of some patterns."""
-    return F.split(c, case + "(?s)(?:" + "|".join(ends) + ").*", 2)[0]
+    return F.regexp_replace(c, case + "(?s)(?:" + "|".join(ends) + ").*", "")
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -104,9 +103,15 @@ def _fits(places: Column, pattern: str) -> Column:
     return F.exists(places, lambda x: F.regexp_like(x, F.lit(f"{ANY_CASE}^{ONE}(?:{pattern})")))
 
 
+def fitting(places: Column, rules: Rules) -> Column:
+    """Those of the places where any of the rules fits: one look at each, and most texts have none."""
+    anyone = "|".join(f"(?:{p})" for p, _ in rules)
+    return F.filter(places, lambda x: F.regexp_like(x, F.lit(f"{ANY_CASE}^{ONE}(?:{anyone})")))
+
+
 def labels(places: Column, rules: Rules) -> Column:
     """Labels of all rules that fit, in the order of the rules."""
-    return F.filter(F.array(*[F.when(_fits(places, p), F.lit(label)) for p, label in rules]), lambda x: x.isNotNull())
+    return bound(fitting(places, rules), lambda held: F.filter(F.array(*[F.when(_fits(held, p), F.lit(label)) for p, label in rules]), lambda x: x.isNotNull()))
 
 
 def first_label(places: Column, rules: Rules) -> Column:
@@ -130,4 +135,4 @@ def started(c: Column, rules: Rules) -> Column:
     """The label of the first rule whose text, in lower case, a text starts with: one look at a table of texts."""
     known = F.create_map(*[F.lit(x) for text, label in {t.lower(): label for t, label in reversed(rules)}.items() for x in (text, label)])
     start = F.regexp_extract(c, "^(" + "|".join("\\Q" + t.lower() + "\\E" for t, _ in rules) + ")", 1)
-    return F.try_element_at(known, F.nullif(start, F.lit("")))
+    return bound(start, lambda x: F.try_element_at(known, F.nullif(x, F.lit(""))))

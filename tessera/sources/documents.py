@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import escape_markup
-from tessera.sources.stores import move, remove, scratch
+from tessera.sources.stores import move_all, scratch
 
 #: How many addresses a site map may hold, and the names of its schema.
 MOST = 50_000
@@ -56,11 +56,8 @@ def write(entries: DataFrame, order: list[Column], path: str, name: str, header:
     ends = spark.range(files).select(F.col("id").alias("file"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(header).alias("value")), F.struct(F.lit((1 << 62)).cast("long").alias("at"), F.lit(footer).alias("value")))).alias("x")).select("file", "x.*")
     made = scratch(spark, "documents")
     body.unionByName(ends).repartition(min(files, 10_000), "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(made)
-    out = []
-    for k in range(files):
-        out.append(f"{path}/{name.format(k)}")
-        remove(spark, out[-1])
-        move(spark, f"{made}/file={k}/part-*", out[-1])
+    out = [f"{path}/{name.format(k)}" for k in range(files)]
+    move_all(spark, [(f"{made}/file={k}/part-*", to) for k, to in enumerate(out)])
     return out
 
 

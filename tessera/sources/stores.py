@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -39,12 +40,23 @@ def write_text(spark: SparkSession, path: str, value: str) -> None:
         out.close()
 
 
-def move(spark: SparkSession, pattern: str, path: str) -> None:
-    """Move the one file that a pattern names, within a store."""
-    fs, where = _file_system(spark, pattern)
-    _, target = _file_system(spark, path)
-    fs.mkdirs(target.getParent())
-    fs.rename(fs.globStatus(where)[0].getPath(), target)
+def move_all(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Move the one file that each pattern names to a path, within a store; what is at the path goes. Many at a time, since each waits for the store."""
+    if not moves:
+        return
+    fs, _ = _file_system(spark, moves[0][1])
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {path.rsplit("/", 1)[0] for _, path in moves}:
+        fs.mkdirs(at(folder))
+
+    def one(each: tuple[str, str]) -> None:
+        target = at(each[1])
+        fs.delete(target, True)
+        if not fs.rename(fs.globStatus(at(each[0]))[0].getPath(), target):
+            raise OSError(f"{each[0]} can't be moved to {each[1]}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(one, moves))
 
 
 def set_order(spark: SparkSession, paths: list[str], start: int = 1_700_000_000_000) -> None:

@@ -156,7 +156,7 @@ TITLE_OVER, NOT_TITLES, MEMBER_LINK, NO_TITLE = 30, ("camera deputatilor", "came
 
 
 def motion_records(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
-    """A motion's page as a record: ``title, kind, initiators, nr, registered, voted, yes, no, abstentions, outcome, signatures, signatories, pdf``.
+    """A motion's page as a record: ``title, kind, initiators, nr, registered, voted, yes, no, abstentions, outcome, signatures, signatories, pdf, summary``.
 
     The title is the longest heading or summary, of equally long ones the first.
     A page's own text gives the labelled fields.
@@ -164,6 +164,7 @@ def motion_records(pages: DataFrame, key: str, html: str, base: str) -> DataFram
     found = elements(pages, key, html, ["body", "h1", "h2", "h3", "meta", "a"])
     link = F.col("attributes")["href"]
     headline = F.when(F.col("tag").isin("h1", "h2", "h3"), F.col("text")).when((F.col("tag") == "meta") & (F.col("attributes")["property"] == "og:description"), F.trim(F.col("attributes")["content"]))
+    summary = F.when((F.col("tag") == "meta") & (F.col("attributes")["property"] == "og:description"), F.struct("ord", F.trim(F.col("attributes")["content"]).alias("text")))
     title = F.when((F.length(headline) > TITLE_OVER) & ~F.lower(headline).isin(*NOT_TITLES), headline)
     member = F.when((F.col("tag") == "a") & F.contains(link, F.lit(MEMBER_LINK)) & F.contains(link, F.lit("idm=")) & (F.length("text") > 3), F.struct("ord", "text"))
     pdf = F.when((F.col("tag") == "a") & link.endswith(".pdf"), F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(base), link)))
@@ -172,6 +173,7 @@ def motion_records(pages: DataFrame, key: str, html: str, base: str) -> DataFram
         F.max(F.when(F.col("tag") == "body", F.col("text"))).alias("body"),
         F.array_sort(F.collect_list(member)).alias("members"),
         F.min_by(pdf, F.when(pdf.isNotNull(), F.col("ord"))).alias("pdf"),
+        F.min(summary)["text"].alias("summary"),
     )
     field = lambda *labels, most=200: F.coalesce(*[fields.labelled_field(F.col("body"), x, fields.MOTION_LABELS, most) for x in labels])
     number = lambda *labels, most=20: fields.leading_number(field(*labels, most=most))
@@ -190,5 +192,6 @@ def motion_records(pages: DataFrame, key: str, html: str, base: str) -> DataFram
         number("Semnături", "Semnatari", most=30).alias("signatures"),
         F.array_distinct(F.transform("members", lambda x: x["text"])).alias("signatories"),
         "pdf",
+        "summary",
     )
-    return out.select(key, "title", "kind", "initiators", F.col("r.nr").alias("nr"), F.col("r.day").alias("registered"), day_first_date(F.col("v")).alias("voted"), "yes", "no", "abstentions", "outcome", "signatures", "signatories", "pdf")
+    return out.select(key, "title", "kind", "initiators", F.col("r.nr").alias("nr"), F.col("r.day").alias("registered"), day_first_date(F.col("v")).alias("voted"), "yes", "no", "abstentions", "outcome", "signatures", "signatories", "pdf", "summary")

@@ -4,8 +4,12 @@ import datetime as dt
 import uuid
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from tessera.plans import files
+from tessera.plans.base import spread
+from tessera.sources import documents, html, writers
 
 
 def differing(spark, tmp_path, name, **tables):
@@ -38,3 +42,29 @@ def test_cut_references_stay(spark, tmp_path):
     titles = ["a &amp;&amp;&amp b", "A &lt;b&gt; &quot;c&quot; &am", "x&amp", "&amp;lt; &copy; &amp"]
     rows = [(i, "https://x.org", head.format(x)) for i, x in enumerate(titles)]
     assert differing(spark, tmp_path, "page_links", pages=("page_id long, url string, html string", rows)) == ([], 4)
+
+
+def test_rows_are_dealt_to_all_cores(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i % 7}") for i in range(200)], "k long, name string").coalesce(1)
+    assert spread(rows, "k").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_files_of_many_entities(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "s_suppkey long, s_name string").coalesce(1)
+    writers.write_rows(rows.withColumn("entity", F.col("s_suppkey")), f"file://{tmp_path}/e", by="entity")
+    names = spark.read.schema("s_suppkey long").json(f"file://{tmp_path}/e").select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).alias("task")).distinct()
+    assert names.count() > 1
+    assert differing(spark, tmp_path, "files_of_entities", supplier=("s_suppkey long, s_name string, s_acctbal double", [(i, f"S{i}", float(i)) for i in range(30)])) == ([], 30)
+
+
+def test_envelopes_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "MOST", 7)
+    read = []
+    monkeypatch.setattr(files.records, "all_present", lambda s, paths, record, of=files.records.all_present: read.extend(paths) or of(s, paths, record))
+    assert differing(spark, tmp_path, "present_envelopes", orders=orders(*range(20))) == ([], 1)
+    assert spark.read.text(read[0], wholetext=True).count() == 3
+
+
+def test_motion_summary_is_read_with_its_page(spark):
+    page = '<meta name="a" content="z"><meta property="og:description" content=" x "><meta property="og:description" content="y"><body>t'
+    assert html.motion_records(spark.createDataFrame([(1, page)], "k int, page string"), "k", "page", "b").collect()[0].summary == "x"

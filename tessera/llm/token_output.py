@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, scratch_path, shuffle_partitions, table, texts
+from .common import batched, scratch_path, shuffle_partitions, table
 
 MAGIC = b"TSRP0001"
 HEAD = struct.Struct("<8sBxxxIIIQQ")  # magic, bits, part, documents, blocks, ids, ids of the part before this chunk
@@ -91,11 +93,12 @@ class Chunk:
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word.
 
-    Words between blanks and line ends that are new go to the library many at a
-    time, as one text with a special token between them. Where the vocabulary
-    marks ends of words, words of Latin letters go with blanks between, and one
-    that a punctuation mark ends is made of both. The first LIMIT words that a
-    worker meets are remembered, frequent ones among them.
+    Each distinct word of a batch is looked up once. Words between blanks and
+    line ends that are new go to the library many at a time, as one text with a
+    special token between them. Where the vocabulary marks ends of words, words
+    of Latin letters go with blanks between, and one that a punctuation mark
+    ends is made of both. The first LIMIT words that a worker meets are
+    remembered, frequent ones among them.
     """
 
     LIMIT = 300_000
@@ -118,6 +121,8 @@ class WordEncoder:
         self.points = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.PUNCTUATION}
 
     PUNCTUATION = ".,;:!?"
+    #: Words of Latin letters that stay letters in lower case, one a line, and the mark behind.
+    LETTERS = re.compile(f"(?m)^([{''.join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower().isalpha())}]{{1,{LONG - 1}}})([{PUNCTUATION}]?)$")
 
     def ends(self, text: str) -> np.ndarray:
         """For each piece that the library splits a text into, how many tokens end a word."""
@@ -140,14 +145,15 @@ class WordEncoder:
     def new_words(self, words: list[str]) -> dict[str, bytes]:
         if not self.marked:
             return self.other_words(words)
-        letters = lambda w: w.isalpha() and len(w) < self.LONG and (w.isascii() or (max(w) < "\u0250" and w.lower().isalpha()))
-        stems = {w: w if letters(w) else w[:-1] for w in words if letters(w) or (len(w) > 1 and w[-1] in self.PUNCTUATION and letters(w[:-1]))}
-        known = self.known
-        out = self.lettered([w for w in set(stems.values()) if w not in known])
-        for word, stem in stems.items():
-            found = known.get(stem) if stem in known else out.get(stem)
-            if found is not None and word not in out:
-                out[word] = found if word == stem else found + self.points[word[-1]]
+        pairs, known = self.LETTERS.findall("\n".join(words)), self.known
+        out = self.lettered(list({stem for stem, _ in pairs}.difference(known)))
+        for stem, point in pairs:
+            if point:
+                found = known.get(stem) or out.get(stem)
+                if found is not None:
+                    out[stem + point] = found + self.points[point]
+            elif stem in known:
+                out[stem] = known[stem]
         out.update(self.other_words([w for w in words if w not in out]))
         return out
 
@@ -166,17 +172,26 @@ class WordEncoder:
                 first = end + 1
         return out
 
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in batch]
-        known = self.known
-        parts = [list(map(known.get, x)) for x in split]
-        short = [k for k, x in enumerate(parts) if None in x]
-        new = self.new_words(list({w for k in short for w, p in zip(split[k], parts[k], strict=True) if p is None}))
-        for k in short:
-            parts[k] = [new[w] if p is None else p for w, p in zip(split[k], parts[k], strict=True)]
+    def encode(self, batch: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text; Arrow splits the texts and numbers their distinct words, so only those are looked up."""
+        column = pc.fill_null(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string()), "")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py()
+        each, known = lines.split("\n") if len(words.dictionary) else [], self.known
+        parts = list(map(known.get, each))
+        new = self.new_words([w for w, p in zip(each, parts, strict=True) if p is None])
+        parts = [new[w] if p is None else p for w, p in zip(each, parts, strict=True)]
         if len(known) < self.LIMIT:
             known.update((w, p) for w, p in new.items() if len(w) <= self.LONG)
-        return [np.frombuffer(b"".join(x), "<u4") for x in parts]
+        ids, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        at = words.indices.to_numpy()
+        long = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(long)))
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], long)
+        places += np.arange(ends[-1])
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.split(ids[places], bounds[1:-1]) if len(column) else []
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -212,9 +227,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
             return pa.RecordBatch.from_arrays([pa.array([pack_chunk(part, before, names, held, bits)], pa.binary())], ["chunk"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(texts(piece.column(1))), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1)), strict=True):
                     names.append(name)
                     held.append(np.append(ids, np.uint32(end_id)))
                     total += len(ids) + 1

@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,22 @@ def test_word_encoder_equals_the_library():
     assert [x.tolist() for x in encoder.encode(texts)] == [x.tolist() for x in token_output.WordEncoder(P.path("word_bpe_49k.json")).encode(texts)]
 
 
+def test_distinct_words_are_looked_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            self.looked += 1
+            return super().get(key, default)
+
+    encoder = token_output.WordEncoder(P.path("word_bpe_49k.json"))
+    encoder.known = Counted(encoder.known)
+    texts = ["skipped", None, "", "again and again, " * 400 + "\n once\n\nÀgain.  İn <|endoftext|>"]
+    found = encoder.encode(pa.array(texts).slice(1))
+    assert [x.tolist() for x in found] == [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    assert encoder.known.looked < 40 and encoder.encode([]) == encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_token_files_of_odd_rows(spark, tmp_path):
     rows = spark.createDataFrame([(5, "b", 0), (None, "x", 0), (5, "a b", 0), (2, None, 0)], "doc_id long, text string, ids int")
     for name, docs in (("some", rows), ("none", rows.limit(0))):

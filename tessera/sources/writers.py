@@ -48,10 +48,10 @@ def split_sessions(sessions: DataFrame) -> dict[str, DataFrame]:
 
     ``sessions`` has an id, ``items`` (array of structs with ``docs``, an array
     of structs, and ``entities``) and other plain columns. An item's id is its
-    session's and its place, in three digits.
+    session's and its place, in three digits or more.
     """
     items = sessions.select(F.col("id").alias("session_id"), F.posexplode("items").alias("item_index", "item"))
-    items = items.withColumn("item_id", F.concat_ws("_", F.col("session_id").cast("string"), F.lpad(F.col("item_index").cast("string"), 3, "0")))
+    items = items.withColumn("item_id", F.concat_ws("_", F.col("session_id").cast("string"), F.lpad(F.col("item_index").cast("string"), F.greatest(F.lit(3), F.length(F.col("item_index").cast("string"))), F.lit("0"))))
     plain = [c for c in items.schema["item"].dataType.names if c not in ("docs", "entities")]
     docs = items.select("item_id", F.posexplode("item.docs").alias("doc_index", "doc")).select("item_id", "doc_index", "doc.*")
     return {
@@ -65,15 +65,28 @@ def split_sessions(sessions: DataFrame) -> dict[str, DataFrame]:
 def merge_sessions(tables: dict[str, DataFrame], size: int = lists.SIZE) -> DataFrame:
     """Sessions as they were before ``split_sessions``, with ``block``: a row for each block of a session's items.
 
-    An item's documents are in its row, as they were.
+    An item's documents are in its row, as they were. Items, documents and
+    entities meet in one shuffle, dealt by what their item's id says of its
+    session and block, so a large session lies in many tasks.
     """
-    fields = [c for c in tables["docs"].columns if c not in ("item_id", "doc_index")]
-    docs = lists.whole(lists.blocks(tables["docs"], ["item_id"], ["doc_index"], F.struct(*fields), "docs", size), ["item_id"], "docs")
-    items = tables["items"].join(docs, "item_id", "left").join(tables["entities"], "item_id", "left")
-    items = items.withColumn("docs", F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)))
+    of = lambda name: F.struct(*[c for c in tables[name].columns if c != "item_id"]).alias(name)
     plain = [c for c in tables["items"].columns if c not in ("session_id", "item_index", "item_id", "num_docs")]
-    held = lists.blocks(items.withColumnRenamed("session_id", "id"), ["id"], ["item_index"], F.struct(*plain, "docs", "entities"), "items", size)
-    return lists.joined_to(tables["sessions"], held, "id", "items")
+    fields = [c for c in tables["docs"].columns if c not in ("item_id", "doc_index")]
+    rows = [tables[name].select("item_id", of(name)) for name in ("items", "docs", "entities")]
+    every = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    stem, number = F.substring_index("item_id", "_", -1), F.lit(size)
+    dealt = every.select(
+        F.expr("left(item_id, length(item_id) - length(substring_index(item_id, '_', -1)))").alias("_stem"),
+        stem.alias("_number"), F.floor(stem.try_cast("int") / number).alias("_part"), "items", "docs", "entities",
+    ).repartition("_stem", "_part")
+    whole = dealt.groupBy("_stem", "_part", "_number").agg(
+        F.collect_list("items").alias("items"), F.transform(F.array_sort(F.collect_list("docs")), lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("docs"),
+        F.first("entities.entities", True).alias("entities"),
+    )
+    items = whole.select("_stem", "_part", F.explode("items").alias("i"), "docs", "entities").withColumn("block", F.floor(F.col("i.item_index") / number).cast("long"))
+    value = F.struct(F.col("i.item_index"), F.struct(*[F.col(f"i.{c}").alias(c) for c in plain], "docs", "entities").alias("v"))
+    held = items.groupBy("_stem", "_part", F.col("i.session_id").alias("id"), "block").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["v"]).alias("items"))
+    return lists.joined_to(tables["sessions"], held.select("id", "block", "items"), "id", "items")
 
 
 def write_if_changed(rows: DataFrame, path: str, spark: SparkSession) -> bool:

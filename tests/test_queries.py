@@ -68,3 +68,9 @@ def test_envelopes_are_bounded(spark, tmp_path, monkeypatch):
 def test_motion_summary_is_read_with_its_page(spark):
     page = '<meta name="a" content="z"><meta property="og:description" content=" x "><meta property="og:description" content="y"><body>t'
     assert html.motion_records(spark.createDataFrame([(1, page)], "k int, page string"), "k", "page", "b").collect()[0].summary == "x"
+
+
+def test_sessions_are_those_of_orders(spark, tmp_path):
+    lines = [(k, n, p, p % 3, "A") for k, n, p in [(1, 1, 5), (1, 1, 4), (1, 2, 3), (2, 1, 7), (2, 2, 7), (9, 1, 1), (None, 1, 1)]]
+    twice = [(k, 1, "F", 1.0, dt.datetime(1996, 1, 1), "x") for k in (1, 2, 2, 3)]
+    assert differing(spark, tmp_path, "split_and_merge", orders=(ORDERS, twice), lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string", lines)) == ([], 2)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import entities, mappings, text
-from tessera.operators import facets, joins, ranking
+from tessera.operators import facets, joins, lists, ranking
 from tessera.sources import records, writers
 
 RECORD = "struct<id:long,name:string>"
@@ -80,6 +80,19 @@ def test_split_and_merge(spark):
     assert sorted(map(str, writers.merge_sessions(tables).select(rows.columns).collect())) == sorted(map(str, rows.collect()))
 
 
+def test_merge_of_long_sessions_shuffles_items_once(spark):
+    kind = "id string, n int, items array<struct<descriere:string,docs:array<struct<titlu:string>>,entities:struct<kind:string>>>"
+    many = [(f"i{k}", [(f"d{k}.{x}",) for x in range(k % 3)], (f"k{k}",) if k % 5 else None) for k in range(1_103)]
+    rows = spark.createDataFrame([("s_1", 1, many), ("s", 2, many[:4]), ("s_1_000", 3, [])], kind)
+    tables = writers.split_sessions(rows)
+    assert tables["items"].select("item_id").distinct().count() == 1_107
+    merged = writers.merge_sessions(tables, 100)
+    assert merged.where("id = 's_1'").select(F.size("items").alias("n")).where("n <= 100").count() == 12
+    whole = lists.whole(merged, ["id"], "items", "n").select(rows.columns)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, rows.collect()))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+
+
 def test_write_years_and_unchanged(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-02"), (2, None), (3, "2023-05-01")], "id int, day string")
     index = writers.write_years(rows, F.col("day"), f"file://{tmp_path}/y")

@@ -130,7 +130,8 @@ UNION ALL SELECT 'sitemap.xml', (max(k) // 20000) + 1, 'https://x.org/sitemap-0.
 def site_map_files(spark: SparkSession, d: str) -> DataFrame:
     """Site maps of an address for each line, cut after 20,000, and their index, read back as XML."""
     loc = F.concat(F.lit("https://x.org/l/"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("?a=1&b="), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
-    urls = t(spark, d, "lineitem").groupBy(loc.alias("loc")).agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("lastmod")).withColumn("priority", F.lit("0.5"))
+    lines = t(spark, d, "lineitem").select(loc.alias("loc"), F.col("l_shipdate").cast("date").alias("day")).repartitionByRange(F.asc_nulls_last("loc"))  # these ranges serve the sort, too
+    urls = lines.groupBy("loc").agg(F.date_format(F.max("day"), "yyyy-MM-dd").alias("lastmod")).withColumn("priority", F.lit("0.5"))
     path = scratch(spark, "site")
     documents.site_map(urls, path, "https://x.org", 20_000)
     file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")

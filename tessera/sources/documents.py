@@ -38,24 +38,31 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
     return kept.join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_id", "_part", "_first")
 
 
-def write(entries: DataFrame, order: list[Column], path: str, name: str, header: str, footer: str, between: str = "", most: int = MOST) -> list[str]:
+def write(entries: DataFrame, order: list[Column], path: str, name: str, header: str, footer: str, between: str = "", most: int = MOST, value: Column | None = None) -> list[str]:
     """Write ``value`` of rows in ascending order as files ``name-0``, ``name-1`` and so on; their paths.
 
-    ``name`` holds ``{}`` for the number. ``between`` ends each entry but a file's
-    last. Without rows there is one file without entries. Files that a former
-    call left beyond the last one stay.
+    ``value`` is a column of the rows, or an expression over their columns that
+    is put together where it is written: only the columns are sorted and dealt to
+    files. ``name`` holds ``{}`` for the number. ``between`` ends each entry but a
+    file's last. Without rows there is one file without entries. Files that a
+    former call left beyond the last one stay.
     """
     spark = entries.sparkSession
-    keys = [f"_o{k}" for k in range(len(order))]
-    placed = numbered(entries.select("value", *[c.alias(k) for c, k in zip(order, keys, strict=True)]), [F.col(k).asc_nulls_last() for k in keys], "place")
+    if value is None:
+        keys = [f"_o{k}" for k in range(len(order))]
+        entries, order, value = entries.select("value", *[c.alias(k) for c, k in zip(order, keys, strict=True)]), [F.col(k) for k in keys], F.col("value")
+    placed = numbered(entries, [c.asc_nulls_last() for c in order], "_place")
     total = placed.count()
     files = max(1, -(-total // most))
-    file = F.floor(F.col("place") / most)
-    last = (F.col("place") % most == most - 1) | (F.col("place") == total - 1)
-    body = placed.select(file.cast("long").alias("file"), F.col("place").alias("at"), F.concat("value", F.when(last, "").otherwise(between)).alias("value"))
-    ends = spark.range(files).select(F.col("id").alias("file"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(header).alias("value")), F.struct(F.lit((1 << 62)).cast("long").alias("at"), F.lit(footer).alias("value")))).alias("x")).select("file", "x.*")
+    file = F.floor(F.col("_place") / most)
+    columns = [c for c in placed.columns if c != "_place"]
+    body = placed.select(file.cast("long").alias("_file"), F.col("_place").alias("_at"), F.lit(None).cast("string").alias("_end"), *columns)
+    ends = spark.range(files).select(F.col("id").alias("_file"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("_at"), F.lit(header).alias("_end")), F.struct(F.lit((1 << 62)).cast("long").alias("_at"), F.lit(footer).alias("_end")))).alias("x")).select("_file", "x.*")
     made = scratch(spark, "documents")
-    body.unionByName(ends).repartition(min(files, 10_000), "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(made)
+    dealt = body.unionByName(ends, allowMissingColumns=True).repartition(min(files, 10_000), "_file").sortWithinPartitions("_file", "_at")
+    last = (F.col("_at") % most == most - 1) | (F.col("_at") == total - 1)
+    text = F.when(F.col("_at").between(0, total - 1), F.concat(value, F.when(last, "").otherwise(between))).otherwise(F.col("_end"))
+    dealt.select(F.col("_file").alias("file"), text.alias("value")).write.partitionBy("file").text(made)
     out = [f"{path}/{name.format(k)}" for k in range(files)]
     move_all(spark, [(f"{made}/file={k}/part-*", to) for k, to in enumerate(out)])
     return out
@@ -63,9 +70,9 @@ def write(entries: DataFrame, order: list[Column], path: str, name: str, header:
 
 def site_map(urls: DataFrame, path: str, site: str, most: int = MOST) -> list[str]:
     """Site map files of ``loc, lastmod, priority``, by address, and an index of them."""
-    rows = urls.select(F.col("loc"), _url(F.col("loc"), F.col("lastmod"), F.col("priority")).alias("value"))
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="{SITEMAP}">'
-    files = write(rows, [F.col("loc")], path, "sitemap-{}.xml", head, "</urlset>", most=most)
+    entry = _url(F.col("loc"), F.col("lastmod"), F.col("priority"))
+    files = write(urls.select("loc", "lastmod", "priority"), [F.col("loc")], path, "sitemap-{}.xml", head, "</urlset>", most=most, value=entry)
     listed = urls.sparkSession.range(len(files)).select(F.col("id"), F.concat(F.lit(f"<sitemap><loc>{site}/sitemap-"), F.col("id").cast("string"), F.lit(".xml</loc></sitemap>")).alias("value"))
     index = write(listed, [F.col("id")], path, "sitemap.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="{SITEMAP}">', "</sitemapindex>")
     return files + index

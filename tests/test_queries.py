@@ -74,3 +74,14 @@ def test_sessions_are_those_of_orders(spark, tmp_path):
     lines = [(k, n, p, p % 3, "A") for k, n, p in [(1, 1, 5), (1, 1, 4), (1, 2, 3), (2, 1, 7), (2, 2, 7), (9, 1, 1), (None, 1, 1)]]
     twice = [(k, 1, "F", 1.0, dt.datetime(1996, 1, 1), "x") for k in (1, 2, 2, 3)]
     assert differing(spark, tmp_path, "split_and_merge", orders=(ORDERS, twice), lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string", lines)) == ([], 2)
+
+
+def test_site_maps_sort_addresses_in_one_shuffle(spark, tmp_path, monkeypatch):
+    sorted_rows = []
+    monkeypatch.setattr(documents, "numbered", lambda rows, order, name, of=documents.numbered: sorted_rows.append(rows.orderBy(*order)) or of(rows, order, name))
+    day = lambda k: dt.datetime(1996, 5, k)
+    lines = [(k, 1 + k % 2, k % 9, 3, day(1 + k % 28)) for k in range(300)] + [(5, 2, 5, 3, day(28)), (6, 1, 6, 3, None), (7, 9, 7, -3, None)]
+    assert differing(spark, tmp_path, "site_map_files", lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp", lines)) == ([], 2)
+    assert sorted_rows[0].columns == ["loc", "lastmod", "priority"]
+    plan = sorted_rows[0]._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count("rangepartitioning")) == (1, 1)

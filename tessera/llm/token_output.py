@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import string
 import struct
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +71,17 @@ class Chunk:
         if magic != MAGIC:
             raise ValueError("not a chunk of packed token ids")
         at += HEAD.size
-        known = np.frombuffer(data, np.uint8, docs, at)
-        self.docs = [int(d) if k else None for d, k in zip(np.frombuffer(data, "<i8", docs, at + docs), known, strict=True)]
+        self.names = pa.array(np.frombuffer(data, "<i8", docs, at + docs).astype(np.int64), mask=np.frombuffer(data, np.uint8, docs, at) == 0)
         self.ends = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
         self.offsets = np.frombuffer(data, "<u8", blocks + 1, at + 17 * docs).astype(np.int64)
         start = at + 17 * docs + 8 * (blocks + 1)
         self.end = start + int(self.offsets[-1])
         self.data = data[start : self.end]
 
+    @property
+    def docs(self) -> list[int | None]:
+        return self.names.to_pylist()
+
     def read(self, first: int, last: int) -> np.ndarray:
         """Ids ``first`` to ``last``, from the blocks that hold them."""
         out, at = [], first
@@ -90,72 +96,100 @@ class Chunk:
         return self.read(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def strings(column: pa.Array) -> list[str]:
+    """Words without line ends as strings, made at once."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column), "\n")[0].as_py().split("\n") if len(column) else []
+
+
+def runs(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` by number, one after another, and where they end; run ``k`` is from ``ends[k]`` to ``ends[k + 1]``."""
+    sizes = np.diff(ends)[which]
+    found = np.concatenate(([0], np.cumsum(sizes)))
+    places = np.repeat(ends[which] - found[:-1], sizes)
+    places += np.arange(found[-1])
+    return ids[places], found
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, word by word.
 
     Each distinct word of a batch is looked up once. Words between blanks and
     line ends that are new go to the library many at a time, as one text with a
-    special token between them. Where the vocabulary marks ends of words, words
-    of Latin letters go with blanks between, and one that a punctuation mark
-    ends is made of both. The first LIMIT words that a worker meets are
-    remembered, frequent ones among them.
+    special token between them. Where the tokenizer splits as SPLITS says,
+    words of Latin letters go in lower case, with blanks between, and past its
+    normalizer and pattern, which leave them whole; one that marks follow is
+    made of both. The first LIMIT words that a worker meets are remembered,
+    frequent ones among them.
     """
 
     LIMIT = 300_000
     LONG = 64
-    TOGETHER = 512
+    TOGETHER = 64
+    #: Latin letters that stay letters in lower case.
+    LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower().isalpha())
+    #: A run of these is a piece of its own behind letters; an apostrophe may belong to letters, and special tokens begin with the other one.
+    MARKS = "".join(c for c in string.punctuation if c not in "'<")
+    OF_LETTERS = f"^[{LETTERS}]+$"
+    MARKED = f"^[{LETTERS}]+[{re.escape(MARKS)}]*$"
+    SPLITS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+    }
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.marks = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        self.known: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = {t.content: i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.known: dict[str, int] = {"": 0}
+        #: Ids of known words by number, and where those of each end.
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(2, np.int64)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.marked = bool(suffix) and all(self.ends("Ab" + p + " cd").tolist() == [1] * 3 for p in self.PUNCTUATION)
-        self.points = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in self.PUNCTUATION}
-
-    PUNCTUATION = ".,;:!?"
-    #: Words of Latin letters that stay letters in lower case, one a line, and the mark behind.
-    LETTERS = re.compile(f"(?m)^([{''.join(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower().isalpha())}]{{1,{LONG - 1}}})([{PUNCTUATION}]?)$")
-
-    def ends(self, text: str) -> np.ndarray:
-        """For each piece that the library splits a text into, how many tokens end a word."""
-        pieces = text.replace(" ", "  ").split("  ")
-        ids = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int64) for p in pieces for x in ([p] if p.isalpha() else [p[:-1], p[-1]])]
-        return np.array([int(self.last[x].sum()) for x in ids])
-
-    def lettered(self, words: list[str]) -> dict[str, bytes]:
-        """New words of letters, by ends of words; none if their number isn't what it should be."""
-        out: dict[str, bytes] = {}
-        parts = [words[at : at + self.TOGETHER] for at in range(0, len(words), self.TOGETHER)]
-        for some, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) == len(some):
-                data = ids.tobytes()
-                out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
-        return out
-
-    def new_words(self, words: list[str]) -> dict[str, bytes]:
-        if not self.marked:
-            return self.other_words(words)
-        pairs, known = self.LETTERS.findall("\n".join(words)), self.known
-        out = self.lettered(list({stem for stem, _ in pairs}.difference(known)))
-        for stem, point in pairs:
-            if point:
-                found = known.get(stem) or out.get(stem)
-                if found is not None:
-                    out[stem + point] = found + self.points[point]
-            elif stem in known:
-                out[stem] = known[stem]
-        out.update(self.other_words([w for w in words if w not in out]))
-        return out
+        settings = json.loads(self.tokenizer.to_str())
+        self.splits = bool(suffix) and all(settings[k] == v for k, v in self.SPLITS.items()) and all(t.content[:1] not in self.LETTERS + self.MARKS for t in added.values())
+
+    def short(self, words: pa.Array, pattern: str) -> pa.Array:
+        """Which words fit a pattern and are short."""
+        return pc.and_(pc.match_substring_regex(words, pattern), pc.less_equal(pc.binary_length(words), self.LONG))
+
+    def halves(self, words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """What is looked up for each word: letters in lower case and the marks behind, or the whole word and nothing."""
+        if not self.splits:
+            return words.dictionary_encode(), pc.binary_repeat(words, 0).dictionary_encode()
+        marked = self.short(words, self.MARKED)
+        stems = pc.if_else(marked, pc.utf8_lower(pc.utf8_rtrim(words, self.MARKS)), words)
+        return stems.dictionary_encode(), pc.if_else(marked, pc.utf8_ltrim(words, self.LETTERS), "").dictionary_encode()
+
+    def new_words(self, words: list[str], letters: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, one after another, and how many each has; the first ``letters`` words are of letters alone.
+
+        These are told apart by ends of words, if their number is what it should be.
+        """
+        texts = [" ".join(words[at : min(at + self.TOGETHER, letters)]) for at in range(0, letters, self.TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != letters:
+            ids, ends, letters = ids[:0], ends[:0], 0
+        found = self.other_words(words[letters:])
+        parts = [found[w] for w in words[letters:]]
+        others = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.concatenate((ids, np.frombuffer(b"".join(parts), "<u4"))), np.concatenate((np.diff(ends, prepend=0), others))
 
     def other_words(self, words: list[str]) -> dict[str, bytes]:
         mark = next(iter(self.marks), None)
@@ -172,26 +206,39 @@ class WordEncoder:
                 first = end + 1
         return out
 
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each word, and ids and their bounds by number; new words are encoded and, up to LIMIT, remembered."""
+        ids, bounds = self.ids, self.bounds
+        number = np.fromiter(map(self.known.get, strings(words), repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return number, ids, bounds
+        new = words.take(pa.array(missing))
+        letters = self.short(new, self.OF_LETTERS).to_numpy(zero_copy_only=False) if self.splits else np.zeros(len(new), bool)
+        long = pc.greater(pc.utf8_length(new), self.LONG).to_numpy(zero_copy_only=False)
+        order = np.argsort(np.where(letters, 0, np.where(long, 2, 1)), kind="stable")
+        each, first = strings(new.take(pa.array(order))), len(bounds) - 1
+        more, sizes = self.new_words(each, int(letters.sum()))
+        number[missing[order]] = np.arange(first, first + len(each))
+        ids, bounds = np.concatenate((ids, more)), np.concatenate((bounds, bounds[-1] + np.cumsum(sizes)))
+        if len(self.known) < self.LIMIT:
+            kept = len(each) - int((long & ~letters).sum())
+            self.known.update(zip(each[:kept], range(first, first + kept), strict=True))
+            self.bounds = bounds[: first + kept + 1].copy()
+            self.ids = ids[: self.bounds[-1]].copy()
+        return number, ids, bounds
+
     def encode(self, batch: pa.Array | list[str]) -> list[np.ndarray]:
         """Ids of each text; Arrow splits the texts and numbers their distinct words, so only those are looked up."""
         column = pc.fill_null(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string()), "")
         split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py()
-        each, known = lines.split("\n") if len(words.dictionary) else [], self.known
-        parts = list(map(known.get, each))
-        new = self.new_words([w for w, p in zip(each, parts, strict=True) if p is None])
-        parts = [new[w] if p is None else p for w, p in zip(each, parts, strict=True)]
-        if len(known) < self.LIMIT:
-            known.update((w, p) for w, p in new.items() if len(w) <= self.LONG)
-        ids, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        at = words.indices.to_numpy()
-        long = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(long)))
-        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], long)
-        places += np.arange(ends[-1])
-        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return np.split(ids[places], bounds[1:-1]) if len(column) else []
+        stems, tails = self.halves(words.dictionary)
+        number, ids, bounds = self.numbers(pa.concat_arrays([stems.dictionary, tails.dictionary]))
+        both = np.column_stack((number[stems.indices.to_numpy()], number[tails.indices.to_numpy() + len(stems.dictionary)])).ravel()
+        ids, bounds = runs(ids, bounds, both)
+        ids, bounds = runs(ids, bounds[::2], words.indices.to_numpy())
+        return np.split(ids, bounds[split.offsets.to_numpy() - split.offsets[0].as_py()][1:-1]) if len(column) else []
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -254,11 +301,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 while at < len(data):
                     chunk = Chunk(data, at)
                     at = chunk.end + 1  # the writer ends each chunk with a line feed
-                    for k in range(0, len(chunk.docs), 256):
-                        each = range(k, min(k + 256, len(chunk.docs)))
-                        starts = [chunk.before + (int(chunk.ends[i - 1]) if i else 0) for i in each]
-                        ids = [chunk.document(i) for i in each]
-                        yield pa.RecordBatch.from_arrays([pa.array([chunk.part] * len(ids), pa.int32()), pa.array([chunk.docs[i] for i in each], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "doc_id", "start", "n_tokens", "ids"])
+                    bounds = np.concatenate(([0], chunk.ends))
+                    for k in range(0, len(chunk.names), 256):
+                        some = bounds[k : k + 257]
+                        ids = np.ascontiguousarray(chunk.read(int(some[0]), int(some[-1])), "<u4")
+                        places, n = pa.array(4 * (some - some[0]), pa.int32()), len(some) - 1
+                        packed = pa.Array.from_buffers(pa.binary(), n, [None, places.buffers()[1], pa.py_buffer(ids)])
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk.part] * n, pa.int32()), chunk.names.slice(k, n), pa.array(chunk.before + some[:-1]), pa.array(np.diff(some)), packed], ["part", "doc_id", "start", "n_tokens", "ids"])
 
     return files.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids binary")
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +112,28 @@ def test_distinct_words_are_looked_up_once():
     assert encoder.known.looked < 40 and encoder.encode([]) == encoder.encode(pa.array([], pa.string())) == []
 
 
+def test_forms_of_a_word_are_encoded_once():
+    encoder = token_output.WordEncoder(P.path("word_bpe_49k.json"))
+    text = "again Again AGAIN, again... aGain!!! Again$$$ (again) agàin"
+    assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(encoder.known) == {"", "again", "agàin", ",", "...", "!!!", "$$$", "(again)"}
+
+
+def test_word_encoder_equals_the_library_on_marks_and_other_settings(tmp_path):
+    own = random.Random(7)
+    odd = ["\u212a", "\u212bb", "ẞ", "\u1e9ea", "Ȿ", "H\u0331", "t\u0308", "Ⱥ" * 40, "x" * 64, "İ", "ΑΣ", "ǅ", "a'", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "7", "\u0345", "\u200d", "ø"]
+    marks = ["", "", ".", "..", "?!", "$$$", "'", "'s.", "<", ">|", "\\", "]^-", "\u0301", "*" * 70, "…"]
+    texts = ["".join(own.choice(odd + VOCABULARY) + own.choice(marks) + own.choice([" ", " ", "\n", "", "\t", "\u00a0"]) for _ in range(300)) for _ in range(40)]
+    settings = json.loads(Path(P.path("word_bpe_49k.json")).read_text())
+    kinds = {"same": {}, "cased": {"normalizer": {"type": "NFC"}}, "added": {"added_tokens": [*settings["added_tokens"], settings["added_tokens"][0] | {"id": 320, "content": "a"}]}}
+    for kind, other in kinds.items():
+        (tmp_path / kind).write_text(json.dumps(settings | other))
+        encoder = token_output.WordEncoder(str(tmp_path / kind))
+        assert encoder.splits == (kind == "same")
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_of_odd_rows(spark, tmp_path):
     rows = spark.createDataFrame([(5, "b", 0), (None, "x", 0), (5, "a b", 0), (2, None, 0)], "doc_id long, text string, ids int")
     for name, docs in (("some", rows), ("none", rows.limit(0))):

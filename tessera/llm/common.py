@@ -15,6 +15,8 @@ LOCAL_SCRATCH = "file:///tmp/tessera-scratch"
 
 #: Tables of at most so many bytes, as written, are broadcast to a join.
 SMALL = 1 << 20
+#: Bits of a table of marks: at most so many (16 MB), and of one of its rows.
+MARKS, CHUNK = 1 << 27, 1 << 16
 #: Bytes of one Arrow batch: texts may be long, and two workers share an executor.
 BATCH_BYTES = 8 << 20
 
@@ -92,6 +94,44 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if written_bytes(df) <= SMALL else df
 
 
+class Marks:
+    """A bit for the hash of each row of a table, 16 bits a row: tells rows of another table that can't be in it without a shuffle of theirs.
+
+    ``rows`` should be a table of ``materialize`` or cheap to read again. A row
+    in the table always has its bit; one that isn't has another's in one of 16
+    cases, more often where ``MARKS`` bounds the bits. Nulls are hashed as values.
+    """
+
+    def __init__(self, rows: DataFrame, *columns: Column | str):
+        self.bits = min(MARKS, max(CHUNK, power_of_two(16 * rows.count())))
+        at = self._at(columns)
+        set_bits = rows.select(F.shiftright(at, 6).alias("word"), (at.bitwiseAND(F.lit(63))).cast("int").alias("bit")).select("word", F.expr("shiftleft(1L, bit)").alias("bits"))
+        every = rows.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        words = set_bits.union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        listed = F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"]
+        self.table = materialize(words.groupBy(F.shiftright("word", 10).alias("chunk")).agg(listed.alias("words")), "marks")
+
+    def _at(self, columns: tuple[Column | str, ...]) -> Column:
+        return F.xxhash64(*columns).bitwiseAND(F.lit(self.bits - 1))
+
+    def _joined(self, df: DataFrame, columns: tuple[Column | str, ...], how: str) -> DataFrame:
+        at = self._at(columns)
+        word = F.get(self.table["words"], F.shiftright(at, 6).bitwiseAND(F.lit(CHUNK // 64 - 1)).cast("int"))
+        held = (F.shiftright(at, 16) == self.table["chunk"]) & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return df.join(F.broadcast(self.table), held, how)
+
+    def maybe(self, df: DataFrame, *columns: Column) -> DataFrame:
+        """Rows that may be in the table, all that are among them; ``columns`` of ``df`` are compared with those given at first."""
+        return self._joined(df, columns, "left_semi")
+
+    def surely_not(self, df: DataFrame, *columns: Column) -> DataFrame:
+        """The other rows."""
+        return self._joined(df, columns, "left_anti")
+
+    def discard(self) -> None:
+        discard(self.table)
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, discard, materialize, power_of_two, shuffle_partitions, table, texts
+from .common import Marks, batched, discard, materialize, power_of_two, shuffle_partitions, table, texts
 from .components import connected_components, group_components, joined_edges, packed_signatures
 from .shingles import fingerprint, mix, shingle_set
 
@@ -184,9 +184,14 @@ def ngram_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     spark = docs.sparkSession
     bits = power_of_two(max(64, 4 * shuffle_partitions(spark))).bit_length() - 1
     rows = batched(docs).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    classed = rows.mapInArrow(_pack_task(bits), ROW).groupBy("bucket").applyInArrow(_class_task, ROW)
+    ids = materialize(rows.select("doc", "key"), "ids")
+    firsts = materialize(ids.groupBy("key").agg(F.min("doc").alias("doc")), "firsts")
+    marks = Marks(firsts, "doc", "key")
+    classed = marks.maybe(rows, rows["doc"], rows["key"]).mapInArrow(_pack_task(bits), ROW).groupBy("bucket").applyInArrow(_class_task, ROW)
     found = classed.groupBy("pack").applyInArrow(_signature_task(bits, percent), "id long, n long, hashes binary, bucket int, edges boolean, keys binary, ids binary, docs array<struct<doc:bigint,key:bigint,n:bigint,set_id:bigint>>")
     found = materialize(found, "found")
+    discard(firsts)
+    marks.discard()
     edges = found.where("bucket is not null").groupBy("bucket").applyInArrow(_edge_task, "a long, b long")
     groups = connected_components(edges)
     roots = group_components(groups, found.where("id is not null").select("id", "n", "hashes"), percent)
@@ -196,8 +201,9 @@ def ngram_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     rooted = first.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(smallest, "root").select("set_id", "component")
-    out = materialize(sets.join(named, "set_id", "left").select("doc", "key", "n", F.coalesce("component", "doc").alias("component")), "links")
-    for used in (found, groups, roots):
+    by_text = sets.groupBy("key").agg(F.first("n").alias("n"), F.first("set_id").alias("set_id")).join(named, "set_id", "left")
+    out = materialize(ids.join(by_text, "key", "left").select("doc", "key", "n", F.coalesce("component", "doc").alias("component")), "links")
+    for used in (ids, found, groups, roots):
         discard(used)
     return out
 
@@ -208,12 +214,17 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Returns ``doc_id, n_shingles, component_id``: one row per row of ``docs``,
     the size of its set, and the smallest id that links lead to, itself included.
 
-    Each text is read and hashed once. Its tokens go to buckets by hash, where
+    Of equal texts (by a hash of 64 bits) the one of the smallest id is read on:
+    a bit for each tells it from its copies, of which one of 16 may come along.
+    So tokens travel once a text, however often it is repeated, and their
+    classes count texts, not copies.
+
+    Each text is hashed once. Its tokens go to buckets by hash, where
     they are counted over all sets, and come back to its pack with their class;
     only those that another set holds too. Sets then get prefix signatures, and
     sets that share one, also by way of others, are compared exactly; prefixes
     lose no link. Equal sets are one node, so copies are never paired with each
-    other. Nothing is broadcast or sent to the driver.
+    other. But for the bits, 16 MB at most, nothing is broadcast or sent to the driver.
 
     Null and empty texts have an empty set and link with nothing. Rows that
     repeat an id keep a row each. Of a null id the component is the smallest id

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_stream, chat_format, components, embedding_dedup, ngram_join, shingles, source_mixing, substring_dedup, tiff_pages, token_output, toxicity, url_filter
+from tessera.llm import bpe_stream, chat_format, common, components, embedding_dedup, ngram_join, shingles, source_mixing, substring_dedup, tiff_pages, token_output, toxicity, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 R = random.Random(5)
@@ -208,6 +208,34 @@ def test_ngram_join_of_odd_rows(spark):
     assert out == sorted([("None", 29_996, 5), ("5", 29_997, 5), ("5", 16, 5), ("7", 29_996, 5), ("7", 29_996, 5), ("None", 0, None)])
 
 
+def test_marks_lose_no_row(spark):
+    rows = lambda a, b: spark.range(a, b).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("x"), (F.col("id") * 3).alias("words"))
+    held, others = rows(0, 3000), rows(3000, 9000)
+    marks = common.Marks(held, "x", "words")
+    assert marks.maybe(held, held["x"], held["words"]).count() == 3000 and marks.surely_not(held, held["x"], held["words"]).count() == 0
+    few = marks.maybe(others, others["x"], others["words"]).count()
+    assert few < 6000 // 8 and marks.surely_not(others, others["x"], others["words"]).count() == 6000 - few
+    none = common.Marks(held.limit(0), "x", "words")
+    assert none.maybe(held, held["x"], held["words"]).count() == 0 and none.surely_not(held, held["x"], held["words"]).columns == ["x", "words"]
+
+
+def test_ngram_join_reads_a_repeated_text_once(spark, monkeypatch, tmp_path):
+    packed = []
+
+    def written(df, name, put=ngram_join.materialize):
+        out = put(df, name)
+        if name == "found":
+            packed.append(out.where("docs is not null").select(F.inline("docs")).count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", written)
+    texts = [*near_copies(10, 60), *[words(40) for _ in range(10)], "", None] * 6
+    documents(spark, texts).repartition(6, "doc_id").write.parquet(f"{tmp_path}/docs")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    assert [out[i] for i in range(len(texts))] == [(n, k if n else i) for i, (n, k) in enumerate(brute_components(texts))]
+    assert packed[0] <= 24
+
+
 def test_blocks_of_a_group_lose_no_link(monkeypatch):
     texts = near_copies(90, 80) + near_copies(10, 80)
     sets = [np.unique(shingles.positions(shingles.words_of(t))) for t in texts]

@@ -559,6 +559,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus.encoded(spark, docs, "").count() == 34
 
 
+def test_near_copies_are_dropped_without_a_shuffle_of_all_texts(spark, monkeypatch):
+    corpus = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(common, "SMALL", 0)
+    named = []
+    monkeypatch.setattr(common.Marks, "maybe", lambda self, df, *columns, of=common.Marks.maybe: named.append(of(self, df, *columns)) or named[-1])
+    texts = [words(40) for _ in range(100)] + [None, ""]
+    docs = documents(spark, [*texts, *texts[:20]])
+    assert sorted(r.doc_id for r in corpus.without_near_copies(spark, docs.union(docs.limit(3)), "").collect()) == list(range(102))
+    assert len(named) == 2 and named[1].count() <= 30
+
+
 def test_queries_of_the_text_tables(spark):
     """The registered queries on the smallest tables, against the tokenizers library and plain Python."""
     from tokenizers import Tokenizer

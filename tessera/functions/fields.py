@@ -32,11 +32,15 @@ MILESTONES = [
 ]
 
 
-def labelled_field(c: Column, label: str, others: list[str], most: int = 200) -> Column:
-    """What follows a label, up to the next label, within so many characters; null without the label."""
+def labelled_text(c: Column, label: str, others: list[str], most: int = 200) -> Column:
+    """What follows a label, up to the next label, within so many characters, with the blanks at its ends; empty without the label."""
     quoted = lambda x: "\\Q" + x + "\\E"
-    pattern = rf"{quoted(label)}\s*:?\s*(.{{1,{most}}}?)(?=\s+(?:{'|'.join(map(quoted, others))})|\s*$)"
-    return F.when(F.regexp_like(c, F.lit(pattern)), strip(F.regexp_extract(c, pattern, 1)))
+    return F.regexp_extract(c, rf"{quoted(label)}\s*:?\s*(.{{1,{most}}}?)(?=\s+(?:{'|'.join(map(quoted, others))})|\s*$)", 1)
+
+
+def labelled_field(c: Column, label: str, others: list[str], most: int = 200) -> Column:
+    """The same without those blanks; null without the label."""
+    return strip(F.nullif(labelled_text(c, label, others, most), F.lit("")))
 
 
 def leading_number(c: Column) -> Column:

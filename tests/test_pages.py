@@ -91,3 +91,23 @@ def test_lists_in_blocks(spark):
 def test_two_queries_of_one_name_are_refused():
     with pytest.raises(ValueError):
         base.query()(registry.rate_by_group)
+
+
+def test_pages_of_one_build_share_it(monkeypatch):
+    page = lambda x: f"<ul><li>{x} &amp; 1<li><a href='{x}?a&amp;b'>{x}</a><script>'<li>'</script> end</ul><br/>"
+    html._build.cache_clear()
+    for x in ("one", "two  words", " ", "a&b"):
+        shown = " ".join(x.split())
+        assert [(tag, a, text) for _, _, tag, _, a, text in html.read(page(x), frozenset({"li", "a"}))] == [("li", {}, " ".join(f"{shown} & 1".split())), ("a", {"href": f"{x}?a&b"}, shown), ("li", {}, f"{shown} end".strip())]
+    assert html._build.cache_info().misses == 1
+    many = [tuple(x) for x in html.read("<p>x" * 30)]
+    html._build.cache_clear()
+    monkeypatch.setattr(html, "_BUILD_TAGS", 29)
+    assert list(html.read("<p>x" * 30)) == many and html._build.cache_info().currsize == 0
+
+
+def test_motions_are_read_without_a_shuffle(spark):
+    page = lambda n: f'<head><meta property="og:description" content=" s{n} "></head><body><h1>A heading that is rather long, {n}</h1>Tip: simplă Voturi pentru: {n} Abțineri: x <a href=/{n}.pdf>f</a><a href="structura2015.mp?idm=1">Name {n}</a>'
+    out = html.motion_records(spark.createDataFrame([(1, page(1)), (1, page(2)), (None, page(3)), (None, page(4))], "k int, page string"), "k", "page", "b")
+    assert sorted((str(r.k), r.title[-1], r.kind, r.yes, r.abstentions, r.signatories, r.pdf, r.summary) for r in out.collect()) == [(k, str(n), "simpla", n, None, [f"Name {n}"], f"b/{n}.pdf", f"s{n}") for k, n in (("1", 1), ("1", 2), ("None", 3), ("None", 4))]
+    assert "Exchange" not in out._jdf.queryExecution().toString()
